@@ -16,6 +16,12 @@ def _sum(vector: Column) -> Column:
     return F.aggregate(vector, _zero(), lambda acc, x: acc + x)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row. Inside the lambda of an array function an expression is
+    computed anew for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _dot(a: Column, b: Column) -> Column:
     return _sum(F.zip_with(a, b, lambda x, y: x * y))
 
@@ -53,13 +59,16 @@ def mean(vector: Column) -> Column:
 
 
 def population_std(vector: Column, center: Column | None = None) -> Column:
-    center = mean(vector) if center is None else center
-    return F.sqrt(F.aggregate(vector, _zero(), lambda acc, x: acc + (x - center) * (x - center)) / F.size(vector))
+    def around(c: Column) -> Column:
+        return F.sqrt(F.aggregate(vector, _zero(), lambda acc, x: acc + (x - c) * (x - c)) / F.size(vector))
+
+    return let(mean(vector), around) if center is None else around(center)
 
 
 def _divide(vector: Column, divisor: Column, center: Column | None = None) -> Column:
-    center = _zero() if center is None else center
-    return F.when(divisor > 0, F.transform(vector, lambda x: (x - center) / divisor)).otherwise(vector)
+    both = F.struct(divisor.alias("divisor"), (_zero() if center is None else center).alias("center"))
+    return let(both, lambda b: F.when(b["divisor"] > 0, F.transform(
+        vector, lambda x: (x - b["center"]) / b["divisor"])).otherwise(vector))
 
 
 NORMALIZATIONS = {
@@ -75,21 +84,24 @@ def _euclidean(a: Column, b: Column) -> Column:
 
 
 def _cosine(a: Column, b: Column, when_zero: float, of: callable) -> Column:
-    norms = l2_norm(a) * l2_norm(b)
-    return F.when(norms == 0, F.lit(when_zero)).otherwise(of(_dot(a, b) / norms))
+    return let(l2_norm(a) * l2_norm(b), lambda norms: F.when(norms == 0, F.lit(when_zero))
+               .otherwise(of(_dot(a, b) / norms)))
 
 
 def _hamming(a: Column, b: Column) -> Column:
-    threshold = (mean(a) + mean(b)) / 2
-    differing = F.zip_with(a, b, lambda x, y: F.when((x > threshold) != (y > threshold), 1.0).otherwise(0.0))
-    return _sum(differing) / F.size(a)
+    def differing(threshold: Column) -> Column:
+        return _sum(F.zip_with(a, b, lambda x, y: F.when((x > threshold) != (y > threshold), 1.0).otherwise(0.0)))
+
+    return let((mean(a) + mean(b)) / 2, differing) / F.size(a)
 
 
 def _correlation(a: Column, b: Column) -> Column:
-    mean_a, mean_b = mean(a), mean(b)
-    covariance = _sum(F.zip_with(a, b, lambda x, y: (x - mean_a) * (y - mean_b))) / F.size(a)
-    spread = population_std(a) * population_std(b)
-    return F.when(spread == 0, _zero()).otherwise(covariance / spread)
+    def over_spread(means: Column) -> Column:
+        covariance = _sum(F.zip_with(a, b, lambda x, y: (x - means["a"]) * (y - means["b"]))) / F.size(a)
+        spread = population_std(a, means["a"]) * population_std(b, means["b"])
+        return let(spread, lambda s: F.when(s == 0, _zero()).otherwise(covariance / s))
+
+    return let(F.struct(mean(a).alias("a"), mean(b).alias("b")), over_spread)
 
 
 DISTANCES = {
@@ -130,34 +142,43 @@ def normalize(vector: Column, method: str = "l2") -> Column:
 
 
 def median(vector: Column) -> Column:
-    ordered = F.array_sort(vector)
     n = F.size(vector)
-    lower = F.element_at(ordered, F.floor((n + 1) / 2).cast("int"))
-    upper = F.element_at(ordered, F.floor(n / 2).cast("int") + 1)
-    return (lower + upper) / 2
+
+    def middle(ordered: Column) -> Column:
+        lower = F.element_at(ordered, F.floor((n + 1) / 2).cast("int"))
+        upper = F.element_at(ordered, F.floor(n / 2).cast("int") + 1)
+        return (lower + upper) / 2
+
+    return let(F.array_sort(vector), middle)
 
 
 def histogram_bins(vector: Column) -> Column:
     """Bin number 0..49 of every value between the smallest and the largest; a constant vector sits in bin 25."""
-    low, high = F.array_min(vector), F.array_max(vector)
     bins = fixed.ENTROPY_BINS
-    placed = F.transform(vector, lambda x: F.least(F.floor(bins * (x - low) / (high - low)), F.lit(bins - 1)))
-    constant = F.transform(vector, lambda x: F.lit(bins // 2).cast("bigint"))
-    return F.when(high > low, placed).otherwise(constant)
+
+    def place(ends: Column) -> Column:
+        low, high = ends["low"], ends["high"]
+        spread = F.transform(vector, lambda x: F.least(F.floor(bins * (x - low) / (high - low)), F.lit(bins - 1)))
+        constant = F.transform(vector, lambda x: F.lit(bins // 2).cast("bigint"))
+        return F.when(high > low, spread).otherwise(constant)
+
+    return let(F.struct(F.array_min(vector).alias("low"), F.array_max(vector).alias("high")), place)
 
 
 def entropy(vector: Column) -> Column:
     """Base-2 entropy over the 50 bins with a small floor in each; empty bins enter in closed form."""
-    bins = histogram_bins(vector)
     total = F.size(vector) + fixed.ENTROPY_BINS * fixed.ENTROPY_FLOOR
 
     def term(count: Column) -> Column:
         share = (count + fixed.ENTROPY_FLOOR) / total
         return share * F.log2(share)
 
-    used = F.array_distinct(bins)
-    filled = F.aggregate(used, _zero(), lambda acc, b: acc + term(F.size(F.filter(bins, lambda x: x == b))))
-    return -(filled + (fixed.ENTROPY_BINS - F.size(used)) * term(F.lit(0)))
+    def over(bins: Column) -> Column:
+        used = F.array_distinct(bins)
+        filled = F.aggregate(used, _zero(), lambda acc, b: acc + term(F.size(F.filter(bins, lambda x: x == b))))
+        return -(filled + (fixed.ENTROPY_BINS - F.size(used)) * term(F.lit(0)))
+
+    return let(histogram_bins(vector), over)
 
 
 def statistics(vector: Column) -> Column:

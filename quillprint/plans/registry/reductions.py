@@ -161,7 +161,7 @@ ENCODED_SQL = f"""
     word_rows AS (SELECT model_name, probe_idx, unnest({words_sql('response')}) AS w FROM said),
     hits AS (SELECT model_name, probe_idx, CAST(('0x' || substr(md5(w), 1, 4)) AS INT) % 32 AS b, count(*) AS c
              FROM word_rows GROUP BY ALL),
-    cells AS (SELECT s.model_name, s.probe_idx, j, coalesce(c, 0)::DOUBLE AS c FROM said s, range(0, 32) t(j)
+    cells AS (SELECT s.model_name, s.probe_idx, j, coalesce(c, 0)::DOUBLE AS c FROM said s CROSS JOIN range(0, 32) t(j)
               LEFT JOIN hits h ON h.model_name = s.model_name AND h.probe_idx = s.probe_idx AND h.b = j),
     emb AS (SELECT model_name, probe_idx, list(c ORDER BY j) AS e FROM cells GROUP BY model_name, probe_idx)
 """

@@ -118,7 +118,7 @@ QUERIES["a11_entropy"] = (
         binned AS (SELECT ord, n, CASE WHEN hi > lo THEN least(floor(50 * (x - lo) / (hi - lo)), 49) ELSE 25 END AS b
                    FROM long),
         counts AS (SELECT ord, n, b, count(*) AS c FROM binned GROUP BY ord, n, b),
-        every AS (SELECT ord, n, coalesce(c, 0) AS c FROM (SELECT DISTINCT ord, n FROM counts), range(0, 50) t(b)
+        every AS (SELECT ord, n, coalesce(c, 0) AS c FROM (SELECT DISTINCT ord, n FROM counts) CROSS JOIN range(0, 50) t(b)
                   LEFT JOIN counts USING (ord, n, b))
         SELECT ord, round(-sum((c + 1e-10) / (n + 50e-10) * log2((c + 1e-10) / (n + 50e-10))), 6) + 0.0 AS entropy
         FROM every GROUP BY ord""")
