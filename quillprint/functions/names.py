@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillprint.functions import fixed_values as fixed
+from quillprint.functions.binding import let
 from quillprint.functions.text import any_contained
 
 
@@ -131,60 +132,70 @@ def size_category(billions: Column) -> Column:
 
 
 def _size_in_name(name: Column, patterns: list[tuple[str, str]]) -> Column:
-    """struct<count, billions> of the first pattern found in the lower-cased name."""
+    """struct<count, billions> of the first pattern found in the lower-cased name, null fields when none is."""
     lowered = F.lower(name)
+    # factor to a count, divisor to billions
     scale = {"b": (1e9, 1.0), "m": (1e6, 1000.0)}
-    found = []
-    for pattern, unit in patterns:
-        number = F.nullif(F.regexp_extract(lowered, pattern, 1), F.lit("")).try_cast("double")
-        factor, divisor = scale[unit]
-        found.append(F.when(number.isNotNull(), F.struct(
-            (number * factor).cast("bigint").alias("count"), (number / divisor).alias("billions"))))
-    return F.coalesce(*found)
+    first = F.coalesce(*[
+        F.when(lowered.rlike(pattern), F.struct(
+            F.regexp_extract(lowered, pattern, 1).try_cast("double").alias("number"),
+            F.lit(scale[unit][0]).alias("factor"), F.lit(scale[unit][1]).alias("divisor")))
+        for pattern, unit in patterns])
+    return let(first, lambda f: F.struct((f["number"] * f["factor"]).cast("bigint").alias("count"),
+                                         (f["number"] / f["divisor"]).alias("billions")))
 
 
 def parameter_info(name: Column, config: Column | None = None) -> Column:
     """struct<parameter_count, parameter_count_billions, size_category, source>.
 
     ``config`` is a VARIANT. A count in it comes first, then one computed from its layer sizes, then the name.
+    The category looks at the exact size, the reported size of a configured count is rounded.
     """
-    def answer(count: Column, billions: Column, source: str) -> Column:
+    def answer(count: Column, billions: Column, category: Column, source: str) -> Column:
         return F.struct(count.alias("parameter_count"), billions.alias("parameter_count_billions"),
-                        size_category(billions).alias("size_category"), F.lit(source).alias("source"))
-
-    named = _size_in_name(name, fixed.SIZE_PATTERNS)
-    by_name = F.when(named.isNotNull(), answer(named["count"], named["billions"], "name_pattern"))
-    nothing = answer(F.lit(None).cast("bigint"), F.lit(None).cast("double"), "not_available")
-    if config is None:
-        return F.coalesce(by_name, nothing)
+                        category.alias("size_category"), F.lit(source).alias("source"))
 
     def field(key: str) -> Column:
-        return F.try_variant_get(config, f"$.{key}", "bigint")
+        missing = F.lit(None).cast("bigint")
+        return missing if config is None else F.try_variant_get(config, f"$.{key}", "bigint")
+
+    def computed(layers: Column) -> Column:
+        return 12 * layers["layers"] * layers["hidden"] * layers["hidden"] + layers["vocab"] * layers["hidden"]
+
+    sizes = F.struct(field("num_hidden_layers").alias("layers"), field("hidden_size").alias("hidden"),
+                     field("vocab_size").alias("vocab"))
+    known = F.struct(
+        F.coalesce(*[field(key) for key in fixed.CONFIG_COUNT_FIELDS]).alias("stated"),
+        let(sizes, computed).alias("computed"), _size_in_name(name, fixed.SIZE_PATTERNS).alias("named"))
 
-    def rounded(count: Column) -> Column:
-        # the category looks at the exact size, the reported size is rounded
-        return F.struct(count.alias("parameter_count"), F.round(count / 1e9, 2).alias("parameter_count_billions"),
-                        size_category(count / 1e9).alias("size_category"))
+    def choose(k: Column) -> Column:
+        def counted(count: Column, source: str) -> Column:
+            return answer(count, F.round(count / 1e9, 2), size_category(count / 1e9), source)
 
-    stated = F.coalesce(*[field(key) for key in fixed.CONFIG_COUNT_FIELDS])
-    hidden, layers, vocab = field("hidden_size"), field("num_hidden_layers"), field("vocab_size")
-    computed = 12 * layers * hidden * hidden + vocab * hidden
-    by_count = rounded(stated).withField("source", F.lit("config"))
-    by_layers = rounded(computed).withField("source", F.lit("calculated"))
-    return F.coalesce(F.when(stated.isNotNull(), by_count), F.when(computed.isNotNull(), by_layers), by_name, nothing)
+        named = k["named"]
+        return (F.when(k["stated"].isNotNull(), counted(k["stated"], "config"))
+                .when(k["computed"].isNotNull(), counted(k["computed"], "calculated"))
+                .when(named["count"].isNotNull(),
+                      answer(named["count"], named["billions"], size_category(named["billions"]), "name_pattern"))
+                .otherwise(answer(F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.lit("unknown"),
+                                  "not_available")))
+
+    return let(known, choose)
 
 
 def batch_class(name: Column, billions: Column | None = None) -> Column:
     """struct<size_class, batch_size> from a known size, else from the name."""
     named = _size_in_name(name, fixed.BATCH_SIZE_PATTERNS)["billions"]
-    size = named if billions is None else F.coalesce(billions, named)
 
     def answer(label: str, batch: int) -> Column:
         return F.struct(F.lit(label).alias("size_class"), F.lit(batch).alias("batch_size"))
 
-    cases = [(size >= bound, answer(label, batch)) for bound, label, batch in fixed.BATCH_CLASSES]
-    cases.append((size.isNotNull(), answer(*fixed.DEFAULT_BATCH_CLASS)))
-    return _first_match(cases, answer(*fixed.UNKNOWN_BATCH_CLASS))
+    def choose(size: Column) -> Column:
+        cases = [(size >= bound, answer(label, batch)) for bound, label, batch in fixed.BATCH_CLASSES]
+        cases.append((size.isNotNull(), answer(*fixed.DEFAULT_BATCH_CLASS)))
+        return _first_match(cases, answer(*fixed.UNKNOWN_BATCH_CLASS))
+
+    return let(named if billions is None else F.coalesce(billions, named), choose)
 
 
 def is_large(name: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillprint.functions import fixed_values as fixed
+from quillprint.functions.binding import let
 
 
 def _zero() -> Column:
@@ -16,12 +17,6 @@ def _sum(vector: Column) -> Column:
     return F.aggregate(vector, _zero(), lambda acc, x: acc + x)
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once per row. Inside the lambda of an array function an expression is
-    computed anew for every element."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _dot(a: Column, b: Column) -> Column:
     return _sum(F.zip_with(a, b, lambda x, y: x * y))
 
