@@ -104,15 +104,19 @@ def read_value_csv(spark: SparkSession, path: str) -> DataFrame:
                     F.lit("unknown").alias("extraction_method")))
 
 
-def read_folder(spark: SparkSession, path: str) -> DataFrame:
-    """Signatures of a folder of single files: CSV ones, then JSON ones. Unreadable files yield nothing."""
-    csv = read_value_csv(spark, f"{path}/*{fixed.SIGNATURE_FILE_SUFFIX}.csv")
-    documents = (spark.read.schema(DOCUMENT_SCHEMA).option("mode", "PERMISSIVE").option("multiLine", True)
+def read_folder_json(spark: SparkSession, path: str) -> DataFrame:
+    """Signatures of the JSON files of a folder; what is no signature document yields nothing."""
+    documents = (spark.read.schema(DOCUMENT_SCHEMA).option("mode", "PERMISSIVE")
                  .json(f"{path}/*{fixed.SIGNATURE_FILE_SUFFIX}.json"))
-    json = documents.where(F.col("signature").isNotNull()).select(
+    return documents.where(F.col("signature").isNotNull()).select(
         F.col("metadata.model_name").alias("model_name"), "signature",
         F.col("metadata.extraction_method").alias("extraction_method"))
-    return csv.unionByName(json)
+
+
+def read_folder(spark: SparkSession, path: str) -> DataFrame:
+    """Signatures of a folder of single files: CSV ones, then JSON ones."""
+    return read_value_csv(spark, f"{path}/*{fixed.SIGNATURE_FILE_SUFFIX}.csv").unionByName(
+        read_folder_json(spark, path))
 
 
 def summaries(signatures: DataFrame, dataset: str, dim: int, reduction: str, seconds: Column | None = None) -> DataFrame:
