@@ -6,8 +6,11 @@ these for results to agree with existing runs and files. Order is meaning wherev
 
 # --- fixed values: text ---------------------------------------------------------------------------------------
 
-# Unicode whitespace, as the body of a character class (Java spelling, then RE2 spelling for SQL engines on RE2).
-WHITESPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Unicode whitespace: the characters, the body of a character class in Java, and in RE2 (for SQL engines on RE2).
+# Java's property test is several times faster than the spelled-out ranges; it lacks the four separators.
+WHITESPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+                    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+WHITESPACE = r"\x1c-\x1f\p{IsWhite_Space}"
 WHITESPACE_RE2 = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 CJK_PUNCTUATION = "，。、；：！？"

@@ -12,13 +12,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillprint.functions import fixed_values as fixed
+from quillprint.functions.binding import let
 
 SPACE = f"[{fixed.WHITESPACE}]"
 WORD = f"[^{fixed.WHITESPACE}]+"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(fixed.WHITESPACE_CHARS))
 
 
 def words(text: Column) -> Column:
@@ -48,21 +49,19 @@ def clean_text(text: Column) -> Column:
 
 
 def alnum_ratio(text: Column) -> Column:
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""))
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]+", ""))
     return letters / F.length(text)
 
 
 def is_valid_probe(text: Column) -> Column:
     """The quality rule for a probe text: long enough, 2 to 100 words, no letter runs, mostly alphanumeric."""
-    run = r"([a-z])\1{%d}" % fixed.PROBE_MAX_LETTER_RUN
-    count = word_count(text)
-    rule = (
+    run = r"(?i)([a-z])\1{%d}" % fixed.PROBE_MAX_LETTER_RUN
+    # cheap tests first: a text that fails one is not looked at again
+    return F.coalesce(
         (F.length(strip(text)) >= fixed.PROBE_MIN_CHARS)
-        & count.between(fixed.PROBE_MIN_WORDS, fixed.PROBE_MAX_WORDS)
-        & ~F.lower(text).rlike(run)
+        & let(word_count(text), lambda n: n.between(fixed.PROBE_MIN_WORDS, fixed.PROBE_MAX_WORDS))
         & (alnum_ratio(text) >= fixed.PROBE_MIN_ALNUM_RATIO)
-    )
-    return F.coalesce(rule, F.lit(False))
+        & ~text.rlike(run), F.lit(False))
 
 
 def is_question(text: Column) -> Column:
@@ -70,7 +69,7 @@ def is_question(text: Column) -> Column:
 
 
 def occurrences(text: Column, char: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, char, ""))
+    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
 
 def complexity(text: Column) -> Column:
@@ -78,9 +77,9 @@ def complexity(text: Column) -> Column:
             + fixed.SEMICOLON_WEIGHT * occurrences(text, ";"))
 
 
-def mentions_domain(text: Column, domain: str) -> Column:
+def mentions_domain(lowered: Column, domain: str) -> Column:
     """Lower-cased text against the keywords as written: a keyword with capitals never matches."""
-    return any_contained(F.lower(text), fixed.DOMAIN_KEYWORDS[domain])
+    return any_contained(lowered, fixed.DOMAIN_KEYWORDS[domain])
 
 
 def meaningful_length(text: Column) -> Column:

@@ -78,10 +78,12 @@ def coverage(probes: DataFrame, metrics: list[str] | None = None, column: str =
     if unknown:
         raise ValueError(f"Unknown coverage metrics: {sorted(unknown)}")
     probe = F.col(column)
-    sized = probes.select(
+    lowered = probes.withColumn("_lowered", F.lower(column)) if "domain_coverage" in metrics else probes.withColumn(
+        "_lowered", F.lit(""))
+    sized = lowered.select(
         *by, fn.word_count(probe).alias("n_words"), fn.is_question(probe).cast("int").alias("question"),
         fn.complexity(probe).alias("complexity"),
-        *[fn.mentions_domain(probe, d).cast("int").alias(f"domain_{d}") for d in fixed.DOMAIN_KEYWORDS])
+        *[fn.mentions_domain(F.col("_lowered"), d).cast("int").alias(f"domain_{d}") for d in fixed.DOMAIN_KEYWORDS])
     mean, std = F.avg("n_words"), F.stddev_pop("n_words")
     columns = {
         "length_diversity": [
