@@ -36,12 +36,13 @@ GRAM_BYTES = 256 * 1024 * 1024
 OK, TOO_FEW, NO_WIDTH, DEGENERATE_MERGE = "ok", "too_few_probes", "zero_width", "degenerate_merge"
 
 
-def moments(embeddings: DataFrame, keys: list[str], width: bool = True) -> DataFrame:
-    """Per model: probe count, first and last position, width, column means and scales.
+def moments(embeddings: DataFrame, keys: list[str]) -> DataFrame:
+    """Per model: probe count, first and last position, width, column means and scales. No width, no row.
 
     The scale is the population standard deviation, 1 for a column that is constant up to rounding.
     """
-    clean = embeddings.select(*keys, "probe_idx", vectors.clean_vector("embedding").alias("v"))
+    filled = embeddings.where(F.size("embedding") > 0)
+    clean = filled.select(*keys, "probe_idx", vectors.clean_vector("embedding").alias("v"))
     summary = Summarizer.metrics("mean", "variance").summary(array_to_vector("v"))
     grouped = clean.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("probe_count"), F.min("probe_idx").alias("first_idx"),
