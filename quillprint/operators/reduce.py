@@ -2,7 +2,8 @@
 
 Input rows are ``(keys..., probe_idx, embedding)``, unique per probe. The steps:
 
-1. moments: one partial aggregate per task and model, so a model with a third of all rows costs nothing extra;
+1. moments: one partial aggregate per task and model, so a model with a third of all rows costs nothing extra. They
+   are written to the shared folder once, because every later step needs some of them;
 2. for ``concat`` only the first ``ceil(dim / k)`` probes of a model can reach the signature, so only those are
    projected; for ``max`` every task reduces its own rows to one vector per model before the shuffle;
 3. ``sum`` and ``mean`` of centred linear projections are zero by construction and are reported as such.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -28,25 +30,29 @@ from pyspark.sql import types as T
 
 from quillprint.config import MERGES, REDUCTIONS
 from quillprint.functions import vectors
+from quillprint.session import settle
 
 PRINCIPAL = ("pca", "svd", "umap")
 DEGENERATE = ("sum", "mean")
 DIRECT_ROWS = 20_000
 GRAM_BYTES = 256 * 1024 * 1024
+BROADCAST_MODELS = 500_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 OK, TOO_FEW, NO_WIDTH, DEGENERATE_MERGE = "ok", "too_few_probes", "zero_width", "degenerate_merge"
 
 
 def moments(embeddings: DataFrame, keys: list[str]) -> DataFrame:
-    """Per model: probe count, first and last position, width, column means and scales. No width, no row.
+    """Per model: probe count, first and last position, width, column means and scales.
 
     The scale is the population standard deviation, 1 for a column that is constant up to rounding.
     """
-    filled = embeddings.where(F.size("embedding") > 0)
-    clean = filled.select(*keys, "probe_idx", vectors.clean_vector("embedding").alias("v"))
+    # a vector without entries stands in as one zero; the width tells
+    filled = F.when(F.size("embedding") > 0, vectors.clean_vector("embedding")).otherwise(F.array(F.lit(0.0)))
+    clean = embeddings.select(*keys, "probe_idx", F.size("embedding").alias("w"), filled.alias("v"))
     summary = Summarizer.metrics("mean", "variance").summary(array_to_vector("v"))
     grouped = clean.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("probe_count"), F.min("probe_idx").alias("first_idx"),
-        F.max("probe_idx").alias("last_idx"), F.max(F.size("v")).alias("width"), summary.alias("s"))
+        F.max("probe_idx").alias("last_idx"), F.greatest(F.max("w"), F.lit(0)).alias("width"), summary.alias("s"))
     n = F.col("probe_count")
     population = F.transform(vector_to_array("s.variance"), lambda x: x * (n - 1) / n)
 
@@ -61,15 +67,45 @@ def moments(embeddings: DataFrame, keys: list[str]) -> DataFrame:
             .select(*keys, "probe_count", "first_idx", "last_idx", "width", "mean", "scale"))
 
 
-def shapes(embeddings: DataFrame, keys: list[str], dim: int) -> DataFrame:
-    """Per model: how many components it gets and whether it can be reduced at all. Reads no vector values."""
-    sized = embeddings.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("probe_count"), F.min("probe_idx").alias("first_idx"),
-        F.max("probe_idx").alias("last_idx"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("width"))
+def _with_shape(sized: DataFrame, dim: int) -> DataFrame:
+    """Adds how many components each model gets and whether it can be reduced at all."""
     k = F.least(F.col("probe_count") - 1, F.col("width").cast("bigint"), F.lit(dim).cast("bigint"))
     status = (F.when(F.col("width") <= 0, NO_WIDTH).when(F.col("probe_count") < 2, TOO_FEW).otherwise(OK))
     return (sized.withColumn("status", status)
-            .withColumn("components", F.when(status == OK, k).otherwise(F.lit(0).cast("bigint"))))
+            .withColumn("components", F.when(F.col("status") == OK, k).otherwise(F.lit(0).cast("bigint"))))
+
+
+def shapes(embeddings: DataFrame, keys: list[str], dim: int) -> DataFrame:
+    """Per model: probe count, width, number of components, and whether it can be reduced at all."""
+    sized = embeddings.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("probe_count"), F.greatest(F.max(F.size("embedding")), F.lit(0)).alias("width"))
+    return _with_shape(sized, dim)
+
+
+@dataclass(frozen=True)
+class ModelTable:
+    """Moments of all models, settled. The slim columns and the vectors are joined separately: the slim ones are
+    broadcast up to a checked number of models, the vectors up to a checked size; beyond that Spark shuffles."""
+
+    table: DataFrame
+    keys: list[str]
+    models: int
+    width: int
+
+    @classmethod
+    def of(cls, embeddings: DataFrame, keys: list[str], dim: int) -> ModelTable:
+        table = settle(_with_shape(moments(embeddings, keys), dim), "moments")
+        size = table.agg(F.count(F.lit(1)).alias("models"), F.coalesce(F.max("width"), F.lit(0)).alias("width")).first()
+        return cls(table, keys, size.models, size.width)
+
+    def slim(self, *columns: str) -> DataFrame:
+        chosen = self.table.where(F.col("status") == OK).select(*self.keys, *columns)
+        return F.broadcast(chosen) if self.models <= BROADCAST_MODELS else chosen
+
+    def vectors(self, *columns: str) -> DataFrame:
+        chosen = self.table.where(F.col("status") == OK).select(*self.keys, *columns, "mean", "scale")
+        small = self.models * max(self.width, 1) * 16 <= BROADCAST_BYTES
+        return F.broadcast(chosen) if small else chosen
 
 
 @lru_cache(maxsize=8)
@@ -92,17 +128,18 @@ def standardize(embeddings: DataFrame, keys: list[str]) -> DataFrame:
                          F.zip_with(centred, F.col("scale"), lambda x, s: x / s).alias("standardized"))
 
 
-def _first_probes(embeddings: DataFrame, plan: DataFrame, keys: list[str], dim: int) -> DataFrame:
+def _first_probes(embeddings: DataFrame, models: ModelTable, dim: int) -> DataFrame:
     """Rows of the first ``ceil(dim / k)`` probes of each model, numbered from 0.
 
     Positions without gaps are cut by value. With gaps the rows are ranked, and the constant bound on the rank lets
     every task drop all but its own first ``dim`` rows of a model before the shuffle.
     """
-    needed = plan.where(F.col("status") == OK).select(
-        *keys, "components", "first_idx", F.ceil(F.lit(dim) / F.col("components")).alias("needed"),
-        (F.col("last_idx") - F.col("first_idx") + 1 == F.col("probe_count")).alias("dense"))
-    candidates = embeddings.join(needed, keys).where(
-        ~F.col("dense") | (F.col("probe_idx") < F.col("first_idx") + F.col("needed")))
+    keys = models.keys
+    needed = models.slim("components", "first_idx", "last_idx", "probe_count")
+    candidates = (embeddings.join(needed, keys)
+                  .withColumn("needed", F.ceil(F.lit(dim) / F.col("components")))
+                  .withColumn("dense", F.col("last_idx") - F.col("first_idx") + 1 == F.col("probe_count"))
+                  .where(~F.col("dense") | (F.col("probe_idx") < F.col("first_idx") + F.col("needed"))))
     order = Window.partitionBy(*keys).orderBy("probe_idx")
     return (candidates.withColumn("rank", F.row_number().over(order))
             .where((F.col("rank") <= dim) & (F.col("rank") <= F.col("needed")))
@@ -192,9 +229,10 @@ def _signed(basis: np.ndarray) -> np.ndarray:
     return basis * signs[:, None]
 
 
-def _direct_basis(embeddings: DataFrame, plan: DataFrame, keys: list[str], limit: int) -> DataFrame:
+def _direct_basis(embeddings: DataFrame, models: ModelTable, limit: int) -> DataFrame:
     """Top components by SVD of the standardized rows of models with at most ``limit`` probes."""
-    small = plan.where((F.col("status") == OK) & (F.col("probe_count") <= limit)).select(*keys, "components")
+    keys = models.keys
+    small = models.slim("components", "probe_count").where(F.col("probe_count") <= limit)
 
     def run(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("probe_idx").to_numpy(), kind="stable")
@@ -212,13 +250,13 @@ def _direct_basis(embeddings: DataFrame, plan: DataFrame, keys: list[str], limit
     return rows.groupBy(*keys).applyInArrow(run, _schema(rows, keys, basis=T.ArrayType(T.DoubleType())))
 
 
-def _gram_basis(embeddings: DataFrame, stats: DataFrame, plan: DataFrame, keys: list[str], limit: int) -> DataFrame:
+def _gram_basis(embeddings: DataFrame, models: ModelTable, limit: int) -> DataFrame:
     """Top components of models with more than ``limit`` probes.
 
     Tasks add up Gram matrices of their own rows; the aggregate adds those, one streaming merge per task and model.
     """
-    large = (plan.where((F.col("status") == OK) & (F.col("probe_count") > limit)).select(*keys, "components")
-             .join(stats.select(*keys, "mean", "scale"), keys))
+    keys = models.keys
+    large = models.vectors("components", "probe_count").where(F.col("probe_count") > limit)
     rows = embeddings.join(large, keys).select(*keys, "embedding", "components", "mean", "scale")
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,42 +308,42 @@ def _gram_basis(embeddings: DataFrame, stats: DataFrame, plan: DataFrame, keys:
     return summed.mapInArrow(decompose, _schema(summed, keys, basis=T.ArrayType(T.DoubleType())))
 
 
-def principal_basis(embeddings: DataFrame, keys: list[str], dim: int, direct_rows: int = DIRECT_ROWS) -> DataFrame:
+def principal_basis(embeddings: DataFrame, models: ModelTable, direct_rows: int = DIRECT_ROWS) -> DataFrame:
     """``(keys, basis)``: the top components of every model, flattened row by row."""
-    plan = shapes(embeddings, keys, dim)
-    direct = _direct_basis(embeddings, plan, keys, direct_rows)
-    return direct.unionByName(_gram_basis(embeddings, moments(embeddings, keys), plan, keys, direct_rows))
+    direct = _direct_basis(embeddings, models, direct_rows)
+    if models.table.where(F.col("probe_count") > direct_rows).isEmpty():
+        return direct
+    return direct.unionByName(_gram_basis(embeddings, models, direct_rows))
 
 
-def _with_moments(rows: DataFrame, embeddings: DataFrame, keys: list[str], reduction: str, dim: int,
+def _with_moments(rows: DataFrame, embeddings: DataFrame, models: ModelTable, reduction: str,
                   direct_rows: int) -> DataFrame:
     """A few rows per model with everything needed to project them."""
-    joined = rows.join(moments(embeddings, keys).select(*keys, "mean", "scale"), keys)
+    joined = rows.join(models.vectors(), models.keys)
     if reduction in PRINCIPAL:
-        joined = joined.join(principal_basis(embeddings, keys, dim, direct_rows), keys)
+        joined = joined.join(principal_basis(embeddings, models, direct_rows), models.keys)
     return joined
 
 
-def _all_projected(embeddings: DataFrame, keys: list[str], reduction: str, dim: int, seed: int, direct_rows: int,
+def _all_projected(embeddings: DataFrame, models: ModelTable, reduction: str, seed: int, direct_rows: int,
                    merge_max: bool) -> DataFrame:
     """Every row projected, or one maximum per batch and model.
 
     A per-model basis is far wider than a row, so it is not copied onto rows: rows meet it in groups of a model's
     rows, and a model with many rows is cut into several groups of about ``direct_rows`` each.
     """
-    plan = shapes(embeddings, keys, dim).where(F.col("status") == OK)
-    stats = moments(embeddings, keys).select(*keys, "mean", "scale")
+    keys = models.keys
     if reduction not in PRINCIPAL:
-        rows = (embeddings.join(plan.select(*keys, "components"), keys)
-                .select(*keys, F.col("probe_idx").alias("rank"), "embedding", "components").join(stats, keys))
+        rows = embeddings.join(models.vectors("components"), keys).select(
+            *keys, F.col("probe_idx").alias("rank"), "embedding", "components", "mean", "scale")
         return _project_max(rows.drop("rank"), keys, seed) if merge_max else project(rows, keys, seed)
 
-    parts = plan.select(*keys, "components", F.ceil(F.col("probe_count") / direct_rows).alias("parts"))
-    part = F.pmod(F.xxhash64("probe_idx"), F.col("parts"))
-    rows = (embeddings.join(parts, keys).withColumn("part", part)
+    parts = F.ceil(F.col("probe_count") / direct_rows)
+    part = F.pmod(F.xxhash64("probe_idx"), parts)
+    rows = (embeddings.join(models.slim("probe_count"), keys).withColumn("part", part)
             .select(*keys, "part", F.col("probe_idx").alias("rank"), "embedding"))
-    bases = (parts.join(stats, keys).join(principal_basis(embeddings, keys, dim, direct_rows), keys)
-             .withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    bases = (models.vectors("components", "probe_count").join(principal_basis(embeddings, models, direct_rows), keys)
+             .withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
              .select(*keys, "part", "components", "mean", "scale", "basis"))
 
     kept = keys if merge_max else [*keys, "rank"]
@@ -331,7 +369,8 @@ def projected_rows(embeddings: DataFrame, dim: int, reduction: str = "random_pro
     """Reduced row of every probe: ``(keys, probe_idx, projected)``."""
     keys = keys or ["model_name"]
     _check(reduction, "concat")
-    return (_all_projected(embeddings, keys, reduction, dim, seed, direct_rows, merge_max=False)
+    models = ModelTable.of(embeddings, keys, dim)
+    return (_all_projected(embeddings, models, reduction, seed, direct_rows, merge_max=False)
             .withColumnRenamed("rank", "probe_idx"))
 
 
@@ -351,22 +390,22 @@ def signatures(embeddings: DataFrame, dim: int, reduction: str = "random_project
     """
     keys = keys or ["model_name"]
     _check(reduction, merge)
-    plan = shapes(embeddings, keys, dim)
     head = [*keys, "probe_count", "width", "components", "status"]
     if merge in DEGENERATE:
         status = F.when(F.col("status") == OK, F.lit(DEGENERATE_MERGE)).otherwise(F.col("status"))
-        return (plan.withColumn("status", status).select(*head)
+        return (shapes(embeddings, keys, dim).withColumn("status", status).select(*head)
                 .withColumn("signature", F.lit(None).cast("array<double>")))
 
+    models = ModelTable.of(embeddings, keys, dim)
     if merge == "concat":
-        rows = _first_probes(embeddings, plan, keys, dim)
-        full = _with_moments(rows, embeddings, keys, reduction, dim, direct_rows)
+        rows = _with_moments(_first_probes(embeddings, models, dim), embeddings, models, reduction, direct_rows)
         ordered = F.array_sort(F.collect_list(F.struct("rank", "projected")))
-        merged = (project(full, keys, seed).groupBy(*keys)
+        merged = (project(rows, keys, seed).groupBy(*keys)
                   .agg(F.flatten(F.transform(ordered, lambda r: r["projected"])).alias("merged")))
     else:
-        merged = (_all_projected(embeddings, keys, reduction, dim, seed, direct_rows, merge_max=True).groupBy(*keys)
+        merged = (_all_projected(embeddings, models, reduction, seed, direct_rows, merge_max=True).groupBy(*keys)
                   .agg(vector_to_array(Summarizer.max(array_to_vector("projected"))).alias("merged")))
 
     final = F.when(F.col("status") == OK, vectors.fit_width(vectors.clean_vector("merged"), dim))
-    return plan.select(*head).join(merged, keys, "left").withColumn("signature", final).select(*head, "signature")
+    return (models.table.select(*head).join(merged, keys, "left").withColumn("signature", final)
+            .select(*head, "signature"))

@@ -11,6 +11,7 @@ from quillprint.config import RunConfig
 from quillprint.functions import text as fn
 from quillprint.functions.encoders import encode_texts
 from quillprint.operators import filters, pooling, reduce
+from quillprint.session import settle
 
 
 @dataclass(frozen=True)
@@ -38,7 +39,9 @@ def from_responses(responses: DataFrame, config: RunConfig, failures: DataFrame
     ``failures`` (``model_name, error``) are models whose generation failed upstream; they become rejects.
     """
     embedded = encode_texts(responses, "response", config.encoder, config.encoder_width, once_per_text)
-    outcome = from_embeddings(embedded.select("model_name", "probe_idx", "embedding"), config)
+    # the encoder runs once, though moments and projection both read its output
+    stored = settle(embedded.select("model_name", "probe_idx", "embedding"), "embeddings")
+    outcome = from_embeddings(stored, config)
     named = outcome.signatures.select(
         "*", F.lit(config.extraction_method).alias("extraction_method"),
         fn.probe_set_id(F.lit(config.dataset), F.col("probe_count")).alias("probe_set_id"))
@@ -88,7 +91,8 @@ def from_token_states(states: DataFrame, pooling_rule: str = "last_token", dim:
     rules = {"last_token": pooling.last_token, "masked_mean": pooling.masked_mean}
     if pooling_rule not in rules:
         raise ValueError(f"Unknown pooling rule: {pooling_rule}. Known: {', '.join(rules)}")
-    return _outcome(reduce.signatures(rules[pooling_rule](states), dim, reduction, merge, seed))
+    pooled = settle(rules[pooling_rule](states), "pooled")
+    return _outcome(reduce.signatures(pooled, dim, reduction, merge, seed))
 
 
 EXTRACTORS = {"responses": from_responses, "embeddings": from_embeddings}

@@ -9,7 +9,7 @@ from quillprint.functions import names
 from quillprint.operators import catalog, filters, models as model_ops
 from quillprint.plans import catalog_job
 from quillprint.plans.registry.inputs import (MODELS_SQL, case_sql, contains_any_sql, models, quoted, r6, table)
-from quillprint.session import scratch_path
+from quillprint.session import scratch_path, settle
 from quillprint.sources import catalogs as catalog_files
 
 QUERIES = {}
@@ -302,8 +302,9 @@ def _list_order(spark, sf):
 
 QUERIES["j7_list_order"] = (_list_order, f"WITH {MODELS_SQL} SELECT ord, model_name, downloads FROM models")
 QUERIES["t5_restore_order"] = (
-    lambda spark, sf: _list_order(spark, sf).where("downloads % 2 = 0").select("ord", "model_name"),
-    f"WITH {MODELS_SQL} SELECT ord, model_name FROM models WHERE downloads % 2 = 0")
+    lambda spark, sf: model_ops.in_list_order(models(spark, sf).orderBy("model_name").select("model_name"),
+                                              models(spark, sf).select("ord", "model_name")).select("ord", "model_name"),
+    f"WITH {MODELS_SQL} SELECT ord, model_name FROM models")
 _ALIAS_ID = "split_part('syn,squad,cqa,hs,wg,arc,mmlu,embed,mix,rand,rand_chinese,custom', ',', CAST(ord % 12 + 1 AS INT))"
 QUERIES["j8_dataset_alias"] = (
     lambda spark, sf: models(spark, sf).select("ord", _dataset_name(F.expr(_ALIAS_ID)).alias("dataset")),
@@ -403,10 +404,11 @@ QUERIES["u3_existing_and_new"] = (
 def _catalog_file(spark, sf):
     """A catalog with repeated names, written as documents and read back."""
     path = scratch_path(spark, "catalog")
-    entries = catalog.classify(models(spark, sf))
+    entries = settle(catalog.classify(models(spark, sf)), "entries")
     twice = entries.withColumn("pos", F.lit(0)).unionByName(entries.where("organization = 'Google'").withColumn(
         "organization", F.lit("Second")).withColumn("pos", F.lit(1)))
-    block = F.pmod(F.xxhash64("model_name"), F.lit(8).cast("bigint"))
+    # documents of about 500 models
+    block = F.floor(F.regexp_extract("model_name", r"-v(\d+)$", 1).cast("bigint") / 500)
     fields = [c for c in entries.columns]
     documents = twice.groupBy(block.alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct(
         "pos", "model_name", F.struct(*fields).alias("m")))), lambda x: x["m"]).alias("models"))

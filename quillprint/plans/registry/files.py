@@ -14,6 +14,11 @@ from quillprint.sources import datasets, lines, results, signature_files as sf_i
 QUERIES = {}
 
 
+def _in_order(df, order):
+    """Ranges of rows in order: the written part files, taken by name, hold the rows in order."""
+    return df.repartitionByRange(order).sortWithinPartitions(order)
+
+
 def _model_list(raw_comments):
     def run(spark, sf):
         path = scratch_path(spark, "models")
@@ -21,7 +26,7 @@ def _model_list(raw_comments):
         line = (F.when(F.col("ord") % 10 == 3, F.lit("# a comment")).when(F.col("ord") % 10 == 4, F.lit(" \t"))
                 .when(F.col("ord") % 10 == 5, F.lit("  # indented")).otherwise(
             F.concat(F.lit(" "), F.col("model_name"), F.lit("\t"))))
-        m.select("ord", line.alias("value")).coalesce(1).sortWithinPartitions("ord").select("value").write.text(path)
+        _in_order(m.select("ord", line.alias("value")), "ord").select("value").write.text(path)
         return lines.require_models(lines.read_model_list(spark, path, raw_comments), path)
     return run
 
@@ -35,8 +40,8 @@ QUERIES["s1_model_list_raw_comments"] = (_model_list(True), f"""
 
 def _chosen_models(spark, sf):
     path = scratch_path(spark, "models")
-    models(spark, sf).select("ord", F.col("model_name").alias("value")).coalesce(1).sortWithinPartitions(
-        "ord").select("value").write.text(path)
+    listed = models(spark, sf).select("ord", F.col("model_name").alias("value"))
+    _in_order(listed, "ord").select("value").write.text(path)
     return lines.choose_models(spark, models_file=path, max_models=500).select("ord", "model_name")
 
 
@@ -53,8 +58,8 @@ def _prompt_csv(spark, sf):
     path = scratch_path(spark, "prompts")
     rows = table(spark, sf, "documents").select(
         "doc_id", F.when(F.col("doc_id") % 9 != 0, F.col("text")).alias("question"), F.lit("x").alias("other"))
-    (rows.coalesce(1).sortWithinPartitions("doc_id").drop("doc_id").write.option("header", True)
-     .option("escape", '"').option("quoteAll", True).csv(path))
+    (_in_order(rows, "doc_id").drop("doc_id").write.option("header", True).option("escape", '"')
+     .option("quoteAll", True).csv(path))
     return datasets.read_prompt_csv(spark, path).select(
         "probe_idx", F.md5(F.col("text").cast("binary")).alias("text"))
 

@@ -183,14 +183,14 @@ QUERIES["s6_probe_cache"] = (_cache_round_trip, """
 def _set_round_trip(spark, sf):
     path = scratch_path(spark, "sets")
     sets = table(spark, sf, "documents").select(
-        F.concat(F.lit("set-"), (F.col("doc_id") % 50).cast("string")).alias("set_id"), F.col("doc_id")
-        .alias("probe_idx"), "text")
-    probe_cache.write_probe_sets(probe_cache.probe_set_documents(sets, "documents", "mixed"), path)
+        F.concat(F.lit("set-"), (F.col("doc_id") % 50).cast("string")).alias("set_id"),
+        F.floor(F.col("doc_id") / 50).alias("probe_idx"), "text")
+    # eight texts to a document, so that sets are cut
+    probe_cache.write_probe_sets(probe_cache.probe_set_documents(sets, "documents", "mixed", 8), path)
     return probe_cache.read_probe_sets(spark, path).select(
         "set_id", F.col("probe_idx").cast("bigint").alias("probe_idx"), F.md5(F.col("text").cast("binary"))
         .alias("text"))
 
 
 QUERIES["s15_probe_sets"] = (_set_round_trip, """
-    SELECT 'set-' || (doc_id % 50) AS set_id, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) - 1
-           AS probe_idx, md5(text) AS text FROM documents""")
+    SELECT 'set-' || (doc_id % 50) AS set_id, doc_id // 50 AS probe_idx, md5(text) AS text FROM documents""")

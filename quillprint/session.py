@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "quillprint", master: str | None = None, shuffle_partitions: int | None = None,
@@ -51,6 +51,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/quillprint/{label}-{uuid.uuid4().hex}"
 
 
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back.
+
+    For results that several later steps use: they are computed once, survive lost executors, and their real size is
+    known when joins are planned.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists, on whatever file system it names."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)

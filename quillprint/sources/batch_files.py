@@ -102,4 +102,4 @@ def read_output(spark: SparkSession, path: str) -> DataFrame:
     """Output lines with the model from the folder: ``model_name, line_no, value``."""
     lines = read_lines(spark, path)
     model = F.url_decode(F.regexp_extract("file", r"model_name=([^/]+)", 1))
-    return lines.select(model.alias("model_name"), F.struct("file", "line_no").alias("line_no"), "value")
+    return lines.select(model.alias("model_name"), "line_no", "value")

@@ -10,11 +10,12 @@ from quillprint.operators.ordering import number_blocks
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, line_no, value`` of text files. Lines are numbered per file split, so a large file stays split."""
+    """``file, line_no, value`` of text files, numbered through in file name order. A task numbers one file split, so
+    a large file stays split."""
     raw = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_row"))
-    return number_blocks(raw, ["_start"], ["_row"], "line_no", group=["file"]).select("file", "line_no", "value")
+    return number_blocks(raw, ["file", "_start"], ["_row"], "line_no").select("file", "line_no", "value")
 
 
 def read_model_list(spark: SparkSession, path: str, raw_comments: bool = False) -> DataFrame:

@@ -9,7 +9,8 @@ from quillprint.session import path_exists
 
 CACHE_SCHEMA = "probe_idx bigint, text string, dataset_id string, max_samples int, random_seed int"
 SET_SCHEMA = ("probes array<string>, set_id string, description string, domain string, creation_time string, "
-              "metadata map<string,string>")
+              "metadata map<string,string>, offset bigint")
+DOCUMENT_TEXTS = 50_000
 
 
 def read_probe_cache(spark: SparkSession, path: str) -> DataFrame:
@@ -36,13 +37,17 @@ def save_probes(probes: DataFrame, path: str, dataset: str, n: int, seed: int) -
     return True
 
 
-def probe_set_documents(probes: DataFrame, description: str, domain: str) -> DataFrame:
-    """Probe sets as JSON text: ``set_id, document``. A set is read as a whole, so it is one document."""
+def probe_set_documents(probes: DataFrame, description: str, domain: str,
+                        texts_per_document: int = DOCUMENT_TEXTS) -> DataFrame:
+    """Probe sets as JSON text: ``set_id, document``. A set of more than ``texts_per_document`` texts is cut into
+    several documents, each with the position of its first text."""
+    block = F.floor(F.col("probe_idx") / texts_per_document)
     texts = F.transform(F.array_sort(F.collect_list(F.struct("probe_idx", "text"))), lambda r: r["text"])
-    sets = probes.groupBy("set_id").agg(texts.alias("probes"))
+    sets = probes.groupBy("set_id", block.alias("block")).agg(
+        texts.alias("probes"), F.min("probe_idx").cast("bigint").alias("offset"))
     document = F.to_json(F.struct(
         "probes", "set_id", F.lit(description).alias("description"), F.lit(domain).alias("domain"),
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("creation_time"),
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("creation_time"), "offset",
         F.create_map(F.lit("size"), F.size("probes").cast("string")).alias("metadata")))
     return sets.select("set_id", document.alias("document"))
 
@@ -54,4 +59,6 @@ def write_probe_sets(documents: DataFrame, path: str) -> None:
 def read_probe_sets(spark: SparkSession, path: str) -> DataFrame:
     """``set_id, probe_idx, text`` of saved probe sets."""
     parsed = spark.read.text(path).select(F.from_json("value", SET_SCHEMA).alias("s"))
-    return parsed.select("s.set_id", F.posexplode("s.probes").alias("probe_idx", "text"))
+    rows = parsed.select("s.set_id", "s.offset", F.posexplode("s.probes").alias("_pos", "text"))
+    first = F.coalesce("offset", F.lit(0).cast("bigint"))
+    return rows.select("set_id", (first + F.col("_pos")).alias("probe_idx"), "text")
