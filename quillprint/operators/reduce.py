@@ -158,29 +158,43 @@ def _finite(matrix: np.ndarray) -> np.ndarray:
     return np.nan_to_num(matrix, nan=0.0, posinf=0.0, neginf=0.0)
 
 
-def _projected_batch(batch: pa.Table, seed: int) -> list[np.ndarray]:
-    """Projected rows of one batch, in order. Rows are handled together per (width, components)."""
-    components = batch.column("components").to_numpy()
-    widths = np.diff(batch.column("embedding").combine_chunks().offsets.to_numpy())
-    has_basis = "basis" in batch.schema.names
-    out: list[np.ndarray | None] = [None] * batch.num_rows
-    for width, k in {(int(w), int(c)) for w, c in zip(widths, components)}:
+def _group_codes(table: pa.Table, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """First row of each model in a batch, and the number of the model of every row."""
+    codes = np.zeros(table.num_rows, dtype=np.int64)
+    for key in keys:
+        column = table.column(key).combine_chunks().dictionary_encode()
+        codes = codes * (len(column.dictionary) + 1) + column.indices.fill_null(len(column.dictionary)).to_numpy()
+    _, first, inverse = np.unique(codes, return_index=True, return_inverse=True)
+    return first, inverse
+
+
+def _projected_parts(table: pa.Table, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and projected rows of one batch, one part for each (width, components) that occurs."""
+    components = table.column("components").to_numpy()
+    widths = np.diff(table.column("embedding").combine_chunks().offsets.to_numpy())
+    has_basis = "basis" in table.schema.names
+    for width, k in sorted({(int(w), int(c)) for w, c in zip(widths, components)}):
         rows = np.flatnonzero((widths == width) & (components == k))
-        part = batch.take(pa.array(rows))
+        part = table if len(rows) == table.num_rows else table.take(pa.array(rows))
         z = (_finite(_matrix(part.column("embedding"))) - _matrix(part.column("mean"))) / _matrix(part.column("scale"))
         if has_basis:
             basis = _matrix(part.column("basis")).reshape(len(rows), k, width)
-            values = np.einsum("nkd,nd->nk", basis, z)
+            yield rows, np.einsum("nkd,nd->nk", basis, z)
         else:
-            values = z @ projection_matrix(k, width, seed).T
-        for row, value in zip(rows, values):
-            out[row] = value
-    return out
+            yield rows, z @ projection_matrix(k, width, seed).T
 
 
-def _list_array(rows: list[np.ndarray]) -> pa.Array:
+def _list_array(rows: list[np.ndarray] | np.ndarray) -> pa.Array:
+    """Rows of any length as a list column."""
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0)))
+    flat = np.concatenate(list(rows)) if len(rows) else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+
+def _matrix_array(matrix: np.ndarray) -> pa.Array:
+    """The rows of a matrix as a list column."""
+    offsets = np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel()))
 
 
 def _schema(df: DataFrame, columns: list[str], **extra: T.DataType) -> T.StructType:
@@ -192,11 +206,10 @@ def project(rows: DataFrame, keys: list[str], seed: int) -> DataFrame:
     """``(keys, rank, embedding, components, mean, scale[, basis])`` to ``(keys, rank, projected)``. Narrow."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
             table = pa.Table.from_batches([batch])
-            kept = table.select([*keys, "rank"])
-            yield from kept.append_column("projected", _list_array(_projected_batch(table, seed))).to_batches()
+            for place, values in _projected_parts(table, seed):
+                kept = table.select([*keys, "rank"]).take(pa.array(place))
+                yield from kept.append_column("projected", _matrix_array(values)).to_batches()
 
     schema = _schema(rows, [*keys, "rank"], projected=T.ArrayType(T.DoubleType()))
     return rows.mapInArrow(run, schema)
@@ -206,17 +219,14 @@ def _project_max(rows: DataFrame, keys: list[str], seed: int) -> DataFrame:
     """Like :func:`project`, but every batch yields one component-wise maximum per model."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
             table = pa.Table.from_batches([batch])
-            best: dict[tuple, np.ndarray] = {}
-            first: dict[tuple, int] = {}
-            names = list(zip(*[table.column(k).to_pylist() for k in keys]))
-            for i, (name, value) in enumerate(zip(names, _projected_batch(table, seed))):
-                first.setdefault(name, i)
-                best[name] = value if name not in best else np.maximum(best[name], value)
-            kept = table.select(keys).take(pa.array(list(first.values())))
-            yield from kept.append_column("projected", _list_array(list(best.values()))).to_batches()
+            for place, values in _projected_parts(table, seed):
+                part = table.select(keys).take(pa.array(place))
+                first, codes = _group_codes(part, keys)
+                order = np.argsort(codes, kind="stable")
+                starts = np.searchsorted(codes[order], np.arange(len(first)))
+                best = np.maximum.reduceat(values[order], starts, axis=0)
+                yield from part.take(pa.array(first)).append_column("projected", _matrix_array(best)).to_batches()
 
     return rows.mapInArrow(run, _schema(rows, keys, projected=T.ArrayType(T.DoubleType())))
 
@@ -274,17 +284,18 @@ def _gram_basis(embeddings: DataFrame, models: ModelTable, limit: int) -> DataFr
             if batch.num_rows == 0:
                 continue
             table = pa.Table.from_batches([batch])
-            names = list(zip(*[table.column(k).to_pylist() for k in keys]))
-            for name in dict.fromkeys(names):
-                part = table.take(pa.array([i for i, other in enumerate(names) if other == name]))
+            first, codes = _group_codes(table, keys)
+            for code, row in enumerate(first):
+                part = table.take(pa.array(np.flatnonzero(codes == code)))
                 z = (_finite(_matrix(part.column("embedding"))) - _matrix(part.column("mean"))) \
                     / _matrix(part.column("scale"))
-                gram = z.T @ z
+                sample = table.select([*keys, "components"]).slice(row, 1)
+                name = tuple(sample.column(k)[0].as_py() for k in keys)
                 if name in held:
-                    held[name] += gram
+                    held[name] += z.T @ z
                 else:
-                    held[name] = gram
-                    samples[name] = part.select([*keys, "components"]).slice(0, 1)
+                    held[name] = z.T @ z
+                    samples[name] = sample
                 if sum(g.nbytes for g in held.values()) > GRAM_BYTES:
                     yield from flush()
         yield from flush()
@@ -358,7 +369,7 @@ def _all_projected(embeddings: DataFrame, models: ModelTable, reduction: str, se
         values = ((_finite(_matrix(left.column("embedding"))) - mean) / scale) @ basis.T
         if merge_max:
             return left.select(kept).slice(0, 1).append_column("projected", _list_array([values.max(axis=0)]))
-        return left.select(kept).append_column("projected", _list_array(list(values)))
+        return left.select(kept).append_column("projected", _matrix_array(values))
 
     grouped = rows.unionByName(bases, allowMissingColumns=True).groupBy(*keys, "part")
     return grouped.applyInArrow(run, _schema(rows, kept, projected=T.ArrayType(T.DoubleType())))
