@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillprint.session import ship_package
+
 Encode = Callable[[list[str]], np.ndarray]
 ENCODER_BATCH = 32
 _FACTORIES: dict[str, Callable[[int], Encode]] = {}
@@ -69,6 +71,7 @@ def encoder_udf(name: str, width: int):
 def encode_texts(df: DataFrame, column: str, encoder: str = "hashed_words", width: int = 64,
                  once_per_text: bool = False) -> DataFrame:
     """Adds ``embedding``. ``once_per_text`` encodes equal texts once, which pays when the encoder is expensive."""
+    ship_package(df.sparkSession)
     encode = encoder_udf(encoder, width)
     if not once_per_text:
         return df.withColumn("embedding", encode(F.coalesce(F.col(column), F.lit(""))))

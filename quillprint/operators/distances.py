@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillprint.functions import vectors
+from quillprint.session import ship_package
 
 BLOCK_ROWS = 256
 
@@ -59,6 +60,7 @@ def all_pairs(signatures: DataFrame, metric: str = "euclidean", block_rows: int
     """
     if metric not in ONE_TO_MANY:
         raise ValueError(f"Unknown distance metric: {metric}. Known: {', '.join(ONE_TO_MANY)}")
+    ship_package(signatures.sparkSession)
     compare = ONE_TO_MANY[metric]
     blocked = signatures.select(
         F.col(order).cast("bigint").alias("ord"), F.col(key).alias("name"),

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from quillprint.config import MERGES, REDUCTIONS
 from quillprint.functions import vectors
-from quillprint.session import settle
+from quillprint.session import settle, ship_package
 
 PRINCIPAL = ("pca", "svd", "umap")
 DEGENERATE = ("sum", "mean")
@@ -94,6 +94,7 @@ class ModelTable:
 
     @classmethod
     def of(cls, embeddings: DataFrame, keys: list[str], dim: int) -> ModelTable:
+        ship_package(embeddings.sparkSession)
         table = settle(_with_shape(moments(embeddings, keys), dim), "moments")
         size = table.agg(F.count(F.lit(1)).alias("models"), F.coalesce(F.max("width"), F.lit(0)).alias("width")).first()
         return cls(table, keys, size.models, size.width)

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from quillprint.functions import fixed_values as fixed
 from quillprint.functions.text import has_text
+from quillprint.session import ship_package
 
 PACK_BLOCK = 65_536
 
@@ -138,6 +139,7 @@ def pack_requests(requests: DataFrame, max_requests: int = fixed.BATCH_MAX_REQUE
     entry, the summaries of a model are followed from block to block, and the blocks then number their packs.
     A request at or above the byte limit fails the job.
     """
+    ship_package(requests.sparkSession)
     block_rows = max(block_rows, max_requests)
     message = F.concat(F.lit("Single prompt payload exceeds the batch limit, position "),
                        F.col(position).cast("string"))

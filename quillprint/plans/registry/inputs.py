@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillprint.functions import fixed_values as fixed
 from quillprint.operators.reduce import gaussian_rows
+from quillprint.session import read_spread
 
 W = fixed.WHITESPACE_RE2
 
@@ -15,6 +16,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def heavy_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table whose rows are costly to process."""
+    return read_spread(spark, f"{sf}/{name}.parquet")
+
+
 def r6(column: Column | str) -> Column:
     """Six digits, and no negative zero."""
     return F.round(F.col(column) if isinstance(column, str) else column, 6) + F.lit(0.0)
@@ -154,7 +160,7 @@ CONFIG_EXPR = """CASE p_partkey % 6
 
 
 def models(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select(
+    return heavy_table(spark, sf, "part").select(
         F.col("p_partkey").alias("ord"), F.expr(NAME_EXPR).alias("model_name"), F.expr(CONFIG_EXPR).alias("config"),
         (F.col("p_partkey") % 4 == 0).alias("has_tokenizer_template"), (F.col("p_size") % 5 == 0).alias("is_gated"),
         F.floor("p_retailprice").alias("downloads"), "p_size", "p_type", "p_brand")
@@ -178,7 +184,7 @@ def probes(spark: SparkSession, sf: str) -> DataFrame:
 def vocabulary(spark: SparkSession, sf: str, classes: list[str]) -> DataFrame:
     """Words of the documents, dealt out to word classes by their hash."""
     from quillprint.operators.textstats import vocabulary as distinct_words
-    words = distinct_words(table(spark, sf, "documents"))
+    words = distinct_words(heavy_table(spark, sf, "documents"))
     names = F.array(*[F.lit(c) for c in classes])
     place = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(len(classes)).cast("bigint")) + 1
     return words.select(F.element_at(names, place.cast("int")).alias("word_class"), "word")

@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 from quillprint.functions import fixed_values as fixed
 from quillprint.functions import text as fn
 from quillprint.operators import filters, ordering, probes as probe_ops, textstats
-from quillprint.plans.registry.inputs import (MODELS_SQL, case_sql, contains_any_sql, models, probes, quoted, r6,
-                                              strip_sql, table, word_count_sql, words_sql, W)
+from quillprint.plans.registry.inputs import (MODELS_SQL, case_sql, contains_any_sql, heavy_table, models, probes, quoted,
+                                              r6, strip_sql, word_count_sql, words_sql, W)
 
 QUERIES = {}
 DOCS = "documents"
 
 
 def _docs(spark, sf):
-    return table(spark, sf, DOCS)
+    return heavy_table(spark, sf, DOCS)
 
 
 def _rounded(df, names):

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SPREAD_BYTES = 128 * 1024 * 1024
+
 
 def build_session(app: str = "quillprint", master: str | None = None, shuffle_partitions: int | None = None,
                   **conf: str) -> SparkSession:
@@ -35,6 +38,22 @@ def build_session(app: str = "quillprint", master: str | None = None, shuffle_pa
     return builder.getOrCreate()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per application, wherever the job was started from."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="quillprint-package-")
+    archive = shutil.make_archive(os.path.join(folder, "quillprint"), "zip", os.path.dirname(package),
+                                  os.path.basename(package))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -66,3 +85,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists, on whatever file system it names."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+
+
+def path_bytes(spark: SparkSession, path: str) -> int:
+    """Size of everything below a path."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(hadoop_path).getLength()
+
+
+def read_spread(spark: SparkSession, path: str, below: int = SPREAD_BYTES) -> DataFrame:
+    """A Parquet table for work that is heavy per row. One of less than ``below`` bytes may be a single row group,
+    which one core would read alone, so its rows are dealt out to all cores; a larger one is read as it lies."""
+    table = spark.read.parquet(path)
+    if path_bytes(spark, path) >= below:
+        return table
+    return table.repartition(spark.sparkContext.defaultParallelism)
