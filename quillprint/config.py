@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from quillprint.functions.fixed_values import EXTRACTION_METHOD_PREFIX
+
 REDUCTIONS = ("random_projection", "pca", "svd", "umap")
 MERGES = ("concat", "max", "sum", "mean")
 
@@ -40,4 +42,4 @@ class RunConfig:
 
     @property
     def extraction_method(self) -> str:
-        return f"text_response_embeddings_{self.reduction}_{self.merge}"
+        return f"{EXTRACTION_METHOD_PREFIX}{self.reduction}_{self.merge}"

@@ -165,6 +165,16 @@ STREAM_BATCH = 1000
 
 # --- fixed values: files --------------------------------------------------------------------------------------
 
+MODEL_LIST_STEM = "llm_list"
+CATALOG_STEM = "llm_metadata"
+CATALOG_MARK = "metadata"
+# ending of a list file's stem, ending of its catalog file's stem; the first that fits
+LIST_ENDINGS = [("_list", "_metadata"), ("-list", "-metadata"), ("list", "metadata")]
+EXTRACTION_METHOD_PREFIX = "text_response_embeddings_"
+NORMALIZED_MARK = "_normalized_"
+RESPONSES_FILE = "responses.json"
+PROBE_CACHE_PREFIX = "dataset_"
+
 SIGNATURE_VALUE_COLUMN = "dna_value"
 SIGNATURE_COLUMN_PREFIX = "dna_"
 SIGNATURE_FILE_SUFFIX = "_dna"

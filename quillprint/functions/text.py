@@ -113,12 +113,12 @@ def signature_file(root: str, dataset: Column, name: Column) -> Column:
 
 
 def response_file(root: str, dataset: Column, name: Column) -> Column:
-    return F.concat_ws("/", F.lit(root), dataset_key(dataset), model_key(name), F.lit("responses.json"))
+    return F.concat_ws("/", F.lit(root), dataset_key(dataset), model_key(name), F.lit(fixed.RESPONSES_FILE))
 
 
 def probe_cache_key(dataset: Column, count: Column, seed: Column) -> Column:
     safe = F.regexp_replace(strip(dataset), "[^A-Za-z0-9_-]+", "_")
-    return F.concat(F.lit("dataset_"), safe, F.lit("_n"), count.cast("string"), F.lit("_seed"), seed.cast("string"))
+    return F.concat(F.lit(fixed.PROBE_CACHE_PREFIX), safe, F.lit("_n"), count.cast("string"), F.lit("_seed"), seed.cast("string"))
 
 
 def probe_set_id(dataset: Column, count: Column) -> Column:
@@ -126,22 +126,24 @@ def probe_set_id(dataset: Column, count: Column) -> Column:
 
 
 def extraction_method(reduction: Column, merge: Column) -> Column:
-    return F.concat(F.lit("text_response_embeddings_"), reduction, F.lit("_"), merge)
+    return F.concat(F.lit(fixed.EXTRACTION_METHOD_PREFIX), reduction, F.lit("_"), merge)
 
 
 def normalized_method(method: Column, normalization: str) -> Column:
-    return F.concat(method, F.lit(f"_normalized_{normalization}"))
+    return F.concat(method, F.lit(f"{fixed.NORMALIZED_MARK}{normalization}"))
 
 
 def catalog_file_stem(stem: Column) -> Column:
     """Name of the catalog file that belongs to a model-list file, both without extension."""
     lowered = F.lower(stem)
-    chosen = F.when(F.contains(lowered, F.lit("llm_list")), F.regexp_replace(stem, "(?i)llm_list", "llm_metadata"))
-    for ending, replacement in (("_list", "_metadata"), ("-list", "-metadata"), ("list", "metadata")):
+    chosen = F.when(F.contains(lowered, F.lit(fixed.MODEL_LIST_STEM)),
+                    F.regexp_replace(stem, f"(?i){fixed.MODEL_LIST_STEM}", fixed.CATALOG_STEM))
+    for ending, replacement in fixed.LIST_ENDINGS:
         kept = F.substring(stem, F.lit(1), F.length(stem) - len(ending))
         chosen = chosen.when(F.endswith(lowered, F.lit(ending)), F.concat(kept, F.lit(replacement)))
-    plain = (stem != "") & ~F.contains(lowered, F.lit("metadata"))
-    return chosen.when(plain, F.concat(stem, F.lit("_metadata"))).otherwise(F.lit("llm_metadata"))
+    plain = (stem != "") & ~F.contains(lowered, F.lit(fixed.CATALOG_MARK))
+    return (chosen.when(plain, F.concat(stem, F.lit(f"_{fixed.CATALOG_MARK}")))
+            .otherwise(F.lit(fixed.CATALOG_STEM)))
 
 
 def third_person(verb: Column) -> Column:

@@ -54,7 +54,7 @@ def all_pairs(signatures: DataFrame, metric: str = "euclidean", block_rows: int
               key: str = "model_name", order: str = "ord") -> DataFrame:
     """Distance of every pair with ``i < j``: ``i, j, name_i, name_j, distance``.
 
-    The result itself has n(n-1)/2 rows. Signatures go into blocks of ``block_rows`` neighbouring positions and every
+    Positions are dense from 0. The result itself has n(n-1)/2 rows. Signatures go into blocks of ``block_rows`` neighbouring positions and every
     pair of blocks is one group, met through an equality join on the block pair, so each group has at most
     ``2 * block_rows`` signatures whatever n is, and results leave a task in batches.
     """

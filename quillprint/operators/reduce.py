@@ -398,7 +398,7 @@ def signatures(embeddings: DataFrame, dim: int, reduction: str = "random_project
     """One row per model: ``keys, probe_count, width, components, status, signature``.
 
     ``status`` is ``ok``, or says why there is no signature (null): too few probes, no width, or a degenerate merge.
-    ``umap`` means its fallback, principal components.
+    ``umap`` means its fallback, principal components. The moments are computed at once, the rest when asked for.
     """
     keys = keys or ["model_name"]
     _check(reduction, merge)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillprint.config import RunConfig
-from quillprint.functions.encoders import encode_texts
+from quillprint.functions.encoders import encode_texts, register_encoder
 from quillprint.operators import pooling, reduce
 from quillprint.plans import fingerprint
 from quillprint.plans.registry.inputs import (EMBEDDINGS_SQL, TURNS_SQL, concat_sql, embeddings,
-                                              long_signature, r6, reduced_sql, table, turns, words_sql)
+                                              long_signature, r6, reduced_sql, table, turns, word_count_sql, words_sql)
 
 QUERIES = {}
 WIDTH = 64
@@ -288,3 +288,38 @@ QUERIES["j5_token_embeddings"] = (_lookup, """
     SELECT text_id, count(*) AS tokens, CAST(max(pos) AS BIGINT) AS last_pos,
            round(sum(CAST(embedding[1] AS DOUBLE) * (pos + 1)), 6) + 0.0 AS weighted
     FROM toks JOIN embeddings ON vec_id = token_id GROUP BY text_id""")
+
+# --- choices by name ---
+
+
+def _text_profile(width):
+    """An encoder of plain figures: characters, words, lines."""
+    import numpy as np
+    return lambda texts: np.array([[len(t), len(t.split()), t.count("\n")][:width] for t in texts], dtype=float)
+
+
+def _own_encoder(spark, sf):
+    register_encoder("text_profile", _text_profile)
+    encoded = encode_texts(table(spark, sf, "documents"), "text", "text_profile", 3)
+    return encoded.select("doc_id", *[F.col("embedding")[i].cast("bigint").alias(n)
+                                      for i, n in enumerate(("chars", "words", "line_breaks"))])
+
+
+QUERIES["x2_encoder_by_name"] = (_own_encoder, f"""
+    SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, CAST({word_count_sql('text')} AS BIGINT) AS words,
+           CAST(length(text) - length(replace(text, chr(10), '')) AS BIGINT) AS line_breaks FROM documents""")
+
+
+def _own_extractor(spark, sf):
+    def widest(df, config):
+        return fingerprint.from_embeddings(df, config, ["model_name"])
+
+    fingerprint.register_extractor("widest", widest)
+    made = [fingerprint.extract(kind, embeddings(spark, sf), RunConfig(dim=16)).signatures.select(
+        F.lit(kind).alias("kind"), "*") for kind in ("embeddings", "widest")]
+    return _filled(made[0].unionByName(made[1]), "kind", "model_name")
+
+
+QUERIES["x1_extractor_by_name"] = (_own_extractor, f"""
+    WITH {EMBEDDINGS_SQL}, {reduced_sql('emb', 'model_name', 16, WIDTH)}
+    SELECT kind, s.* FROM ({concat_sql('model_name', 16)}) s, (SELECT unnest(['embeddings', 'widest']) AS kind)""")

@@ -290,3 +290,14 @@ QUERIES["s5_incremental_progress"] = (
     lambda spark, sf: ops.progress_steps(turns(spark, sf), 2).select("model_name", "probe_idx", "count", "complete"),
     f"""WITH {TURNS_SQL} SELECT model_name, probe_idx, row_number() OVER (PARTITION BY model_name ORDER BY probe_idx)
         AS count, row_number() OVER (PARTITION BY model_name ORDER BY probe_idx) >= 2 AS complete FROM turns""")
+
+
+def _stamps(spark, sf):
+    documents = response_cache.response_documents(turns(spark, sf))
+    stamp = F.get_json_object("document", "$.generated_at")
+    return documents.select("model_name", stamp.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}$").alias("is_iso"),
+                            F.get_json_object("document", "$.count").cast("bigint").alias("count"))
+
+
+QUERIES["d1_iso_timestamps"] = (_stamps, f"""
+    WITH {TURNS_SQL} SELECT model_name, true AS is_iso, count(*) AS count FROM turns GROUP BY model_name""")

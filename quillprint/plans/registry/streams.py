@@ -75,3 +75,21 @@ def _progress(spark, sf):
 QUERIES["w4_stream_progress"] = (_progress, f"""
     WITH {TURNS_SQL} SELECT 'conv-' || conv_id AS model_name, count(*) AS count, count(*) >= 2 AS complete
     FROM conversations WHERE role = 'assistant' GROUP BY conv_id""")
+
+
+def _callback(spark, sf):
+    """A handler that gets every micro-batch of responses and keeps its lengths."""
+    path = scratch_path(spark, "stream")
+    schema = table(spark, sf, "conversations").schema
+    answers = spark.readStream.schema(schema).parquet(f"{sf}/conversations.parque[t]").where("role = 'assistant'")
+
+    def keep(batch, batch_id):
+        batch.select("conv_id", "turn", F.length("text").cast("bigint").alias("chars")).write.mode(
+            "overwrite").parquet(f"{path}/out/batch={batch_id}")
+
+    _finished(st.each_response(answers, keep, f"{path}/checkpoint"))
+    return spark.read.parquet(f"{path}/out").select("conv_id", "turn", "chars")
+
+
+QUERIES["x3_response_callback"] = (_callback, """
+    SELECT conv_id, turn, CAST(length(text) AS BIGINT) AS chars FROM conversations WHERE role = 'assistant'""")

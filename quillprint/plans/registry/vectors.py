@@ -199,3 +199,31 @@ QUERIES["f12_valid_tokens"] = (
         ids AS (SELECT ord, list_filter(list_transform(s, lambda x: CAST(floor(x * 1000) AS BIGINT)),
                                         lambda t: t >= 0 AND t < 200 AND t <> 7) AS t FROM sig)
         SELECT ord, CAST(i - 1 AS BIGINT) AS pos, t[i] AS token_id FROM ids, range(1, len(t) + 1) u(i)""")
+
+
+def _by_name(spark, sf):
+    """Every normalization followed by every distance to the signature before."""
+    pairs = _neighbours(spark, sf)
+    parts = []
+    for method in fn.NORMALIZATIONS:
+        both = pairs.select("ord", fn.normalize(F.col("signature"), method).alias("a"),
+                            fn.normalize(F.col("other"), method).alias("b"))
+        parts.append(both.select(F.lit(method).alias("method"), "ord", *[
+            r6(fn.distance(F.col("a"), F.col("b"), m)).alias(m) for m in ("euclidean", "manhattan")]))
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    return union
+
+
+QUERIES["x4_choices_by_name"] = (_by_name, f"""
+    WITH {SIGNATURES_SQL},
+    scaled AS (SELECT method, ord, CASE method WHEN 'l2' THEN sqrt(list_sum(list_transform(s, lambda x: x * x)))
+                   WHEN 'l1' THEN list_sum(list_transform(s, lambda x: abs(x)))
+                   WHEN 'max' THEN list_max(list_transform(s, lambda x: abs(x))) ELSE list_stddev_pop(s) END AS d,
+                   CASE method WHEN 'zscore' THEN list_avg(s) ELSE 0 END AS c, s
+               FROM sig, (SELECT unnest(['l2', 'l1', 'max', 'zscore']) AS method)),
+    long AS (SELECT method, ord, i, (s[i] - c) / d AS x FROM scaled, range(1, len(s) + 1) t(i))
+    SELECT a.method, a.ord, round(sqrt(sum((a.x - b.x) * (a.x - b.x))), 6) + 0.0 AS euclidean,
+           round(sum(abs(a.x - b.x)), 6) + 0.0 AS manhattan
+    FROM long a JOIN long b ON a.method = b.method AND a.i = b.i AND a.ord = b.ord + 1 GROUP BY a.method, a.ord""")

@@ -59,6 +59,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("Set spark.checkpoint.dir to a folder that all executors can reach")
     folder = tempfile.mkdtemp(prefix="quillprint-")
     spark.sparkContext.setCheckpointDir(folder)
     spark.conf.set("spark.checkpoint.dir", folder)
