@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from quillprint.functions import fixed_values as fixed
 from quillprint.functions import text as fn
+from quillprint.functions.binding import let
 from quillprint.operators.ordering import number_blocks
+from quillprint.session import settle
 
 SLOT = r"\{([A-Z_0-9]+)\}"
 
@@ -43,7 +45,9 @@ def _rewrite(text: Column, grammar: dict[str, list[str]], *identity: Column) ->
 
 
 def _vocabulary_slots(vocabulary: DataFrame) -> DataFrame:
-    distinct = vocabulary.select("word_class", "word").distinct().withColumn(
+    """Words of every class, numbered from 0. The vocabulary may be costly to make and is read several times here, so
+    its distinct words are written out first."""
+    distinct = settle(vocabulary.select("word_class", "word").distinct(), "vocabulary").withColumn(
         "_block", F.substring(F.md5(F.col("word").cast("binary")), 1, 2))
     return number_blocks(distinct, ["_block"], ["word"], "slot", group=["word_class"]).drop("_block")
 
@@ -53,7 +57,7 @@ def grammar_samples(samples: DataFrame, vocabulary: DataFrame, grammar: dict[str
                     capitalize: bool, seed: int, third_person: str | None = None) -> DataFrame:
     """One text per ``sample_id``: sentences until the text measures at least ``target``.
 
-    ``vocabulary`` has ``word_class, word``. Sentences are kept as one array per sample until the words are needed.
+    ``vocabulary`` has ``word_class, word``. Sentences are one array per sample until the words are needed.
     """
     most = -(-target // shortest)
     numbers = F.sequence(F.lit(0), F.lit(most - 1))
@@ -65,14 +69,19 @@ def grammar_samples(samples: DataFrame, vocabulary: DataFrame, grammar: dict[str
             text = _rewrite(text, grammar, F.lit(seed), F.col("sample_id"), number, F.lit(level))
         return text
 
-    written = samples.select("sample_id", F.transform(numbers, sentence).alias("forms"))
-    # a slot stands for at least one unit, so the sentences needed are among those kept by counting slots as one
-    slots_as_one = F.transform("forms", lambda f: measure(F.regexp_replace(f, SLOT, "x")))
-    kept = (written.withColumn("units", slots_as_one)
-            .select("sample_id", F.posexplode(F.filter(F.arrays_zip("forms", "units", numbers.alias("n")), lambda s: (
-                F.aggregate(F.slice(F.col("units"), F.lit(1), s["n"]), F.lit(0), lambda a, u: a + u) < target)))
-                    .alias("sentence", "s"))
-            .select("sample_id", "sentence", F.posexplode(_pieces(F.col("s.forms"))).alias("place", "piece")))
+    # a slot stands for at least one unit, so the sentences needed are among those written by counting slots as one
+    empty = F.struct(F.array().cast("array<string>").alias("forms"), F.lit(0).alias("units"))
+
+    def extend(so_far: Column, number: Column) -> Column:
+        longer = let(sentence(number), lambda form: F.struct(
+            F.array_append(so_far["forms"], form).alias("forms"),
+            (so_far["units"] + measure(F.regexp_replace(form, SLOT, "x"))).alias("units")))
+        return F.when(so_far["units"] < target, longer).otherwise(so_far)
+
+    written = samples.select("sample_id", F.aggregate(numbers, empty, extend, lambda done: done["forms"])
+                             .alias("forms"))
+    kept = (written.select("sample_id", F.posexplode("forms").alias("sentence", "form"))
+            .select("sample_id", "sentence", F.posexplode(_pieces(F.col("form"))).alias("place", "piece")))
 
     word_class = F.create_map(*[F.lit(x) for s, c in classes.items() for x in (f"{{{s}}}", c)])
     kept = kept.withColumn("word_class", F.try_element_at(word_class, F.col("piece")))
