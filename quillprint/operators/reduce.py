@@ -99,9 +99,12 @@ class ModelTable:
         size = table.agg(F.count(F.lit(1)).alias("models"), F.coalesce(F.max("width"), F.lit(0)).alias("width")).first()
         return cls(table, keys, size.models, size.width)
 
+    def hint(self, slim: DataFrame) -> DataFrame:
+        """Broadcast a table of a few numbers per model, up to a number of models."""
+        return F.broadcast(slim) if self.models <= BROADCAST_MODELS else slim
+
     def slim(self, *columns: str) -> DataFrame:
-        chosen = self.table.where(F.col("status") == OK).select(*self.keys, *columns)
-        return F.broadcast(chosen) if self.models <= BROADCAST_MODELS else chosen
+        return self.hint(self.table.where(F.col("status") == OK).select(*self.keys, *columns))
 
     def vectors(self, *columns: str) -> DataFrame:
         chosen = self.table.where(F.col("status") == OK).select(*self.keys, *columns, "mean", "scale")
@@ -129,22 +132,33 @@ def standardize(embeddings: DataFrame, keys: list[str]) -> DataFrame:
                          F.zip_with(centred, F.col("scale"), lambda x, s: x / s).alias("standardized"))
 
 
-def _first_probes(embeddings: DataFrame, models: ModelTable, dim: int) -> DataFrame:
-    """Rows of the first ``ceil(dim / k)`` probes of each model, numbered from 0.
-
-    Positions without gaps are cut by value. With gaps the rows are ranked, and the constant bound on the rank lets
-    every task drop all but its own first ``dim`` rows of a model before the shuffle.
-    """
+def _last_needed(embeddings: DataFrame, models: ModelTable, dim: int) -> DataFrame:
+    """Per model: the position of the last probe that can reach a signature of ``dim`` values, ``ceil(dim / k)`` probes
+    in. Without gaps that is arithmetic. With gaps positions are ranked, without their vectors, and the constant bound
+    on the rank lets every task drop all but its own first ``dim`` positions of a model before the shuffle."""
     keys = models.keys
-    needed = models.slim("components", "first_idx", "last_idx", "probe_count")
-    candidates = (embeddings.join(needed, keys)
-                  .withColumn("needed", F.ceil(F.lit(dim) / F.col("components")))
-                  .withColumn("dense", F.col("last_idx") - F.col("first_idx") + 1 == F.col("probe_count"))
-                  .where(~F.col("dense") | (F.col("probe_idx") < F.col("first_idx") + F.col("needed"))))
+    needed = F.ceil(F.lit(dim) / F.col("components"))
+    dense = F.col("last_idx") - F.col("first_idx") + 1 == F.col("probe_count")
+    shaped = models.table.where(F.col("status") == OK).withColumn("needed", needed).withColumn("dense", dense)
+    direct = shaped.where("dense").select(*keys, "components", (F.col("first_idx") + F.col("needed") - 1)
+                                          .alias("last_needed"))
+    if shaped.where("NOT dense").isEmpty():
+        return direct
+    gapped = shaped.where("NOT dense").select(*keys, "components", "needed")
     order = Window.partitionBy(*keys).orderBy("probe_idx")
-    return (candidates.withColumn("rank", F.row_number().over(order))
-            .where((F.col("rank") <= dim) & (F.col("rank") <= F.col("needed")))
-            .select(*keys, (F.col("rank") - 1).alias("rank"), "embedding", "components"))
+    ranked = (embeddings.select(*keys, "probe_idx").join(models.hint(gapped), keys)
+              .withColumn("rank", F.row_number().over(order))
+              .where((F.col("rank") <= dim) & (F.col("rank") <= F.col("needed"))))
+    return direct.unionByName(ranked.groupBy(*keys, "components").agg(F.max("probe_idx").alias("last_needed")))
+
+
+def _first_probes(embeddings: DataFrame, models: ModelTable, dim: int) -> DataFrame:
+    """Rows of the probes that can reach the signature, numbered from 0. Only these rows are shuffled."""
+    keys = models.keys
+    rows = (embeddings.join(models.hint(_last_needed(embeddings, models, dim)), keys)
+            .where(F.col("probe_idx") <= F.col("last_needed")))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("probe_idx")) - 1
+    return rows.select(*keys, rank.alias("rank"), "embedding", "components")
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
