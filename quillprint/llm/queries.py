@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quillprint.llm import decontamination, line_dedup, mixing
+from quillprint.llm import decontamination, language_id, line_dedup, mixing, ngram_join
 from quillprint.llm.common import table
 
 QUERIES = {
+    "op1_language_id": (lambda spark, sf: language_id.digest(table(spark, sf, "documents")), None),
     "op2_decontamination": (
         lambda spark, sf: decontamination.digest(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
         decontamination.digest_sql()),
@@ -13,4 +14,6 @@ QUERIES = {
         lambda spark, sf: line_dedup.digest(line_dedup.remove_boilerplate(table(spark, sf, "documents"))),
         line_dedup.digest_sql()),
     "op5_source_mixing": (lambda spark, sf: mixing.mix(table(spark, sf, "documents")), mixing.mix_sql()),
+    "op6_ngram_jaccard_join": (
+        lambda spark, sf: ngram_join.join_documents(table(spark, sf, "documents")), ngram_join.digest_sql()),
 }
