@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillprint.llm import decontamination, language_id, line_dedup, mixing, ngram_join
+from quillprint.llm import (decontamination, language_id, line_dedup, mixing, ngram_join, secret_scan, toxicity)
 from quillprint.llm.common import table
 
 QUERIES = {
@@ -16,4 +16,7 @@ QUERIES = {
     "op5_source_mixing": (lambda spark, sf: mixing.mix(table(spark, sf, "documents")), mixing.mix_sql()),
     "op6_ngram_jaccard_join": (
         lambda spark, sf: ngram_join.join_documents(table(spark, sf, "documents")), ngram_join.digest_sql()),
+    "op9_toxicity": (
+        lambda spark, sf: toxicity.digest(table(spark, sf, "documents"), table(spark, sf, "labels")), None),
+    "op10_secret_scan": (lambda spark, sf: secret_scan.digest(table(spark, sf, "documents")), None),
 }
