@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quillprint.llm import (decontamination, language_id, line_dedup, mixing, ngram_join, secret_scan, toxicity)
+from quillprint.llm import (decontamination, language_id, line_dedup, lm_scoring, mixing, ngram_join, secret_scan,
+                            toxicity)
 from quillprint.llm.common import table
 
 QUERIES = {
@@ -19,4 +20,5 @@ QUERIES = {
     "op9_toxicity": (
         lambda spark, sf: toxicity.digest(table(spark, sf, "documents"), table(spark, sf, "labels")), None),
     "op10_secret_scan": (lambda spark, sf: secret_scan.digest(table(spark, sf, "documents")), None),
+    "op8_lm_scoring": (lambda spark, sf: lm_scoring.digest(table(spark, sf, "documents")), lm_scoring.digest_sql()),
 }
