@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillprint.llm import (decontamination, language_id, line_dedup, lm_scoring, mixing, ngram_join, secret_scan,
-                            toxicity)
+from quillprint.llm import (ann, decontamination, language_id, line_dedup, lm_scoring, mixing, ngram_join, secret_scan,
+                            toxicity, warc)
 from quillprint.llm.common import table
 
 QUERIES = {
@@ -21,4 +21,6 @@ QUERIES = {
         lambda spark, sf: toxicity.digest(table(spark, sf, "documents"), table(spark, sf, "labels")), None),
     "op10_secret_scan": (lambda spark, sf: secret_scan.digest(table(spark, sf, "documents")), None),
     "op8_lm_scoring": (lambda spark, sf: lm_scoring.digest(table(spark, sf, "documents")), lm_scoring.digest_sql()),
+    "op3_warc": (lambda spark, sf: warc.digest(table(spark, sf, "pages")), warc.digest_sql()),
+    "op7_nearest_neighbours": (lambda spark, sf: ann.digest(table(spark, sf, "embeddings")), None),
 }
