@@ -105,7 +105,7 @@ class Parser:
             table = np.full((len(edges), self.width), 2 * offset + 1, np.int64)
             for c, target in edges[0].items():
                 table[:, c] = 2 * (target * self.width + offset) + 1
-            for state, out in enumerate(edges):
+            for state, out in enumerate(edges[1:], 1):  # whatever leaves the start begins a phrase
                 for c, target in out.items():
                     table[state, c] = 2 * (target * self.width + offset)
             tables.append(table.ravel())
@@ -146,7 +146,7 @@ class Parser:
             part = slice(low, low + 2048)
             at, size = begin[part], left[part]
             states = np.repeat(np.array(self.starts, self.table.dtype)[:, None], len(at), 1)
-            found = np.ones(states.shape, self.table.dtype)
+            found = np.zeros(states.shape, self.table.dtype)
             active = np.searchsorted(-size, -np.arange(size[0]), "left")
             for step, k in enumerate(active):
                 move = self.table.take(states[:, :k] + codes[at[:k] + step])
