@@ -7,7 +7,8 @@ their members, whose whole sets are compared.
 
 Copies by the thousand must not be paired with each other: what is asked for is which documents hang together, so each
 bucket is first compared with one member only (a star, linear in the bucket). A bucket whose members then hang together
-is done. In the others the members of different components are compared, pair by pair, so no link is lost.
+is done. In the others the members of different components are compared, pair by pair, so no link is lost. Pairs are
+first held against signatures, whose distance is never more than that of the sets; whole sets are fetched for the rest.
 """
 
 from __future__ import annotations
@@ -31,7 +32,11 @@ HOT_KEPT = 1 << 19
 #: Prefix n-grams of one bucket block.
 BLOCK = 1 << 20
 BROADCAST_IDS = 1 << 20
-STARS = 2
+#: Bits of a class's signature: the parity of how many of its n-grams fall on each.
+SIGNATURE = 2048
+#: Buckets get another star, with another member, as long as their members' pairs would be more than so many a row.
+PAIRS_PER_ROW = 8
+STARS = 6
 
 
 def _sets(texts, n: int):
@@ -55,6 +60,12 @@ def _fingerprint(values: np.ndarray) -> bytes:
     return (int(a.sum(dtype=np.uint64)) << 64 | int(b.sum(dtype=np.uint64))).to_bytes(16, "big")
 
 
+def _signature(values: np.ndarray) -> np.ndarray:
+    places = (values >> np.uint64(9)) & np.uint64(SIGNATURE - 1)
+    odd = (np.bincount(places.astype(np.int64), minlength=SIGNATURE) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def prefix_length(size: int, percent: int = PERCENT) -> int:
     return size - (percent * size + 99) // 100 + 1
 
@@ -106,6 +117,16 @@ def _group(prefix: np.ndarray, size: int) -> int:
     return int(grams.mix(np.array([(total + size * 0x9E3779B97F4A7C15) % 2**64], np.uint64)).view(np.int64)[0])
 
 
+def _possible(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their signatures do not rule out. Similar sets differ in at most (a + b)(100 - p) / (100 + p)
+    members, and signatures in no more bits than that."""
+    left = signatures.select(F.col("class").alias("a"), F.col("size").alias("size_a"), F.col("sig").alias("sa"))
+    right = signatures.select(F.col("class").alias("b"), F.col("size").alias("size_b"), F.col("sig").alias("sb"))
+    bits = F.expr("aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)").cast("bigint")
+    return pairs.join(left, "a").join(right, "b").where(
+        bits * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent)).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` of classes whose sets are similar enough."""
     left = sets.select(F.col("class").alias("a"), F.col("grams").alias("ga"))
@@ -135,16 +156,21 @@ def join_documents(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, ke
 
     def describe(batches):
         for batch in batches:
-            rows = []
+            rows, signatures = [], []
             for _, values in _sets(batch.column(1), n):
                 prefix = _ordered_prefix(values, *hot.value, percent) if len(values) else values
                 rows.append((len(values), _fingerprint(values), _group(prefix, len(values))))
+                signatures.append(_signature(values))
+            words = SIGNATURE // 64
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()),
-                 pa.array([r[2] for r in rows], pa.int64())], ["key", "size", "class", "grp"])
+                 pa.array([r[2] for r in rows], pa.int64()), pa.ListArray.from_arrays(
+                     pa.array(np.arange(len(rows) + 1) * words, pa.int32()),
+                     np.concatenate([np.empty(0, np.int64), *signatures]))], ["key", "size", "class", "grp", "sig"])
 
     kind = docs.schema["key"].dataType.simpleString()
-    described = settle(docs.mapInArrow(describe, f"key {kind}, size bigint, class binary, grp bigint"), "join-documents")
+    described = settle(docs.mapInArrow(describe, f"key {kind}, size bigint, class binary, grp bigint, sig array<bigint>"),
+                       "join-documents")
     filled = described.where("size > 0")
     classes = settle(filled.groupBy("class").agg(F.first("size").alias("size"), F.first("grp").alias("grp"),
                                                  F.min("key").alias("key")), "join-classes")
@@ -204,7 +230,14 @@ def join_documents(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, ke
     bucketed = groups.join(buckets.select("grp").distinct(), "grp", "left_semi").select("grp")
     needed = classes.join(bucketed.union(groups.where("members > 1").select("grp")).distinct(), "grp", "left_semi")
     needed = settle(needed.select("class", "grp", "size", "key"), "join-needed")
-    sets = settle(_needed_sets(docs, described, needed, n), "join-sets")
+    signatures = settle(filled.select("class", "size", "sig").join(needed.select("class"), "class", "left_semi")
+                        .dropDuplicates(["class"]), "join-signatures")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        possible = settle(_possible(pairs.distinct(), signatures, percent), "join-pairs")
+        named = possible.select(F.col("a").alias("class")).union(possible.select("b")).distinct()
+        sets = _needed_sets(docs, needed.join(named, "class", "left_semi"), n)
+        return settle(_verified(possible, settle(sets, "join-sets"), percent), "join-links")
 
     # Stars: members with their group's first class, groups with the first group of a bucket.
     inner = needed.join(groups.select("grp", "rep"), "grp").where("class <> rep").select(
@@ -212,11 +245,10 @@ def join_documents(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, ke
     met = buckets.join(groups.select("grp", "rep", "size"), "grp")
     first = met.groupBy("token").agg(F.min(F.struct("rep", "size")).alias("first"))
     outer = met.join(first, "token").where((F.col("rep") > F.col("first.rep")) & _close("size", "first.size", percent))
-    pairs = inner.union(outer.select(F.col("first.rep").alias("a"), F.col("rep").alias("b"))).distinct()
-    links = settle(_verified(pairs, sets, percent), "join-links")
-    tried = [links]
+    links = linked(inner.union(outer.select(F.col("first.rep").alias("a"), F.col("rep").alias("b"))))
     labels = components(links)
 
+    # What is open: buckets of members (a group is a bucket, too) that do not hang together.
     members = needed.select("class", "grp", "size")
     rows = buckets.join(members, "grp").select("token", "class", "size")
     rows = rows.union(members.join(groups.where("members > 1").select("grp"), "grp", "left_semi")
@@ -224,11 +256,15 @@ def join_documents(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, ke
     for turn in range(STARS + 1):
         labelled = rows.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn(
             "component", F.coalesce("component", "class"))
-        split = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(
-            "low <> high").select("token")
-        rows = settle(labelled.join(split, "token", "left_semi"), "join-open")
-        if turn < STARS:
-            # Another star: the member that a hash of this turn puts first, against the other components.
+        split = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                              F.count(F.lit(1)).alias("n")).where("low <> high")
+        rows = settle(labelled.join(split.select("token"), "token", "left_semi"), "join-open")
+        work = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).agg(
+            F.sum("n"), F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2)).first()
+        if not work[0]:
+            break
+        star = turn < STARS and work[1] > PAIRS_PER_ROW * work[0]
+        if star:  # the member that a hash of this turn puts first, against the other components
             ranked = F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), "class", "size", "component")
             first = rows.groupBy("token").agg(F.min(ranked).alias("first"))
             pairs = rows.join(first, "token").where((F.col("component") != F.col("first.component"))
@@ -239,13 +275,14 @@ def join_documents(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, ke
                                 F.col("component").alias("component_b"))
             pairs = rows.join(other, "token").where((F.col("class") < F.col("b"))
                                                     & (F.col("component") != F.col("component_b"))
-                                                    & _close("size", "size_b", percent))
-            pairs = pairs.select(F.col("class").alias("a"), "b")
-        tried.append(settle(_verified(pairs.distinct(), sets, percent), "join-links"))
-        found = tried[0]
-        for more in tried[1:]:
-            found = found.union(more)
-        labels = components(found)
+                                                    & _close("size", "size_b", percent)).select(F.col("class").alias("a"), "b")
+        more = linked(pairs)
+        found = not more.isEmpty()
+        if found:
+            links = links.union(more)
+            labels = components(links)
+        if not star:
+            break
         rows = rows.select("token", "class", "size")
 
     named = classes.select("class", F.col("key").alias("own")).join(
@@ -258,7 +295,7 @@ def join_documents(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, ke
     return linked.union(alone).select(F.col("key").alias(key), F.col("size").alias("n_shingles"), "component_id")
 
 
-def _needed_sets(docs: DataFrame, described: DataFrame, needed: DataFrame, n: int) -> DataFrame:
+def _needed_sets(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
     """``class, grams`` of the classes that have a partner to be compared with."""
     ids = needed.select("key").where("key IS NOT NULL").distinct()
     if ids.count() <= BROADCAST_IDS:
