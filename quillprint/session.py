@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -80,7 +81,21 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    settled = df.sparkSession.read.schema(df.schema).parquet(path)
+    settled._settled_path = path
+    return settled
+
+
+def discard(*settled: DataFrame) -> None:
+    """Delete tables made by :func:`settle` that nothing will read again, and let Spark drop the shuffle files of plans
+    that are gone (it does so when the driver collects its garbage)."""
+    for df in settled:
+        spark, path = df.sparkSession, df._settled_path
+        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    if settled:
+        gc.collect()
+        settled[0].sparkSession._jvm.System.gc()
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
