@@ -66,9 +66,16 @@ def prompt_index(custom_id: Column) -> Column:
     return digits.try_cast("bigint")
 
 
+def blank(value: Column) -> Column:
+    """Whether a value counts as no answer: missing, null, false, zero, an empty text, object or array."""
+    return value.isNull() | F.to_json(value).isin("null", "false", "0", "0.0", '""', "{}", "[]")
+
+
 def request_key(value: Column) -> Column:
-    """An integer key given as number or as string."""
-    text = F.when(kind(value) != "null", F.try_variant_get(value, "$", "string"))
+    """An integer key given as number or as string; a number with a fraction part, even zero, is none."""
+    whole = ~F.coalesce(F.to_json(value).rlike(r"^-?[0-9.]*[.eE]"), F.lit(False)) & ~F.rlike(
+        F.coalesce(kind(value), F.lit("null")), F.lit("decimal|double|float"))
+    text = F.when((kind(value) != "null") & whole, F.try_variant_get(value, "$", "string"))
     return F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(text)).try_cast("bigint")
 
 

@@ -6,13 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillprint.functions import vectors
+from quillprint.operators.ordering import number_blocks
 from quillprint.session import ship_package
 
 BLOCK_ROWS = 256
+#: Positions of one stretch, within which a task ranks them.
+RANK_ROWS = 65_536
 
 
 def compare_pairs(pairs: DataFrame, left: str, right: str, distances: list[str] | None = None,
@@ -51,23 +54,27 @@ ONE_TO_MANY = {
 
 
 def all_pairs(signatures: DataFrame, metric: str = "euclidean", block_rows: int = BLOCK_ROWS,
-              key: str = "model_name", order: str = "ord") -> DataFrame:
+              key: str = "model_name", order: str = "ord", within: float | None = None,
+              nearest: int | None = None) -> DataFrame:
     """Distance of every pair with ``i < j``: ``i, j, name_i, name_j, distance``.
 
-    Positions are dense from 0. The result itself has n(n-1)/2 rows. Signatures go into blocks of ``block_rows`` neighbouring positions and every
-    pair of blocks is one group, met through an equality join on the block pair, so each group has at most
-    ``2 * block_rows`` signatures whatever n is, and results leave a task in batches.
+    Positions may have gaps; they are ranked first. Signatures go into blocks of ``block_rows`` neighbouring ranks and
+    every pair of blocks is one group, met through an equality join on the block pair, so each group has at most
+    ``2 * block_rows`` signatures whatever n is. All pairs are n(n-1)/2 rows; ``within`` keeps only those up to a
+    distance, ``nearest`` only those among the nearest of either side in their group, before they leave the task.
     """
     if metric not in ONE_TO_MANY:
         raise ValueError(f"Unknown distance metric: {metric}. Known: {', '.join(ONE_TO_MANY)}")
     ship_package(signatures.sparkSession)
     compare = ONE_TO_MANY[metric]
-    blocked = signatures.select(
+    given = signatures.select(
         F.col(order).cast("bigint").alias("ord"), F.col(key).alias("name"),
-        F.col("signature").cast("array<double>").alias("signature"),
-        F.floor(F.col(order) / block_rows).alias("block"))
+        F.col("signature").cast("array<double>").alias("signature"))
+    stretch = given.withColumn("_stretch", F.floor(F.col("ord") / RANK_ROWS))
+    ranked = number_blocks(stretch, ["_stretch"], ["ord"], "_place")
+    blocked = ranked.select("ord", "name", "signature", F.floor(F.col("_place") / block_rows).alias("block"))
     # one copy of a signature per block pair it takes part in; the number of blocks is a scalar subquery
-    last = signatures.agg(F.floor(F.max(order) / block_rows)).scalar()
+    last = signatures.agg(F.floor((F.count(F.lit(1)) - 1) / block_rows)).scalar()
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), last))
     grouped = (blocked.withColumn("other", other)
                .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
@@ -90,17 +97,50 @@ def all_pairs(signatures: DataFrame, metric: str = "euclidean", block_rows: int
         i = np.concatenate(i_parts) if i_parts else np.zeros(0, dtype=np.int64)
         j = np.concatenate(j_parts) if j_parts else np.zeros(0, dtype=np.int64)
         d = np.concatenate(d_parts) if d_parts else np.zeros(0)
+        keep = np.ones(len(d), dtype=bool) if within is None else d <= within
+        if nearest is not None:
+            keep &= _among_nearest(i, ords[j], d, nearest) | _among_nearest(j, ords[i], d, nearest)
+        i, j, d = i[keep], j[keep], d[keep]
         return pa.table({"i": ords[i], "j": ords[j], "name_i": names.take(pa.array(i)),
                          "name_j": names.take(pa.array(j)), "distance": d})
 
     return grouped.applyInArrow(run, "i bigint, j bigint, name_i string, name_j string, distance double")
 
 
+def _among_nearest(side: np.ndarray, other: np.ndarray, distance: np.ndarray, count: int) -> np.ndarray:
+    """Which pairs are among the ``count`` nearest of their ``side``, ties to the smaller ``other``."""
+    order = np.lexsort((other, distance, side))
+    ranked = side[order]
+    begins = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, int)
+    place = np.arange(len(ranked)) - np.repeat(begins, np.diff(np.append(begins, len(ranked))))
+    near = np.zeros(len(side), dtype=bool)
+    near[order] = place < count
+    return near
+
+
+def pairs_within(signatures: DataFrame, limit: float, metric: str = "euclidean", **options) -> DataFrame:
+    """Pairs at most ``limit`` apart."""
+    return all_pairs(signatures, metric, within=limit, **options)
+
+
+def nearest_models(signatures: DataFrame, count: int, metric: str = "euclidean", **options) -> DataFrame:
+    """The ``count`` nearest other signatures of each: ``i, name_i, rank, j, name_j, distance``, ties to the smaller
+    position. Every group of blocks passes on ``count`` rows per signature at most."""
+    pairs = all_pairs(signatures, metric, nearest=count, **options)
+    turned = F.explode(F.array(F.struct("i", "name_i", "j", "name_j", "distance"),
+                               F.struct(F.col("j").alias("i"), F.col("name_j").alias("name_i"), F.col("i").alias("j"),
+                                        F.col("name_i").alias("name_j"), "distance")))
+    rank = F.row_number().over(Window.partitionBy("i").orderBy("distance", "j"))
+    both = pairs.select(turned.alias("p")).select("p.*").withColumn("rank", rank).where(F.col("rank") <= count)
+    return both.select("i", "name_i", "rank", "j", "name_j", "distance")
+
+
 def distance_matrix(signatures: DataFrame, metric: str = "euclidean", **options) -> DataFrame:
-    """The full symmetric matrix in long form, zero diagonal included."""
-    upper = all_pairs(signatures, metric, **options).select("i", "j", "distance")
-    lower = upper.select(F.col("j").alias("i"), F.col("i").alias("j"), "distance")
+    """The full symmetric matrix in long form, zero diagonal included, from one pass over the pairs."""
+    pairs = all_pairs(signatures, metric, **options)
+    both = F.explode(F.array(F.struct("i", "j", "distance"),
+                             F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "distance")))
     order = options.get("order", "ord")
     diagonal = signatures.select(F.col(order).cast("bigint").alias("i"), F.col(order).cast("bigint").alias("j"),
                                  F.lit(0.0).alias("distance"))
-    return upper.unionByName(lower).unionByName(diagonal)
+    return pairs.select(both.alias("p")).select("p.*").unionByName(diagonal)

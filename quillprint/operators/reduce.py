@@ -39,20 +39,26 @@ GRAM_BYTES = 256 * 1024 * 1024
 BROADCAST_MODELS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 OK, TOO_FEW, NO_WIDTH, DEGENERATE_MERGE = "ok", "too_few_probes", "zero_width", "degenerate_merge"
+NULL_VECTOR, RAGGED_WIDTH = "null_vector", "ragged_width"
 
 
 def moments(embeddings: DataFrame, keys: list[str]) -> DataFrame:
     """Per model: probe count, first and last position, width, column means and scales.
 
-    The scale is the population standard deviation, 1 for a column that is constant up to rounding.
+    The scale is the population standard deviation, 1 for a column that is constant up to rounding. Vectors are summed up
+    by model and width, so that one of another width, or null, spoils its own model only: ``min_width`` (-1 for a null)
+    then differs from ``width``.
     """
     # a vector without entries stands in as one zero; the width tells
     filled = F.when(F.size("embedding") > 0, vectors.clean_vector("embedding")).otherwise(F.array(F.lit(0.0)))
-    clean = embeddings.select(*keys, "probe_idx", F.size("embedding").alias("w"), filled.alias("v"))
+    clean = embeddings.select(*keys, "probe_idx", _width().alias("w"), filled.alias("v"))
     summary = Summarizer.metrics("mean", "variance").summary(array_to_vector("v"))
-    grouped = clean.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("probe_count"), F.min("probe_idx").alias("first_idx"),
-        F.max("probe_idx").alias("last_idx"), F.greatest(F.max("w"), F.lit(0)).alias("width"), summary.alias("s"))
+    by_width = clean.groupBy(*keys, "w").agg(
+        F.count(F.lit(1)).alias("n"), F.min("probe_idx").alias("first_idx"), F.max("probe_idx").alias("last_idx"),
+        summary.alias("s"))
+    grouped = by_width.groupBy(*keys).agg(
+        F.sum("n").alias("probe_count"), F.min("first_idx").alias("first_idx"), F.max("last_idx").alias("last_idx"),
+        F.greatest(F.max("w"), F.lit(0)).alias("width"), F.min("w").alias("min_width"), F.max_by("s", "w").alias("s"))
     n = F.col("probe_count")
     population = F.transform(vector_to_array("s.variance"), lambda x: x * (n - 1) / n)
 
@@ -64,13 +70,19 @@ def moments(embeddings: DataFrame, keys: list[str]) -> DataFrame:
     return (grouped
             .withColumn("mean", vector_to_array("s.mean"))
             .withColumn("scale", F.zip_with(population, F.col("mean"), scale))
-            .select(*keys, "probe_count", "first_idx", "last_idx", "width", "mean", "scale"))
+            .select(*keys, "probe_count", "first_idx", "last_idx", "width", "min_width", "mean", "scale"))
+
+
+def _width() -> Column:
+    return F.coalesce(F.size("embedding"), F.lit(-1))
 
 
 def _with_shape(sized: DataFrame, dim: int) -> DataFrame:
     """Adds how many components each model gets and whether it can be reduced at all."""
     k = F.least(F.col("probe_count") - 1, F.col("width").cast("bigint"), F.lit(dim).cast("bigint"))
-    status = (F.when(F.col("width") <= 0, NO_WIDTH).when(F.col("probe_count") < 2, TOO_FEW).otherwise(OK))
+    status = (F.when(F.col("width") <= 0, NO_WIDTH).when(F.col("min_width") < 0, NULL_VECTOR)
+              .when(F.col("min_width") < F.col("width"), RAGGED_WIDTH)
+              .when(F.col("probe_count") < 2, TOO_FEW).otherwise(OK))
     return (sized.withColumn("status", status)
             .withColumn("components", F.when(F.col("status") == OK, k).otherwise(F.lit(0).cast("bigint"))))
 
@@ -78,7 +90,8 @@ def _with_shape(sized: DataFrame, dim: int) -> DataFrame:
 def shapes(embeddings: DataFrame, keys: list[str], dim: int) -> DataFrame:
     """Per model: probe count, width, number of components, and whether it can be reduced at all."""
     sized = embeddings.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("probe_count"), F.greatest(F.max(F.size("embedding")), F.lit(0)).alias("width"))
+        F.count(F.lit(1)).alias("probe_count"), F.greatest(F.max(_width()), F.lit(0)).alias("width"),
+        F.min(_width()).alias("min_width"))
     return _with_shape(sized, dim)
 
 
@@ -155,8 +168,11 @@ def _last_needed(embeddings: DataFrame, models: ModelTable, dim: int) -> DataFra
 def _first_probes(embeddings: DataFrame, models: ModelTable, dim: int) -> DataFrame:
     """Rows of the probes that can reach the signature, numbered from 0. Only these rows are shuffled."""
     keys = models.keys
-    rows = (embeddings.join(models.hint(_last_needed(embeddings, models, dim)), keys)
-            .where(F.col("probe_idx") <= F.col("last_needed")))
+    last = _last_needed(embeddings, models, dim)
+    # no model needs a later position, and a constant bound prunes the scan
+    bound = last.agg(F.max("last_needed")).first()[0]
+    early = embeddings.where(F.col("probe_idx") <= F.lit(bound)) if bound is not None else embeddings.limit(0)
+    rows = (early.join(models.hint(last), keys).where(F.col("probe_idx") <= F.col("last_needed")))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("probe_idx")) - 1
     return rows.select(*keys, rank.alias("rank"), "embedding", "components")
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from quillprint.functions import fixed_values as fixed
 from quillprint.functions.text import has_text
+from quillprint.operators.ordering import number_blocks
 from quillprint.session import ship_package
 
 PACK_BLOCK = 65_536
@@ -49,11 +50,13 @@ def progress(items: DataFrame, expected: int | Column, keys: list[str] | None =
 def progress_steps(items: DataFrame, expected: int, keys: list[str] | None = None) -> DataFrame:
     """The running count after each response, as each incremental save would report it.
 
-    Positions are dense, so the count is the position plus one and no task needs to see a whole model.
+    Positions may have gaps: the count is the rank of the position within its model, taken block by block.
     """
     keys = keys or ["model_name", "dataset"]
-    return items.select(*keys, "probe_idx", (F.col("probe_idx") + 1).alias("count"),
-                        (F.col("probe_idx") + 1 >= expected).alias("complete"))
+    blocked = items.select(*keys, "probe_idx").withColumn("_block", F.floor(F.col("probe_idx") / PACK_BLOCK))
+    ranked = number_blocks(blocked, ["_block"], ["probe_idx"], "_place", group=keys)
+    return ranked.select(*keys, "probe_idx", (F.col("_place") + 1).alias("count"),
+                         (F.col("_place") + 1 >= expected).alias("complete"))
 
 
 def chunk_number(position: Column, size: int) -> tuple[Column, Column]:
@@ -134,7 +137,7 @@ def pack_requests(requests: DataFrame, max_requests: int = fixed.BATCH_MAX_REQUE
                   size: str = "request_bytes", block_rows: int = PACK_BLOCK) -> DataFrame:
     """Greedy packing of each model's requests in order, by count and by bytes; adds ``pack`` from 0.
 
-    Positions are dense from 0. The packing is a chain, but a pack never spans more than ``max_requests`` rows, so a
+    Positions may have gaps; requests are first numbered in their order. The packing is a chain, but a pack never spans more than ``max_requests`` rows, so a
     block only needs to know at which of its first rows a pack starts. Each block is summarized for every such
     entry, the summaries of a model are followed from block to block, and the blocks then number their packs.
     A request at or above the byte limit fails the job.
@@ -144,7 +147,10 @@ def pack_requests(requests: DataFrame, max_requests: int = fixed.BATCH_MAX_REQUE
     message = F.concat(F.lit("Single prompt payload exceeds the batch limit, position "),
                        F.col(position).cast("string"))
     checked = F.when(F.col(size) < max_bytes, F.col(size)).otherwise(F.raise_error(message).cast("bigint"))
-    slim = requests.select(key, F.col(position).cast("bigint").alias("pos"), checked.cast("bigint").alias("bytes"))
+    given = requests.select(key, F.col(position).alias("given"), checked.cast("bigint").alias("bytes")).withColumn(
+        "_block", F.floor(F.col("given") / PACK_BLOCK))
+    placed = number_blocks(given, ["_block"], ["given"], "pos", group=[key])
+    slim = placed.select(key, "pos", "bytes")
     home = F.floor(F.col("pos") / block_rows)
     # the first rows of a block are also seen by the block before it, which a pack may leave late
     ahead = (F.col("pos") % block_rows < max_requests) & (home > 0)
@@ -156,7 +162,7 @@ def pack_requests(requests: DataFrame, max_requests: int = fixed.BATCH_MAX_REQUE
         order = np.argsort(pos, kind="stable")
         starts = _next_starts(table.column("bytes").to_numpy()[order], max_requests, max_bytes)
         inside = int((pos < (block + 1) * block_rows).sum())
-        # walk backwards: from row r, how many packs start inside the block and where the next block is entered
+        # backwards: from row r, how many packs start inside the block and where the next block is entered
         packs, leave = np.zeros(inside, dtype=np.int64), np.zeros(inside, dtype=np.int64)
         for row in range(inside - 1, -1, -1):
             following = starts[row]
@@ -185,10 +191,11 @@ def pack_requests(requests: DataFrame, max_requests: int = fixed.BATCH_MAX_REQUE
         order = np.argsort(table.column("pos").to_numpy(), kind="stable")
         starts = _next_starts(table.column("bytes").to_numpy()[order], max_requests, max_bytes)
         row, pack = table.column("entry")[0].as_py(), table.column("before")[0].as_py()
-        numbers = np.full(len(order), pack - 1, dtype=np.int64)
+        begins = np.zeros(len(order), dtype=np.int64)
         while row < len(order):
-            numbers[row:] = pack
-            row, pack = starts[row], pack + 1
+            begins[row] = 1
+            row = starts[row]
+        numbers = pack - 1 + np.cumsum(begins)
         table = table.take(pa.array(order))
         return table.select([key, "pos"]).append_column("pack", pa.array(numbers))
 
@@ -203,7 +210,8 @@ def pack_requests(requests: DataFrame, max_requests: int = fixed.BATCH_MAX_REQUE
     entered = summaries.groupBy(key).applyInArrow(follow, schema(block=long, entry=long, before=long))
     numbered = (slim.withColumn("block", home).join(entered, [key, "block"]).groupBy(key, "block")
                 .applyInArrow(number, schema(pos=long, pack=long)))
-    return requests.join(numbered.withColumnRenamed("pos", position), [key, position])
+    packs = placed.select(key, F.col("given").alias(position), "pos").join(numbered, [key, "pos"]).drop("pos")
+    return requests.join(packs, [key, position])
 
 
 def latest_by_position(items: DataFrame, keys: list[str], position: str, order: str) -> DataFrame:

@@ -32,9 +32,11 @@ def _model_list(raw_comments):
 
 
 QUERIES["s1_model_list"] = (_model_list(False), f"""
-    WITH {MODELS_SQL} SELECT ord, model_name FROM models WHERE ord % 10 NOT IN (3, 4, 5)""")
+    WITH {MODELS_SQL} SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, model_name FROM models
+    WHERE ord % 10 NOT IN (3, 4, 5)""")
 QUERIES["s1_model_list_raw_comments"] = (_model_list(True), f"""
-    WITH {MODELS_SQL} SELECT ord, CASE WHEN ord % 10 = 5 THEN '# indented' ELSE model_name END AS model_name
+    WITH {MODELS_SQL} SELECT row_number() OVER (ORDER BY ord) - 1 AS ord,
+           CASE WHEN ord % 10 = 5 THEN '# indented' ELSE model_name END AS model_name
     FROM models WHERE ord % 10 NOT IN (3, 4)""")
 
 
@@ -103,6 +105,20 @@ def _value_csv(spark, sf):
 QUERIES["s11_single_csv"] = (_value_csv, f"WITH {SIGNATURES_SQL} SELECT model_name, {_VALUES_SQL}")
 
 
+def _alike_names(spark, sf):
+    """Names that differ in a slash, a percent sign or a plus only."""
+    path = scratch_path(spark, "signatures")
+    sign = F.element_at(F.array(F.lit("/"), F.lit("_"), F.lit("%2F"), F.lit("+")), (F.col("ord") % 4 + 1).cast("int"))
+    named = signatures(spark, sf).withColumn("model_name", F.concat(F.lit("org"), sign, F.floor(F.col("ord") / 4)))
+    sf_io.write_value_csv(named, path)
+    return long_signature(sf_io.read_value_csv(spark, path), "model_name")
+
+
+QUERIES["s11_alike_names"] = (_alike_names, f"""
+    WITH {SIGNATURES_SQL} SELECT 'org' || ['/', '_', '%2F', '+'][CAST(ord % 4 + 1 AS INT)] || (ord // 4) AS model_name,
+    {_VALUES_SQL}""")
+
+
 def _wide_csv(spark, sf):
     path = scratch_path(spark, "signatures")
     short = F.when(F.col("ord") % 5 == 0, F.slice("signature", 1, 60)).otherwise(F.col("signature"))

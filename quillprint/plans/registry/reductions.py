@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillprint.config import RunConfig
@@ -107,6 +108,22 @@ QUERIES["r2_input_checks"] = (
         FROM sized""")
 
 
+def _malformed(spark, sf):
+    """A null vector in one model and a short one in another; the rest are to come through."""
+    e = embeddings(spark, sf)
+    first = F.min("probe_idx").over(Window.partitionBy("model_name")) == F.col("probe_idx")
+    bad = F.when(first & (F.col("model_name") == "model-1"), F.lit(None)).when(
+        first & (F.col("model_name") == "model-2"), F.slice("embedding", 1, 3)).otherwise(F.col("embedding"))
+    outcome = fingerprint.from_embeddings(e.withColumn("embedding", bad), RunConfig(dim=16))
+    return outcome.signatures.select("model_name", F.lit("ok").alias("outcome")).unionByName(
+        outcome.rejects.select("model_name", F.col("error").alias("outcome")))
+
+
+QUERIES["r2_malformed_vectors"] = (_malformed, f"""
+    WITH {EMBEDDINGS_SQL} SELECT DISTINCT model_name, CASE model_name WHEN 'model-1' THEN 'null_vector'
+    WHEN 'model-2' THEN 'ragged_width' ELSE 'ok' END AS outcome FROM emb""")
+
+
 def _row_norms(reduction):
     def run(spark, sf):
         rows = reduce.projected_rows(embeddings(spark, sf), WIDTH, reduction)

@@ -60,14 +60,16 @@ QUERIES["v6_fixed_chunks"] = (
     "SELECT doc_id, doc_id // 32 AS chunk, doc_id // 32 * 32 AS chunk_start FROM documents")
 
 
-def _packed(spark, sf):
-    sized = table(spark, sf, "documents").select(
-        F.lit("one model").alias("model_name"), F.col("doc_id").alias("probe_idx"),
-        (F.octet_length("text") % 9000 + 50).cast("bigint").alias("request_bytes"))
-    return ops.pack_requests(sized, 7, 30_000, block_rows=64).select("probe_idx", "request_bytes", "pack")
+def _packed(step):
+    def run(spark, sf):
+        sized = table(spark, sf, "documents").select(
+            F.lit("one model").alias("model_name"), (F.col("doc_id") * step).alias("probe_idx"),
+            (F.octet_length("text") % 9000 + 50).cast("bigint").alias("request_bytes"))
+        return ops.pack_requests(sized, 7, 30_000, block_rows=64).select("probe_idx", "request_bytes", "pack")
+    return run
 
 
-QUERIES["v7_greedy_packing"] = (_packed, """
+_PACKED_SQL = """
     WITH RECURSIVE sized AS (SELECT doc_id AS i, octet_length(encode(text)) % 9000 + 50 AS b FROM documents),
     fold(i, b, pack, held, bytes) AS (
         SELECT i, b, 0, 1, b FROM sized WHERE i = 0
@@ -76,7 +78,9 @@ QUERIES["v7_greedy_packing"] = (_packed, """
                CASE WHEN held >= 7 OR bytes + s.b > 30000 THEN 1 ELSE held + 1 END,
                CASE WHEN held >= 7 OR bytes + s.b > 30000 THEN s.b ELSE bytes + s.b END
         FROM fold f JOIN sized s ON s.i = f.i + 1)
-    SELECT i AS probe_idx, CAST(b AS BIGINT) AS request_bytes, CAST(pack AS BIGINT) AS pack FROM fold""")
+    SELECT i * {step} AS probe_idx, CAST(b AS BIGINT) AS request_bytes, CAST(pack AS BIGINT) AS pack FROM fold"""
+QUERIES["v7_greedy_packing"] = (_packed(1), _PACKED_SQL.replace("{step}", "1"))
+QUERIES["v7_packing_with_gaps"] = (_packed(70_000), _PACKED_SQL.replace("{step}", "70000"))
 
 
 def _requests(layout, **options):
@@ -242,6 +246,21 @@ QUERIES["f9_accepted_caches"] = (
         HAVING bool_or({strip_sql('r')} <> '')""")
 
 
+def _split_complete(spark, sf):
+    """Incremental saves of two wanted responses, one item to a document."""
+    path = scratch_path(spark, "responses")
+    filled = turns(spark, sf).withColumn("response", F.coalesce("response", F.lit("")))
+    documents = response_cache.response_documents(filled, expected=2, items_per_document=1)
+    response_cache.write_response_documents(documents, path)
+    items = response_cache.cached_items(response_cache.read_response_documents(spark, path))
+    return response_cache.usable_items(items).groupBy("model_name").agg(F.count(F.lit(1)).alias("items"))
+
+
+QUERIES["s5_split_cache_complete"] = (_split_complete, f"""
+    WITH {TURNS_SQL} SELECT model_name, count(*) AS items FROM turns GROUP BY model_name
+    HAVING count(*) >= 2 AND bool_or({strip_sql("coalesce(response, '')")} <> '')""")
+
+
 def _cache_round_trip(spark, sf):
     path = scratch_path(spark, "responses")
     filled = turns(spark, sf).withColumn("response", F.coalesce("response", F.lit("")))

@@ -191,6 +191,21 @@ QUERIES["j6_distance_matrix"] = (
         SELECT i, count(*) AS entries, round(sum(distance), 6) + 0.0 AS row_sum,
                round(max(distance), 6) + 0.0 AS farthest FROM d GROUP BY i""")
 
+QUERIES["j6_pairs_within"] = (
+    lambda spark, sf: distances.pairs_within(signatures(spark, sf).withColumn("ord", F.col("ord") * 1_000_003), 1.2).select(
+        "i", "j", r6("distance").alias("distance")),
+    f"""WITH {SIGNATURES_SQL}
+        SELECT a.ord * 1000003 AS i, b.ord * 1000003 AS j, round(list_distance(a.s, b.s), 6) + 0.0 AS distance
+        FROM sig a JOIN sig b ON a.ord < b.ord WHERE list_distance(a.s, b.s) <= 1.2""")
+QUERIES["j6_nearest_k"] = (
+    lambda spark, sf: distances.nearest_models(signatures(spark, sf), 3).select(
+        "i", "rank", "j", r6("distance").alias("distance")),
+    f"""WITH {SIGNATURES_SQL},
+        d AS (SELECT a.ord AS i, b.ord AS j, list_distance(a.s, b.s) AS distance FROM sig a JOIN sig b ON a.ord <> b.ord)
+        SELECT i, CAST(row_number() OVER (PARTITION BY i ORDER BY distance, j) AS INT) AS rank, j,
+               round(distance, 6) + 0.0 AS distance FROM d
+        QUALIFY row_number() OVER (PARTITION BY i ORDER BY distance, j) <= 3""")
+
 QUERIES["f12_valid_tokens"] = (
     lambda spark, sf: signatures(spark, sf).select("ord", F.posexplode(fn.valid_tokens(F.transform(
         "signature", lambda x: F.floor(x * 1000)), 200, 7)).alias("pos", "token_id")).select(

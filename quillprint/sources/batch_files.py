@@ -61,7 +61,7 @@ def _keyed(item: Column, order: tuple[str, str]) -> Column:
 
 
 def _answer(item: Column) -> Column:
-    found = F.coalesce(*[F.when(~bj.kind(bj.field(item, p)).isin("null"), bj.field(item, p))
+    found = F.coalesce(*[F.when(~bj.blank(bj.field(item, p)), bj.field(item, p))
                          for p in ("response", "inlineResponse")])
     return bj.candidate_text(found)
 

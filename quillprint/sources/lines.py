@@ -12,22 +12,27 @@ from quillprint.operators.ordering import number_blocks
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``file, line_no, value`` of text files, numbered through in file name order. A task numbers one file split, so
     a large file stays split."""
-    raw = spark.read.text(path).select(
+    return number_blocks(_raw_lines(spark, path), ["file", "_start"], ["_row"], "line_no").select(
+        "file", "line_no", "value")
+
+
+def _raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_row"))
-    return number_blocks(raw, ["file", "_start"], ["_row"], "line_no").select("file", "line_no", "value")
 
 
 def read_model_list(spark: SparkSession, path: str, raw_comments: bool = False) -> DataFrame:
-    """Model names of a list file, in order: ``ord, model_name``. Blank lines and comments drop out.
+    """Model names of a list file, in order: ``ord, model_name``. Blank lines and comments drop out, and the names that
+    are left are numbered from 0 without gaps.
 
     ``raw_comments`` looks for the comment sign before stripping, as the catalog job does.
     """
-    lines = read_lines(spark, path)
+    lines = _raw_lines(spark, path)
     name = strip(F.col("value"))
     comment = F.startswith(F.col("value") if raw_comments else name, F.lit("#"))
-    return (lines.where(has_text(F.col("value")) & ~comment)
-            .select(F.col("line_no").alias("ord"), name.alias("model_name")))
+    kept = lines.where(has_text(F.col("value")) & ~comment)
+    return number_blocks(kept, ["file", "_start"], ["_row"], "ord").select("ord", name.alias("model_name"))
 
 
 def require_models(models: DataFrame, path: str) -> DataFrame:
@@ -41,10 +46,8 @@ def choose_models(spark: SparkSession, items: list[str] | None = None, models_fi
     """Input of the catalog job: names given directly (each may hold several, comma-separated), else a file, else the
     default list; the first ``max_models`` of them."""
     if items:
-        given = spark.createDataFrame([(i, item) for i, item in enumerate(items)], "item int, names string")
-        split = given.select("item", F.posexplode(F.split("names", ",")).alias("part", "name"))
-        models = split.select((F.col("item") * 100_000 + F.col("part")).cast("bigint").alias("ord"),
-                              strip(F.col("name")).alias("model_name")).where(F.col("model_name") != "")
+        names = [name.strip() for item in items for name in item.split(",")]
+        models = spark.createDataFrame(list(enumerate(n for n in names if n)), "ord bigint, model_name string")
     else:
         path = models_file or default_file
         if path is None:

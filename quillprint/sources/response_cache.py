@@ -16,16 +16,18 @@ def response_documents(responses: DataFrame, expected: int | None = None,
     """One JSON document per model and dataset: ``model_name, dataset, document``.
 
     A model with more than ``items_per_document`` responses gets several documents, each with the position of its
-    first item, so no task holds more than that. ``expected`` adds the ``complete`` mark of incremental saves.
+    first item, so no task holds more than that. ``count`` and, with ``expected``, the ``complete`` mark of incremental
+    saves are those of the whole model in each of them.
     """
+    totals = responses.groupBy("model_name", "dataset").agg(F.count(F.lit(1)).alias("_total"))
     part = F.floor(F.col("probe_idx") / items_per_document)
     grouped = responses.withColumn("_part", part).groupBy("model_name", "dataset", "_part").agg(
         F.array_sort(F.collect_list(F.struct("probe_idx", "prompt", "response"))).alias("rows"),
-        F.min("probe_idx").cast("bigint").alias("offset"))
+        F.min("probe_idx").cast("bigint").alias("offset")).join(totals, ["model_name", "dataset"])
     items = F.transform("rows", lambda r: F.struct(r["prompt"].alias("prompt"), r["response"].alias("response")))
-    fields = [F.col("model_name").alias("model"), F.col("dataset"), F.size("rows").alias("count")]
+    fields = [F.col("model_name").alias("model"), F.col("dataset"), F.col("_total").cast("int").alias("count")]
     if expected is not None:
-        fields.append((F.size("rows") + F.col("offset") >= expected).alias("complete"))
+        fields.append((F.col("_total") >= expected).alias("complete"))
     fields += [items.alias("items"), F.col("offset"),
                F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("generated_at")]
     return grouped.select("model_name", "dataset", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})

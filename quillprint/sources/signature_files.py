@@ -62,7 +62,11 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_wide_csv(signatures: DataFrame, path: str, width: int) -> None:
-    """One row per model: its name and one column per dimension."""
+    """One row per model: its name and one column per dimension. A signature longer than ``width`` fails the job."""
+    message = F.concat(F.lit(f"Signature longer than {width} values: "), F.col("model_name"))
+    whole = F.when(F.size("signature") <= width, F.col("signature")).otherwise(
+        F.raise_error(message).cast(signatures.schema["signature"].dataType))
+    signatures = signatures.withColumn("signature", whole)
     columns = [F.get("signature", F.lit(i)).alias(f"{fixed.SIGNATURE_COLUMN_PREFIX}{i}") for i in range(width)]
     signatures.select("model_name", *columns).write.mode("overwrite").option("header", True).csv(path)
 
@@ -77,8 +81,9 @@ def read_wide_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_value_csv(signatures: DataFrame, path: str) -> None:
-    """One folder per model with a single column of values, in order."""
-    name = F.concat(F.translate("model_name", "/", "_"), F.lit(f"{fixed.SIGNATURE_FILE_SUFFIX}.csv"))
+    """One folder per model with a single column of values, in order. Folders carry the model's name as it is, escaped by
+    the writer, so that no two models share one."""
+    name = F.concat(F.col("model_name"), F.lit(f"{fixed.SIGNATURE_FILE_SUFFIX}.csv"))
     values = signatures.select(name.alias("file"), F.posexplode("signature").alias("pos", fixed.SIGNATURE_VALUE_COLUMN))
     ordered = values.repartition("file").sortWithinPartitions("file", "pos")
     (ordered.select("file", fixed.SIGNATURE_VALUE_COLUMN).write.mode("overwrite").option("header", True)
@@ -87,8 +92,12 @@ def write_value_csv(signatures: DataFrame, path: str) -> None:
 
 def _name_of(file: Column) -> Column:
     """Model name of a signature file: the last path step that carries the file suffix, without it."""
-    found = F.regexp_extract(file, r"([^/=]+)\.(?:csv|json)(?:/[^/]*)?$", 1)
-    return F.regexp_replace(F.url_decode(found), f"{fixed.SIGNATURE_FILE_SUFFIX}", "")
+    path = F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B")))
+    plain = F.regexp_extract(path, r"([^/=]+)\.(?:csv|json)(?:/[^/]*)?$", 1)
+    # a folder of the partitioned writer holds the name once more escaped
+    folder = F.regexp_extract(path, r"/file=([^/]+)\.(?:csv|json)/[^/]*$", 1)
+    escaped = F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(F.when(folder != "", escaped).otherwise(plain), f"{fixed.SIGNATURE_FILE_SUFFIX}$", "")
 
 
 def read_value_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -119,8 +128,9 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
         read_folder_json(spark, path))
 
 
-def summaries(signatures: DataFrame, dataset: str, dim: int, reduction: str, seconds: Column | None = None) -> DataFrame:
-    """Run summary per model: settings, statistics and where the signature goes."""
+def summaries(signatures: DataFrame, dataset: str, dim: int, reduction: str, seconds: Column | None = None,
+              root: str = "out") -> DataFrame:
+    """Run summary per model: settings, statistics and where the signature goes below ``root``."""
     stats = vectors.statistics(F.col("signature"))
     known = fixed.DATASET_ALIASES.get(dataset, dataset)
     return signatures.select(
@@ -128,7 +138,7 @@ def summaries(signatures: DataFrame, dataset: str, dim: int, reduction: str, sec
         F.lit("embedding").alias("extractor_type"), F.lit(dim).alias("dna_dimension"),
         F.lit(reduction).alias("reduction_method"), F.col("probe_count").alias("num_probes"),
         (F.lit(0.0) if seconds is None else seconds).alias("total_time_seconds"), stats.alias("signature_stats"),
-        fn.signature_file("out", F.lit(dataset), F.col("model_name")).alias("output_file"))
+        fn.signature_file(root, F.lit(dataset), F.col("model_name")).alias("output_file"))
 
 
 def write_summaries(rows: DataFrame, path: str) -> None:

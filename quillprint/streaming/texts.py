@@ -11,10 +11,11 @@ from quillprint.functions import fixed_values as fixed
 from quillprint.functions.encoders import encode_texts
 
 
-def stream_texts(spark: SparkSession, path: str, schema, column: str, order: str, n: int | None = None,
+def stream_texts(spark: SparkSession, path: str, schema, column: str, order: str, below: int | None = None,
                  fmt: str = "parquet", files_per_batch: int | None = None, **options) -> DataFrame:
     """Texts of a growing folder: ``probe_idx, text``. A missing column is an error before the stream starts; the
-    first n by position are kept by a filter, which needs no state."""
+    rows of positions under ``below`` are kept by a filter, which needs no state (they are the first ``below`` texts only
+    where positions have no gaps)."""
     fields = schema.fieldNames()
     if column not in fields:
         raise ValueError(f"Text column '{column}' not found. Available: {fields}")
@@ -22,7 +23,7 @@ def stream_texts(spark: SparkSession, path: str, schema, column: str, order: str
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     texts = reader.load(path).select(F.col(order).cast("bigint").alias("probe_idx"), F.col(column).alias("text"))
-    return texts if n is None else texts.where(F.col("probe_idx") < n)
+    return texts if below is None else texts.where(F.col("probe_idx") < below)
 
 
 def with_batch_number(texts: DataFrame, size: int = fixed.STREAM_BATCH) -> DataFrame:

@@ -104,7 +104,7 @@ def test_text_stream_needs_its_column_and_resumes(spark):
         st.stream_texts(spark, f"{base}/in", frame.schema, "body", "id")
 
     def run():
-        texts = st.stream_texts(spark, f"{base}/in", frame.schema, "text", "id", n=15, files_per_batch=1)
+        texts = st.stream_texts(spark, f"{base}/in", frame.schema, "text", "id", below=15, files_per_batch=1)
         st.append_embeddings(texts, f"{base}/out", f"{base}/check", width=8).awaitTermination()
         return spark.read.parquet(f"{base}/out").count()
 
