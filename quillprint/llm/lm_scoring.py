@@ -82,7 +82,9 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_cou
 
     def ask(block: pa.Table) -> pa.Table:
         found, sizes = _runs(block.column("text"), order)
-        asked, counts = np.unique(np.concatenate(found), return_counts=True)
+        every = np.concatenate(found)
+        del found
+        asked, counts = np.unique(every, return_counts=True)
         asked, counts = np.append(asked, EMPTY), np.append(counts, sum(sizes))
         by, ends = _dealt(asked, tables)
         used = np.flatnonzero(np.diff(ends))
@@ -103,8 +105,9 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_cou
 
     def answer(block: pa.Table, answers: pa.Table) -> pa.Table:
         found, sizes = _runs(block.column("text"), order)
-        lengths = [len(x) for x in found]
-        asked, where = np.unique(np.concatenate(found), return_inverse=True)
+        lengths, every = [len(x) for x in found], np.concatenate(found)
+        del found
+        asked, where = np.unique(every, return_inverse=True)
         by, ends = _dealt(np.append(asked, EMPTY), tables)
         parts = answers.column("part").to_numpy()
         lists = answers.column("totals").combine_chunks()
@@ -137,7 +140,8 @@ def digest_sql(backoff: float = BACKOFF, min_count: int = MIN_COUNT) -> str:
     """Order 2 from the table ``documents``."""
     return rf"""
     WITH split AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-            'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+            'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
     placed AS (SELECT doc_id, i, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a
                FROM split, unnest(range(1, len(w) + 1)) t(i)),
     singles AS (SELECT b AS word, count(*) AS n FROM placed GROUP BY 1),
