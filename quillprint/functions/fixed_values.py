@@ -295,15 +295,6 @@ STANDARD_PROBES = {
         "Hej, hur mår du?", "Hallo, hoe gaat het?", "Γεια σου, πώς είσαι;", "नमस्ते, आप कैसे हैं?",
     ],
 }
-STANDARD_DESCRIPTIONS = {
-    "general": "General-purpose probe set covering basic concepts",
-    "reasoning": "Reasoning and logic-focused probe set",
-    "creative": "Creative and imaginative probe set",
-    "factual": "Factual knowledge probe set",
-    "conversational": "Natural conversation probe set",
-    "coding": "Programming and coding probe set",
-    "multilingual": "Multilingual probe set",
-}
 
 # --- fixed values: sentence grammars --------------------------------------------------------------------------
 # Names in braces are expanded by choosing one of their forms; names with a leading underscore are word classes.
@@ -324,7 +315,6 @@ ENGLISH_GRAMMAR = {
 ENGLISH_WORD_CLASSES = {"_NOUN": "nouns", "_VERB": "verbs", "_VERB_BASE": "verbs", "_ADJ": "adjectives",
                         "_ADJ2": "adjectives"}
 ENGLISH_WORDS_PER_SAMPLE = 100
-ENGLISH_SAMPLES = 600
 ENGLISH_SHORTEST_SENTENCE = 3
 
 CHINESE_GRAMMAR = {
@@ -356,6 +346,5 @@ CHINESE_WORD_CLASSES = {
     "_DUAL": "dual_terms",
 }
 CHINESE_CHARS_PER_SAMPLE = 100
-CHINESE_SAMPLES = 100
 CHINESE_SHORTEST_SENTENCE = 1
 # --- end of fixed values --------------------------------------------------------------------------------------

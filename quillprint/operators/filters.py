@@ -13,12 +13,6 @@ def non_blank_probes(probes: DataFrame, column: str = "text") -> DataFrame:
     return probes.where(text.has_text(F.col(column)))
 
 
-def require_rows(df: DataFrame, message: str) -> DataFrame:
-    """The same rows, checked at once: fails with ``message`` when there are none."""
-    if df.isEmpty():
-        raise ValueError(message)
-    return df
-
 
 def generative_models(models: DataFrame, flag: str | Column = "is_generative") -> DataFrame:
     """Drops models that are marked as not generative; an unknown mark is kept."""

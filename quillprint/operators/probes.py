@@ -74,10 +74,6 @@ def standard_probes(spark: SparkSession, name: str | None = None) -> DataFrame:
     return spark.createDataFrame(rows, "probe_set string, probe_idx int, text string")
 
 
-def standard_set_info(spark: SparkSession) -> DataFrame:
-    rows = [(s, f"standard_{s}", fixed.STANDARD_DESCRIPTIONS[s], s) for s in fixed.STANDARD_PROBES]
-    return spark.createDataFrame(rows, "probe_set string, set_id string, description string, domain string")
-
 
 def datasets_for(domains: list[str]) -> list[str]:
     return [dataset for wanted, dataset in fixed.DOMAIN_DATASETS if any(d in domains for d in wanted)]
@@ -164,5 +160,3 @@ def probe_texts(sources: DataFrame, dataset: str, probe_set: str, n: int, seed:
         return first.select(F.lit(dataset).alias("dataset"), "probe_idx", "text")
     mixed = mixed_probes(known, n, seed)
     return mixed.select(F.lit(dataset).alias("dataset"), F.col("position").alias("probe_idx"), "text")
-
-

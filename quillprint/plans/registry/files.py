@@ -56,6 +56,14 @@ QUERIES["s7_dataset_reader"] = (
     "SELECT 'docs' AS dataset, doc_id AS probe_idx, md5(text) AS text FROM documents ORDER BY doc_id LIMIT 300")
 
 
+QUERIES["s7_named_dataset"] = (
+    lambda spark, sf: datasets.read_named_dataset(spark, "rand", f"{sf}/documents.parquet", "doc_id").unionByName(
+        datasets.read_named_dataset(spark, "embed", f"{sf}/documents.parquet", "doc_id")).select(
+        "dataset", "probe_idx", F.md5(F.col("text").cast("binary")).alias("text")),
+    """(SELECT 'rand' AS dataset, doc_id AS probe_idx, md5(text) AS text FROM documents ORDER BY doc_id LIMIT 600)
+       UNION ALL SELECT 'embedllm', doc_id, md5(text) FROM documents""")
+
+
 def _prompt_csv(spark, sf):
     path = scratch_path(spark, "prompts")
     rows = table(spark, sf, "documents").select(

@@ -28,11 +28,6 @@ def with_request_bytes(lines: DataFrame) -> DataFrame:
     return lines.withColumn("request_bytes", F.octet_length("request").cast("bigint"))
 
 
-def write_requests(lines: DataFrame, path: str) -> None:
-    """Request lines below a folder per model."""
-    lines.select("model_name", F.col("request").alias("value")).write.mode("overwrite").partitionBy("model_name") \
-        .text(path)
-
 
 def parse_chat_output(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Responses of chat-layout output lines (``keys, line_no, value``): ``keys, probe_idx, response``.

@@ -49,9 +49,6 @@ def write_catalog(classified: DataFrame, outcomes: DataFrame, path: str) -> None
     outcomes.write.mode("overwrite").json(f"{path}/outcomes")
 
 
-def read_catalog_models(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).json(f"{path}/models")
-
 
 def write_catalog_export(models: DataFrame, path: str) -> None:
     """One JSON object per line and model."""

@@ -26,6 +26,25 @@ def read_dataset(spark: SparkSession, path: str, column: str, order: str, n: int
     return texts.orderBy("probe_idx").limit(n) if n else texts
 
 
+def read_named_dataset(spark: SparkSession, name: str, path: str, order: str, n: int | None = None,
+                       fmt: str = "parquet", **options) -> DataFrame:
+    """A known dataset (or alias) from its files at ``path``: its text column, or a usual one where that is missing, and
+    its limit of rows unless ``n`` says otherwise. A ``subset`` and a ``split`` column, where the files have one, are held
+    to the dataset's settings."""
+    known = fixed.DATASET_ALIASES.get(name, name)
+    if known not in fixed.DATASETS:
+        raise ValueError(f"Unknown dataset: {name}. Known: {', '.join(fixed.DATASETS)}")
+    _, subset, split, column, limit = fixed.DATASETS[known]
+    table = spark.read.format(fmt).options(**options).load(path)
+    for setting, value in (("subset", subset), ("split", split)):
+        if value is not None and setting in table.columns:
+            table = table.where(F.col(setting) == value)
+    texts = table.select(F.lit(known).alias("dataset"), F.col(order).cast("bigint").alias("probe_idx"),
+                         F.col(text_column(table, column, fixed.TEXT_COLUMN_FALLBACKS)).alias("text"))
+    rows = limit if n is None else n
+    return texts if rows is None else texts.orderBy("probe_idx").limit(rows)
+
+
 def union_datasets(readers: dict[str, callable]) -> tuple[DataFrame, dict[str, str]]:
     """Union of the datasets that can be opened, and the reason for each that cannot."""
     frames, skipped = [], {}

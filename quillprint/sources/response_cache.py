@@ -71,8 +71,3 @@ def cached_items(documents: DataFrame) -> DataFrame:
 def usable_items(items: DataFrame) -> DataFrame:
     """Items of caches that may be used."""
     return items.join(accepted_caches(items), ["model_name", "dataset"], "left_semi")
-
-
-def write_response_table(responses: DataFrame, path: str) -> None:
-    """The table form for large runs: Parquet below a folder per dataset."""
-    responses.write.mode("overwrite").partitionBy("dataset").parquet(path)
