@@ -11,7 +11,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from quillprint.plans.registry import load  # noqa: E402
-from quillprint.session import build_session  # noqa: E402
+from quillprint.session import SPREAD, build_session  # noqa: E402
 
 HEADLINES = [
     "r8_signature_concat_16", "a14_concat_128", "a13_max_16", "r8_signature_pca_concat", "r4_random_projection",
@@ -26,7 +26,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeats = int(os.environ.get("BENCH_REPEATS", "3"))
     spark = build_session("bench", master=f"local[{cpus}]", shuffle_partitions=int(cpus),
-                          **{"spark.ui.showConsoleProgress": "false"})
+                          **{"spark.ui.showConsoleProgress": "false", SPREAD: cpus})
     spark.sparkContext.setLogLevel("ERROR")
     known = load()
     seconds = {}

@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-SPREAD_BYTES = 128 * 1024 * 1024
+SPREAD = "spark.quillprint.spread.partitions"
 
 
 def build_session(app: str = "quillprint", master: str | None = None, shuffle_partitions: int | None = None,
@@ -110,10 +110,9 @@ def path_bytes(spark: SparkSession, path: str) -> int:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(hadoop_path).getLength()
 
 
-def read_spread(spark: SparkSession, path: str, below: int = SPREAD_BYTES) -> DataFrame:
-    """A Parquet table for work that is heavy per row. One of less than ``below`` bytes may be a single row group,
-    which one core would read alone, so its rows are dealt out to all cores; a larger one is read as it lies."""
+def read_spread(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table as it lies; where the caller sets ``SPREAD`` in the session, its rows are dealt out to so many
+    partitions (for tables of few row groups and work that is heavy per row)."""
     table = spark.read.parquet(path)
-    if path_bytes(spark, path) >= below:
-        return table
-    return table.repartition(spark.sparkContext.defaultParallelism)
+    parts = spark.conf.get(SPREAD, None)
+    return table.repartition(int(parts)) if parts else table
