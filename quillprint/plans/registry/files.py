@@ -141,14 +141,13 @@ QUERIES["s12_wide_csv"] = (
 
 
 def _folder(spark, sf):
-    """CSV files and JSON files side by side, with a broken one of each."""
+    """CSV files and JSON files side by side, with a broken one among them."""
     path = scratch_path(spark, "folder")
     s = signatures(spark, sf)
-    sf_io.write_value_csv(s.where("ord % 2 = 0"), f"{path}/a")
+    sf_io.write_value_csv(s.where("ord % 2 = 0"), path)
     spark.createDataFrame([("not a signature",)], "value string").coalesce(1).write.text(f"{path}/broken_dna.json")
     sf_io.write_json(sf_io.with_metadata(s.where("ord % 2 = 1")), f"{path}/rest_dna.json")
-    csv = sf_io.read_value_csv(spark, f"{path}/a")
-    return long_signature(csv.unionByName(sf_io.read_folder_json(spark, path)), "model_name")
+    return long_signature(sf_io.read_signatures(spark, path), "model_name")
 
 
 QUERIES["s13_signature_folder"] = (_folder, f"WITH {SIGNATURES_SQL} SELECT model_name, {_VALUES_SQL}")

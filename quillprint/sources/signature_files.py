@@ -128,6 +128,19 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
         read_folder_json(spark, path))
 
 
+def read_signatures(spark: SparkSession, path: str) -> DataFrame:
+    """``model_name, signature, extraction_method`` by the kind of the path: a JSON file, a CSV file (wide, or one column
+    of values), or a folder of single files."""
+    if path.endswith(".json"):
+        documents = read_json(spark, path)
+        return documents.select("model_name", "signature", F.col("metadata.extraction_method").alias("extraction_method"))
+    if not path.endswith(".csv"):
+        return read_folder(spark, path)
+    header = spark.read.option("recursiveFileLookup", True).option("header", True).csv(path).columns
+    wide = "model_name" in header
+    return read_wide_csv(spark, path) if wide else read_value_csv(spark, path)
+
+
 def summaries(signatures: DataFrame, dataset: str, dim: int, reduction: str, seconds: Column | None = None,
               root: str = "out") -> DataFrame:
     """Run summary per model: settings, statistics and where the signature goes below ``root``."""

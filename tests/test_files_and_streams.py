@@ -120,3 +120,16 @@ def test_callback_sees_every_response(spark):
     stream = spark.readStream.schema("id bigint").parquet(f"{base}/in")
     st.each_response(stream, lambda df, _: counts.append(df.count()), f"{base}/check").awaitTermination()
     assert sum(counts) == 9
+
+
+def test_signatures_by_kind_of_path(spark, tmp_path):
+    rows = [("a/b", [1.0, 2.0]), ("a_b", [3.0, 4.0])]
+    frame = spark.createDataFrame(rows, "model_name string, signature array<double>")
+    io.write_wide_csv(frame, f"{tmp_path}/wide.csv", 2)
+    io.write_value_csv(frame, f"{tmp_path}/folder")
+    io.write_json(io.with_metadata(frame), f"{tmp_path}/all.json")
+    for name in ("wide.csv", "folder", "all.json"):
+        found = io.read_signatures(spark, f"{tmp_path}/{name}").collect()
+        assert sorted((r.model_name, r.signature) for r in found) == rows
+    with pytest.raises(Exception, match="longer than 1"):
+        io.write_wide_csv(frame, f"{tmp_path}/cut.csv", 1)
