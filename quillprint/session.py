@@ -104,6 +104,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def any_path(spark: SparkSession, pattern: str) -> bool:
+    """Whether a pattern names anything."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop_path)
+    return found is not None and len(found) > 0
+
+
 def path_bytes(spark: SparkSession, path: str) -> int:
     """Size of everything below a path."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)

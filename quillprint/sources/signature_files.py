@@ -10,6 +10,7 @@ from quillprint.functions import fixed_values as fixed
 from quillprint.functions import text as fn
 from quillprint.functions import vectors
 from quillprint.operators.ordering import number_blocks
+from quillprint.session import any_path
 
 METADATA_SCHEMA = T.StructType([
     T.StructField("model_name", T.StringType()), T.StructField("extraction_method", T.StringType()),
@@ -123,9 +124,15 @@ def read_folder_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
-    """Signatures of a folder of single files: CSV ones, then JSON ones."""
-    return read_value_csv(spark, f"{path}/*{fixed.SIGNATURE_FILE_SUFFIX}.csv").unionByName(
-        read_folder_json(spark, path))
+    """Signatures of a folder of single files: CSV ones, then JSON ones, as far as there are any."""
+    values = f"{path}/*{fixed.SIGNATURE_FILE_SUFFIX}.csv"
+    has_json = any_path(spark, f"{path}/*{fixed.SIGNATURE_FILE_SUFFIX}.json")
+    if not any_path(spark, values):
+        if not has_json:
+            raise ValueError(f"No signature files in {path}")
+        return read_folder_json(spark, path)
+    found = read_value_csv(spark, values)
+    return found.unionByName(read_folder_json(spark, path)) if has_json else found
 
 
 def read_signatures(spark: SparkSession, path: str) -> DataFrame:
