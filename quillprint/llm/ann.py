@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillprint.session import settle, ship_package
 
@@ -202,8 +203,7 @@ def search(index: DataFrame, queries: DataFrame, top: int = TOP, beam: int = BEA
         "shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))))
     graph = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
     kind = queries.schema[key].dataType
-    arrow_kind = pa.int64() if kind.simpleString() == "bigint" else pa.int32() if kind.simpleString() == "int" else \
-        pa.string()
+    arrow_kind = to_arrow_type(kind)
     schema = pa.schema([("query_id", arrow_kind), ("vec_id", arrow_kind), ("score", pa.float64())])
 
     def find(points: pa.Table, shard: pa.Table) -> pa.Table:

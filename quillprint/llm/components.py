@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from quillprint.session import settle
+from quillprint.session import settle, ship_package
 
 ROUNDS = 60
+#: Links up to which one task finds the components in memory (some 100 bytes each); beyond, all tasks do so in rounds.
+LOCAL_LINKS = 1 << 19
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", local_links: int = LOCAL_LINKS) -> DataFrame:
     """``node, component``: for every node of a link the smallest node that it reaches.
 
-    Every round each node looks at its neighbours' labels and then jumps to its label's label, so that the number of
-    rounds follows the logarithm of a chain's length. Nodes with a great many links only take part in aggregations that
-    combine before the shuffle, and in joins that AQE splits.
+    A table of few links is done by one task. In a larger one each node looks at its neighbours' labels every round and
+    then jumps to its label's label, so that the number of rounds follows the logarithm of a chain's length. Nodes with a
+    great many links only take part in aggregations that combine before the shuffle, and in joins that AQE splits.
     """
-    both = links.select(F.col(a).alias("node"), F.col(b).alias("other"))
-    both = settle(both.union(both.select("other", "node")).where("node <> other").distinct(), "links")
+    given = settle(links.select(F.col(a).alias("node"), F.col(b).alias("other")).where("node <> other"), "links")
+    if given.count() <= local_links:
+        return settle(_in_one_task(given), "labels")
+    both = settle(given.union(given.select("other", "node")).distinct(), "links")
     labels = settle(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("component")), "labels")
     for _ in range(ROUNDS):
         seen = both.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(
@@ -33,3 +39,30 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if not changed:
             return labels
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
+
+
+def _in_one_task(links: DataFrame) -> DataFrame:
+    ship_package(links.sparkSession)
+    kind = links.schema["node"].dataType.simpleString()
+    arrow = to_arrow_type(links.schema["node"].dataType)
+
+    def find(batches):
+        top: dict = {}
+
+        def root(x):
+            while top[x] != x:
+                top[x] = top[top[x]]
+                x = top[x]
+            return x
+
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                top.setdefault(x, x)
+                top.setdefault(y, y)
+                low, high = sorted((root(x), root(y)))
+                top[high] = low
+        nodes = list(top)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, arrow), pa.array([root(x) for x in nodes], arrow)],
+                                         ["node", "component"])
+
+    return links.coalesce(1).mapInArrow(find, f"node {kind}, component {kind}")

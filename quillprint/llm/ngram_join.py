@@ -20,23 +20,25 @@ from pyspark.sql import functions as F
 
 from quillprint.llm import grams
 from quillprint.llm.components import components
-from quillprint.session import settle, ship_package
+from quillprint.session import discard, settle, ship_package
 
 SHINGLE = 5
 #: Similarity of 75 percent, in whole numbers.
 PERCENT = 75
 #: The order of n-grams only steers the work, not the result: n-grams known to be in HOT documents come last. At most
-#: HOT_KEPT of them, the most frequent, are sent to the tasks (8 bytes each).
-HOT = 16
-HOT_KEPT = 1 << 19
+#: HOT_KEPT of them, the most frequent, are sent to the tasks (12 bytes each).
+HOT = 4
+HOT_KEPT = 1 << 20
 #: Prefix n-grams of one bucket block.
 BLOCK = 1 << 20
 BROADCAST_IDS = 1 << 20
 #: Bits of a class's signature: the parity of how many of its n-grams fall on each.
 SIGNATURE = 2048
-#: Buckets get another star, with another member, as long as their members' pairs would be more than so many a row.
-PAIRS_PER_ROW = 8
-STARS = 6
+#: The groups of a bucket of at most so many are paired at once; larger buckets get stars first.
+SMALL = 8
+#: Larger buckets get another star, with another member, as long as their members' pairs would be more than so many a row.
+PAIRS_PER_ROW = 32
+STARS = 2
 
 
 def _sets(texts, n: int):
@@ -99,7 +101,7 @@ def _repeated(docs: DataFrame, n: int) -> np.ndarray:
     top = rows.where(F.col("n") >= HOT).orderBy(F.desc("n"), "gram").limit(HOT_KEPT).toArrow()
     values = top.column(0).to_numpy().view(np.uint64)
     order = np.argsort(values)
-    return values[order], top.column(1).to_numpy()[order]
+    return values[order], top.column(1).to_numpy()[order].astype(np.int32)
 
 
 def _ordered_prefix(values: np.ndarray, hot: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
@@ -187,7 +189,8 @@ def join_documents(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, ke
                 group = _group(prefix, len(values))
                 if group not in seen:
                     seen.add(group)
-                    held.append((prefix, np.full(len(prefix), group, np.int64)))
+                    held.append((prefix, np.full(len(prefix), group, np.int64),
+                                 np.full(len(prefix), len(values), np.int32)))
                     size += len(prefix)
             if size > 1 << 21:
                 yield from dealt(held)
@@ -197,7 +200,7 @@ def join_documents(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, ke
     def dealt(held):
         if not held:
             return
-        tokens, groups = (np.concatenate(x) for x in zip(*held))
+        tokens, groups, sizes = (np.concatenate(x) for x in zip(*held))
         block = (tokens >> np.uint64(32)) % np.uint64(blocks)
         order = np.argsort(block, kind="stable")
         ends = np.searchsorted(block[order], np.arange(blocks + 1))
@@ -206,53 +209,81 @@ def join_documents(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, ke
             one = [0, len(own)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([i], pa.int64()), pa.ListArray.from_arrays(one, tokens[own].view(np.int64)),
-                 pa.ListArray.from_arrays(one, groups[own])], ["block", "tokens", "groups"])
+                 pa.ListArray.from_arrays(one, groups[own]), pa.ListArray.from_arrays(one, sizes[own])],
+                ["block", "tokens", "groups", "sizes"])
 
     def shared(found: pa.Table) -> pa.Table:
-        tokens = found.column("tokens").combine_chunks().flatten().to_numpy()
-        groups = found.column("groups").combine_chunks().flatten().to_numpy()
+        """Pairs ``grp, other`` of small buckets, rows ``token, grp`` of larger ones. A larger bucket is named by its
+        groups, so that n-grams with the same groups (the words of one passage) are one bucket."""
+        tokens, groups, sizes = (found.column(c).combine_chunks().flatten().to_numpy() for c in ("tokens", "groups", "sizes"))
         order = np.lexsort((groups, tokens))
-        tokens, groups = tokens[order], groups[order]
+        tokens, groups, sizes = tokens[order], groups[order], sizes[order].astype(np.int64)
         new = np.ones(len(tokens), bool)
         new[1:] = (tokens[1:] != tokens[:-1]) | (groups[1:] != groups[:-1])
-        tokens, groups = tokens[new], groups[new]
-        again = np.zeros(len(tokens), bool)
-        again[1:] = tokens[1:] == tokens[:-1]
-        again[:-1] |= again[1:]
-        return pa.table({"token": tokens[again], "grp": groups[again]})
-
-    buckets = settle(docs.select("text").mapInArrow(post, "block bigint, tokens array<bigint>, groups array<bigint>")
-                     .groupBy("block").applyInArrow(shared, "token bigint, grp bigint"), "join-buckets")
+        tokens, groups, sizes = tokens[new], groups[new], sizes[new]
+        _, run, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+        many = counts[run]
+        pairs = [np.empty((0, 2), np.int64)]
+        for ahead in range(1, SMALL):
+            a, b = slice(None, -ahead), slice(ahead, None)
+            small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+            met = (tokens[a] == tokens[b]) & (many[a] <= SMALL) & (small * 100 >= large * percent)
+            pairs.append(np.column_stack([groups[a][met], groups[b][met]]))
+        paired = np.unique(np.concatenate(pairs), axis=0)
+        rest = many > SMALL
+        names = np.zeros(len(counts), np.uint64)
+        np.add.at(names, run, grams.mix(groups.view(np.uint64)))
+        tokens = grams.mix(names)[run].view(np.int64)
+        none = [pa.nulls(len(paired), pa.int64()), pa.nulls(int(rest.sum()), pa.int64())]
+        return pa.table({"token": pa.chunked_array([none[0], pa.array(tokens[rest])]),
+                         "grp": pa.chunked_array([pa.array(paired[:, 0]), pa.array(groups[rest])]),
+                         "other": pa.chunked_array([pa.array(paired[:, 1]), none[1]])})
+
+    posted = docs.select("text").mapInArrow(
+        post, "block bigint, tokens array<bigint>, groups array<bigint>, sizes array<int>")
+    met = settle(posted.groupBy("block").applyInArrow(shared, "token bigint, grp bigint, other bigint"), "join-met")
+    pairs = settle(met.where("token IS NULL").select("grp", "other").distinct(), "join-group-pairs")
+    buckets = settle(met.where("token IS NOT NULL").select("token", "grp").distinct(), "join-buckets")
 
     # Groups: their first class stands for them.
     groups = settle(classes.groupBy("grp").agg(F.min("class").alias("rep"), F.first("size").alias("size"),
                                                F.count(F.lit(1)).alias("members")), "join-groups")
-    bucketed = groups.join(buckets.select("grp").distinct(), "grp", "left_semi").select("grp")
-    needed = classes.join(bucketed.union(groups.where("members > 1").select("grp")).distinct(), "grp", "left_semi")
-    needed = settle(needed.select("class", "grp", "size", "key"), "join-needed")
+    several = groups.where("members > 1").select("grp")
+    named = buckets.select("grp").union(pairs.select("grp")).union(pairs.select("other")).union(several).distinct()
+    needed = settle(classes.join(named, "grp", "left_semi").select("class", "grp", "size", "key"), "join-needed")
     signatures = settle(filled.select("class", "size", "sig").join(needed.select("class"), "class", "left_semi")
                         .dropDuplicates(["class"]), "join-signatures")
 
     def linked(pairs: DataFrame) -> DataFrame:
         possible = settle(_possible(pairs.distinct(), signatures, percent), "join-pairs")
         named = possible.select(F.col("a").alias("class")).union(possible.select("b")).distinct()
-        sets = _needed_sets(docs, needed.join(named, "class", "left_semi"), n)
-        return settle(_verified(possible, settle(sets, "join-sets"), percent), "join-links")
-
-    # Stars: members with their group's first class, groups with the first group of a bucket.
+        sets = settle(_needed_sets(docs, needed.join(named, "class", "left_semi"), n), "join-sets")
+        found = settle(_verified(possible, sets, percent), "join-links")
+        discard(possible, sets)
+        return found
+
+    # Pairs of groups by their first classes; members with their group's first class; groups of a larger bucket with its
+    # first group.
+    reps = groups.select("grp", "rep", "size")
+    direct = pairs.join(reps.select("grp", F.col("rep").alias("a")), "grp").join(
+        reps.select(F.col("grp").alias("other"), F.col("rep").alias("b")), "other").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     inner = needed.join(groups.select("grp", "rep"), "grp").where("class <> rep").select(
         F.col("rep").alias("a"), F.col("class").alias("b"))
-    met = buckets.join(groups.select("grp", "rep", "size"), "grp")
-    first = met.groupBy("token").agg(F.min(F.struct("rep", "size")).alias("first"))
-    outer = met.join(first, "token").where((F.col("rep") > F.col("first.rep")) & _close("size", "first.size", percent))
-    links = linked(inner.union(outer.select(F.col("first.rep").alias("a"), F.col("rep").alias("b"))))
+    large = buckets.join(reps, "grp")
+    first = large.groupBy("token").agg(F.min(F.struct("rep", "size")).alias("first"))
+    outer = large.join(first, "token").where((F.col("rep") > F.col("first.rep")) & _close("size", "first.size", percent))
+    links = linked(direct.union(inner).union(outer.select(F.col("first.rep").alias("a"), F.col("rep").alias("b"))))
     labels = components(links)
 
-    # What is open: buckets of members (a group is a bucket, too) that do not hang together.
+    # What is open: larger buckets, groups of several members, and pairs with such a group, as far as their members do not
+    # hang together. A pair of single members is decided.
     members = needed.select("class", "grp", "size")
-    rows = buckets.join(members, "grp").select("token", "class", "size")
-    rows = rows.union(members.join(groups.where("members > 1").select("grp"), "grp", "left_semi")
-                      .select(F.col("grp").alias("token"), "class", "size"))
+    wide = pairs.join(several, "grp", "left_semi").union(
+        pairs.join(several.withColumnRenamed("grp", "other"), "other", "left_semi").select("grp", "other")).distinct()
+    wide = wide.select(F.xxhash64("grp", "other").alias("token"), F.explode(F.array("grp", "other")).alias("grp"))
+    bags = buckets.union(wide).union(several.select(F.col("grp").alias("token"), "grp"))
+    rows = bags.join(members, "grp").select("token", "class", "size")
     for turn in range(STARS + 1):
         labelled = rows.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn(
             "component", F.coalesce("component", "class"))

@@ -92,10 +92,14 @@ def test_signatures_never_rule_out_a_link():
         assert bits <= len(np.setxor1d(a, b))
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("local", [0, 1000])
+def test_components_of_chains_and_stars(spark, local):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 201), (201, 200), (300, 300)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a bigint, b bigint"),
+                                                             local_links=local).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 200: 200, 201: 200}
+    none = spark.createDataFrame([], "a bigint, b bigint")
+    assert components(none, local_links=local).count() == 0
 
 
 # --- nearest neighbours ---
