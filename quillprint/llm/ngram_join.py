@@ -124,9 +124,12 @@ def _possible(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFram
     members, and signatures in no more bits than that."""
     left = signatures.select(F.col("class").alias("a"), F.col("size").alias("size_a"), F.col("sig").alias("sa"))
     right = signatures.select(F.col("class").alias("b"), F.col("size").alias("size_b"), F.col("sig").alias("sb"))
-    bits = F.expr("aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)").cast("bigint")
-    return pairs.join(left, "a").join(right, "b").where(
-        bits * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent)).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(_alike("sa", "sb", "size_a", "size_b", percent)).select("a", "b")
+
+
+def _alike(sig_a: str, sig_b: str, size_a: str, size_b: str, percent: int):
+    bits = F.expr(f"aggregate(zip_with({sig_a}, {sig_b}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    return bits.cast("bigint") * (100 + percent) <= (F.col(size_a) + F.col(size_b)) * (100 - percent)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -302,11 +305,14 @@ def join_documents(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, ke
                                                     & _close("size", "first.size", percent))
             pairs = pairs.select(F.least("class", "first.class").alias("a"), F.greatest("class", "first.class").alias("b"))
         else:
-            other = rows.select("token", F.col("class").alias("b"), F.col("size").alias("size_b"),
-                                F.col("component").alias("component_b"))
-            pairs = rows.join(other, "token").where((F.col("class") < F.col("b"))
-                                                    & (F.col("component") != F.col("component_b"))
-                                                    & _close("size", "size_b", percent)).select(F.col("class").alias("a"), "b")
+            # signatures go along, so that only pairs that they do not rule out leave the join
+            signed = rows.join(signatures.select("class", "sig"), "class")
+            other = signed.select("token", F.col("class").alias("b"), F.col("size").alias("size_b"),
+                                  F.col("component").alias("component_b"), F.col("sig").alias("sig_b"))
+            pairs = signed.join(other, "token").where(
+                (F.col("class") < F.col("b")) & (F.col("component") != F.col("component_b"))
+                & _close("size", "size_b", percent) & _alike("sig", "sig_b", "size", "size_b", percent)).select(
+                F.col("class").alias("a"), "b")
         more = linked(pairs)
         found = not more.isEmpty()
         if found:
