@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillprint.llm import grams, language_id, lm_scoring, secret_scan, toxicity
+from quillprint.llm.queries import QUERIES
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 VOCAB = {"aa": "the and of to in that was with", "bb": "und der die das nicht ist ein mit", "cc": "que los las una por con para del"}
@@ -204,3 +205,12 @@ def test_stupid_backoff(spark, order):
     for r in got:
         assert r["log_score"] == pytest.approx(want[r["doc_id"]]) and (r["mean_log_score"] is None) == (r["n_words"] == 0)
     assert lm_scoring.score(docs.limit(0)).count() == 0
+
+
+def test_registered_order_three_scores(spark, tmp_path):
+    texts = [_speech("aa", i % 7, 20 + i) for i in range(30)] + [None, "", "one", "The THE the"]
+    spark.createDataFrame([(i, t, None, "s", 1) for i, t in enumerate(texts)], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    want = _plain_scores(texts, 3)
+    got = QUERIES["op8_lm_scoring_order3"][0](spark, str(tmp_path)).collect()
+    assert len(got) == len(texts) and want != pytest.approx(_plain_scores(texts, 2))
+    assert all(r["log_score"] == pytest.approx(want[r["doc_id"]], abs=1e-4) for r in got)
