@@ -102,6 +102,15 @@ def test_components_of_chains_and_stars(spark, local):
     assert components(none, local_links=local).count() == 0
 
 
+def test_components_of_a_shuffled_chain(spark):
+    names = np.random.RandomState(3).permutation(2000).tolist()
+    links = list(zip(names, names[1:])) + [(5000, 5001)]
+    frame = spark.createDataFrame(links, "a bigint, b bigint")
+    for local in (0, 300):
+        got = {r["node"]: r["component"] for r in components(frame, local_links=local).collect()}
+        assert got == {**{i: 0 for i in range(2000)}, 5000: 5000, 5001: 5000}
+
+
 # --- nearest neighbours ---
 
 def _brute(rows, queries, top):
