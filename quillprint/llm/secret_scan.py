@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and a guess-cost model for what stands in credential contexts.
 
 The guess cost of a value is the smallest sum, over all ways to cut it into segments, of the logarithms of how many tries
-a segment takes: known words by rank, dates, repeats, runs along keyboard rows, alphabet and digits, and brute force by
+a segment takes: fixed words and the corpus's by rank, dates, repeats, runs along keyboard rows, alphabet and digits, and brute force by
 character class. A value in a credential context that takes many tries is marked even where no fixed pattern matches.
 """
 
@@ -30,8 +30,12 @@ CONTEXT = re.compile(r"""(?ai:\b(?:pass(?:word|wd|phrase|code)|pwd|pin|credentia
                      r"""["']?(?:\x20*(?:[:=]|=>)\x20*|\x20+is\x20+))["']?([^\s"'<>,;]{6,})""")
 #: Tries, as a power of ten, from which a value counts as a secret rather than a word or a placeholder.
 MIN_TRIES = 8.0
-#: Segments of words, dates, repeats and walks are at most so long; brute force goes by single characters.
+#: A repeat or walk may be cut anywhere within so many characters; beyond, it goes on to the end of its run.
 SEGMENT = 24
+#: The words ranked are the WORDS_KEPT in most documents, of at least WORD_DOCS documents and at most WORD_LETTERS letters.
+WORDS_KEPT = 100_000
+WORD_DOCS = 20
+WORD_LETTERS = 64
 
 # Words by how soon they are tried.
 WORDS = """password admin welcome letmein monkey dragon master login secret test user root guest changeme example
@@ -39,7 +43,20 @@ sample default hello iloveyou sunshine princess football baseball shadow superma
 demo temp null none true false your my the value string here insert enter placeholder xxx foo bar baz qux database
 server system service account private public love summer winter spring autumn january february march april may june
 july august september october november december monday tuesday wednesday thursday friday saturday sunday""".split()
-RANK = {w: i + 1 for i, w in enumerate(WORDS)}
+
+
+class Ranks(dict):
+    """Ranks of words, and how long the longest is."""
+
+    def __init__(self, ranks: dict[str, int]):
+        super().__init__(ranks)
+        self.longest = max(map(len, ranks), default=0)
+
+    def __reduce__(self):
+        return Ranks, (dict(self),)
+
+
+RANK = Ranks({w: i + 1 for i, w in enumerate(WORDS)})
 LEET = str.maketrans("013457@$!", "oleastasi")
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
 _NEXT = {pair for row in ROWS for line in (row, row[::-1]) for pair in zip(line, line[1:])}
@@ -55,60 +72,92 @@ def _class_size(c: str) -> int:
     return 1000
 
 
-def _segments(value: str, start: int):
-    """``end, tries as a power of ten`` of every segment of a pattern that starts here."""
+def _ends(value: str) -> list[list[int]]:
+    """Where the run through every position ends: of characters equal to the one 1, 2, 3 or 4 before, and of a walk."""
     low = value.lower()
-    stop = min(len(value), start + SEGMENT)
-    plain = low[start:stop].translate(LEET)
+    if len(low) != len(value):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+    found = []
+    for goes in (*((lambda i, p=p: i >= p and value[i] == value[i - p]) for p in (1, 2, 3, 4)),
+                 lambda i: i >= 1 and (low[i - 1], low[i]) in _NEXT):
+        ends = [len(value)] * (len(value) + 1)  # the first position from here on that does not go on
+        for i in range(len(value) - 1, -1, -1):
+            ends[i] = ends[i + 1] if goes(i) else i
+        found.append(ends)
+    return found
+
+
+def _segments(value: str, start: int, ranks: Ranks = RANK, ends: list[list[int]] | None = None):
+    """``end, tries as a power of ten`` of every segment of a pattern that starts here."""
+    ends = ends or _ends(value)
+
+    def cuts(end):
+        yield from range(start + 3, min(end, start + SEGMENT) + 1)
+        if end > start + SEGMENT:
+            yield end
+
+    def after(run, ahead):
+        return ends[run][start + ahead] if start + ahead < len(value) else len(value)
+
+    stop = min(len(value), start + ranks.longest)
+    low = value[start:stop].lower()
+    plain = low.translate(LEET)
     for end in range(start + 3, stop + 1):
-        word = low[start:end]
-        rank, extra = RANK.get(word), 0.0
+        word = low[:end - start]
+        rank, extra = ranks.get(word), 0.0
         if rank is None:
-            rank, extra = RANK.get(plain[:end - start]), 1.0
+            rank, extra = ranks.get(plain[:end - start]), 1.0
         if rank is not None:
             turned = sum(c.isupper() for c in value[start:end])
             yield end, math.log10(rank) + extra + (math.log10(2) * min(turned, 3) if turned else 0.0)
-    end = start + 1
-    while end < stop and value[end] == value[start]:
-        end += 1
-    for last in range(start + 3, end + 1):
+    for last in cuts(after(0, 1)):
         yield last, math.log10(_class_size(value[start]) * (last - start))
     for period in (2, 3, 4):  # repeats of a short block
-        end = start + period
-        while end < stop and value[end] == value[end - period]:
-            end += 1
+        end = after(period - 1, period)
         if end >= start + 2 * period:
             yield end, sum(math.log10(_class_size(c)) for c in value[start:start + period]) + math.log10(end - start)
-    end = start + 1
-    while end < stop and (low[end - 1], low[end]) in _NEXT:
-        end += 1
-    for last in range(start + 3, end + 1):
+    for last in cuts(after(4, 1)):
         yield last, math.log10(47 * (last - start))
     date = DATE.match(value, start)
     if date:
         yield date.end(), math.log10(365 * 120) if date.end() - start > 4 else math.log10(120)
 
 
-def tries(value: str) -> float:
+def tries(value: str, ranks: Ranks = RANK) -> float:
     """Logarithm to base 10 of the guesses that the cheapest segmentation takes; 0 for the empty value."""
     best = [0.0] + [math.inf] * len(value)
+    ends = _ends(value)
     for start in range(len(value)):
         brute = best[start] + math.log10(_class_size(value[start]))
         if brute < best[start + 1]:
             best[start + 1] = brute
-        for end, cost in _segments(value, start):
+        for end, cost in _segments(value, start, ranks, ends):
             if best[start] + cost < best[end]:
                 best[end] = best[start] + cost
     return best[-1]
 
 
-def spans_of(text: str) -> list[tuple[int, int, str]]:
+def corpus_ranks(docs: DataFrame, text: str = "text", least: int = WORD_DOCS) -> Ranks:
+    """The fixed words, and the corpus's words by the number of documents that hold them; the better rank counts.
+
+    A word is a run of three letters or more. One that fewer than ``least`` documents hold has no rank, so that a secret
+    does not make itself known. The table has at most WORDS_KEPT words of WORD_LETTERS letters, whatever the corpus.
+    """
+    held = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}{3,}"), F.lit(0))))
+                       .alias("word"))
+    counts = held.where(F.length("word") <= WORD_LETTERS).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(WORDS_KEPT).select("word").collect()
+    ranks = {r["word"]: i + 1 for i, r in enumerate(top)}
+    return Ranks({**ranks, **{w: min(i, ranks.get(w, i)) for w, i in RANK.items()}})
+
+
+def spans_of(text: str, ranks: Ranks = RANK) -> list[tuple[int, int, str]]:
     """``start, end, kind`` by start, then kind as listed. Positions count code points."""
     found = [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if len(m[1]) >= ASSIGN_CHARS]
     if "AKIA" in text:
         found += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_CHARS]
     found += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
-    found += [(m.start(1), m.end(1), 3) for m in CONTEXT.finditer(text) if tries(m[1]) >= MIN_TRIES]
+    found += [(m.start(1), m.end(1), 3) for m in CONTEXT.finditer(text) if tries(m[1], ranks) >= MIN_TRIES]
     return [(start, end, KINDS[kind]) for start, end, kind in sorted(found, key=lambda x: (x[0], x[2]))]
 
 
@@ -119,17 +168,19 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``secrets``: array of ``kind, start, end``; an input column of that name goes.
 
-    A null text is an empty one. Whole texts are searched; an overlap of kinds is reported once per kind.
+    A null text is an empty one. Whole texts are searched; an overlap of kinds is reported once per kind. Words are ranked
+    by a first pass over all texts.
     """
     ship_package(docs.sparkSession)
     docs = docs.drop("secrets")
+    known = docs.sparkSession.sparkContext.broadcast(corpus_ranks(docs, text))
     at = docs.columns.index(text)
     names = [*docs.columns, "secrets"]
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def find(batches):
         for batch in batches:
-            found = [[{"kind": k, "start": s, "end": e} for s, e, k in spans_of(t or "")]
+            found = [[{"kind": k, "start": s, "end": e} for s, e, k in spans_of(t or "", known.value)]
                      for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names)
 

@@ -177,6 +177,15 @@ def test_guess_costs():
     assert secret_scan.tries("password123") < 4 < secret_scan.MIN_TRIES < secret_scan.tries("xK9#mQ2$vL")
 
 
+def test_words_of_the_corpus_are_no_secrets(spark):
+    texts = ["it is required that patience is expired " + str(i) for i in range(30)]
+    texts += ["password is required", "the token is expired", "secret: patience", "token: " + "-" * 60, "pin: " + "ab" * 300 + "-" * 90,
+              "password is zvkqxwjh", "secret: " + "q" * 50_000]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    spans = {r["doc_id"]: [(s["kind"], s["start"]) for s in r["secrets"] if s["kind"] == "guess"] for r in secret_scan.scan(docs).collect()}
+    assert {i for i, found in spans.items() if found} == {35} and spans[35] == [("guess", 12)]
+
+
 # --- language-model scores ---
 
 def _plain_scores(texts, order, least=2, backoff=0.4):
