@@ -25,9 +25,11 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # a run of 16 or more is a whole run, as run
 ASSIGN_CHARS, ACCESS_CHARS = 12, 18
 KINDS = ("assign", "access", "hex", "guess")
 
-#: Contexts whose value is rated: a credential word, a separator or "is", and a value without white space.
-CONTEXT = re.compile(r"""(?ai:\b(?:pass(?:word|wd|phrase|code)|pwd|pin|credentials?|secret|token|(?:api|access|private)[_-]?key)"""
-                     r"""["']?(?:\x20*(?:[:=]|=>)\x20*|\x20+is\x20+))["']?([^\s"'<>,;]{6,})""")
+#: Contexts whose value is rated: a credential word, also within an identifier, a separator or "is", and a value without
+#: white space. "pin" begins a word or a part of one, as it ends many others.
+CONTEXT = re.compile(r"""(?ai:(?:pass(?:word|wd|phrase|code)|pwd|credentials?|secret|token|(?:api|access|private)[_-]?key"""
+                     r"""|(?<![a-z])pin|(?-i:(?<=[a-z])Pin))(?:key|id|value|[_.-][a-z0-9_.-]{0,64}+)?"""
+                     r"""["']?(?:[\x20\t]*(?::=|=>|[:=])[\x20\t]*|[\x20\t]+is[\x20\t]+))["']?([^\s"'<>,;]{6,})""")
 #: Tries, as a power of ten, from which a value counts as a secret rather than a word or a placeholder.
 MIN_TRIES = 8.0
 #: A repeat or walk may be cut anywhere within so many characters; beyond, it goes on to the end of its run.

@@ -186,6 +186,20 @@ def test_words_of_the_corpus_are_no_secrets(spark):
     assert {i for i, found in spans.items() if found} == {35} and spans[35] == [("guess", 12)]
 
 
+@pytest.mark.parametrize("line", [
+    "DB_PASSWORD = Tr0ub4dor&3zQ", "db_password: k9$Vx!2mQ#7p", "client_secret=q8#Zr!vT2$x", "userPassword: q8#Zr!vT2$x",
+    "secret_key = q8#Zr!vT2$x", "secretKey: q8#Zr!vT2$x", "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY",
+    'password := "q8#Zr!vT2$x"', "password\t=\tq8#Zr!vT2$x", "token_id => q8#Zr!vT2$x", "userPin: q8#Zr!vT2$x", "db.pin = q8#Zr!vT2$x"])
+def test_credentials_within_identifiers(line):
+    value = re.search(r"""["']?([^\s"'=]+)["']?$""", line)
+    assert (value.start(1), value.end(1), "guess") in secret_scan.spans_of(line)
+
+
+def test_no_credential_words():
+    assert secret_scan.spans_of("shopping: q8#Zr!vT2$x, spin is q8#Zr!vT2$x, passwords are q8#Zr!vT2$x") == []
+    assert secret_scan.spans_of("token-" * 50_000) == []
+
+
 # --- language-model scores ---
 
 def _plain_scores(texts, order, least=2, backoff=0.4):
