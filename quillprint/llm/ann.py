@@ -6,7 +6,8 @@ stands in front of, and edges are also laid back. Queries, in blocks, go through
 they find is ranked by the inner product of the original vectors in double precision.
 
 Largest inner product is nearest distance once every vector of a shard is lengthened by one component that gives all the
-same norm; graphs are built in that space.
+same norm; graphs are built in that space. A shard holds vectors whose largest components are of one power of ten, and
+it and the queries are scaled to 1, so that single precision tells the distances apart whatever the other vectors' norms.
 """
 
 from __future__ import annotations
@@ -147,6 +148,7 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _lengthened(vectors: np.ndarray) -> np.ndarray:
+    vectors = vectors / np.abs(vectors).max()
     norms = np.einsum("nd,nd->n", vectors, vectors)
     return np.column_stack([vectors, np.sqrt(np.maximum(norms.max() - norms, 0))]).astype(np.float32)
 
@@ -165,9 +167,15 @@ def build_index(rows: DataFrame, key: str = "vec_id", vector: str = "embedding",
     place = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
     nodes = settle(used.withColumn("place", place).where(F.col("place") <= top + 1).groupBy("vector").agg(
         F.sort_array(F.collect_list("id")).alias("ids")), "ann-nodes")
-    shards = max(1, -(-nodes.count() // shard_rows))
-    dealt = nodes.select(F.size("vector").alias("dim"), F.pmod(F.xxhash64("vector"), F.lit(shards)).alias("shard"),
-                         "vector", "ids")
+    nodes = nodes.withColumn("band", F.floor(F.log10(F.array_max(F.transform("vector", F.abs)))).cast("int"))
+    bands, ends = {}, 0
+    for band, count in sorted(tuple(x) for x in nodes.groupBy("band").count().collect()):
+        bands[band] = (ends, -(-count // shard_rows))
+        ends += bands[band][1]
+    first, many = (F.create_map(*[F.lit(x) for band, at in bands.items() for x in (band, at[i])])[F.col("band")]
+                   if bands else F.lit(1) for i in (0, 1))
+    dealt = nodes.select(F.size("vector").alias("dim"),
+                         (first + F.pmod(F.xxhash64("vector"), many)).cast("bigint").alias("shard"), "vector", "ids")
 
     def build(shard: pa.Table) -> pa.Table:
         shard = shard.combine_chunks()
@@ -218,7 +226,8 @@ def search(index: DataFrame, queries: DataFrame, top: int = TOP, beam: int = BEA
         out = []
         for low in range(0, len(wanted), _STEP):
             part = wanted[low:low + _STEP]
-            lengthened = np.column_stack([part, np.zeros(len(part))]).astype(np.float32)
+            scaled = part / np.abs(part).max(axis=1, keepdims=True)
+            lengthened = np.column_stack([scaled, np.zeros(len(scaled))]).astype(np.float32)
             nodes, dist = beam_search(space, edges, start, lengthened, width)
             score = np.zeros(nodes.shape)
             for j in range(part.shape[1]):  # one order of addition, so that equal vectors score equally

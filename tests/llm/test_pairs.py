@@ -146,6 +146,18 @@ def test_nearest_neighbours(spark):
     assert ann.search(ann.build_index(frame.limit(0)), frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("factor", [1e4, 1e20])
+def test_recall_beside_a_long_vector(spark, factor):
+    rng = np.random.RandomState(4)
+    x = rng.normal(size=(600, 16))
+    x[7] *= factor
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    want = {(q, i) for q, _, i, _ in _brute(rows, {i for i, _ in rows if i % 20 == 0}, 20)}
+    got = {(r["query_id"], r["vec_id"]) for r in ann.digest(frame).collect()}
+    assert len(got) == len(want) and len(got & want) >= 0.95 * len(want)
+
+
 def test_recall_on_the_given_vectors(spark, small):
     frame = spark.read.parquet(f"{small}/embeddings.parquet")
     rows = [(r["vec_id"], list(r["embedding"])) for r in frame.collect()]
