@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from quillprint.llm import (ann, decontamination, language_id, line_dedup, lm_scoring, mixing, ngram_join, secret_scan,
-                            toxicity, warc)
+import public_tokenizers
+
+from quillprint.llm import (ann, byte_bpe, decontamination, language_id, line_dedup, lm_scoring, mixing, ngram_join,
+                            secret_scan, token_alignment, toxicity, warc)
 from quillprint.llm.common import table
 
 QUERIES = {
@@ -25,4 +27,11 @@ QUERIES = {
         lambda spark, sf: lm_scoring.trigram_digest(table(spark, sf, "documents")), lm_scoring.trigram_digest_sql()),
     "op3_warc": (lambda spark, sf: warc.digest(table(spark, sf, "pages")), warc.digest_sql()),
     "op7_nearest_neighbours": (lambda spark, sf: ann.digest(table(spark, sf, "embeddings")), None),
+    "op11_token_alignment": (
+        lambda spark, sf: token_alignment.digest(
+            table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+            public_tokenizers.path("piece_bpe_32k.model")), None),
+    "op13_byte_bpe": (
+        lambda spark, sf: byte_bpe.digest(
+            table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), None),
 }
