@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from quillprint.llm import (ann, byte_bpe, decontamination, language_id, line_dedup, lm_scoring, mixing, ngram_join,
-                            secret_scan, token_alignment, toxicity, warc)
+from quillprint.llm import (ann, byte_bpe, conversation_trie, decontamination, language_id, line_dedup, lm_scoring,
+                            mixing, ngram_join, secret_scan, token_alignment, toxicity, warc)
 from quillprint.llm.common import table
 
 QUERIES = {
@@ -31,6 +31,8 @@ QUERIES = {
         lambda spark, sf: token_alignment.digest(
             table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
             public_tokenizers.path("piece_bpe_32k.model")), None),
+    "op12_conversation_trie": (
+        lambda spark, sf: conversation_trie.digest(table(spark, sf, "conversations")), conversation_trie.digest_sql()),
     "op13_byte_bpe": (
         lambda spark, sf: byte_bpe.digest(
             table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), None),
