@@ -24,8 +24,10 @@ from quillprint.llm.vocabularies import read_ranks, send_file
 from quillprint.session import ship_package
 
 #: Matches a task remembers before it begins anew, and the longest one worth it.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 LONGEST_KEPT = 64
+#: Bytes of a column that are worked on at once; one longer value is worked on alone.
+RUN = 1 << 20
 #: One letter per byte: a block of 256 letters without white space, case or composition.
 FIRST_LETTER = 0x2800
 LETTERS = {byte: chr(FIRST_LETTER + byte) for byte in range(256)}
@@ -77,15 +79,17 @@ def write_model(tokens: list[bytes]) -> bytes:
     return pieces + _piece("<unk>", 0.0, 2) + _bytes(2, trainer) + _bytes(3, normaliser)
 
 
-class Codec:
-    """Encodes and decodes with one vocabulary."""
+def load_model(ranks: bytes) -> sentencepiece.SentencePieceProcessor:
+    return sentencepiece.SentencePieceProcessor(model_proto=write_model(read_ranks(ranks)))
+
+
+class Encoder:
+    """Texts to ids."""
 
     def __init__(self, ranks: bytes, pattern: str, remembered: int = REMEMBERED):
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=write_model(read_ranks(ranks)))
-        self.size = self.model.vocab_size() - 1
+        self.model = load_model(ranks)
+        self.unknown = self.model.unk_id()
         self.cut = regex.compile(pattern).findall
-        self.whole = {self.model.id_to_piece(i): i for i in range(self.size)}
-        self.tokens = [from_letters(piece) for piece in self.whole]
         self.known: dict[str, bytes] = {}
         self.remembered = remembered
 
@@ -97,80 +101,96 @@ class Codec:
         known, long = self.known, {}
         new = [match for match in {match for matches in cut for match in matches} if match not in known]
         letters = [to_letters(match.encode()) for match in new]
-        for match, word, ids in zip(new, letters, self.model.encode(letters, num_threads=1)):
-            ids = [self.whole[word]] if word in self.whole else ids
+        for match, ids, whole in zip(new, self.model.encode(letters, num_threads=1), self.model.piece_to_id(letters)):
+            ids = ids if whole == self.unknown else [whole]
             (known if len(match) <= LONGEST_KEPT else long)[match] = np.array(ids, "<u4").tobytes()
         if long:
             known = {**known, **long}
         return [b"".join(map(known.__getitem__, matches)) for matches in cut]
 
+
+class Decoder:
+    """Ids to bytes, by the letters of the model's pieces."""
+
+    def __init__(self, ranks: bytes):
+        model = load_model(ranks)
+        self.tokens = [from_letters(model.id_to_piece(i)) for i in range(model.unk_id())]
+
     def decode(self, ids: bytes) -> bytes:
         """Bytes of ids; an id that is no token is an error."""
         numbers = np.frombuffer(ids, "<u4")
-        if len(numbers) and int(numbers.max()) >= self.size:
+        if len(numbers) and int(numbers.max()) >= len(self.tokens):
             raise ValueError(f"No token has the id {int(numbers.max())}")
         return b"".join(map(self.tokens.__getitem__, numbers.tolist()))
 
 
-@lru_cache(maxsize=4)
-def codec(ranks: bytes, pattern: str) -> Codec:
-    """One codec per Python worker and vocabulary."""
-    return Codec(ranks, pattern)
+@lru_cache(maxsize=2)
+def encoder(ranks: bytes, pattern: str) -> Encoder:
+    """One per Python worker and vocabulary."""
+    return Encoder(ranks, pattern)
+
+
+@lru_cache(maxsize=2)
+def decoder(ranks: bytes) -> Decoder:
+    return Decoder(ranks)
 
 
-def _runs(column: pa.Array, size: int):
-    """Runs of rows of about ``size`` bytes, so that a batch of long texts is not held several times at once."""
-    lengths = np.array([0 if x is None else x for x in pc.binary_length(column).to_pylist()], np.int64)
-    begin = np.flatnonzero(np.diff(np.cumsum(lengths) // size, prepend=0)) if len(lengths) else []
-    edges = sorted({0, *map(int, begin), len(lengths)})
-    return zip(edges[:-1], edges[1:])
+def _runs(column: pa.Array) -> list[tuple[int, int]]:
+    """Runs of rows of about RUN bytes."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.flatnonzero(np.diff(np.cumsum(sizes) // RUN, prepend=0))
+    edges = sorted({0, *starts.tolist(), len(sizes)})
+    return list(zip(edges[:-1], edges[1:]))
 
 
-def _map_column(docs: DataFrame, column: str, added: T.StructField, work) -> DataFrame:
-    """``docs`` with one more column, computed from runs of values of ``column``."""
+def _map_column(docs: DataFrame, column: str, added: str, work, keep: bool) -> DataFrame:
+    """``docs`` with one more binary column, computed from runs of values of ``column``."""
     ship_package(docs.sparkSession)
-    docs = docs.drop(added.name)
+    docs = docs.drop(added)
     at = docs.columns.index(column)
-    names = [*docs.columns, added.name]
-    kind = pa.large_binary() if isinstance(added.dataType, T.BinaryType) else pa.large_string()
+    kept = [i for i in range(len(docs.columns)) if keep or i != at]
+    names = [*(docs.columns[i] for i in kept), added]
 
     def run(batches):
         for batch in batches:
-            values = batch.column(at)
-            found = [x for a, b in _runs(values, 4 << 20) for x in work(values.slice(a, b - a).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind).cast(pa.binary())], names)
+            for a, b in _runs(batch.column(at)):
+                rows = batch.slice(a, b - a)
+                made = pa.array(work(rows.column(at).to_pylist()), pa.binary())
+                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in kept), made], names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, added]))
+    return docs.mapInArrow(run, T.StructType([*(docs.schema.fields[i] for i in kept), T.StructField(added, T.BinaryType())]))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", into: str = "token_ids") -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", into: str = "token_ids",
+           keep: bool = True) -> DataFrame:
     """All columns of ``docs`` with the ids of ``text``, as little-endian unsigned 32-bit integers in a binary column.
 
     Every match of ``pattern`` is encoded by itself; what no match covers is left out, as in the library of the rank files.
-    No special tokens. A null or empty text has no ids (an empty value, not null). A column named as ``into`` goes; all others stay, equal
-    rows too. An empty table gives an empty one.
+    No special tokens. A null or empty text has no ids (an empty value, not null). A column named as ``into`` goes, and the
+    text too unless ``keep``; all others stay, equal rows too. An empty table gives an empty one. A text is encoded whole,
+    however long.
     """
     sent = send_file(docs.sparkSession, ranks_path)
 
     def work(texts):
-        return codec(sent.value, pattern).encode([x or "" for x in texts])
+        return encoder(sent.value, pattern).encode([x or "" for x in texts])
 
-    return _map_column(docs, text, T.StructField(into, T.BinaryType()), work)
+    return _map_column(docs, text, into, work, keep)
 
 
-def decode(rows: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids", into: str = "decoded") -> DataFrame:
+def decode(rows: DataFrame, ranks_path: str, ids: str = "token_ids", into: str = "decoded",
+           keep: bool = True) -> DataFrame:
     """All columns of ``rows`` with the bytes that the ids stand for. Null ids give no bytes."""
     sent = send_file(rows.sparkSession, ranks_path)
 
     def work(values):
-        tool = codec(sent.value, pattern)
-        return [tool.decode(x or b"") for x in values]
+        return [decoder(sent.value).decode(x or b"") for x in values]
 
-    return _map_column(rows, ids, T.StructField(into, T.BinaryType()), work)
+    return _map_column(rows, ids, into, work, keep)
 
 
 def digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every whole text, decoded from the ids that were written."""
-    there = decode(encode(docs.select("doc_id", "text"), ranks_path, pattern).drop("text"), ranks_path, pattern)
+    there = decode(encode(docs.select("doc_id", "text"), ranks_path, pattern, keep=False), ranks_path)
     return there.select("doc_id", (F.length("token_ids") / 4).cast("bigint").alias("n_tokens"),
                         F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
