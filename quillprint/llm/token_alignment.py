@@ -28,14 +28,17 @@ from quillprint.llm.vocabularies import send_file
 from quillprint.session import settle, ship_package
 
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 #: Words and windows that a task remembers before it begins anew, and the longest word worth it.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 LONGEST_KEPT = 64
+#: Words that the tokenizers are handed at once: what they return is far larger than the ids.
+ENCODED = 4096
 #: Where a text may be cut before it is encoded: a single space between others than white space.
 CUT = re.compile(r"(?<=\S)(?= \S)")
 SPACE = 0x20
 LOW = 0xFFFFFFFF
+_WEIGHTS = np.random.default_rng(11).integers(1, 1 << 63, 4096, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _byte_level_letters() -> dict[str, int]:
@@ -109,7 +112,8 @@ class Tokenizers:
         there = np.array([bool(x) for x in texts])
         for i in np.unique(owner[~np.array(self.fine)[codes]]).tolist() if len(codes) else []:
             mine = codes[owner == i].tolist()
-            there[i] = self.covers(*(list(chain.from_iterable(map(x.__getitem__, mine))) for x in self.sides), " " + texts[i])
+            a, b = (list(chain.from_iterable(map(side.__getitem__, mine))) for side in self.sides)
+            there[i] = self.covers(a, b, " " + texts[i])
         place, owner = place[there[owner]], owner[there[owner]]
         out = []
         for flat, size, start in sides:
@@ -128,8 +132,11 @@ class Tokenizers:
         self.long: list[str] = []
 
     def _learn(self, new: list[str]) -> None:
-        a = [x.ids for x in self.a.encode_batch_fast(new, add_special_tokens=False)]
-        b = self.b.encode([word[1:] for word in new], num_threads=1)
+        a, b = [], []
+        for i in range(0, len(new), ENCODED):
+            some = new[i:i + ENCODED]
+            a.extend(x.ids for x in self.a.encode_batch_fast(some, add_special_tokens=False))
+            b.extend(self.b.encode([word[1:] for word in some], num_threads=1))
         all_a, all_b = list(chain.from_iterable(a)), list(chain.from_iterable(b))
         sizes = [len(word.encode()) for word in new]
         if (self.covers(all_a, all_b, "".join(new)) and self._bytes(self.a_len, all_a, a) == sizes
@@ -195,6 +202,34 @@ class Windows:
         self.texts.extend("".join(written[s:e]) for s, e in zip([0, *text_ends], text_ends))
 
 
+def _keys(ids_a: np.ndarray, sizes_a: np.ndarray, ids_b: np.ndarray, sizes_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows' two tuples of ids as numbers one after another (ids of A, a mark, ids of B), and where each ends."""
+    ends = np.cumsum(sizes_a + 1 + sizes_b)
+    keys = np.full(int(ends[-1]), -1, np.int32)
+    keys[_spread(ends - sizes_a - 1 - sizes_b, sizes_a)] = ids_a
+    keys[_spread(ends - sizes_b, sizes_b)] = ids_b
+    return keys, ends
+
+
+def _distinct(keys: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the first of every distinct run of numbers, and for each run which of them it equals.
+
+    By a hash, which is held against the numbers themselves; should two runs share a hash, all count as distinct.
+    """
+    sizes = np.diff(ends, prepend=0)
+    starts = ends - sizes
+    inside = np.arange(len(keys)) - np.repeat(starts, sizes)
+    hashes = np.add.reduceat((keys + 2).astype(np.uint64) * _WEIGHTS[inside & (len(_WEIGHTS) - 1)], starts)
+    _, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+    own = first[place]
+    if (sizes[own] != sizes).any() or (keys[_spread(starts[own], sizes)] != keys).any():
+        return np.arange(len(ends)), np.arange(len(ends))
+    order = np.argsort(first, kind="stable")
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return first[order], back[place]
+
+
 def align_block(tool: Tokenizers, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]
                 ) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the windows of several documents, and where each document's begin (one more than documents)."""
@@ -212,23 +247,21 @@ def align_block(tool: Tokenizers, a: tuple[np.ndarray, np.ndarray], b: tuple[np.
     cut_b = at[cut_a - 1] + 1
     begin_a, begin_b = np.append(0, cut_a[:-1]), np.append(0, cut_b[:-1])
     sizes_a, sizes_b = cut_a - begin_a, cut_b - begin_b
-    # a window's key: the ids of A, a mark, the ids of B
-    ends = np.cumsum(sizes_a + 1 + sizes_b)
-    keys = np.full(int(ends[-1]), -1, np.int32)
-    keys[_spread(ends - sizes_a - 1 - sizes_b, sizes_a)] = ids_a
-    keys[_spread(ends - sizes_b, sizes_b)] = ids_b
-    raw, known, s, codes = keys.tobytes(), tool.windows.codes, 0, []
+    first, place = _distinct(*_keys(ids_a, sizes_a, ids_b, sizes_b))
+    known, codes = tool.windows.codes, []
     before = len(known)
+    some_a, some_b = sizes_a[first], sizes_b[first]
+    picked_a, picked_b = ids_a[_spread(begin_a[first], some_a)], ids_b[_spread(begin_b[first], some_b)]
+    keys, ends = _keys(picked_a, some_a, picked_b, some_b)
+    raw, s = keys.tobytes(), 0
     for e in (ends * 4).tolist():
         codes.append(known.setdefault(raw[s:e], len(known)))
         s = e
     codes = np.array(codes, np.int64)
-    if len(known) > before:
-        _, first = np.unique(codes, return_index=True)
-        first = np.sort(first[codes[first] >= before])
-        sizes_a, sizes_b = sizes_a[first], sizes_b[first]
-        tool.windows.learn(ids_a[_spread(begin_a[first], sizes_a)], sizes_a,
-                           ids_b[_spread(begin_b[first], sizes_b)], sizes_b)
+    new = codes >= before
+    if new.any():
+        tool.windows.learn(picked_a[np.repeat(new, some_a)], some_a[new], picked_b[np.repeat(new, some_b)], some_b[new])
+    codes = codes[place]
     return codes, np.append(0, np.searchsorted(cut_a, first_a, "right"))
 
 
