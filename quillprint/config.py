@@ -15,7 +15,6 @@ class RunConfig:
     """What one run computes. Models and encoders run elsewhere; these are the data-side options."""
 
     dataset: str = "rand"
-    probe_set: str = "rand"
     max_samples: int = 100
     dim: int = 128
     reduction: str = "random_projection"
@@ -26,9 +25,6 @@ class RunConfig:
     encoder_width: int = 64
     continue_on_error: bool = False
     use_response_cache: bool = True
-    load_in_8bit: bool = False
-    load_in_4bit: bool = False
-    no_quantization: bool = False
 
     def __post_init__(self) -> None:
         if self.reduction not in REDUCTIONS:
@@ -37,8 +33,6 @@ class RunConfig:
             raise ValueError(f"Unsupported merge method: {self.merge}")
         if self.max_samples < 2:
             raise ValueError("max_samples >= 2 is required")
-        if self.load_in_8bit + self.load_in_4bit + self.no_quantization > 1:
-            raise ValueError("Use only one of load_in_4bit, load_in_8bit, no_quantization")
 
     @property
     def extraction_method(self) -> str:

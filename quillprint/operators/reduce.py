@@ -8,8 +8,7 @@ Input rows are ``(keys..., probe_idx, embedding)``, unique per probe. The steps:
    projected; for ``max`` every task reduces its own rows to one vector per model before the shuffle;
 3. ``sum`` and ``mean`` of centred linear projections are zero by construction and are reported as such.
 
-Random projection uses one fixed matrix. Principal components come from a per-model basis: a direct SVD where the
-model has a bounded number of rows, summed Gram matrices above that.
+Random projection uses one fixed matrix. Principal components come from a per-model basis, by a tree of QR factors.
 """
 
 from __future__ import annotations
@@ -22,6 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -34,8 +34,10 @@ from quillprint.session import settle, ship_package
 
 PRINCIPAL = ("pca", "svd", "umap")
 DEGENERATE = ("sum", "mean")
-DIRECT_ROWS = 20_000
-GRAM_BYTES = 256 * 1024 * 1024
+PART_ROWS = 20_000
+#: Bytes of R factors that a task holds, and R factors that one group merges.
+TRIANGLE_BYTES = 256 * 1024 * 1024
+MERGED = 16
 BROADCAST_MODELS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 OK, TOO_FEW, NO_WIDTH, DEGENERATE_MERGE = "ok", "too_few_probes", "zero_width", "degenerate_merge"
@@ -104,13 +106,22 @@ class ModelTable:
     keys: list[str]
     models: int
     width: int
+    components: int
+    dense: bool
 
     @classmethod
     def of(cls, embeddings: DataFrame, keys: list[str], dim: int) -> ModelTable:
         ship_package(embeddings.sparkSession)
         table = settle(_with_shape(moments(embeddings, keys), dim), "moments")
-        size = table.agg(F.count(F.lit(1)).alias("models"), F.coalesce(F.max("width"), F.lit(0)).alias("width")).first()
-        return cls(table, keys, size.models, size.width)
+        size = table.agg(F.count(F.lit(1)).alias("models"), F.coalesce(F.max("width"), F.lit(0)).alias("width"),
+                         F.coalesce(F.max("components"), F.lit(0)).alias("components"),
+                         F.bool_and(F.col("last_idx") - F.col("first_idx") + 1 == F.col("probe_count"))
+                         .alias("dense")).first()
+        return cls(table, keys, size.models, size.width, size.components, bool(size.dense))
+
+    def basis_bytes(self) -> int:
+        """The most that the bases of all models take, moments included."""
+        return self.models * self.width * (self.components + 2) * 8
 
     def hint(self, slim: DataFrame) -> DataFrame:
         """Broadcast a table of a few numbers per model, up to a number of models."""
@@ -145,17 +156,22 @@ def standardize(embeddings: DataFrame, keys: list[str]) -> DataFrame:
                          F.zip_with(centred, F.col("scale"), lambda x, s: x / s).alias("standardized"))
 
 
-def _last_needed(embeddings: DataFrame, models: ModelTable, dim: int) -> DataFrame:
-    """Per model: the position of the last probe that can reach a signature of ``dim`` values, ``ceil(dim / k)`` probes
-    in. Without gaps that is arithmetic. With gaps positions are ranked, without their vectors, and the constant bound
+def _needs(models: ModelTable, dim: int) -> DataFrame:
+    """Per model: how many probes a ``concat`` signature of ``dim`` values takes."""
+    return models.table.where(F.col("status") == OK).select(*models.keys, F.ceil(F.lit(dim) / F.col("components"))
+                                                            .alias("needed"))
+
+
+def _last_needed(embeddings: DataFrame, models: ModelTable, needs: DataFrame, dim: int) -> DataFrame:
+    """Per model: the position of the last of the ``needed`` first probes, at most ``dim``. Without gaps that is
+    arithmetic. With gaps positions are ranked, without their vectors, and the constant bound
     on the rank lets every task drop all but its own first ``dim`` positions of a model before the shuffle."""
     keys = models.keys
-    needed = F.ceil(F.lit(dim) / F.col("components"))
     dense = F.col("last_idx") - F.col("first_idx") + 1 == F.col("probe_count")
-    shaped = models.table.where(F.col("status") == OK).withColumn("needed", needed).withColumn("dense", dense)
+    shaped = models.table.where(F.col("status") == OK).join(needs, keys).withColumn("dense", dense)
     direct = shaped.where("dense").select(*keys, "components", (F.col("first_idx") + F.col("needed") - 1)
                                           .alias("last_needed"))
-    if shaped.where("NOT dense").isEmpty():
+    if models.dense:
         return direct
     gapped = shaped.where("NOT dense").select(*keys, "components", "needed")
     order = Window.partitionBy(*keys).orderBy("probe_idx")
@@ -165,10 +181,10 @@ def _last_needed(embeddings: DataFrame, models: ModelTable, dim: int) -> DataFra
     return direct.unionByName(ranked.groupBy(*keys, "components").agg(F.max("probe_idx").alias("last_needed")))
 
 
-def _first_probes(embeddings: DataFrame, models: ModelTable, dim: int) -> DataFrame:
+def _first_probes(embeddings: DataFrame, models: ModelTable, needs: DataFrame, dim: int) -> DataFrame:
     """Rows of the probes that can reach the signature, numbered from 0. Only these rows are shuffled."""
     keys = models.keys
-    last = _last_needed(embeddings, models, dim)
+    last = _last_needed(embeddings, models, needs, dim)
     # no model needs a later position, and a constant bound prunes the scan
     bound = last.agg(F.max("last_needed")).first()[0]
     early = embeddings.where(F.col("probe_idx") <= F.lit(bound)) if bound is not None else embeddings.limit(0)
@@ -200,12 +216,14 @@ def _group_codes(table: pa.Table, keys: list[str]) -> tuple[np.ndarray, np.ndarr
 
 
 def _projected_parts(table: pa.Table, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers and projected rows of one batch, one part for each (width, components) that occurs."""
+    """Row numbers and projected rows of one batch, one part for each (width, components, seed) that occurs. A column
+    ``seed`` goes before the argument."""
     components = table.column("components").to_numpy()
     widths = np.diff(table.column("embedding").combine_chunks().offsets.to_numpy())
-    has_basis = "basis" in table.schema.names
-    for width, k in sorted({(int(w), int(c)) for w, c in zip(widths, components)}):
-        rows = np.flatnonzero((widths == width) & (components == k))
+    has_basis, own_seed = "basis" in table.schema.names, "seed" in table.schema.names
+    seeds = table.column("seed").to_numpy() if own_seed else np.full(len(widths), seed)
+    for width, k, seed in sorted(set(zip(widths.tolist(), components.tolist(), seeds.tolist()))):
+        rows = np.flatnonzero((widths == width) & (components == k) & (seeds == seed))
         part = table if len(rows) == table.num_rows else table.take(pa.array(rows))
         z = (_finite(_matrix(part.column("embedding"))) - _matrix(part.column("mean"))) / _matrix(part.column("scale"))
         if has_basis:
@@ -263,116 +281,128 @@ def _project_max(rows: DataFrame, keys: list[str], seed: int) -> DataFrame:
 
 
 def _signed(basis: np.ndarray) -> np.ndarray:
-    """Each component with its largest loading positive."""
-    top = np.abs(basis).argmax(axis=1)
+    """Each component with its largest loading positive; of loadings that differ by rounding only, the first counts."""
+    size = np.abs(basis)
+    top = (size >= size.max(axis=1, keepdims=True) * (1 - 1e-9)).argmax(axis=1)
     signs = np.sign(basis[np.arange(len(basis)), top])
     signs[signs == 0] = 1.0
     return basis * signs[:, None]
 
 
-def _direct_basis(embeddings: DataFrame, models: ModelTable, limit: int) -> DataFrame:
-    """Top components by SVD of the standardized rows of models with at most ``limit`` probes."""
-    keys = models.keys
-    small = models.slim("components", "probe_count").where(F.col("probe_count") <= limit)
-
-    def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("probe_idx").to_numpy(), kind="stable")
-        x = _finite(_matrix(table.column("embedding")))[order]
-        variance = x.var(axis=0)
-        n, eps = len(x), np.finfo(np.float64).eps
-        constant = variance <= n * eps * variance + (n * x.mean(axis=0) * eps) ** 2
-        z = (x - x.mean(axis=0)) / np.where(constant, 1.0, np.sqrt(variance))
-        k = table.column("components")[0].as_py()
-        basis = _signed(np.linalg.svd(z, full_matrices=False)[2][:k])
-        kept = table.select(keys).slice(0, 1)
-        return kept.append_column("basis", _list_array([basis.ravel()]))
-
-    rows = embeddings.join(small, keys).select(*keys, "probe_idx", "embedding", "components")
-    return rows.groupBy(*keys).applyInArrow(run, _schema(rows, keys, basis=T.ArrayType(T.DoubleType())))
+def _triangle(rows: np.ndarray) -> np.ndarray:
+    """The R factor of rows, or the rows themselves where they are no more than columns."""
+    return rows if rows.shape[0] <= rows.shape[1] else np.linalg.qr(rows, mode="r")
 
 
-def _gram_basis(embeddings: DataFrame, models: ModelTable, limit: int) -> DataFrame:
-    """Top components of models with more than ``limit`` probes.
+def _task_triangles(embeddings: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, part, width, triangle``: per task and model the R factor of the task's rows, each with a leading 1.
 
-    Tasks add up Gram matrices of their own rows; the aggregate adds those, one streaming merge per task and model.
+    A task holds at most TRIANGLE_BYTES of factors; more models than that are handed on and begun anew. Vectors of
+    another width than their model's first in the batch make a factor of their own, which the merge leaves out.
     """
-    keys = models.keys
-    large = models.vectors("components", "probe_count").where(F.col("probe_count") > limit)
-    rows = embeddings.join(large, keys).select(*keys, "embedding", "components", "mean", "scale")
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, np.ndarray] = {}
-        samples: dict[tuple, pa.Table] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for name, gram in held.items():
-                upper = gram[np.triu_indices(len(gram))]
-                yield from samples[name].append_column("gram", _list_array([upper])).to_batches()
+        names: dict[tuple, pa.Table] = {}
+        part = TaskContext.get().partitionId()
+
+        def hand_on() -> Iterator[pa.RecordBatch]:
+            for (_, width), triangle in held.items():
+                name = names[(_, width)]
+                out = name.append_column("part", pa.array([part], pa.int64())).append_column(
+                    "width", pa.array([width], pa.int32())).append_column("triangle", _list_array([triangle.ravel()]))
+                yield from out.to_batches()
             held.clear()
-            samples.clear()
+            names.clear()
 
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
             table = pa.Table.from_batches([batch])
+            table = table.filter(pa.compute.greater(pa.compute.list_value_length(table.column("embedding")), 0))
+            if table.num_rows == 0:
+                continue
+            widths = pa.compute.list_value_length(table.column("embedding")).to_numpy()
             first, codes = _group_codes(table, keys)
-            for code, row in enumerate(first):
-                part = table.take(pa.array(np.flatnonzero(codes == code)))
-                z = (_finite(_matrix(part.column("embedding"))) - _matrix(part.column("mean"))) \
-                    / _matrix(part.column("scale"))
-                sample = table.select([*keys, "components"]).slice(row, 1)
-                name = tuple(sample.column(k)[0].as_py() for k in keys)
-                if name in held:
-                    held[name] += z.T @ z
-                else:
-                    held[name] = z.T @ z
-                    samples[name] = sample
-                if sum(g.nbytes for g in held.values()) > GRAM_BYTES:
-                    yield from flush()
-        yield from flush()
+            for code in range(len(first)):
+                for width in np.unique(widths[codes == code]).tolist():
+                    rows = table.take(pa.array(np.flatnonzero((codes == code) & (widths == width))))
+                    x = _finite(_matrix(rows.column("embedding")))
+                    x = np.hstack([np.ones((len(x), 1)), x])
+                    name = (tuple(rows.column(k)[0].as_py() for k in keys), width)
+                    names.setdefault(name, rows.select(keys).slice(0, 1))
+                    held[name] = _triangle(np.vstack([held[name], x]) if name in held else x)
+            if sum(t.nbytes for t in held.values()) > TRIANGLE_BYTES:
+                yield from hand_on()
+        yield from hand_on()
+
+    return embeddings.select(*keys, "embedding").mapInArrow(run, _schema(
+        embeddings, keys, part=T.LongType(), width=T.IntegerType(), triangle=T.ArrayType(T.DoubleType())))
+
+
+def _merged_triangles(triangles: DataFrame, keys: list[str], tasks: int) -> DataFrame:
+    """One R factor per model and width, by a tree: every round merges up to MERGED neighbours in one group."""
+    def merge(table: pa.Table) -> pa.Table:
+        width = table.column("width")[0].as_py() + 1
+        order = np.argsort(table.column("part").to_numpy(), kind="stable")
+        merged = None
+        for row in order.tolist():
+            triangle = table.column("triangle")[row].values.to_numpy().reshape(-1, width)
+            merged = _triangle(triangle if merged is None else np.vstack([merged, triangle]))
+        kept = table.select([*keys, "part", "width"]).slice(0, 1)
+        return kept.append_column("triangle", _list_array([merged.ravel()]))
+
+    while tasks > 1:
+        tasks = -(-tasks // MERGED)
+        up = F.floor(F.col("part") / MERGED).cast("bigint")
+        triangles = (triangles.withColumn("part", up).groupBy(*keys, "width", "part")
+                     .applyInArrow(merge, triangles.schema))
+    return triangles
+
+
+def principal_basis(embeddings: DataFrame, models: ModelTable) -> DataFrame:
+    """``(keys, basis)``: the top components of every model, flattened row by row, largest first, signed.
+
+    By a tree of QR factors: one scan of the vectors, in which every task keeps a triangle per model; triangles, which are
+    no larger than the square of the width however many rows stand behind them, are merged in groups of bounded size; the
+    last triangle holds the model's sums of squares, so that centring, scaling and a small singular value decomposition
+    give its components. No row is shuffled, and condition numbers are not squared as they are in a Gram matrix.
+    """
+    keys = models.keys
+    triangles = settle(_task_triangles(embeddings, keys), "triangles")
+    tasks = (triangles.agg(F.max("part")).first()[0] or 0) + 1
+    shape = models.table.where(F.col("status") == OK).select(
+        *keys, F.col("width").cast("int").alias("width"), "components", "scale")
+    merged = _merged_triangles(triangles, keys, tasks).select(*keys, "width", "triangle")
 
     def decompose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            out = []
-            for gram, k in zip(table.column("gram").to_pylist(), table.column("components").to_pylist()):
-                width = int((math.isqrt(8 * len(gram) + 1) - 1) // 2)
-                full = np.zeros((width, width))
-                full[np.triu_indices(width)] = gram
-                full = full + np.triu(full, 1).T
-                components = np.linalg.eigh(full)[1].T[::-1][:k]
-                out.append(_signed(components).ravel())
-            yield from table.select(keys).append_column("basis", _list_array(out)).to_batches()
-
-    grams = rows.mapInArrow(partial, _schema(rows, [*keys, "components"], gram=T.ArrayType(T.DoubleType())))
-    summed = grams.groupBy(*keys, "components").agg(
-        vector_to_array(Summarizer.sum(array_to_vector("gram"))).alias("gram"))
-    return summed.mapInArrow(decompose, _schema(summed, keys, basis=T.ArrayType(T.DoubleType())))
-
-
-def principal_basis(embeddings: DataFrame, models: ModelTable, direct_rows: int = DIRECT_ROWS) -> DataFrame:
-    """``(keys, basis)``: the top components of every model, flattened row by row."""
-    direct = _direct_basis(embeddings, models, direct_rows)
-    if models.table.where(F.col("probe_count") > direct_rows).isEmpty():
-        return direct
-    return direct.unionByName(_gram_basis(embeddings, models, direct_rows))
+            bases = []
+            for triangle, scale, k in zip(*(table.column(c) for c in ("triangle", "scale", "components"))):
+                scale = scale.values.to_numpy()
+                whole = triangle.values.to_numpy().reshape(-1, len(scale) + 1)
+                # below its first row, the triangle is that of the centred columns
+                centred = np.linalg.qr(whole, mode="r")[1:, 1:] / scale
+                bases.append(_signed(np.linalg.svd(centred, full_matrices=False)[2][:k.as_py()]).ravel())
+            yield from table.select(keys).append_column("basis", _list_array(bases)).to_batches()
 
+    joined = merged.join(shape, [*keys, "width"])
+    return joined.mapInArrow(decompose, _schema(joined, keys, basis=T.ArrayType(T.DoubleType())))
 
-def _with_moments(rows: DataFrame, embeddings: DataFrame, models: ModelTable, reduction: str,
-                  direct_rows: int) -> DataFrame:
+
+def _with_moments(rows: DataFrame, embeddings: DataFrame, models: ModelTable, reduction: str) -> DataFrame:
     """A few rows per model with everything needed to project them."""
     joined = rows.join(models.vectors(), models.keys)
     if reduction in PRINCIPAL:
-        joined = joined.join(principal_basis(embeddings, models, direct_rows), models.keys)
+        joined = joined.join(principal_basis(embeddings, models), models.keys)
     return joined
 
 
-def _all_projected(embeddings: DataFrame, models: ModelTable, reduction: str, seed: int, direct_rows: int,
-                   merge_max: bool) -> DataFrame:
+def _all_projected(embeddings: DataFrame, models: ModelTable, reduction: str, seed: int, merge_max: bool,
+                   part_rows: int = PART_ROWS) -> DataFrame:
     """Every row projected, or one maximum per batch and model.
 
-    A per-model basis is far wider than a row, so it is not copied onto rows: rows meet it in groups of a model's
-    rows, and a model with many rows is cut into several groups of about ``direct_rows`` each.
+    A per-model basis is far wider than a row, so it is not copied onto rows. Where all bases together are below
+    BROADCAST_BYTES every task is sent them and rows stay where they are; beyond, rows meet their basis in groups of a
+    model's rows, and a model with many rows is cut into several groups of about ``part_rows`` each.
     """
     keys = models.keys
     if reduction not in PRINCIPAL:
@@ -380,15 +410,39 @@ def _all_projected(embeddings: DataFrame, models: ModelTable, reduction: str, se
             *keys, F.col("probe_idx").alias("rank"), "embedding", "components", "mean", "scale")
         return _project_max(rows.drop("rank"), keys, seed) if merge_max else project(rows, keys, seed)
 
-    parts = F.ceil(F.col("probe_count") / direct_rows)
-    part = F.pmod(F.xxhash64("probe_idx"), parts)
-    rows = (embeddings.join(models.slim("probe_count"), keys).withColumn("part", part)
-            .select(*keys, "part", F.col("probe_idx").alias("rank"), "embedding"))
-    bases = (models.vectors("components", "probe_count").join(principal_basis(embeddings, models, direct_rows), keys)
-             .withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
-             .select(*keys, "part", "components", "mean", "scale", "basis"))
-
     kept = keys if merge_max else [*keys, "rank"]
+    numbered = embeddings.select(*keys, F.col("probe_idx").alias("rank"), "embedding")
+    schema = _schema(numbered, kept, projected=T.ArrayType(T.DoubleType()))
+    bases = models.vectors("components", "probe_count").join(principal_basis(embeddings, models), keys)
+    if models.basis_bytes() <= BROADCAST_BYTES:
+        sent = embeddings.sparkSession.sparkContext.broadcast({
+            tuple(row[k] for k in keys): [np.array(row[c]) for c in ("mean", "scale", "basis")]
+            for row in bases.select(*keys, "mean", "scale", "basis").collect()})
+
+        def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = sent.value
+            for batch in batches:
+                table = pa.Table.from_batches([batch])
+                first, codes = _group_codes(table, keys)
+                for code, row in enumerate(first.tolist()):
+                    mine = known.get(tuple(table.column(k)[row].as_py() for k in keys))
+                    if mine is None:
+                        continue
+                    part = table.take(pa.array(np.flatnonzero(codes == code)))
+                    mean, scale, basis = mine
+                    values = ((_finite(_matrix(part.column("embedding"))) - mean) / scale) @ basis.reshape(-1, len(mean)).T
+                    if merge_max:
+                        part, values = part.slice(0, 1), values.max(axis=0, keepdims=True)
+                    yield from part.select(kept).append_column("projected", _matrix_array(values)).to_batches()
+
+        return numbered.mapInArrow(narrow, schema)
+
+    parts = F.ceil(F.col("probe_count") / part_rows)
+    part = F.pmod(F.xxhash64("rank"), parts)
+    rows = (numbered.join(models.slim("probe_count"), keys).withColumn("part", part)
+            .select(*keys, "part", "rank", "embedding"))
+    bases = (bases.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+             .select(*keys, "part", "components", "mean", "scale", "basis"))
 
     def run(table: pa.Table) -> pa.Table:
         is_row = pa.compute.is_null(table.column("basis"))
@@ -403,16 +457,16 @@ def _all_projected(embeddings: DataFrame, models: ModelTable, reduction: str, se
         return left.select(kept).append_column("projected", _matrix_array(values))
 
     grouped = rows.unionByName(bases, allowMissingColumns=True).groupBy(*keys, "part")
-    return grouped.applyInArrow(run, _schema(rows, kept, projected=T.ArrayType(T.DoubleType())))
+    return grouped.applyInArrow(run, schema)
 
 
 def projected_rows(embeddings: DataFrame, dim: int, reduction: str = "random_projection", seed: int = 42,
-                   keys: list[str] | None = None, direct_rows: int = DIRECT_ROWS) -> DataFrame:
+                   keys: list[str] | None = None) -> DataFrame:
     """Reduced row of every probe: ``(keys, probe_idx, projected)``."""
     keys = keys or ["model_name"]
     _check(reduction, "concat")
     models = ModelTable.of(embeddings, keys, dim)
-    return (_all_projected(embeddings, models, reduction, seed, direct_rows, merge_max=False)
+    return (_all_projected(embeddings, models, reduction, seed, merge_max=False)
             .withColumnRenamed("rank", "probe_idx"))
 
 
@@ -424,11 +478,12 @@ def _check(reduction: str, merge: str) -> None:
 
 
 def signatures(embeddings: DataFrame, dim: int, reduction: str = "random_projection", merge: str = "concat",
-               seed: int = 42, keys: list[str] | None = None, direct_rows: int = DIRECT_ROWS) -> DataFrame:
+               seed: int = 42, keys: list[str] | None = None) -> DataFrame:
     """One row per model: ``keys, probe_count, width, components, status, signature``.
 
     ``status`` is ``ok``, or says why there is no signature (null): too few probes, no width, or a degenerate merge.
-    ``umap`` means its fallback, principal components. The moments are computed at once, the rest when asked for.
+    ``umap`` means its fallback, principal components. The moments, and the triangles of principal components, are
+    computed at once, the rest when asked for.
     """
     keys = keys or ["model_name"]
     _check(reduction, merge)
@@ -440,14 +495,93 @@ def signatures(embeddings: DataFrame, dim: int, reduction: str = "random_project
 
     models = ModelTable.of(embeddings, keys, dim)
     if merge == "concat":
-        rows = _with_moments(_first_probes(embeddings, models, dim), embeddings, models, reduction, direct_rows)
+        rows = _with_moments(_first_probes(embeddings, models, _needs(models, dim), dim), embeddings, models,
+                             reduction)
         ordered = F.array_sort(F.collect_list(F.struct("rank", "projected")))
         merged = (project(rows, keys, seed).groupBy(*keys)
                   .agg(F.flatten(F.transform(ordered, lambda r: r["projected"])).alias("merged")))
     else:
-        merged = (_all_projected(embeddings, models, reduction, seed, direct_rows, merge_max=True).groupBy(*keys)
+        merged = (_all_projected(embeddings, models, reduction, seed, merge_max=True).groupBy(*keys)
                   .agg(vector_to_array(Summarizer.max(array_to_vector("projected"))).alias("merged")))
 
     final = F.when(F.col("status") == OK, vectors.fit_width(vectors.clean_vector("merged"), dim))
     return (models.table.select(*head).join(merged, keys, "left").withColumn("signature", final)
             .select(*head, "signature"))
+
+
+def signatures_by_setting(embeddings: DataFrame, wanted: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """One row per model and setting: ``keys, setting, probe_count, width, components, status, signature``.
+
+    ``wanted`` has ``keys, setting, dim, reduction, merge, seed``: settings are data, and the number of jobs does not grow
+    with them. Moments are computed once a model. A signature of k components is the head of one with more: the first k
+    rows of the Gaussian matrix are the same for every k, and so are the first k principal components. So a model is
+    projected once a seed, with the most components that any of its settings asks for, and every setting cuts its own.
+    """
+    keys = keys or ["model_name"]
+    facts = wanted.agg(F.coalesce(F.max("dim"), F.lit(1)).alias("dim"), F.collect_set("reduction").alias("reductions"),
+                       F.collect_set("merge").alias("merges")).first()
+    for reduction in facts.reductions or ["random_projection"]:
+        for merge in facts.merges:
+            _check(reduction, merge)
+    dim = int(facts.dim)
+    rows = embeddings.join(wanted.select(*keys).distinct(), keys, "left_semi")
+    models = ModelTable.of(rows, keys, dim)
+    known = models.table.select(*keys, "probe_count", "width", F.col("components").alias("most"), "status")
+    principal = F.col("reduction").isin(*PRINCIPAL)
+    status = F.when((F.col("status") == OK) & F.col("merge").isin(*DEGENERATE), DEGENERATE_MERGE).otherwise(F.col("status"))
+    # principal components have no seed: one family of their own
+    asked = settle(wanted.join(models.hint(known), keys).select(
+        *keys, "setting", F.col("dim").cast("int").alias("dim"), "merge", principal.alias("principal"),
+        F.when(principal, F.lit(0)).otherwise(F.col("seed")).cast("bigint").alias("seed"), "probe_count", "width", "most",
+        status.alias("status"), F.least("most", F.col("dim").cast("bigint")).alias("components")), "settings")
+    good = asked.where(F.col("status") == OK)
+    family = [*keys, "principal", "seed"]
+
+    def families(merge: str, principal: bool) -> DataFrame:
+        return good.where((F.col("merge") == merge) & (F.col("principal") == principal)).select(*keys, "seed").distinct()
+
+    has_principal, has_random = (any((r in PRINCIPAL) == p for r in facts.reductions) for p in (True, False))
+    made = []
+    if "concat" in facts.merges:
+        needs = good.where("merge = 'concat'").groupBy(*keys).agg(
+            F.max(F.ceil(F.col("dim") / F.col("components"))).alias("needed"))
+        early = _first_probes(rows, models, needs, dim)
+        parts = []
+        if has_random:
+            drawn = early.join(families("concat", False), keys).join(models.vectors(), keys)
+            parts.append(project(drawn, [*keys, "seed"], 0).withColumn("principal", F.lit(False)))
+        if has_principal:
+            turned = early.join(families("concat", True), keys)
+            turned = _with_moments(turned.drop("seed"), rows, models, "pca")
+            parts.append(project(turned, keys, 0).select(*keys, F.lit(0).cast("bigint").alias("seed"), "rank", "projected",
+                                                         F.lit(True).alias("principal")))
+        whole = parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0]
+        made.append(whole.groupBy(*family).agg(F.array_sort(F.collect_list(F.struct("rank", "projected"))).alias("rows"))
+                    .withColumn("merge", F.lit("concat")))
+    if "max" in facts.merges:
+        parts = []
+        if has_random:
+            drawn = rows.join(families("max", False), keys).join(models.vectors("components"), keys).select(
+                *keys, "seed", "embedding", "components", "mean", "scale")
+            parts.append(_project_max(drawn, [*keys, "seed"], 0).withColumn("principal", F.lit(False)))
+        if has_principal:
+            chosen = rows.join(families("max", True).drop("seed"), keys, "left_semi")
+            parts.append(_all_projected(chosen, models, "pca", 0, merge_max=True).select(
+                *keys, F.lit(0).cast("bigint").alias("seed"), "projected", F.lit(True).alias("principal")))
+        whole = parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0]
+        best = vector_to_array(Summarizer.max(array_to_vector("projected")))
+        made.append(whole.groupBy(*family).agg(F.array(F.struct(F.lit(0).alias("rank"), best.alias("projected"))).alias("rows"))
+                    .withColumn("merge", F.lit("max")))
+
+    head = [*keys, "setting", "probe_count", "width", "components", "status"]
+    if not made:
+        return asked.select(*head, F.lit(None).cast("array<double>").alias("signature"))
+    found = made[0].unionByName(made[1]) if len(made) == 2 else made[0]
+    # rows are projected with the deviation of the most components
+    k = F.col("components").cast("int")
+    factor = F.when(F.col("principal"), F.lit(1.0)).otherwise(F.sqrt(F.col("most") / F.col("components")))
+    needed = F.ceil(F.col("dim") / F.col("components"))
+    cut = F.flatten(F.transform(F.filter("rows", lambda r: r["rank"] < needed), lambda r: F.transform(
+        F.slice(r["projected"], F.lit(1), k), lambda x: x * factor)))
+    final = F.when(F.col("status") == OK, vectors.fit_width(vectors.clean_vector(cut), F.col("dim")))
+    return asked.join(found, [*family, "merge"], "left").withColumn("signature", final).select(*head, "signature")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillprint.config import RunConfig
@@ -23,6 +23,8 @@ class Outcome:
 
 
 def _outcome(reduced: DataFrame) -> Outcome:
+    # one row a model; signatures, rejects and the policy all read it
+    reduced = settle(reduced, "reduced")
     good, bad = filters.split_valid_signatures(reduced)
     reason = F.when(F.col("status") == reduce.OK, F.col("error")).otherwise(F.col("status"))
     return Outcome(good, bad.withColumn("error", reason))
@@ -56,21 +58,22 @@ def for_model(responses: DataFrame, model_name: str, config: RunConfig) -> Outco
     return from_responses(responses.where(F.col("model_name") == model_name), config)
 
 
-def with_settings(embeddings: DataFrame, assignments: DataFrame, settings: dict[str, RunConfig]) -> DataFrame:
+def settings_table(spark: SparkSession, settings: dict[str, RunConfig]) -> DataFrame:
+    """Settings as rows: ``setting, dim, reduction, merge, seed``."""
+    return spark.createDataFrame([(name, c.dim, c.reduction, c.merge, c.seed) for name, c in settings.items()],
+                                 "setting string, dim int, reduction string, merge string, seed bigint")
+
+
+def with_settings(embeddings: DataFrame, assignments: DataFrame, settings: dict[str, RunConfig] | DataFrame) -> DataFrame:
     """Signatures under different settings: ``assignments`` says which setting (by name) each model runs under.
 
-    One job per setting; a model assigned to several settings gets one signature for each.
+    ``settings`` is a table of them (see :func:`settings_table`), or configurations by name. A model assigned to several
+    settings gets one signature for each; an assignment named twice counts once. The jobs are the same for any number.
     """
-    results = []
-    for name, config in settings.items():
-        chosen = assignments.where(F.col("setting") == name).select("model_name").distinct()
-        rows = embeddings.join(chosen, "model_name", "left_semi")
-        reduced = reduce.signatures(rows, config.dim, config.reduction, config.merge, config.seed)
-        results.append(reduced.select(F.lit(name).alias("setting"), "*"))
-    union = results[0]
-    for result in results[1:]:
-        union = union.unionByName(result)
-    return union
+    table = settings if isinstance(settings, DataFrame) else settings_table(embeddings.sparkSession, settings)
+    wanted = assignments.select("model_name", "setting").distinct().join(table, "setting")
+    return reduce.signatures_by_setting(embeddings, wanted).select(
+        "setting", "model_name", "probe_count", "width", "components", "status", "signature")
 
 
 def apply_failure_policy(outcome: Outcome, continue_on_error: bool = False) -> DataFrame:

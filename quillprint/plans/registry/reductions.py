@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from quillprint.config import RunConfig
 from quillprint.functions.encoders import encode_texts, register_encoder
 from quillprint.operators import pooling, reduce
-from quillprint.plans import fingerprint
+from quillprint.plans import fingerprint, run
 from quillprint.plans.registry.inputs import (EMBEDDINGS_SQL, TURNS_SQL, concat_sql, embeddings,
-                                              long_signature, r6, reduced_sql, table, turns, word_count_sql, words_sql)
+                                              long_signature, matrix_sql, r6, reduced_sql, strip_sql, table, turns, word_count_sql,
+                                              words_sql)
+from quillprint.session import scratch_path
 
 QUERIES = {}
 WIDTH = 64
@@ -156,8 +158,47 @@ QUERIES["r8_signature_pca_concat"] = (_principal_signature, f"""
               GROUP BY model_name)
     SELECT model_name, least(n - 1, {WIDTH}) AS components, first_probe_norm FROM first""")
 
+# three columns below full rank: the components of a 3 x 3 correlation matrix have a closed form
+_TRIPLE_SQL = f"""
+    {EMBEDDINGS_SQL},
+    triple AS (SELECT model_name, probe_idx, e[1] AS x1, e[2] AS x2, e[3] AS x3 FROM emb),
+    facts AS (SELECT model_name, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, stddev_pop(x1) AS s1,
+                     stddev_pop(x2) AS s2, stddev_pop(x3) AS s3, corr(x1, x2) AS a, corr(x1, x3) AS b, corr(x2, x3) AS c
+              FROM triple GROUP BY model_name),
+    spread AS (SELECT *, sqrt((a * a + b * b + c * c) / 3) AS p FROM facts),
+    angle AS (SELECT *, acos(greatest(-1, least(1, a * b * c / (p * p * p)))) / 3 AS phi FROM spread),
+    largest AS (SELECT *, 1 + 2 * p * cos(phi) AS l1, 1 + 2 * p * cos(phi + 2 * pi() / 3) AS l3 FROM angle),
+    roots AS (SELECT * EXCLUDE (l1, l3), r.comp, r.l FROM largest, unnest([
+                  {{'comp': 0, 'l': l1}}, {{'comp': 1, 'l': 3 - l1 - l3}}]) AS t(r)),
+    raw AS (SELECT *, a * c - b * (1 - l) AS u1, b * a - c * (1 - l) AS u2, (1 - l) * (1 - l) - a * a AS u3 FROM roots),
+    signed AS (SELECT *, sqrt(u1 * u1 + u2 * u2 + u3 * u3) * sign(CASE
+                   WHEN abs(u1) >= abs(u2) AND abs(u1) >= abs(u3) THEN u1 WHEN abs(u2) >= abs(u3) THEN u2 ELSE u3 END) AS len
+               FROM raw),
+    turned AS (SELECT model_name, probe_idx, comp, n, (u1 * (x1 - m1) / s1 + u2 * (x2 - m2) / s2 + u3 * (x3 - m3) / s3) / len
+                      AS y FROM triple JOIN signed USING (model_name))"""
+
+
+def _triples(spark, sf):
+    return embeddings(spark, sf).withColumn("embedding", F.slice("embedding", 1, 3))
+
+
+def _turned(reduction):
+    def run(spark, sf):
+        return reduce.projected_rows(_triples(spark, sf), 2, reduction).select(
+            "model_name", "probe_idx", F.posexplode("projected").alias("comp", "y")).select(
+            "model_name", "probe_idx", F.col("comp").cast("bigint").alias("comp"), r6("y").alias("y"))
+    return run
+
+
+for _id, _reduction in (("r5_pca", "pca"), ("r6_svd", "svd"), ("r7_umap_fallback", "umap")):
+    QUERIES[f"{_id}_components"] = (_turned(_reduction), f"""
+        WITH {_TRIPLE_SQL}
+        SELECT model_name, probe_idx, CAST(comp AS BIGINT) AS comp, round(y, 6) + 0.0 AS y FROM turned WHERE comp < n - 1""")
+
 QUERIES["r8_signature_svd_max"] = (
-    lambda spark, sf: _filled(reduce.signatures(embeddings(spark, sf), 8, "svd", "max"), "model_name"), None)
+    lambda spark, sf: long_signature(reduce.signatures(_triples(spark, sf), 2, "svd", "max"), "model_name"), f"""
+    WITH {_TRIPLE_SQL}
+    SELECT model_name, CAST(comp AS BIGINT) AS pos, round(max(y), 6) + 0.0 AS value FROM turned GROUP BY model_name, comp""")
 
 QUERIES["r9_probe_sets"] = (
     lambda spark, sf: _filled(reduce.signatures(embeddings(spark, sf).withColumn(
@@ -205,6 +246,68 @@ QUERIES["e1_one_model"] = (
     f"""WITH {ENCODED_SQL}, {reduced_sql('emb', 'model_name', 16, 32)} {concat_sql('model_name', 16)}
         AND model_name = 'bot-3'""")
 
+LISTED = RunConfig(dataset="chat", dim=16, encoder_width=32, max_samples=3, continue_on_error=True)
+
+
+def _full_run(spark, sf):
+    """Two runs below one root, the second with the whole list: cached, generated, failing, silent, short and repeated."""
+    t = turns(spark, sf).withColumn("model_name", F.concat(F.lit("lab/"), F.col("model_name")))
+    probes = t.groupBy("dataset", "probe_idx").agg(F.min("prompt").alias("text"))
+    ids = t.select("conv_id", "model_name").distinct()
+    listed = ids.select(F.col("conv_id").alias("ord"), "model_name").unionByName(
+        ids.where("conv_id % 11 = 0").select((-1 - F.col("conv_id")).alias("ord"), "model_name"))
+    caches = t.where("conv_id % 3 = 0").select(
+        "model_name", "dataset", (F.col("conv_id") % 9 != 0).alias("complete"), "probe_idx",
+        F.coalesce("response", F.lit("")).alias("response"))
+    generated = t.where("conv_id % 3 = 1 AND response IS NOT NULL").select("model_name", "probe_idx", "response")
+    failures = ids.where("conv_id % 10 = 7").select("model_name", F.lit("generation failed").alias("error"))
+    root = scratch_path(spark, "runs")
+    run.full_run(spark, listed.where("ord % 2 = 0"), probes, LISTED, root, generated, caches, failures)
+    last = run.full_run(spark, listed, probes, LISTED, root, generated, caches, failures)
+    good = last.results.select("ord", "model_name", "source", F.posexplode("signature").alias("pos", "value")).select(
+        "ord", "model_name", F.col("source").alias("outcome"), F.col("pos").cast("bigint").alias("pos"),
+        r6("value").alias("value"))
+    asked = last.requests.groupBy("model_name").agg(F.count(F.lit(1)).alias("asked"))
+    bad = listed.join(last.rejects, "model_name").join(asked, "model_name", "left").select(
+        "ord", "model_name", F.col("error").alias("outcome"), F.coalesce("asked", F.lit(0)).alias("pos"),
+        F.lit(0.0).alias("value"))
+    return good.unionByName(bad)
+
+
+QUERIES["e2_full_run"] = (_full_run, f"""
+    WITH {TURNS_SQL},
+    ids AS (SELECT DISTINCT conv_id FROM turns),
+    listed AS (SELECT conv_id AS ord, conv_id FROM ids UNION ALL SELECT -1 - conv_id, conv_id FROM ids WHERE conv_id % 11 = 0),
+    places AS (SELECT probe_idx, row_number() OVER (ORDER BY probe_idx) - 1 AS place FROM (SELECT DISTINCT probe_idx FROM turns)
+               QUALIFY place < 3),
+    cached AS (SELECT conv_id FROM turns WHERE conv_id % 3 = 0 AND conv_id % 9 <> 0 GROUP BY conv_id
+               HAVING bool_or({strip_sql("coalesce(response, '')")} <> '')),
+    answers AS (SELECT conv_id, probe_idx, coalesce(response, '') AS response, 'cache' AS source
+                FROM turns JOIN cached USING (conv_id)
+                UNION ALL SELECT conv_id, probe_idx, response, 'generated' FROM turns
+                WHERE conv_id % 3 = 1 AND response IS NOT NULL),
+    known AS (SELECT conv_id, any_value(source) AS source FROM answers WHERE conv_id % 10 <> 7 GROUP BY conv_id),
+    said AS (SELECT conv_id, place, coalesce(response, '') AS response
+             FROM known CROSS JOIN places LEFT JOIN answers USING (conv_id, probe_idx)),
+    word_rows AS (SELECT conv_id, place, unnest({words_sql('response')}) AS w FROM said),
+    hits AS (SELECT conv_id, place, CAST(('0x' || substr(md5(w), 1, 4)) AS INT) % 32 AS b, count(*) AS c
+             FROM word_rows GROUP BY ALL),
+    cells AS (SELECT s.conv_id, s.place, j, coalesce(c, 0)::DOUBLE AS c FROM said s CROSS JOIN range(0, 32) t(j)
+              LEFT JOIN hits h ON h.conv_id = s.conv_id AND h.place = s.place AND h.b = j),
+    emb AS (SELECT conv_id, place AS probe_idx, list(c ORDER BY j) AS e FROM cells GROUP BY conv_id, place),
+    {reduced_sql('emb', 'conv_id', 16, 32)},
+    filled AS ({concat_sql('conv_id', 16)}),
+    padded AS (SELECT k.conv_id, k.source, CAST(i AS BIGINT) AS pos, coalesce(value, 0.0) AS value
+               FROM known k CROSS JOIN range(0, 16) t(i) LEFT JOIN filled f ON f.conv_id = k.conv_id AND f.pos = i),
+    blank AS (SELECT conv_id FROM padded GROUP BY conv_id HAVING bool_and(value = 0))
+    SELECT ord, 'lab/conv-' || conv_id AS model_name, source AS outcome, pos, value
+    FROM listed JOIN padded USING (conv_id) WHERE conv_id NOT IN (SELECT conv_id FROM blank)
+    UNION ALL SELECT ord, 'lab/conv-' || conv_id, CASE WHEN conv_id % 10 = 7 THEN 'generation failed'
+        WHEN conv_id IN (SELECT conv_id FROM blank) THEN 'all-zero signature' ELSE 'no responses' END,
+        CASE WHEN conv_id % 10 = 7 OR conv_id IN (SELECT conv_id FROM blank) THEN 0
+             ELSE (SELECT count(*) FROM places) END, 0.0
+    FROM listed WHERE conv_id IN (SELECT conv_id FROM blank) OR conv_id NOT IN (SELECT conv_id FROM known)""")
+
 SETTINGS = {"narrow": RunConfig(dim=8), "wide": RunConfig(dim=32, seed=7), "peak": RunConfig(dim=8, merge="max")}
 
 
@@ -228,6 +331,37 @@ QUERIES["e3_settings_per_model"] = (_settings, f"""
     """)
 
 
+#: Fifty settings: widths from 3 to 14, two seeds, both merges.
+MANY_SETTINGS = "3 + i % 12 AS dim, CASE WHEN i % 5 = 0 THEN 'max' ELSE 'concat' END AS merge, 42 - 35 * (i % 2) AS seed"
+
+
+def _many_settings(spark, sf):
+    e = embeddings(spark, sf)
+    settings = spark.range(50).withColumnRenamed("id", "i").selectExpr(
+        "concat('setting-', i) AS setting", "'random_projection' AS reduction", *MANY_SETTINGS.split(", "))
+    names = e.select("model_name").distinct().crossJoin(settings.select("setting"))
+    return _filled(fingerprint.with_settings(e, names, settings), "setting", "model_name")
+
+
+QUERIES["e3_many_settings"] = (_many_settings, f"""
+    WITH {EMBEDDINGS_SQL},
+    settings AS (SELECT 'setting-' || i AS setting, {MANY_SETTINGS} FROM range(0, 50) t(i)),
+    long AS (SELECT model_name, probe_idx, j, e[j] AS x FROM emb, range(1, {WIDTH} + 1) t(j)),
+    mom AS (SELECT model_name, j, count(*) AS n, avg(x) AS m, stddev_pop(x) AS s FROM long GROUP BY model_name, j),
+    std AS (SELECT model_name, probe_idx, j, n, (x - m) / s AS z FROM long JOIN mom USING (model_name, j)),
+    mat AS (SELECT 42 AS seed, {matrix_sql(14, WIDTH, 42)} AS g UNION ALL SELECT 7, {matrix_sql(14, WIDTH, 7)}),
+    raw AS (SELECT model_name, probe_idx, seed, c - 1 AS c, any_value(n) AS n, sum(z * g[c][j]) AS y
+            FROM std, mat, range(1, 15) u(c) GROUP BY model_name, probe_idx, seed, c),
+    ranked AS (SELECT model_name, probe_idx, row_number() OVER (PARTITION BY model_name ORDER BY probe_idx) - 1 AS rank
+               FROM emb),
+    cut AS (SELECT setting, merge, dim, model_name, rank, c, least(n - 1, {WIDTH}, dim) AS k, y / sqrt(least(n - 1, {WIDTH}, dim))
+                   AS y FROM raw JOIN settings USING (seed) JOIN ranked USING (model_name, probe_idx))
+    SELECT setting, model_name, CAST(rank * k + c AS BIGINT) AS pos, round(y, 6) + 0.0 AS value
+    FROM cut WHERE merge = 'concat' AND c < k AND rank * k + c < dim
+    UNION ALL SELECT setting, model_name, CAST(c AS BIGINT), round(max(y), 6) + 0.0
+    FROM cut WHERE merge = 'max' AND c < k GROUP BY setting, model_name, c""")
+
+
 def _policy(spark, sf):
     failures = _said(spark, sf).select("model_name").distinct().where("model_name = 'bot-6'").withColumn(
         "error", F.lit("generation failed"))

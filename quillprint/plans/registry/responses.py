@@ -18,21 +18,19 @@ def _answered(spark, sf):
 
 
 def _aligned(spark, sf):
-    t = turns(spark, sf)
-    asked = t.select("model_name", "dataset").distinct()
+    """Every model was asked one of eleven datasets; a dataset has all positions that any of its models answered."""
+    t = turns(spark, sf).withColumn("dataset", F.concat(F.lit("set-"), (F.col("conv_id") % 11).cast("string")))
     probes = t.groupBy("dataset", "probe_idx").agg(F.concat(F.lit("probe "), F.min("probe_idx").cast("string"))
                                                    .alias("text"))
-    cut = probes.where("probe_idx < 2")
-    return ops.align(asked, cut, _answered(spark, sf)).select(
-        "model_name", "probe_idx", "prompt", F.md5(F.col("response").cast("binary")).alias("response"))
+    return ops.align(t.select("model_name", "dataset").distinct(), probes, t.where("response IS NOT NULL")).select(
+        "model_name", "dataset", "probe_idx", "prompt", F.md5(F.col("response").cast("binary")).alias("response"))
 
 
 QUERIES["j3_align_responses"] = (_aligned, f"""
-    WITH {TURNS_SQL}
-    SELECT m.model_name, p.probe_idx, 'probe ' || p.probe_idx AS prompt, md5(coalesce(t.response, '')) AS response
-    FROM (SELECT DISTINCT model_name FROM turns) m
-    CROSS JOIN (SELECT DISTINCT probe_idx FROM turns WHERE probe_idx < 2) p
-    LEFT JOIN turns t ON t.model_name = m.model_name AND t.probe_idx = p.probe_idx""")
+    WITH {TURNS_SQL}, t AS (SELECT * REPLACE ('set-' || (conv_id % 11) AS dataset) FROM turns)
+    SELECT m.model_name, dataset, p.probe_idx, 'probe ' || p.probe_idx AS prompt, md5(coalesce(a.response, '')) AS response
+    FROM (SELECT DISTINCT model_name, dataset FROM t) m JOIN (SELECT DISTINCT dataset, probe_idx FROM t) p USING (dataset)
+    LEFT JOIN t a USING (model_name, dataset, probe_idx)""")
 
 
 def _merged(spark, sf):
@@ -277,6 +275,24 @@ QUERIES["s5_cache_round_trip"] = (_cache_round_trip, f"""
     SELECT model_name, dataset, probe_idx, md5(coalesce(response, '')) AS response
     FROM turns JOIN filled USING (model_name)""")
 
+
+
+def _gaps(spark, sf):
+    """Every third answer is missing; the rest have to keep their places."""
+    path = scratch_path(spark, "responses")
+    filled = turns(spark, sf).where("(conv_id + probe_idx) % 3 <> 0").withColumn("response", F.coalesce("response", F.lit("")))
+    response_cache.write_response_documents(response_cache.response_documents(filled, items_per_document=3), path)
+    items = response_cache.cached_items(response_cache.read_response_documents(spark, path))
+    return response_cache.usable_items(items).select(
+        "model_name", "dataset", "probe_idx", F.md5(F.col("response").cast("binary")).alias("response"))
+
+
+QUERIES["s5_cache_with_gaps"] = (_gaps, f"""
+    WITH {TURNS_SQL}, kept AS (SELECT * FROM turns WHERE (conv_id + probe_idx) % 3 <> 0),
+    filled AS (SELECT model_name FROM kept GROUP BY model_name HAVING bool_or({strip_sql("coalesce(response, '')")} <> ''))
+    SELECT model_name, dataset, probe_idx, md5(coalesce(response, '')) AS response
+    FROM kept JOIN filled USING (model_name)""")
+
 _SHAPES = """CASE ord % 6
     WHEN 0 THEN '{"model": "m' || ord || '", "dataset": "d", "items": [{"prompt": "p", "response": "r' || p_size
                 || '"}, 5, {"prompt": "q"}, {"response": null}]}'

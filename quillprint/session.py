@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import shutil
 import tempfile
@@ -60,7 +59,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("Set spark.checkpoint.dir to a folder that all executors can reach")
     folder = tempfile.mkdtemp(prefix="quillprint-")
     spark.sparkContext.setCheckpointDir(folder)
@@ -87,15 +87,11 @@ def settle(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(*settled: DataFrame) -> None:
-    """Delete tables made by :func:`settle` that nothing will read again, and let Spark drop the shuffle files of plans
-    that are gone (it does so when the driver collects its garbage)."""
+    """Delete tables made by :func:`settle` that nothing will read again."""
     for df in settled:
         spark, path = df.sparkSession, df._settled_path
         hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
-    if settled:
-        gc.collect()
-        settled[0].sparkSession._jvm.System.gc()
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -33,17 +33,19 @@ def _expected(x, dim, reduction, merge, seed=42):
         y = z @ np.random.RandomState(seed).normal(0, 1 / np.sqrt(k), (k, x.shape[1])).T
     else:
         v = np.linalg.svd(z, full_matrices=False)[2][:k]
-        y = z @ (v * np.sign(v[np.arange(k), np.abs(v).argmax(axis=1)])[:, None]).T
+        top = (np.abs(v) >= np.abs(v).max(axis=1, keepdims=True) * (1 - 1e-9)).argmax(axis=1)
+        y = z @ (v * np.sign(v[np.arange(k), top])[:, None]).T
     flat = y.max(axis=0) if merge == "max" else y.ravel()
     return np.concatenate([flat, np.zeros(dim)])[:dim]
 
 
 @pytest.mark.parametrize("merge", ["concat", "max"])
-@pytest.mark.parametrize("reduction,direct", [("random_projection", 20000), ("pca", 20000), ("svd", 8)])
+@pytest.mark.parametrize("reduction,merged", [("random_projection", 16), ("pca", 16), ("svd", 2)])
 @pytest.mark.parametrize("dim", [4, 30])
-def test_against_numpy(spark, reduction, direct, merge, dim):
+def test_against_numpy(spark, monkeypatch, reduction, merged, merge, dim):
+    monkeypatch.setattr(reduce, "MERGED", merged)
     models = _models()
-    got = reduce.signatures(_frame(spark, models), dim, reduction, merge, direct_rows=direct).collect()
+    got = reduce.signatures(_frame(spark, models), dim, reduction, merge).collect()
     assert {r.model_name for r in got} == set(models)
     for r in got:
         assert r.status == "ok" and len(r.signature) == dim
@@ -61,12 +63,15 @@ def test_same_result_on_any_partitioning(spark):
             np.testing.assert_allclose(other[name], signature, rtol=1e-9, atol=1e-12)
 
 
-def test_one_model_with_most_rows(spark):
+@pytest.mark.parametrize("sent", [reduce.BROADCAST_BYTES, 0])
+def test_one_model_with_most_rows(spark, monkeypatch, sent):
+    monkeypatch.setattr(reduce, "BROADCAST_BYTES", sent)
+    monkeypatch.setattr(reduce, "PART_ROWS", 100)
     rng = np.random.default_rng(2)
     models = {"hot": (np.arange(3000), rng.normal(size=(3000, 6)).astype(np.float32)),
               "cold": (np.arange(10), rng.normal(size=(10, 6)).astype(np.float32))}
     for reduction in ("random_projection", "pca"):
-        got = reduce.signatures(_frame(spark, models, 8), 6, reduction, "max", direct_rows=100).collect()
+        got = reduce.signatures(_frame(spark, models, 8), 6, reduction, "max").collect()
         for r in got:
             np.testing.assert_allclose(r.signature, _expected(models[r.model_name][1], 6, reduction, "max"), atol=1e-5)
 
@@ -125,8 +130,6 @@ def test_failure_policy(spark):
 def test_run_options_are_checked():
     with pytest.raises(ValueError, match="max_samples >= 2"):
         RunConfig(max_samples=1)
-    with pytest.raises(ValueError, match="Use only one"):
-        RunConfig(load_in_4bit=True, load_in_8bit=True)
     with pytest.raises(ValueError, match="reduction"):
         RunConfig(reduction="tsne")
 
@@ -160,3 +163,55 @@ def test_default_width_of_hidden_state_runs(spark):
     unmasked = states.withColumn("mask", F.lit(0))
     assert pooling.last_token(unmasked).where("probe_idx = 3").first().embedding == [5.0, 6.0]
     assert pooling.masked_mean(unmasked).first().embedding == [0.0, 0.0]
+
+
+def test_triangles_keep_small_spread_around_large_means(spark, monkeypatch):
+    monkeypatch.setattr(reduce, "TRIANGLE_BYTES", 2000)
+    rng = np.random.default_rng(3)
+    spread = rng.normal(size=(400, 5)) * [1, 1e-3, 1e-3, 1, 1] + rng.normal(size=(400, 1)) * [1e-1, 1e-3, 1e-3, 1, 2]
+    models = {f"m{i}": (np.arange(400), spread + 1000.0 * i) for i in range(4)}
+    rows = [(name, int(p), [float(v) for v in x]) for name, (at, xs) in models.items() for p, x in zip(at, xs)]
+    frame = spark.createDataFrame(rows, "model_name string, probe_idx bigint, embedding array<double>").repartition(7)
+    table = reduce.ModelTable.of(frame, ["model_name"], 3)
+    found = {r.model_name: np.array(r.basis).reshape(3, 5) for r in reduce.principal_basis(frame, table).collect()}
+    for name, (_, x) in models.items():
+        z = (x - x.mean(axis=0)) / x.std(axis=0)
+        want = np.linalg.svd(z, full_matrices=False)[2][:3]
+        want *= np.sign(want[np.arange(3), np.abs(want).argmax(axis=1)])[:, None]
+        np.testing.assert_allclose(found[name], want, atol=1e-6)
+        np.testing.assert_allclose(found[name] @ found[name].T, np.eye(3), atol=1e-10)
+
+
+def test_settings_as_rows_give_what_single_runs_give(spark):
+    models = _models()
+    frame = _frame(spark, models)
+    settings = {f"{r}-{m}-{d}-{s}": RunConfig(dim=d, reduction=r, merge=m, seed=s)
+                for r, m, d, s in [("random_projection", "concat", 4, 42), ("random_projection", "concat", 30, 42),
+                                   ("random_projection", "concat", 9, 7), ("random_projection", "max", 4, 7),
+                                   ("random_projection", "max", 12, 42), ("pca", "concat", 5, 1), ("svd", "max", 3, 2),
+                                   ("umap", "concat", 30, 3), ("random_projection", "sum", 4, 42)]}
+    names = spark.createDataFrame([(m, s) for m in models for s in settings] + [(next(iter(models)), next(iter(settings)))],
+                                  "model_name string, setting string")
+    found = {(r.setting, r.model_name): r for r in fingerprint.with_settings(frame, names, settings).collect()}
+    assert len(found) == len(models) * len(settings)
+    for name, c in settings.items():
+        for r in reduce.signatures(frame, c.dim, c.reduction, c.merge, c.seed).collect():
+            got = found[name, r.model_name]
+            assert (got.status, got.components, got.probe_count) == (r.status, r.components, r.probe_count)
+            if r.signature is None:
+                assert got.signature is None
+            else:
+                np.testing.assert_allclose(got.signature, r.signature, atol=1e-9)
+
+
+def test_jobs_do_not_grow_with_settings(spark):
+    frame = _frame(spark, _models())
+    counts = []
+    for n in (3, 50):
+        settings = {f"s{i}": RunConfig(dim=2 + i % 9, seed=i % 2, merge="max" if i % 3 else "concat") for i in range(n)}
+        names = frame.select("model_name").distinct().crossJoin(spark.createDataFrame([(s,) for s in settings], "setting string"))
+        spark.sparkContext.setJobGroup(f"settings-{n}", "")
+        fingerprint.with_settings(frame, names, settings).write.format("noop").mode("overwrite").save()
+        counts.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"settings-{n}")))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert counts[0] == counts[1] > 0
