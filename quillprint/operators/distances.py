@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillprint.functions import vectors
+from quillprint.operators import pivots
 from quillprint.operators.ordering import number_blocks
 from quillprint.session import ship_package
 
@@ -118,15 +119,30 @@ def _among_nearest(side: np.ndarray, other: np.ndarray, distance: np.ndarray, co
     return near
 
 
+def _given(signatures: DataFrame, key: str = "model_name", order: str = "ord", **_) -> DataFrame:
+    return signatures.select(F.col(order).cast("bigint").alias("ord"), F.col(key).cast("string").alias("name"),
+                             F.col("signature").cast("array<double>").alias("signature"))
+
+
 def pairs_within(signatures: DataFrame, limit: float, metric: str = "euclidean", **options) -> DataFrame:
-    """Pairs at most ``limit`` apart."""
+    """Pairs at most ``limit`` apart: ``i, j, name_i, name_j, distance`` with ``i < j``.
+
+    For metrics with a triangle inequality pairs of blocks that are too far apart are ruled out before signatures are copied
+    (:mod:`quillprint.operators.pivots`); for the others all pairs of blocks are compared.
+    """
+    if metric in pivots.METRICS:
+        return pivots.pairs_within(_given(signatures, **options), limit, metric, options.get("block_rows", BLOCK_ROWS))
     return all_pairs(signatures, metric, within=limit, **options)
 
 
 def nearest_models(signatures: DataFrame, count: int, metric: str = "euclidean", **options) -> DataFrame:
     """The ``count`` nearest other signatures of each: ``i, name_i, rank, j, name_j, distance``, ties to the smaller
-    position. Every group of blocks passes on ``count`` rows per signature at most."""
-    pairs = all_pairs(signatures, metric, nearest=count, **options)
+    position. Every group of blocks passes on ``count`` rows per signature at most, and blocks that cannot hold a nearest one
+    are ruled out as in :func:`pairs_within`."""
+    if metric in pivots.METRICS:
+        pairs = pivots.nearest_pairs(_given(signatures, **options), count, metric, options.get("block_rows", BLOCK_ROWS))
+    else:
+        pairs = all_pairs(signatures, metric, nearest=count, **options)
     turned = F.explode(F.array(F.struct("i", "name_i", "j", "name_j", "distance"),
                                F.struct(F.col("j").alias("i"), F.col("name_j").alias("name_i"), F.col("i").alias("j"),
                                         F.col("name_i").alias("name_j"), "distance")))
