@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 from quillprint.llm import grams
 from quillprint.session import ship_package
 
-ORDER = 2
+ORDER = 3
 BACKOFF = 0.4
 MIN_COUNT = 2
 #: Characters of a block of documents, and of the text whose n-grams one partition of the tables counts. A document is
 #: never cut.
-BLOCK_CHARS = 16_000_000
-TABLE_CHARS = 12_000_000
+BLOCK_CHARS = 8_000_000
+TABLE_CHARS = 6_000_000
 #: Stands for the empty n-gram, whose count is the number of words.
 EMPTY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -131,8 +131,8 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_cou
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Scores with four and six digits."""
-    return _rounded(score(docs))
+    """Scores of order 2 with four and six digits. Blocks and tables are twice as large, as a text has fewer n-grams."""
+    return _rounded(score(docs, 2, block_chars=2 * BLOCK_CHARS, table_chars=2 * TABLE_CHARS))
 
 
 def _rounded(scores: DataFrame) -> DataFrame:
@@ -141,8 +141,8 @@ def _rounded(scores: DataFrame) -> DataFrame:
 
 
 def trigram_digest(docs: DataFrame) -> DataFrame:
-    """The same with order 3. Blocks and tables are smaller by half, as a text has more n-grams."""
-    return _rounded(score(docs, 3, block_chars=BLOCK_CHARS // 2, table_chars=TABLE_CHARS // 2))
+    """Scores of order 3, the operator's own."""
+    return _rounded(score(docs))
 
 
 def digest_sql(backoff: float = BACKOFF, min_count: int = MIN_COUNT) -> str:

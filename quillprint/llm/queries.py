@@ -22,9 +22,9 @@ QUERIES = {
     "op9_toxicity": (
         lambda spark, sf: toxicity.digest(table(spark, sf, "documents"), table(spark, sf, "labels")), None),
     "op10_secret_scan": (lambda spark, sf: secret_scan.digest(table(spark, sf, "documents")), None),
-    "op8_lm_scoring": (lambda spark, sf: lm_scoring.digest(table(spark, sf, "documents")), lm_scoring.digest_sql()),
-    "op8_lm_scoring_order3": (
+    "op8_lm_scoring": (
         lambda spark, sf: lm_scoring.trigram_digest(table(spark, sf, "documents")), lm_scoring.trigram_digest_sql()),
+    "op8_lm_scoring_order2": (lambda spark, sf: lm_scoring.digest(table(spark, sf, "documents")), lm_scoring.digest_sql()),
     "op3_warc": (lambda spark, sf: warc.digest(table(spark, sf, "pages")), warc.digest_sql()),
     "op7_nearest_neighbours": (lambda spark, sf: ann.digest(table(spark, sf, "embeddings")), None),
     "op11_token_alignment": (

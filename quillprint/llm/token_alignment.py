@@ -260,7 +260,8 @@ def align_block(tool: Tokenizers, a: tuple[np.ndarray, np.ndarray], b: tuple[np.
     codes = np.array(codes, np.int64)
     new = codes >= before
     if new.any():
-        tool.windows.learn(picked_a[np.repeat(new, some_a)], some_a[new], picked_b[np.repeat(new, some_b)], some_b[new])
+        tool.windows.learn(picked_a[np.repeat(new, some_a)], some_a[new],
+                           picked_b[np.repeat(new, some_b)], some_b[new])
     codes = codes[place]
     return codes, np.append(0, np.searchsorted(cut_a, first_a, "right"))
 
