@@ -570,8 +570,8 @@ def signatures_by_setting(embeddings: DataFrame, wanted: DataFrame, keys: list[s
                 *keys, F.lit(0).cast("bigint").alias("seed"), "projected", F.lit(True).alias("principal")))
         whole = parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0]
         best = vector_to_array(Summarizer.max(array_to_vector("projected")))
-        made.append(whole.groupBy(*family).agg(F.array(F.struct(F.lit(0).alias("rank"), best.alias("projected"))).alias("rows"))
-                    .withColumn("merge", F.lit("max")))
+        one = F.array(F.struct(F.lit(0).alias("rank"), best.alias("projected")))
+        made.append(whole.groupBy(*family).agg(one.alias("rows")).withColumn("merge", F.lit("max")))
 
     head = [*keys, "setting", "probe_count", "width", "components", "status"]
     if not made:

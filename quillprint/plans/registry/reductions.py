@@ -10,8 +10,8 @@ from quillprint.functions.encoders import encode_texts, register_encoder
 from quillprint.operators import pooling, reduce
 from quillprint.plans import fingerprint, run
 from quillprint.plans.registry.inputs import (EMBEDDINGS_SQL, TURNS_SQL, concat_sql, embeddings,
-                                              long_signature, matrix_sql, r6, reduced_sql, strip_sql, table, turns, word_count_sql,
-                                              words_sql)
+                                              long_signature, matrix_sql, r6, reduced_sql, strip_sql, table, turns,
+                                              word_count_sql, words_sql)
 from quillprint.session import scratch_path
 
 QUERIES = {}
@@ -277,9 +277,10 @@ def _full_run(spark, sf):
 QUERIES["e2_full_run"] = (_full_run, f"""
     WITH {TURNS_SQL},
     ids AS (SELECT DISTINCT conv_id FROM turns),
-    listed AS (SELECT conv_id AS ord, conv_id FROM ids UNION ALL SELECT -1 - conv_id, conv_id FROM ids WHERE conv_id % 11 = 0),
-    places AS (SELECT probe_idx, row_number() OVER (ORDER BY probe_idx) - 1 AS place FROM (SELECT DISTINCT probe_idx FROM turns)
-               QUALIFY place < 3),
+    listed AS (SELECT conv_id AS ord, conv_id FROM ids
+               UNION ALL SELECT -1 - conv_id, conv_id FROM ids WHERE conv_id % 11 = 0),
+    places AS (SELECT probe_idx, row_number() OVER (ORDER BY probe_idx) - 1 AS place
+               FROM (SELECT DISTINCT probe_idx FROM turns) QUALIFY place < 3),
     cached AS (SELECT conv_id FROM turns WHERE conv_id % 3 = 0 AND conv_id % 9 <> 0 GROUP BY conv_id
                HAVING bool_or({strip_sql("coalesce(response, '')")} <> '')),
     answers AS (SELECT conv_id, probe_idx, coalesce(response, '') AS response, 'cache' AS source

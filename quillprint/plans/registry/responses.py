@@ -280,7 +280,8 @@ QUERIES["s5_cache_round_trip"] = (_cache_round_trip, f"""
 def _gaps(spark, sf):
     """Every third answer is missing; the rest have to keep their places."""
     path = scratch_path(spark, "responses")
-    filled = turns(spark, sf).where("(conv_id + probe_idx) % 3 <> 0").withColumn("response", F.coalesce("response", F.lit("")))
+    filled = turns(spark, sf).where("(conv_id + probe_idx) % 3 <> 0").withColumn(
+        "response", F.coalesce("response", F.lit("")))
     response_cache.write_response_documents(response_cache.response_documents(filled, items_per_document=3), path)
     items = response_cache.cached_items(response_cache.read_response_documents(spark, path))
     return response_cache.usable_items(items).select(

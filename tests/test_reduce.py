@@ -209,7 +209,8 @@ def test_jobs_do_not_grow_with_settings(spark):
     counts = []
     for n in (3, 50):
         settings = {f"s{i}": RunConfig(dim=2 + i % 9, seed=i % 2, merge="max" if i % 3 else "concat") for i in range(n)}
-        names = frame.select("model_name").distinct().crossJoin(spark.createDataFrame([(s,) for s in settings], "setting string"))
+        named = spark.createDataFrame([(s,) for s in settings], "setting string")
+        names = frame.select("model_name").distinct().crossJoin(named)
         spark.sparkContext.setJobGroup(f"settings-{n}", "")
         fingerprint.with_settings(frame, names, settings).write.format("noop").mode("overwrite").save()
         counts.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"settings-{n}")))

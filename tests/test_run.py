@@ -76,8 +76,8 @@ def test_without_the_cache_and_without_tolerance(spark, inputs):
     with pytest.raises(RuntimeError, match="broken, silent"):
         run.full_run(spark, models, probes, strict, root, generated, caches, failures)
     assert run_store.committed(spark, root).count() == 0
-    fresh = run.full_run(spark, models, probes, RunConfig(**{**CONFIG.__dict__, "use_response_cache": False}), root, generated,
-                         caches, failures)
+    uncached = RunConfig(**{**CONFIG.__dict__, "use_response_cache": False})
+    fresh = run.full_run(spark, models, probes, uncached, root, generated, caches, failures)
     assert {r.source for r in fresh.results.collect()} == {"generated"}
     with pytest.raises(RuntimeError, match="all models"):
         run.full_run(spark, models.where("model_name = 'silent'"), probes, CONFIG, scratch_path(spark, "runs"))
