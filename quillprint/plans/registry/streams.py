@@ -33,6 +33,21 @@ QUERIES["w1_stream_first_texts"] = (
     _first_texts, f"SELECT doc_id AS probe_idx, md5(text) AS text FROM documents WHERE doc_id < {SLACK}")
 
 
+def _gapped_texts(spark, sf):
+    """The first texts of a folder of several files, whose positions have gaps: every third document, in five files."""
+    path = scratch_path(spark, "stream")
+    kept = table(spark, sf, "documents").where("doc_id % 3 = 1").select("doc_id", "text")
+    kept.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{path}/in")
+    texts = st.stream_texts(spark, f"{path}/in", kept.schema, "text", "doc_id", files_per_batch=5)
+    _finished(st.append_first(texts, SLACK // 4, f"{path}/out", f"{path}/checkpoint"))
+    return st.first_texts(spark, f"{path}/out", texts.schema).select(
+        "probe_idx", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+QUERIES["w1_stream_first_with_gaps"] = (_gapped_texts, f"""
+    SELECT doc_id AS probe_idx, md5(text) AS text FROM documents WHERE doc_id % 3 = 1 ORDER BY doc_id LIMIT {SLACK // 4}""")
+
+
 def _batches(spark, sf):
     path = scratch_path(spark, "stream")
     numbered = st.with_batch_number(_text_stream(spark, sf), 300).select("probe_idx", "batch")
@@ -68,7 +83,8 @@ def _progress(spark, sf):
     answers = arriving.where("role = 'assistant'").select(
         F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("model_name"),
         F.explode(F.array(F.col("turn"), F.col("turn"))).alias("probe_idx"))
-    _finished(st.track_progress(st.response_progress(answers, 2), f"{path}/out", f"{path}/checkpoint"))
+    tracked = st.response_progress(answers, 2, most=100_000)
+    _finished(st.track_progress(tracked, f"{path}/out", f"{path}/checkpoint"))
     return st.latest_progress(spark, f"{path}/out").select("model_name", "count", "complete")
 
 

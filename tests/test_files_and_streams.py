@@ -77,8 +77,8 @@ def _arrivals(spark, folder, rows):
         "append").parquet(folder)
 
 
-@pytest.mark.parametrize("event_time", [None, "at"])
-def test_progress_over_several_runs(spark, event_time):
+def test_progress_over_several_runs(spark):
+    """Every run goes on from the checkpoint; repeats, however late, odd positions and compaction change nothing."""
     import datetime
     base = scratch_path(spark, "stream")
     at = datetime.datetime(2024, 1, 1)
@@ -86,14 +86,41 @@ def test_progress_over_several_runs(spark, event_time):
 
     def advance():
         arriving = spark.readStream.schema(schema).parquet(f"{base}/in")
-        progress = st.response_progress(arriving, 3, event_time)
-        st.track_progress(progress, f"{base}/out", f"{base}/check").awaitTermination()
+        progress = st.response_progress(arriving, 3, most=70)
+        st.track_progress(progress, f"{base}/out", f"{base}/check", compact_every=2).awaitTermination()
         return {r.model_name: (r["count"], r.complete) for r in st.latest_progress(spark, f"{base}/out").collect()}
 
+    assert st.latest_progress(spark, f"{base}/out").count() == 0
     _arrivals(spark, f"{base}/in", [("a", 0, at), ("a", 0, at), ("b", 0, at)])
     assert advance() == {"a": (1, False), "b": (1, False)}
-    _arrivals(spark, f"{base}/in", [("a", 1, at), ("a", 2, at), ("b", 0, at)])
+    _arrivals(spark, f"{base}/in", [("a", 1, at), ("a", 69, at), ("b", 0, at), ("c", 70, at), ("c", -1, at), ("c", None, at)])
     assert advance() == {"a": (3, True), "b": (1, False)}
+    _arrivals(spark, f"{base}/in", [("a", 0, at + datetime.timedelta(days=900)), ("c", 5, at)])
+    assert advance() == {"a": (3, True), "b": (1, False), "c": (1, False)}
+    _arrivals(spark, f"{base}/in", [("b", 1, at)])
+    assert advance() == {"a": (3, True), "b": (2, False), "c": (1, False)}
+    assert st._numbers(spark, f"{base}/out", "whole", True) == [1, 3]
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 12, 13, 99])
+def test_first_rows_of_a_stream_with_gaps(spark, n):
+    base = scratch_path(spark, "stream")
+    schema = "id bigint, text string"
+
+    def arrive(ids):
+        spark.createDataFrame([(i, f"t{i}") for i in ids], schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+
+    def run():
+        texts = st.stream_texts(spark, f"{base}/in", spark.createDataFrame([], schema).schema, "text", "id", files_per_batch=1)
+        st.append_first(texts, n, f"{base}/out", f"{base}/check").awaitTermination()
+        return sorted(r.probe_idx for r in st.first_texts(spark, f"{base}/out", texts.schema).collect())
+
+    first, second = [3 * i + 100 for i in range(8)], [7 * i for i in range(5)]
+    arrive(first)
+    assert run() == first[:n]
+    arrive(second)
+    assert run() == sorted(first[:n] + second[:max(0, n - 8)])
+    assert run() == sorted(first[:n] + second[:max(0, n - 8)])
 
 
 def test_text_stream_needs_its_column_and_resumes(spark):
