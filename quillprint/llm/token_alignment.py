@@ -30,7 +30,7 @@ from quillprint.session import settle, ship_package
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK = 1 << 20
 #: Words and windows that a task remembers before it begins anew, and the longest word worth it.
-REMEMBERED = 100_000
+REMEMBERED = 80_000
 LONGEST_KEPT = 64
 #: Words that the tokenizers are handed at once: what they return is far larger than the ids.
 ENCODED = 4096
@@ -75,6 +75,7 @@ class Tokenizers:
         self.a_len, self.a_space = self._shape(self.a_bytes)
         self.b_len, self.b_space = self._shape(self.b_bytes)
         self.remembered = remembered
+        self.words, self.sides, self.fine = {}, ([], []), []
         self.forget()
         self.windows = Windows(self)
 
@@ -102,9 +103,7 @@ class Tokenizers:
         """
         cut = [(CUT.split(" " + text) if self.apart else [" " + text]) if text else [] for text in texts]
         parts = list(chain.from_iterable(cut))
-        if len(self.words) > self.remembered:
-            self.forget()
-        self._learn([word for word in dict.fromkeys(parts) if word not in self.words])
+        self._look_up(list(dict.fromkeys(parts)))
         codes = np.fromiter(map(self.words.__getitem__, parts), np.int64, len(parts))
         owner = np.repeat(np.arange(len(texts)), [len(x) for x in cut])
         used, place = np.unique(codes, return_inverse=True)
@@ -112,8 +111,8 @@ class Tokenizers:
         there = np.array([bool(x) for x in texts])
         for i in np.unique(owner[~np.array(self.fine)[codes]]).tolist() if len(codes) else []:
             mine = codes[owner == i].tolist()
-            a, b = (list(chain.from_iterable(map(side.__getitem__, mine))) for side in self.sides)
-            there[i] = self.covers(a, b, " " + texts[i])
+            a, b = (self._rows(side, mine)[0] for side in self.sides)
+            there[i] = self.covers(a.tolist(), b.tolist(), " " + texts[i])
         place, owner = place[there[owner]], owner[there[owner]]
         out = []
         for flat, size, start in sides:
@@ -121,45 +120,62 @@ class Tokenizers:
             out.append((flat[_spread(start[place], size[place])], counts[there]))
         for word in self.long:
             code = self.words.pop(word)
-            self.sides[0][code] = self.sides[1][code] = []
+            self.sides[0][code] = self.sides[1][code] = b""
         self.long = []
         return there, *out
 
     def forget(self) -> None:
-        self.words: dict[str, int] = {}
-        self.sides: tuple[list, list] = ([], [])
-        self.fine: list[bool] = []
-        self.long: list[str] = []
+        """Begin anew, with the words so far in reach: one that is met again comes along, others go the next time."""
+        self.old = (self.words, self.sides, self.fine)
+        self.words, self.sides, self.fine, self.long = {}, ([], []), [], []
 
-    def _learn(self, new: list[str]) -> None:
-        a, b = [], []
+    def _look_up(self, words: list[str]) -> None:
+        """Let ``self.words`` have all the words: from before, or encoded now."""
+        if len(self.words) > self.remembered:
+            self.forget()
+        missing = [word for word in words if word not in self.words]
+        known, sides, fine = self.old
+        again = [word for word in missing if word in known]
+        codes = list(map(known.__getitem__, again))
+        self._add(again, *(map(side.__getitem__, codes) for side in sides), map(fine.__getitem__, codes))
+        new = [word for word in missing if word not in known]
         for i in range(0, len(new), ENCODED):
             some = new[i:i + ENCODED]
-            a.extend(x.ids for x in self.a.encode_batch_fast(some, add_special_tokens=False))
-            b.extend(self.b.encode([word[1:] for word in some], num_threads=1))
-        all_a, all_b = list(chain.from_iterable(a)), list(chain.from_iterable(b))
-        sizes = [len(word.encode()) for word in new]
-        if (self.covers(all_a, all_b, "".join(new)) and self._bytes(self.a_len, all_a, a) == sizes
-                and self._bytes(self.b_len, all_b, b) == sizes):
-            self.fine.extend([True] * len(new))
-        else:
-            self.fine.extend(map(self.covers, a, b, new))
-        first = len(self.sides[0])
-        self.words.update(zip(new, range(first, first + len(new))))
-        self.long.extend(word for word in new if len(word) > LONGEST_KEPT)
+            a = [x.ids for x in self.a.encode_batch_fast(some, add_special_tokens=False)]
+            b = self.b.encode([word[1:] for word in some], num_threads=1)
+            all_a, all_b = list(chain.from_iterable(a)), list(chain.from_iterable(b))
+            ends_a, ends_b = (np.cumsum([len(x) for x in side]) for side in (a, b))
+            bytes_a, bytes_b = self._bytes(self.a_len, all_a, ends_a), self._bytes(self.b_len, all_b, ends_b)
+            sizes = np.array([len(word.encode()) for word in some])
+            if self.covers(all_a, all_b, "".join(some)):
+                fine = ((bytes_a == sizes) & (bytes_b == sizes)).tolist()
+            else:
+                fine = map(self.covers, a, b, some)
+            self._add(some, self._packed(all_a, ends_a), self._packed(all_b, ends_b), fine)
+            self.long.extend(word for word in some if len(word) > LONGEST_KEPT)
+
+    def _add(self, words: list[str], a, b, fine) -> None:
+        first = len(self.fine)
+        self.words.update(zip(words, range(first, first + len(words))))
         self.sides[0].extend(a)
         self.sides[1].extend(b)
+        self.fine.extend(fine)
 
     @staticmethod
-    def _bytes(lengths: np.ndarray, ids: list[int], words: list[list[int]]) -> list[int]:
-        ends = np.append(0, np.cumsum(lengths[np.array(ids, np.int64)]))
-        return np.diff(ends[np.cumsum([len(x) for x in words], dtype=np.int64)], prepend=0).tolist()
+    def _packed(ids: list[int], ends: np.ndarray) -> list[bytes]:
+        """The ids of each word as bytes of 32-bit numbers: a fraction of what lists take."""
+        raw, ends = np.array(ids, np.int32).tobytes(), (ends * 4).tolist()
+        return [raw[s:e] for s, e in zip([0, *ends], ends)]
 
     @staticmethod
-    def _rows(side: list[list[int]], used: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _bytes(lengths: np.ndarray, ids: list[int], ends: np.ndarray) -> np.ndarray:
+        return np.diff(np.append(0, np.cumsum(lengths[np.array(ids, np.int64)]))[ends], prepend=0)
+
+    @staticmethod
+    def _rows(side: list[bytes], used: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rows = list(map(side.__getitem__, used))
-        size = np.array([len(x) for x in rows], np.int64)
-        return np.fromiter(chain.from_iterable(rows), np.int64, int(size.sum())), size, np.cumsum(size) - size
+        size = np.array([len(x) for x in rows], np.int64) // 4
+        return np.frombuffer(b"".join(rows), np.int32).astype(np.int64), size, np.cumsum(size) - size
 
 
 class Windows:
@@ -266,6 +282,18 @@ def align_block(tool: Tokenizers, a: tuple[np.ndarray, np.ndarray], b: tuple[np.
     return codes, np.append(0, np.searchsorted(cut_a, first_a, "right"))
 
 
+def _narrow(numbers: np.ndarray) -> bytes:
+    """Non-negative numbers in as many bytes each as the largest one needs; the first byte says how many."""
+    largest = int(numbers.max()) if len(numbers) else 0
+    width = next(w for w in (1, 2, 4, 8) if largest < 1 << (8 * w))
+    return bytes([width]) + numbers.astype(f"<u{width}").tobytes()
+
+
+def _wide(content: bytes) -> np.ndarray:
+    """What :func:`_narrow` has packed."""
+    return np.frombuffer(content, f"<u{content[0]}", offset=1).astype(np.int64)
+
+
 @lru_cache(maxsize=2)
 def _tokenizers(byte_level: bytes, pieces: bytes) -> Tokenizers:
     return Tokenizers(byte_level, pieces)
@@ -274,8 +302,8 @@ def _tokenizers(byte_level: bytes, pieces: bytes) -> Tokenizers:
 _STATISTICS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
 _BLOCK = T.StructType([
     T.StructField("block", T.LongType()), T.StructField("pairs", T.BinaryType()), T.StructField("pair_counts", T.BinaryType()),
-    T.StructField("window_links", T.BinaryType()), T.StructField("window_ends", T.BinaryType()),
-    T.StructField("codes", T.BinaryType()), T.StructField("document_ends", T.BinaryType()),
+    T.StructField("window_links", T.BinaryType()), T.StructField("window_sizes", T.BinaryType()),
+    T.StructField("codes", T.BinaryType()), T.StructField("document_sizes", T.BinaryType()),
     T.StructField("documents", T.ArrayType(T.StructType([
         T.StructField("doc_id", T.LongType()), T.StructField("n_a", T.LongType()), T.StructField("n_b", T.LongType()),
         T.StructField("n_groups", T.LongType()), T.StructField("n_links", T.LongType()),
@@ -306,9 +334,8 @@ def _pack(tool: Tokenizers, ids: list, texts: list[str | None]) -> dict:
         else:
             documents.append((key, 0, 0, 0, 0, ""))
         ends.append(int(bounds[k]))
-    return {"pairs": pairs.tobytes(), "pair_counts": counts.tobytes(), "window_links": place.astype(np.int32).tobytes(),
-            "window_ends": np.cumsum(sizes).tobytes(), "codes": codes.astype(np.int32).tobytes(),
-            "document_ends": np.array(ends, np.int64).tobytes(),
+    return {"pairs": pairs.tobytes(), "pair_counts": _narrow(counts), "window_links": _narrow(place),
+            "window_sizes": _narrow(sizes), "codes": _narrow(codes), "document_sizes": _narrow(np.diff(ends, prepend=0)),
             "documents": [dict(zip(_STATISTICS, x)) for x in documents]}
 
 
@@ -316,8 +343,8 @@ def blocks(docs: DataFrame, byte_level_path: str, pieces_path: str, key: str = "
            block: int = BLOCK) -> DataFrame:
     """Aligned documents in blocks, in the shared folder: every text is encoded once, whatever is asked of it later.
 
-    One row per block: ``block, pairs, pair_counts, window_links, window_ends, codes, document_ends, documents``. The binary
-    columns are numpy arrays: the block's distinct pairs (A's id in the upper 32 bits) and their links; per window its links
+    One row per block: ``block, pairs, pair_counts, window_links, window_sizes, codes, document_sizes, documents``. The
+    binary columns are numpy arrays, all but ``pairs`` in as few bytes as their numbers need: the block's distinct pairs (A's id in the upper 32 bits) and their links; per window its links
     as places in ``pairs``; per document its windows. A text that is null, empty, or whose tokens' bytes are not space and
     text has no windows. Rows of equal key or text stay rows of their own; an empty table has no blocks.
     """
@@ -358,7 +385,7 @@ def _pairs(made: DataFrame) -> DataFrame:
     def unfold(batches):
         for batch in batches:
             for number, pairs, counts in zip(*(batch.column(i) for i in range(3))):
-                pairs, counts = np.frombuffer(pairs.as_py(), np.int64), np.frombuffer(counts.as_py(), np.int64)
+                pairs, counts = np.frombuffer(pairs.as_py(), np.int64), _wide(counts.as_py())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(pairs), number.as_py(), np.int64)),
                      pa.array(np.arange(len(pairs), dtype=np.int32)), pa.array(pairs), pa.array(counts)],
@@ -390,16 +417,15 @@ def document_links(made: DataFrame, counts: DataFrame) -> DataFrame:
     answers = (_pairs(made).join(counts, "pair").groupBy("block")
                .agg(F.array_sort(F.collect_list(F.struct("at", "links", "best"))).alias("answers"))
                .select("block", F.col("answers.links").alias("links"), F.col("answers.best").alias("best")))
-    asked = made.select("block", "window_links", "window_ends", "codes", "document_ends", "documents").join(
+    asked = made.select("block", "window_links", "window_sizes", "codes", "document_sizes", "documents").join(
         answers, "block", "left")
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
     def add_up(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                links, window_ends, codes, document_ends = (
-                    np.frombuffer(batch.column(j)[i].as_py(), kind)
-                    for j, kind in ((1, np.int32), (2, np.int64), (3, np.int32), (4, np.int64)))
+                links, sizes, codes, counts = (_wide(batch.column(j)[i].as_py()) for j in range(1, 5))
+                window_ends, document_ends = np.cumsum(sizes), np.cumsum(counts)
                 documents = batch.column(5)[i].values
                 totals = []
                 for j in (7, 6):
