@@ -13,6 +13,7 @@ have is one row per block, and a block's rows are bounded by its size.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from functools import lru_cache
 from itertools import chain
@@ -61,6 +62,8 @@ class Tokenizers:
     def __init__(self, byte_level: bytes, pieces: bytes, remembered: int = REMEMBERED):
         import sentencepiece
         import tokenizers
+        # a task has one core; the library would start a thread for each core of the machine
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a = tokenizers.Tokenizer.from_str(byte_level.decode())
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=pieces)
