@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from quillprint.functions import vectors
 
 PROBE = ["model_name", "probe_idx"]
+#: An id of one in so many tokens is hot; ids that the sketch of them tracks.
+HOT_SHARE = 512
+TRACKED = 16_384
 
 
 def last_token(states: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -35,9 +38,26 @@ def masked_mean(states: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return summed.select(*keys, F.transform("total", lambda x: x / F.col("weight")).alias("embedding"))
 
 
+def _hot_ids(tokens: DataFrame) -> list[int]:
+    """Ids that hold at least one of HOT_SHARE tokens, by a sketch of bounded size; fewer than HOT_SHARE of them."""
+    found = tokens.agg(F.expr(f"approx_top_k(token_id, {HOT_SHARE}, {TRACKED})").alias("top"),
+                       F.count(F.lit(1)).alias("n")).first()
+    return [item["item"] for item in found.top or [] if item["count"] * HOT_SHARE >= found.n]
+
+
 def token_embeddings(texts: DataFrame, vocabulary: DataFrame, vocabulary_size: int,
                      padding_id: int | None = None, key: str = "text_id") -> DataFrame:
-    """Vocabulary vector of every valid token, in place. Ids outside the vocabulary drop out and positions close up."""
+    """Vocabulary vector of every valid token, in place. Ids outside the vocabulary drop out and positions close up.
+
+    An id that a large part of all tokens has would make one partition of a join by id. Such ids are found by a sketch, and
+    their vectors, fewer than HOT_SHARE, are sent to the tokens; the other tokens meet theirs by a join. The sketch
+    decides the way only, not the result.
+    """
     valid = vectors.valid_tokens(F.col("token_ids"), vocabulary_size, padding_id)
     tokens = texts.select(key, F.posexplode(valid).alias("pos", "token_id"))
-    return tokens.join(vocabulary, "token_id").select(key, "pos", "token_id", "embedding")
+    hot = _hot_ids(tokens)
+    is_hot = F.col("token_id").isin(hot) if hot else F.lit(False)
+    met = tokens.where(~is_hot).join(vocabulary.where(~is_hot), "token_id")
+    if hot:
+        met = met.unionByName(tokens.where(is_hot).join(F.broadcast(vocabulary.where(is_hot)), "token_id"))
+    return met.select(key, "pos", "token_id", "embedding")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -140,18 +141,30 @@ def mixed_probes(sources: DataFrame, n: int, seed: int = 42, mix: bool = True) -
 
 
 def probe_texts(sources: DataFrame, dataset: str, probe_set: str, n: int, seed: int = 42,
-                cached: DataFrame | None = None) -> DataFrame:
+                cached: Callable[[], DataFrame | None] | None = None,
+                save: Callable[[DataFrame], bool] | None = None) -> DataFrame:
     """Probes of a dataset spec: the cache first, ``syn`` for a standard set, a comma list (n texts of each dataset,
-    mixed), or one dataset (its first n texts)."""
-    spark = sources.sparkSession
+    mixed), or one dataset (its first n texts). ``cached`` returns the spec's cached set, or None. A miss is given to
+    ``save``, and what the cache then holds is the result, whoever saved first."""
+    def hit() -> DataFrame | None:
+        found = cached() if cached else None
+        return None if found is None else found.select(F.lit(dataset).alias("dataset"), "probe_idx", "text")
+
+    found = hit()
+    if found is not None:
+        return found
+    made = _made_probes(sources, dataset, probe_set, n, seed)
+    if save is None:
+        return made
+    save(made)
+    found = hit()
+    return made if found is None else found
+
+
+def _made_probes(sources: DataFrame, dataset: str, probe_set: str, n: int, seed: int) -> DataFrame:
     spec = dataset.strip()
-    if cached is not None:
-        hit = cached.where((F.col("dataset_id") == dataset) & (F.col("max_samples") == n)
-                           & (F.col("random_seed") == seed))
-        if not hit.isEmpty():
-            return hit.select(F.col("dataset_id").alias("dataset"), "probe_idx", "text")
     if spec == "syn":
-        chosen = standard_probes(spark, probe_set).where(F.col("probe_idx") < n)
+        chosen = standard_probes(sources.sparkSession, probe_set).where(F.col("probe_idx") < n)
         return chosen.select(F.lit("syn").alias("dataset"), F.col("probe_idx").cast("bigint"), "text")
     names = [fixed.DATASET_ALIASES.get(part.strip(), part.strip()) for part in spec.split(",")]
     known = sources.where(F.col("dataset").isin(*names))

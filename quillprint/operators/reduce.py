@@ -108,6 +108,8 @@ class ModelTable:
     width: int
     components: int
     dense: bool
+    dim: int
+    bound: int | None
 
     @classmethod
     def of(cls, embeddings: DataFrame, keys: list[str], dim: int) -> ModelTable:
@@ -116,8 +118,10 @@ class ModelTable:
         size = table.agg(F.count(F.lit(1)).alias("models"), F.coalesce(F.max("width"), F.lit(0)).alias("width"),
                          F.coalesce(F.max("components"), F.lit(0)).alias("components"),
                          F.bool_and(F.col("last_idx") - F.col("first_idx") + 1 == F.col("probe_count"))
-                         .alias("dense")).first()
-        return cls(table, keys, size.models, size.width, size.components, bool(size.dense))
+                         .alias("dense"),
+                         F.max(F.when(F.col("status") == OK, F.col("first_idx") + F.ceil(F.lit(dim) / F.col("components")) - 1))
+                         .alias("bound")).first()
+        return cls(table, keys, size.models, size.width, size.components, bool(size.dense), dim, size.bound)
 
     def basis_bytes(self) -> int:
         """The most that the bases of all models take, moments included."""
@@ -156,19 +160,16 @@ def standardize(embeddings: DataFrame, keys: list[str]) -> DataFrame:
                          F.zip_with(centred, F.col("scale"), lambda x, s: x / s).alias("standardized"))
 
 
-def _needs(models: ModelTable, dim: int) -> DataFrame:
-    """Per model: how many probes a ``concat`` signature of ``dim`` values takes."""
-    return models.table.where(F.col("status") == OK).select(*models.keys, F.ceil(F.lit(dim) / F.col("components"))
-                                                            .alias("needed"))
-
-
-def _last_needed(embeddings: DataFrame, models: ModelTable, needs: DataFrame, dim: int) -> DataFrame:
-    """Per model: the position of the last of the ``needed`` first probes, at most ``dim``. Without gaps that is
+def _last_needed(embeddings: DataFrame, models: ModelTable, dim: int, needs: DataFrame | None) -> DataFrame:
+    """Per model: the position of the last of the ``needed`` first probes, at most ``dim``: as many as a ``concat`` signature
+    of ``dim`` values takes, or what ``needs`` (``keys, needed``) says. Without gaps that is
     arithmetic. With gaps positions are ranked, without their vectors, and the constant bound
     on the rank lets every task drop all but its own first ``dim`` positions of a model before the shuffle."""
     keys = models.keys
     dense = F.col("last_idx") - F.col("first_idx") + 1 == F.col("probe_count")
-    shaped = models.table.where(F.col("status") == OK).join(needs, keys).withColumn("dense", dense)
+    good = models.table.where(F.col("status") == OK)
+    needed = F.ceil(F.lit(dim) / F.col("components"))
+    shaped = (good.withColumn("needed", needed) if needs is None else good.join(needs, keys)).withColumn("dense", dense)
     direct = shaped.where("dense").select(*keys, "components", (F.col("first_idx") + F.col("needed") - 1)
                                           .alias("last_needed"))
     if models.dense:
@@ -181,12 +182,13 @@ def _last_needed(embeddings: DataFrame, models: ModelTable, needs: DataFrame, di
     return direct.unionByName(ranked.groupBy(*keys, "components").agg(F.max("probe_idx").alias("last_needed")))
 
 
-def _first_probes(embeddings: DataFrame, models: ModelTable, needs: DataFrame, dim: int) -> DataFrame:
+def _first_probes(embeddings: DataFrame, models: ModelTable, dim: int, needs: DataFrame | None = None) -> DataFrame:
     """Rows of the probes that can reach the signature, numbered from 0. Only these rows are shuffled."""
     keys = models.keys
-    last = _last_needed(embeddings, models, needs, dim)
-    # no model needs a later position, and a constant bound prunes the scan
-    bound = last.agg(F.max("last_needed")).first()[0]
+    last = _last_needed(embeddings, models, dim, needs)
+    # no model needs a later position, and a constant bound prunes the scan; without gaps the moments tell it
+    known = needs is None and models.dense and models.dim == dim
+    bound = models.bound if known else last.agg(F.max("last_needed")).first()[0]
     early = embeddings.where(F.col("probe_idx") <= F.lit(bound)) if bound is not None else embeddings.limit(0)
     rows = (early.join(models.hint(last), keys).where(F.col("probe_idx") <= F.col("last_needed")))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("probe_idx")) - 1
@@ -495,8 +497,7 @@ def signatures(embeddings: DataFrame, dim: int, reduction: str = "random_project
 
     models = ModelTable.of(embeddings, keys, dim)
     if merge == "concat":
-        rows = _with_moments(_first_probes(embeddings, models, _needs(models, dim), dim), embeddings, models,
-                             reduction)
+        rows = _with_moments(_first_probes(embeddings, models, dim), embeddings, models, reduction)
         ordered = F.array_sort(F.collect_list(F.struct("rank", "projected")))
         merged = (project(rows, keys, seed).groupBy(*keys)
                   .agg(F.flatten(F.transform(ordered, lambda r: r["projected"])).alias("merged")))
@@ -545,7 +546,7 @@ def signatures_by_setting(embeddings: DataFrame, wanted: DataFrame, keys: list[s
     if "concat" in facts.merges:
         needs = good.where("merge = 'concat'").groupBy(*keys).agg(
             F.max(F.ceil(F.col("dim") / F.col("components"))).alias("needed"))
-        early = _first_probes(rows, models, needs, dim)
+        early = _first_probes(rows, models, dim, needs)
         parts = []
         if has_random:
             drawn = early.join(families("concat", False), keys).join(models.vectors(), keys)

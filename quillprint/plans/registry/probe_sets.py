@@ -80,13 +80,13 @@ QUERIES["g2_standard_sets"] = (_standard, f"""
 
 
 def _sources(spark, sf):
-    """English documents stand for one dataset, French ones for another; the third has no rows."""
-    name = F.when(F.col("dataset") == "en", "squad").when(F.col("dataset") == "fr", "commonsense_qa")
-    return probes(spark, sf).withColumn("dataset", name).where("dataset IS NOT NULL")
+    """Every document is a text of one of two datasets, English ones of the first; a third has no rows."""
+    name = F.when(F.col("dataset") == "en", "squad").otherwise("commonsense_qa")
+    return probes(spark, sf).withColumn("dataset", name)
 
 
 _SOURCES_SQL = """src AS (SELECT CASE lang WHEN 'en' THEN 'squad' ELSE 'commonsense_qa' END AS dataset,
-                                 doc_id AS probe_idx, text FROM documents WHERE lang IN ('en', 'fr'))"""
+                                 doc_id AS probe_idx, text FROM documents)"""
 _FALLBACK = fixed.FALLBACK_PROBES["writing_prompts"]
 QUERIES["g3_dataset_samples"] = (
     lambda spark, sf: ops.dataset_samples(_sources(spark, sf), ["squad", "commonsense_qa", "writing_prompts"], 13, 42)
@@ -108,7 +108,7 @@ QUERIES["g5_diverse_set"] = (
     """SELECT 'diverse_60_general-reasoning-creative-factual-conversational' AS set_id, origin, n AS probes
        FROM (VALUES ('template', 30), ('dataset', 25), ('filler', 5)) v(origin, n)
        WHERE (SELECT count(*) FROM documents WHERE lang = 'en') >= 10
-         AND (SELECT count(*) FROM documents WHERE lang = 'fr') >= 10""")
+         AND (SELECT count(*) FROM documents WHERE lang IS DISTINCT FROM 'en') >= 10""")
 
 
 def _samples(spark, sf, make, classes, measure):
@@ -141,12 +141,13 @@ QUERIES["g7_chinese_samples"] = (_chinese, _SAMPLES_SQL)
 
 
 def _dispatch(spark, sf):
-    """The same sources through a single dataset, a list of two, and the cache."""
+    """The same sources through a single dataset, a miss that is saved and then found, a list of two."""
     sources = _sources(spark, sf)
     path = scratch_path(spark, "probes")
-    single = ops.probe_texts(sources, "cqa", "general", 20, 42)
-    probe_cache.save_probes(single, path, "cqa", 20, 42)
-    cached = ops.probe_texts(sources.limit(0), "cqa", "general", 20, 42, probe_cache.read_probe_cache(spark, path))
+    cache = {"cached": lambda: probe_cache.cached_probes(spark, path, "cqa", 20, 42),
+             "save": lambda made: probe_cache.save_probes(made, path, "cqa", 20, 42)}
+    single = ops.probe_texts(sources, "cqa", "general", 20, 42, **cache)
+    cached = ops.probe_texts(sources.limit(0), "cqa", "general", 20, 42, **cache)
     several = ops.probe_texts(sources, "squad, cqa", "general", 15, 42)
     parts = [df.select(F.lit(n).alias("path"), "dataset", "probe_idx", F.md5(F.col("text").cast("binary"))
                        .alias("text"))
@@ -165,19 +166,22 @@ QUERIES["g9_probe_dispatch"] = (_dispatch, f"""
 
 
 def _cache_round_trip(spark, sf):
+    """The first 50 texts of every language, saved under a key each; a second set for the first key changes nothing."""
     path = scratch_path(spark, "probes")
     texts = probes(spark, sf)
-    first = ordering.first_per_group(texts, ["dataset"], ["probe_idx"], 50).where("dataset = 'en'")
-    assert probe_cache.save_probes(first, path, "en", 50, 42)
-    assert not probe_cache.save_probes(texts, path, "en", 50, 42)
-    probe_cache.save_probes(texts.where("dataset = 'de'"), path, "de", 0, 7)
-    cache = probe_cache.read_probe_cache(spark, path)
-    return probe_cache.lookup(cache, "en", 50, 42).select("probe_idx", F.md5(F.col("text").cast("binary"))
-                                                          .alias("text"))
+    first = ordering.first_per_group(texts, ["dataset"], ["probe_idx"], 50)
+    languages = [r.dataset for r in texts.where("dataset IS NOT NULL").select("dataset").distinct().orderBy("dataset").collect()]
+    for name in languages:
+        probe_cache.save_probes(first.where(F.col("dataset") == name), path, name, 50, 42)
+    probe_cache.save_probes(texts, path, languages[0], 50, 42)
+    return probe_cache.read_probe_cache(spark, path).select(
+        "dataset_id", "max_samples", "random_seed", "probe_idx", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
 QUERIES["s6_probe_cache"] = (_cache_round_trip, """
-    SELECT doc_id AS probe_idx, md5(text) AS text FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 50""")
+    SELECT lang AS dataset_id, 50 AS max_samples, 42 AS random_seed, doc_id AS probe_idx, md5(text) AS text
+    FROM documents WHERE lang IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= 50""")
 
 
 def _set_round_trip(spark, sf):

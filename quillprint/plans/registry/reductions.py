@@ -9,7 +9,7 @@ from quillprint.config import RunConfig
 from quillprint.functions.encoders import encode_texts, register_encoder
 from quillprint.operators import pooling, reduce
 from quillprint.plans import fingerprint, run
-from quillprint.plans.registry.inputs import (EMBEDDINGS_SQL, TURNS_SQL, concat_sql, embeddings,
+from quillprint.plans.registry.inputs import (EMBEDDINGS_SQL, TURNS_SQL, W, concat_sql, embeddings,
                                               long_signature, matrix_sql, r6, reduced_sql, strip_sql, table, turns,
                                               word_count_sql, words_sql)
 from quillprint.session import scratch_path
@@ -423,22 +423,26 @@ QUERIES["e5_hidden_states"] = (
 
 
 def _lookup(spark, sf):
-    """Documents as token id lists (word lengths and a few ids that do not exist), looked up among the vectors."""
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), F.transform(
-        F.sequence(F.lit(0), F.lit(19)), lambda i: (F.col("doc_id") * 31 + i * 17) % 700 - 50).alias("token_ids"))
+    """Documents as token ids: their words' hashes in a space a little larger than the table of vectors."""
     words = table(spark, sf, "embeddings").select(F.col("vec_id").alias("token_id"), "embedding")
-    found = pooling.token_embeddings(docs, words, 400)
+    size = words.agg(F.max("token_id")).first()[0] + 1
+    space = size + size // 8
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), F.transform(
+        F.regexp_extract_all(F.lower("text"), F.lit(f"[^{W}]+"), F.lit(0)),
+        lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 7), 16, 10).cast("bigint") % space).alias("token_ids"))
+    found = pooling.token_embeddings(docs, words, size)
     return found.groupBy("text_id").agg(
         F.count(F.lit(1)).alias("tokens"), F.max("pos").cast("bigint").alias("last_pos"),
-        r6(F.sum(F.col("embedding")[0].cast("double") * (F.col("pos") + 1))).alias("weighted"))
+        (F.round(F.sum(F.col("embedding")[0].cast("double") * (F.col("pos") % 100 + 1)), 3) + F.lit(0.0)).alias("weighted"))
 
 
-QUERIES["j5_token_embeddings"] = (_lookup, """
-    WITH ids AS (SELECT doc_id AS text_id, list_filter(list_transform(range(0, 20), lambda i:
-                     (doc_id * 31 + i * 17) % 700 - 50), lambda t: t >= 0 AND t < 400) AS t FROM documents),
-    toks AS (SELECT text_id, i - 1 AS pos, t[i] AS token_id FROM ids, range(1, len(t) + 1) u(i))
+QUERIES["j5_token_embeddings"] = (_lookup, f"""
+    WITH size AS (SELECT max(vec_id) + 1 AS n FROM embeddings),
+    ids AS (SELECT doc_id AS text_id, list_filter(list_transform({words_sql('text')}, lambda w:
+                CAST(('0x' || substr(md5(w), 1, 7)) AS BIGINT) % (n + n // 8)), lambda t: t < n) AS t FROM documents, size),
+    toks AS (SELECT text_id, i - 1 AS pos, t[i] AS token_id FROM ids, unnest(range(1, len(t) + 1)) u(i))
     SELECT text_id, count(*) AS tokens, CAST(max(pos) AS BIGINT) AS last_pos,
-           round(sum(CAST(embedding[1] AS DOUBLE) * (pos + 1)), 6) + 0.0 AS weighted
+           round(sum(CAST(embedding[1] AS DOUBLE) * (pos % 100 + 1)), 3) + 0.0 AS weighted
     FROM toks JOIN embeddings ON vec_id = token_id GROUP BY text_id""")
 
 # --- choices by name ---

@@ -89,9 +89,29 @@ def settle(df: DataFrame, label: str) -> DataFrame:
 def discard(*settled: DataFrame) -> None:
     """Delete tables made by :func:`settle` that nothing will read again."""
     for df in settled:
-        spark, path = df.sparkSession, df._settled_path
-        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+        delete_path(df.sparkSession, df._settled_path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file, or a folder with all it holds."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+def write_whole(spark: SparkSession, path: str, content: str) -> None:
+    """A small file that is there with all its content or not at all: written under a hidden name and renamed. Something
+    of that name already is an error."""
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    final = paths(path)
+    aside = paths(final.getParent(), f"_{final.getName()}-{uuid.uuid4().hex}")
+    files = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(final.getParent())
+    out = files.create(aside)
+    out.write(bytearray(content.encode()))
+    out.close()
+    if files.exists(final) or not files.rename(aside, final):
+        files.delete(aside, False)
+        raise FileExistsError(path)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillprint.session import path_exists
+from quillprint.session import any_path, delete_path, write_whole
 
 CACHE_SCHEMA = "probe_idx bigint, text string, dataset_id string, max_samples int, random_seed int"
 SET_SCHEMA = ("probes array<string>, set_id string, description string, domain string, creation_time string, "
@@ -13,11 +16,23 @@ SET_SCHEMA = ("probes array<string>, set_id string, description string, domain s
 DOCUMENT_TEXTS = 50_000
 
 
+def _claims(spark: SparkSession, path: str) -> DataFrame:
+    """Key and set of every claim, with the one that counts: the earliest, of equally early ones the smaller name."""
+    schema = "dataset_id string, max_samples int, random_seed int, set string"
+    if not any_path(spark, f"{path}/claims/*.json"):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).json(f"{path}/claims/*.json").select(
+        "*", F.struct(F.col("_metadata.file_modification_time").alias("at"), F.col("set").alias("name")).alias("order"))
+    return rows.groupBy("dataset_id", "max_samples", "random_seed").agg(F.min_by("set", "order").alias("set"))
+
+
 def read_probe_cache(spark: SparkSession, path: str) -> DataFrame:
-    """All cached probe texts. The cache key is in the folder names, so a lookup reads one folder."""
-    if not path_exists(spark, path):
+    """All cached probe texts, one set per key."""
+    if not any_path(spark, f"{path}/sets/*"):
         return spark.createDataFrame([], CACHE_SCHEMA)
-    return spark.read.schema(CACHE_SCHEMA).parquet(path)
+    texts = spark.read.schema("probe_idx bigint, text string").parquet(f"{path}/sets/*").select(
+        "probe_idx", "text", F.regexp_extract(F.col("_metadata.file_path"), r"/sets/([0-9a-f]+)/[^/]+$", 1).alias("set"))
+    return texts.join(_claims(spark, path), "set").select(*[f.split()[0] for f in CACHE_SCHEMA.split(", ")])
 
 
 def lookup(cache: DataFrame, dataset: str, n: int, seed: int) -> DataFrame:
@@ -25,16 +40,37 @@ def lookup(cache: DataFrame, dataset: str, n: int, seed: int) -> DataFrame:
                        & (F.col("random_seed") == seed)).select("probe_idx", "text")
 
 
+def _set_of(spark: SparkSession, path: str, dataset: str, n: int, seed: int) -> str | None:
+    found = _claims(spark, path).where((F.col("dataset_id") == dataset) & (F.col("max_samples") == n)
+                                       & (F.col("random_seed") == seed)).first()
+    return found.set if found else None
+
+
+def cached_probes(spark: SparkSession, path: str, dataset: str, n: int, seed: int) -> DataFrame | None:
+    """The set of one key, read from its folder alone; None where there is none."""
+    name = _set_of(spark, path, dataset, n, seed)
+    return None if name is None else spark.read.schema("probe_idx bigint, text string").parquet(f"{path}/sets/{name}")
+
+
 def save_probes(probes: DataFrame, path: str, dataset: str, n: int, seed: int) -> bool:
-    """Save under the key unless it is there already. Returns whether anything was written."""
+    """Save under the key unless it is there already. Returns whether this set is the one that counts.
+
+    The set is written aside under a name of its own; then a small file claims the key for it. The earliest claim counts, so
+    of two writers at the same time one finds the other's before its own and takes its set away again; readers never see
+    two sets of a key, nor half of one.
+    """
     spark = probes.sparkSession
-    if not lookup(read_probe_cache(spark, path), dataset, n, seed).isEmpty():
+    if _set_of(spark, path, dataset, n, seed) is not None:
         return False
-    keyed = probes.select(
-        F.col("probe_idx").cast("bigint"), "text", F.lit(dataset).alias("dataset_id"),
-        F.lit(n).alias("max_samples"), F.lit(seed).alias("random_seed"))
-    keyed.write.mode("append").partitionBy("dataset_id", "max_samples", "random_seed").parquet(path)
-    return True
+    name = uuid.uuid4().hex
+    probes.select(F.col("probe_idx").cast("bigint").alias("probe_idx"), "text").write.parquet(f"{path}/sets/{name}")
+    write_whole(spark, f"{path}/claims/{name}.json", json.dumps(
+        {"dataset_id": dataset, "max_samples": n, "random_seed": seed, "set": name}))
+    if _set_of(spark, path, dataset, n, seed) == name:
+        return True
+    for loser in (f"{path}/claims/{name}.json", f"{path}/sets/{name}"):
+        delete_path(spark, loser)
+    return False
 
 
 def probe_set_documents(probes: DataFrame, description: str, domain: str,

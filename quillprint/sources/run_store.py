@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillprint.session import any_path
+from quillprint.session import any_path, write_whole
 
 
 def new_run() -> str:
@@ -27,17 +27,7 @@ def write_table(rows: DataFrame, root: str, run: str, table: str) -> None:
 
 def commit(spark: SparkSession, root: str, run: str, **facts: str | int) -> None:
     """Second phase: the manifest, put in place by a rename. A run that stands already cannot be committed again."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    folder, final = path(f"{root}/manifests"), path(f"{root}/manifests/{run}.json")
-    aside = path(f"{root}/manifests/_{run}-{uuid.uuid4().hex}")
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.mkdirs(folder)
-    out = files.create(aside)
-    out.write(bytearray(json.dumps({"run": run, **facts}).encode()))
-    out.close()
-    if files.exists(final) or not files.rename(aside, final):
-        files.delete(aside, False)
-        raise FileExistsError(f"Run {run} is committed already")
+    write_whole(spark, f"{root}/manifests/{run}.json", json.dumps({"run": run, **facts}))
 
 
 def committed(spark: SparkSession, root: str) -> DataFrame:

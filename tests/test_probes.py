@@ -81,6 +81,34 @@ def test_probe_cache_is_written_once(spark):
     assert probe_cache.lookup(probe_cache.read_probe_cache(spark, path), "arc", 3, 7).count() == 0
 
 
+def test_two_writers_at_once_leave_one_set(spark, monkeypatch):
+    path = scratch_path(spark, "probes")
+    one, two = (spark.createDataFrame([(i, f"{name} {i}") for i in range(3)], "probe_idx bigint, text string")
+                for name in ("one", "two"))
+    plain, waiting = probe_cache._set_of, [True]
+
+    def late(*args):
+        """The second writer looks before the first has claimed the key."""
+        return None if waiting and waiting.pop() else plain(*args)
+
+    assert probe_cache.save_probes(one, path, "arc", 3, 42)
+    monkeypatch.setattr(probe_cache, "_set_of", late)
+    assert not probe_cache.save_probes(two, path, "arc", 3, 42) and not waiting
+    assert sorted(r.text for r in probe_cache.read_probe_cache(spark, path).collect()) == ["one 0", "one 1", "one 2"]
+    assert sorted(r.text for r in probe_cache.cached_probes(spark, path, "arc", 3, 42).collect()) == ["one 0", "one 1", "one 2"]
+    assert probe_cache.cached_probes(spark, path, "arc", 4, 42) is None
+
+
+def test_a_miss_is_saved_and_found_again(spark):
+    path = scratch_path(spark, "probes")
+    sources = spark.createDataFrame([("squad", i, f"t{i}") for i in range(9)], "dataset string, probe_idx bigint, text string")
+    cache = {"cached": lambda: probe_cache.cached_probes(spark, path, "squad", 4, 1),
+             "save": lambda made: probe_cache.save_probes(made, path, "squad", 4, 1)}
+    made = ops.probe_texts(sources, "squad", "", 4, 1, **cache).collect()
+    again = ops.probe_texts(sources.limit(0), "squad", "", 4, 1, **cache).collect()
+    assert sorted(made) == sorted(again) and len(again) == 4
+
+
 def _vocabulary(spark, classes):
     return spark.createDataFrame([(c, f"{c[:4]}{i}") for c in set(classes.values()) for i in range(9)],
                                  "word_class string, word string")
