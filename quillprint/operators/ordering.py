@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HASH_PREFIX = 4
-#: The default of spark.sql.optimizer.windowGroupLimitThreshold.
-LIMITED = 1000
-SALTS = 64
-HASHED = ("string", "bigint", "int", "smallint", "double", "float", "boolean", "date", "timestamp", "decimal")
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def seeded_hash(seed: int | Column, *parts: Column) -> Column:
@@ -44,13 +41,14 @@ def shuffle_positions(df: DataFrame, seed: int, ids: list[str], name: str = "pos
 
 def first_per_group(df: DataFrame, group: list[str], order: list, n: int) -> DataFrame:
     """The first n rows of every group. The rank has a constant bound, so tasks cut their own rows before the
-    shuffle and a large group reaches the final task as n rows per task. Spark does so up to LIMITED rows; beyond, a group
-    is first cut in SALTS parts."""
-    if n > LIMITED:
-        plain = [F.col(f"`{c}`") for c, kind in df.dtypes if kind.split("(")[0] in HASHED]
-        parted = df.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(SALTS)))
-        inside = Window.partitionBy(*group, "_salt").orderBy(*order)
-        df = parted.withColumn("_rank", F.row_number().over(inside)).where(F.col("_rank") <= n).drop("_rank", "_salt")
+    shuffle and a large group reaches the final task as n rows per task.
+
+    Spark cuts early up to a number of rows that is a session setting; it is raised where n is larger, and left alone where
+    it is off (-1). The cut streams over sorted rows, so its memory does not grow with n.
+    """
+    conf = df.sparkSession.conf
+    if 0 <= int(conf.get(GROUP_LIMIT)) < n:
+        conf.set(GROUP_LIMIT, str(n))
     window = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= n).drop("_rank")
 

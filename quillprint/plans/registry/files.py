@@ -153,6 +153,25 @@ def _folder(spark, sf):
 QUERIES["s13_signature_folder"] = (_folder, f"WITH {SIGNATURES_SQL} SELECT model_name, {_VALUES_SQL}")
 
 
+def _unreadable(spark, sf):
+    """Every sixth signature is spoilt on its way into the folder: words for numbers in CSV, no signature in JSON."""
+    path = scratch_path(spark, "folder")
+    s = signatures(spark, sf)
+    sf_io.write_value_csv(s.where("ord % 2 = 0 AND ord % 6 <> 0"), path)
+    words = F.transform("signature", lambda x: F.lit("word"))
+    sf_io.write_value_csv(s.where("ord % 6 = 0").withColumn("signature", words), f"{path}/spoilt_dna.csv")
+    spoilt = F.when(F.col("ord") % 6 != 3, F.col("signature"))
+    sf_io.write_json(sf_io.with_metadata(s.where("ord % 2 = 1").withColumn("signature", spoilt)), f"{path}/rest_dna.json")
+    return sf_io.read_folder_report(spark, path).select(
+        "model_name", F.size(F.coalesce("signature", F.array().cast("array<double>"))).cast("bigint").alias("values"),
+        "reason")
+
+
+QUERIES["s13_unreadable_files"] = (_unreadable, f"""
+    WITH {SIGNATURES_SQL} SELECT model_name, CASE WHEN ord % 3 = 0 THEN 0 ELSE len(s) END AS "values",
+    CASE ord % 6 WHEN 0 THEN 'no values' WHEN 3 THEN 'no signature' END AS reason FROM sig""")
+
+
 def _summary(spark, sf):
     path = scratch_path(spark, "summary")
     made = reduce.signatures(embeddings(spark, sf), 16)

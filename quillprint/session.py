@@ -127,6 +127,13 @@ def any_path(spark: SparkSession, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def empty_files(spark: SparkSession, pattern: str) -> list[str]:
+    """The files of no bytes that a pattern names."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop_path)
+    return [f.getPath().toString() for f in found or [] if f.getLen() == 0 and f.isFile()]
+
+
 def path_bytes(spark: SparkSession, path: str) -> int:
     """Size of everything below a path."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillprint.functions import fixed_values as fixed
-from quillprint.session import path_exists
+from quillprint.session import path_exists, settle
+from quillprint.sources import quoted
 
 
 def text_column(df: DataFrame, wanted: str, fallbacks: list[str] | None = None) -> str:
@@ -45,13 +46,18 @@ def read_named_dataset(spark: SparkSession, name: str, path: str, order: str, n:
     return texts if rows is None else texts.orderBy("probe_idx").limit(rows)
 
 
-def union_datasets(readers: dict[str, callable]) -> tuple[DataFrame, dict[str, str]]:
-    """Union of the datasets that can be opened, and the reason for each that cannot."""
+def union_datasets(readers: dict[str, callable], settled: bool = False) -> tuple[DataFrame, dict[str, str]]:
+    """Union of the datasets that can be read, and the reason for each that cannot.
+
+    A dataset may also fail after it was opened, at a row far into it. With ``settled`` each is written to the shared
+    folder once and its failure is its reason; without, that failure is the failure of whoever reads the union.
+    """
     frames, skipped = [], {}
     for name, read in readers.items():
         try:
-            frames.append(read().select(F.lit(name).alias("dataset"), "probe_idx", "text"))
-        except Exception as error:  # a dataset that fails to open is left out, as a warning
+            frame = read().select(F.lit(name).alias("dataset"), "probe_idx", "text")
+            frames.append(settle(frame, "dataset") if settled else frame)
+        except Exception as error:  # a dataset that fails is left out, as a warning
             skipped[name] = str(error)
     if not frames:
         raise ValueError(f"No dataset could be read: {skipped}")
@@ -65,34 +71,30 @@ def read_prompt_csv(spark: SparkSession, path: str, column: str = "prompt", n: i
                     dataset: str = "embedllm") -> DataFrame:
     """Prompts of a CSV file with a header; every value is text, a missing one is the word nan.
 
-    Quoted values may span lines, so a file is one split; a folder of files is read in parallel.
+    Quoted values may span lines; a large file is still read by many tasks. A quote that nothing closes fails the job.
     """
-    table = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    chosen = text_column(table, column, fixed.TEXT_COLUMN_FALLBACKS)
-    rows = table.select(
-        F.lit(dataset).alias("dataset"), F.coalesce(F.col(chosen).cast("string"), F.lit("nan")).alias("text"),
-        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_row"))
-    from quillprint.operators.ordering import number_blocks
-    numbered = number_blocks(rows, ["file"], ["_row"], "probe_idx").select("dataset", "probe_idx", "text")
-    return numbered.orderBy("probe_idx").limit(n) if n else numbered
+    columns = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    chosen = columns.columns.index(text_column(columns, column, fixed.TEXT_COLUMN_FALLBACKS))
+    schema = ", ".join(f"c{i} string" for i in range(len(columns.columns)))
+    cell = F.from_csv("value", F.lit(schema), {"escape": '"'})[f"c{chosen}"]
+    rows = quoted.csv_records(spark, path).select(
+        F.lit(dataset).alias("dataset"), F.col("position").alias("probe_idx"),
+        F.coalesce(cell, F.lit("nan")).alias("text"))
+    return rows.where(F.col("probe_idx") < n) if n else rows
 
 
 def read_string_array(spark: SparkSession, path: str, dataset: str, n: int | None = None,
                       generate: callable | None = None) -> DataFrame:
-    """Texts of a JSON array of strings. Where the file is missing, ``generate()`` supplies the rows and they are
-    saved first, one array per file."""
+    """Texts of JSON arrays of strings; a large file is read by many tasks. Where the path is missing, ``generate()``
+    supplies the rows and they are saved first, one array per file."""
     if not path_exists(spark, path):
         if generate is None:
             raise FileNotFoundError(path)
         made = generate().select(F.col("sample_id").alias("probe_idx"), "text")
         write_string_array(made, path)
-    arrays = spark.read.text(path, wholetext=True).select(
-        F.from_json("value", "array<string>").alias("texts"), F.col("_metadata.file_path").alias("file"))
-    from quillprint.operators.ordering import number_blocks
-    rows = arrays.select("file", F.posexplode("texts").alias("_pos", "text"))
-    numbered = number_blocks(rows, ["file"], ["_pos"], "probe_idx").select(
-        F.lit(dataset).alias("dataset"), "probe_idx", "text")
-    return numbered.orderBy("probe_idx").limit(n) if n else numbered
+    rows = quoted.json_strings(spark, path).select(
+        F.lit(dataset).alias("dataset"), F.col("position").alias("probe_idx"), "text")
+    return rows.where(F.col("probe_idx") < n) if n else rows
 
 
 def write_string_array(texts: DataFrame, path: str, per_file: int = 10_000) -> None:

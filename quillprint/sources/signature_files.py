@@ -10,7 +10,7 @@ from quillprint.functions import fixed_values as fixed
 from quillprint.functions import text as fn
 from quillprint.functions import vectors
 from quillprint.operators.ordering import number_blocks
-from quillprint.session import any_path
+from quillprint.session import any_path, empty_files
 
 METADATA_SCHEMA = T.StructType([
     T.StructField("model_name", T.StringType()), T.StructField("extraction_method", T.StringType()),
@@ -101,38 +101,59 @@ def _name_of(file: Column) -> Column:
     return F.regexp_replace(F.when(folder != "", escaped).otherwise(plain), f"{fixed.SIGNATURE_FILE_SUFFIX}$", "")
 
 
-def read_value_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Signatures of single-column CSV files; the name comes from the file. Lines that are no numbers drop out."""
+def _value_files(spark: SparkSession, path: str) -> DataFrame:
+    """``file, signature`` of single-column CSV files; a file without a number has an empty signature."""
     raw = spark.read.option("recursiveFileLookup", True).text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_row"))
     lines = number_blocks(raw, ["_start"], ["_row"], "line_no", group=["file"])
-    values = lines.withColumn("v", F.col("value").try_cast("double")).where(F.col("v").isNotNull())
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "v"))), lambda r: r["v"])
-    return (values.groupBy("file").agg(in_order.alias("signature"))
-            .select(_name_of(F.col("file")).alias("model_name"), "signature",
-                    F.lit("unknown").alias("extraction_method")))
+    values = lines.withColumn("v", F.col("value").try_cast("double"))
+    numbers = F.collect_list(F.when(F.col("v").isNotNull(), F.struct("line_no", "v")))
+    return values.groupBy("file").agg(F.transform(F.array_sort(numbers), lambda r: r["v"]).alias("signature"))
+
+
+def read_value_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Signatures of single-column CSV files; the name comes from the file. Lines that are no numbers drop out."""
+    return _value_files(spark, path).where(F.size("signature") > 0).select(
+        _name_of(F.col("file")).alias("model_name"), "signature", F.lit("unknown").alias("extraction_method"))
 
 
-def read_folder_json(spark: SparkSession, path: str) -> DataFrame:
-    """Signatures of the JSON files of a folder; what is no signature document yields nothing."""
-    documents = (spark.read.schema(DOCUMENT_SCHEMA).option("mode", "PERMISSIVE")
-                 .json(f"{path}/*{fixed.SIGNATURE_FILE_SUFFIX}.json"))
-    return documents.where(F.col("signature").isNotNull()).select(
-        F.col("metadata.model_name").alias("model_name"), "signature",
-        F.col("metadata.extraction_method").alias("extraction_method"))
+def read_folder_report(spark: SparkSession, path: str) -> DataFrame:
+    """``file, model_name, signature, extraction_method, reason`` of a folder of single files, CSV and JSON: every signature
+    with a null reason, and a row with a reason for what is none (``no values``, ``no signature``, ``malformed JSON`` or
+    ``empty file``), found by the same read."""
+    values = f"{path}/*{fixed.SIGNATURE_FILE_SUFFIX}.csv"
+    documents = f"{path}/*{fixed.SIGNATURE_FILE_SUFFIX}.json"
+    present = [p for p in (values, documents) if any_path(spark, p)]
+    if not present:
+        raise ValueError(f"No signature files in {path}")
+    # readers pass over files of no bytes; a part of a written table may be one, a file that stands for a signature not
+    empty = [(name,) for p in present for name in empty_files(spark, p)]
+    report = spark.createDataFrame(empty, "file string").select(
+        "file", _name_of(F.col("file")).alias("model_name"), F.lit(None).cast("array<double>").alias("signature"),
+        F.lit(None).cast("string").alias("extraction_method"), F.lit("empty file").alias("reason"))
+    if values in present:
+        some = F.size("signature") > 0
+        report = report.unionByName(_value_files(spark, values).select(
+            "file", _name_of(F.col("file")).alias("model_name"), F.when(some, F.col("signature")).alias("signature"),
+            F.when(some, F.lit("unknown")).alias("extraction_method"),
+            F.when(~some, F.lit("no values")).alias("reason")))
+    if documents in present:
+        schema = T.StructType([*DOCUMENT_SCHEMA.fields, T.StructField("_corrupt", T.StringType())])
+        read = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt").json(documents)
+        reason = F.when(F.col("_corrupt").isNotNull() & F.col("signature").isNull(), F.lit("malformed JSON")).when(
+            F.col("signature").isNull(), F.lit("no signature"))
+        file = F.col("_metadata.file_path")
+        report = report.unionByName(read.select(
+            file.alias("file"), F.coalesce("metadata.model_name", _name_of(file)).alias("model_name"), "signature",
+            F.col("metadata.extraction_method").alias("extraction_method"), reason.alias("reason")))
+    return report
 
 
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
-    """Signatures of a folder of single files: CSV ones, then JSON ones, as far as there are any."""
-    values = f"{path}/*{fixed.SIGNATURE_FILE_SUFFIX}.csv"
-    has_json = any_path(spark, f"{path}/*{fixed.SIGNATURE_FILE_SUFFIX}.json")
-    if not any_path(spark, values):
-        if not has_json:
-            raise ValueError(f"No signature files in {path}")
-        return read_folder_json(spark, path)
-    found = read_value_csv(spark, values)
-    return found.unionByName(read_folder_json(spark, path)) if has_json else found
+    """Signatures of a folder of single files, CSV and JSON; :func:`read_folder_report` tells what was left out."""
+    return read_folder_report(spark, path).where(F.col("reason").isNull()).select(
+        "model_name", "signature", "extraction_method")
 
 
 def read_signatures(spark: SparkSession, path: str) -> DataFrame:
