@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillprint.session import ship_package
+from quillprint.session import discard, settle, ship_package
 
 # The patterns of the three kinds and the shortest match that counts.
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -25,19 +25,30 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # a run of 16 or more is a whole run, as run
 ASSIGN_CHARS, ACCESS_CHARS = 12, 18
 KINDS = ("assign", "access", "hex", "guess")
 
-#: Contexts whose value is rated: a credential word, also within an identifier, a separator or "is", and a value without
-#: white space. "pin" begins a word or a part of one, as it ends many others.
-CONTEXT = re.compile(r"""(?ai:(?:pass(?:word|wd|phrase|code)|pwd|credentials?|secret|token|(?:api|access|private)[_-]?key"""
-                     r"""|(?<![a-z])pin|(?-i:(?<=[a-z])Pin))(?:key|id|value|[_.-][a-z0-9_.-]{0,64}+)?"""
-                     r"""["']?(?:[\x20\t]*(?::=|=>|[:=])[\x20\t]*|[\x20\t]+is[\x20\t]+))["']?([^\s"'<>,;]{6,})""")
+#: Names whose value is rated, also within an identifier. "pin" begins a word or a part of one, as it ends many others.
+NAME = re.compile(r"(?ai:pass(?:word|wd|phrase|code)|pwd|credentials?|secret|token|(?:api|access|private)[_-]?key"
+                  r"|(?<![a-z])pin|(?-i:(?<=[a-z])Pin))")
+#: The rest of a name, of any length.
+TAIL = re.compile(r"(?ai:(?:key|id|value)?(?:[_.-][a-z0-9_.-]*+)?)")
+#: A separator or "is", and a value: up to its closing quote on the line, or without white space, or an element's content.
+VALUE = re.compile(r"""["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*(?:"([^"\r\n]{6,})"|'([^'\r\n]{6,})'|["']?([^\s"'<>,;]{6,}))"""
+                   r"""|["']?[\x20\t]+is[\x20\t]+["']?([^\s"'<>,;]{6,})|>([^\s<>]{6,})</""")
+#: Values that need no name: a password in an address, and a bearer token that holds a digit.
+ADDRESS = re.compile(r"""://[^\s/:@"'<>]*+:([^\s/@"'<>]{6,})@""")
+BEARER = re.compile(r"(?ai:(?<![a-z])bearer)[\x20\t]+(?=[A-Za-z._~+/=-]*+[0-9])([A-Za-z0-9._~+/=-]{6,})")
 #: Tries, as a power of ten, from which a value counts as a secret rather than a word or a placeholder.
 MIN_TRIES = 8.0
 #: A repeat or walk may be cut anywhere within so many characters; beyond, it goes on to the end of its run.
 SEGMENT = 24
-#: The words ranked are the WORDS_KEPT in most documents, of at least WORD_DOCS documents and at most WORD_LETTERS letters.
+#: The words ranked stand in at least WORD_DOCS documents, have at most WORD_LETTERS letters, and are the most frequent
+#: ones, down to a frequency that at most WORDS_KEPT of them reach.
 WORDS_KEPT = 100_000
-WORD_DOCS = 20
+WORD_DOCS = 3
 WORD_LETTERS = 64
+#: What stands in the place of a value, in the form of the JVM: no words are taken from it.
+ASSIGNED = r"""[:=]>?[ \t]*+(?:"[^"\r\n]*+"|'[^'\r\n]*+'|["']?[^\s"'<>,;]++)"""
+TOLD = (r"""(?i)(?:pass(?:word|wd|phrase|code)|pwd|credentials?|secret|token|[_-]?key|pin)(?:[_-]?(?:key|id|value))?"""
+        r"""["']?[ \t]++is[ \t]++["']?[^\s"'<>,;]++""")
 
 # Words by how soon they are tried.
 WORDS = """password admin welcome letmein monkey dragon master login secret test user root guest changeme example
@@ -74,24 +85,32 @@ def _class_size(c: str) -> int:
     return 1000
 
 
-def _ends(value: str) -> list[list[int]]:
-    """Where the run through every position ends: of characters equal to the one 1, 2, 3 or 4 before, and of a walk."""
-    low = value.lower()
-    if len(low) != len(value):
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
-    found = []
-    for goes in (*((lambda i, p=p: i >= p and value[i] == value[i - p]) for p in (1, 2, 3, 4)),
-                 lambda i: i >= 1 and (low[i - 1], low[i]) in _NEXT):
-        ends = [len(value)] * (len(value) + 1)  # the first position from here on that does not go on
-        for i in range(len(value) - 1, -1, -1):
-            ends[i] = ends[i + 1] if goes(i) else i
-        found.append(ends)
-    return found
+class Runs:
+    """Where the run through a position ends: of characters equal to the one 1, 2, 3 or 4 before, and of a walk."""
 
+    def __init__(self, value: str):
+        self.value = value
+        self.known = [(1, 0)] * 5
 
-def _segments(value: str, start: int, ranks: Ranks = RANK, ends: list[list[int]] | None = None):
+    def _goes(self, run: int, i: int) -> bool:
+        if run == 4:
+            return (self.value[i - 1].lower(), self.value[i].lower()) in _NEXT
+        return self.value[i] == self.value[i - run - 1]
+
+    def end(self, run: int, start: int) -> int:
+        """The first position from ``start`` on that does not go on; every run is walked once."""
+        first, last = self.known[run]
+        if not first <= start <= last:
+            last = start
+            while last < len(self.value) and self._goes(run, last):
+                last += 1
+            self.known[run] = (start, last)
+        return last
+
+
+def _segments(value: str, start: int, ranks: Ranks = RANK, runs: Runs | None = None):
     """``end, tries as a power of ten`` of every segment of a pattern that starts here."""
-    ends = ends or _ends(value)
+    runs = runs or Runs(value)
 
     def cuts(end):
         yield from range(start + 3, min(end, start + SEGMENT) + 1)
@@ -99,7 +118,7 @@ def _segments(value: str, start: int, ranks: Ranks = RANK, ends: list[list[int]]
             yield end
 
     def after(run, ahead):
-        return ends[run][start + ahead] if start + ahead < len(value) else len(value)
+        return runs.end(run, start + ahead) if start + ahead < len(value) else len(value)
 
     stop = min(len(value), start + ranks.longest)
     low = value[start:stop].lower()
@@ -125,42 +144,76 @@ def _segments(value: str, start: int, ranks: Ranks = RANK, ends: list[list[int]]
         yield date.end(), math.log10(365 * 120) if date.end() - start > 4 else math.log10(120)
 
 
-def tries(value: str, ranks: Ranks = RANK) -> float:
-    """Logarithm to base 10 of the guesses that the cheapest segmentation takes; 0 for the empty value."""
+def tries(value: str, ranks: Ranks = RANK, enough: float = math.inf) -> float:
+    """Logarithm to base 10 of the guesses that the cheapest segmentation takes; 0 for the empty value. Where every way on
+    already takes ``enough`` or more, the answer is ``enough``, whatever is left of the value."""
     best = [0.0] + [math.inf] * len(value)
-    ends = _ends(value)
+    runs = Runs(value)
+    reach = 0  # the furthest position that takes less than enough
     for start in range(len(value)):
+        if start > reach:
+            return enough
+        if best[start] >= enough:
+            continue
         brute = best[start] + math.log10(_class_size(value[start]))
-        if brute < best[start + 1]:
-            best[start + 1] = brute
-        for end, cost in _segments(value, start, ranks, ends):
-            if best[start] + cost < best[end]:
-                best[end] = best[start] + cost
-    return best[-1]
+        for end, cost in ((start + 1, brute - best[start]), *_segments(value, start, ranks, runs)):
+            cost += best[start]
+            if cost < best[end]:
+                best[end] = cost
+                if cost < enough:
+                    reach = max(reach, end)
+    return min(best[-1], enough)
 
 
 def corpus_ranks(docs: DataFrame, text: str = "text", least: int = WORD_DOCS) -> Ranks:
     """The fixed words, and the corpus's words by the number of documents that hold them; the better rank counts.
 
-    A word is a run of three letters or more. One that fewer than ``least`` documents hold has no rank, so that a secret
-    does not make itself known. The table has at most WORDS_KEPT words of WORD_LETTERS letters, whatever the corpus.
+    A word is a run of three letters or more. What follows a colon, an equals sign or a credential's "is" gives no words, so a
+    secret does not make itself known in however many documents it is assigned. The table has at most WORDS_KEPT words
+    of WORD_LETTERS letters, whatever the corpus: a histogram of frequencies tells from which one on they fit.
     """
-    held = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}{3,}"), F.lit(0))))
+    prose = F.regexp_replace(F.regexp_replace(F.col(text), ASSIGNED, " "), TOLD, " ")
+    held = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(prose), F.lit(r"\p{L}{3,}"), F.lit(0))))
                        .alias("word"))
     counts = held.where(F.length("word") <= WORD_LETTERS).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(WORDS_KEPT).select("word").collect()
-    ranks = {r["word"]: i + 1 for i, r in enumerate(top)}
+    counts = settle(counts.where(F.col("n") >= least), "words")
+    level = F.floor(F.log2("n") * 16)  # at most 1 024 levels
+    room, lowest = WORDS_KEPT, None
+    for row in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
+        if row["count"] > room:
+            break
+        room, lowest = room - row["count"], row["level"]
+    top = [] if lowest is None else counts.where(level >= lowest).collect()
+    discard(counts)
+    ranks = {r["word"]: i + 1 for i, r in enumerate(sorted(top, key=lambda r: (-r["n"], r["word"])))}
     return Ranks({**ranks, **{w: min(i, ranks.get(w, i)) for w, i in RANK.items()}})
 
 
+def contexts(text: str):
+    """``start, end`` of every value in a credential context. A name is looked at once, however many credential words it
+    is made of."""
+    done = 0
+    for name in NAME.finditer(text):
+        if name.start() < done:
+            continue
+        done = TAIL.match(text, name.end()).end()
+        found = VALUE.match(text, done)
+        if found and not (found[5] and text[name.start() - 1:name.start()] == "/"):
+            done = found.end(found.lastindex)
+            yield found.span(found.lastindex)
+    if "://" in text:
+        yield from (m.span(1) for m in ADDRESS.finditer(text))
+    yield from (m.span(1) for m in BEARER.finditer(text))
+
+
 def spans_of(text: str, ranks: Ranks = RANK) -> list[tuple[int, int, str]]:
     """``start, end, kind`` by start, then kind as listed. Positions count code points."""
     found = [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if len(m[1]) >= ASSIGN_CHARS]
     if "AKIA" in text:
         found += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_CHARS]
     found += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
-    found += [(m.start(1), m.end(1), 3) for m in CONTEXT.finditer(text) if tries(m[1], ranks) >= MIN_TRIES]
-    return [(start, end, KINDS[kind]) for start, end, kind in sorted(found, key=lambda x: (x[0], x[2]))]
+    found += [(a, b, 3) for a, b in set(contexts(text)) if tries(text[a:b], ranks, MIN_TRIES) >= MIN_TRIES]
+    return [(start, end, KINDS[kind]) for start, end, kind in sorted(found, key=lambda x: (x[0], x[2], x[1]))]
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()),

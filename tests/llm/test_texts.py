@@ -177,6 +177,41 @@ def test_guess_costs():
     assert secret_scan.tries("password123") < 4 < secret_scan.MIN_TRIES < secret_scan.tries("xK9#mQ2$vL")
 
 
+def test_credential_contexts():
+    def guessed(text):
+        return [text[a:b] for a, b, kind in secret_scan.spans_of(text) if kind == "guess"]
+    assert guessed('password: "pa,ssW0rd!9xQ#z"') == ["pa,ssW0rd!9xQ#z"]
+    assert guessed("db_password = 'vexing quartz; mumble 81'") == ["vexing quartz; mumble 81"]
+    assert guessed('password: "k9$Vx!2mQ#7p') == ["k9$Vx!2mQ#7p"]  # a quote that nothing closes
+    assert guessed("PASSWORD_FOR_" + "X_LONG_" * 40 + "NAME = Tr0ub4dor&3zQ") == ["Tr0ub4dor&3zQ"]
+    assert guessed("<password>Tr0ub4dor&3zQ</password> and </password>Tr0ub4dor&3zQ</x>") == ["Tr0ub4dor&3zQ"]
+    assert guessed("postgres://user:k9$Vx!2mQ#7p@host/db") == ["k9$Vx!2mQ#7p"]
+    assert guessed("Authorization: Bearer q8Zr1vT2x.yy-Kp") == ["q8Zr1vT2x.yy-Kp"]
+    assert guessed("the bearer certificates; password=password1; https://host:8080/x@y") == []
+    assert guessed("token_" * 100_000) == [] and guessed("token" * 100_000) == []
+    assert guessed("secret = " + "xK9#mQ2$vL" * 200_000) == ["xK9#mQ2$vL" * 200_000]
+    for value in ("pass12", "qwe2019x", "abab1", "xK9#mQ2$vL", "q" * 300):
+        assert secret_scan.tries(value, enough=8.0) == min(8.0, secret_scan.tries(value))
+
+
+def test_an_assigned_secret_in_many_documents_is_no_word(spark):
+    texts = ["password: zqxkvbwjhg and more " + str(i) for i in range(50)] + ["passphrase = 'correcthorse zzqqjjvvxx'"] * 60
+    texts += ["password is wvkqzxjyhp said the page"] * 40
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    ranks = secret_scan.corpus_ranks(docs)
+    assert "more" in ranks and "page" in ranks and not {"zqxkvbwjhg", "correcthorse", "zzqqjjvvxx", "wvkqzxjyhp"} & set(ranks)
+    found = [len([s for s in r["secrets"] if s["kind"] == "guess"]) for r in secret_scan.scan(docs).collect()]
+    assert found == [1] * len(texts)
+
+
+def test_ranked_words_stay_within_their_bound(spark, monkeypatch):
+    texts = [f"often {'rarely' if i < 6 else ''} {' '.join(f'w{chr(97 + j)}{chr(97 + j)}' for j in range(20)) if i < 4 else ''}" for i in range(12)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    monkeypatch.setattr(secret_scan, "WORDS_KEPT", 10)
+    ranks = secret_scan.corpus_ranks(docs)
+    assert ranks["often"] == 1 and ranks["rarely"] == 2 and "waa" not in ranks
+
+
 def test_words_of_the_corpus_are_no_secrets(spark):
     texts = ["it is required that patience is expired " + str(i) for i in range(30)]
     texts += ["password is required", "the token is expired", "secret: patience", "token: " + "-" * 60, "pin: " + "ab" * 300 + "-" * 90,
