@@ -2,8 +2,9 @@
 
 For every language a suffix automaton of a bounded sample of labelled text is built. A text is cut greedily into the
 longest phrases that occur in a language's sample; the language that needs the fewest phrases, normalised by the sample's
-length, wins. The automata are dense tables of bounded size; many texts walk through them in step, so that the cost of a
-character does not depend on the interpreter.
+length, wins. Every letter of a sample counts as itself, whatever the number of letters; a letter that no sample holds is a
+phrase of its own. Many texts walk through the automata in step, so that the cost of a character does not depend on the
+interpreter.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from quillprint.session import ship_package
 #: The sample of a language: so many different texts, of each a stretch of at most so many characters.
 SAMPLE_TEXTS = 150
 SAMPLE_CHARS = 240
-#: Letters with a code of their own: the most frequent of all samples. The others share one.
+#: The most frequent letters of all samples have dense columns, so many at most and no more than DENSE_CELLS allow for all
+#: automata together; the edges of all other letters are kept as sorted keys. It decides about speed, not results.
 ALPHABET = 60
+DENSE_CELLS = 1 << 25
 #: Texts are parsed in stretches of so many characters; a phrase ends where its stretch does.
 STRETCH = 256
-SPACE, RARE = 0, 1
+SPACE, FOREIGN = 0, 1
 UNKNOWN = "und"
 
 
@@ -87,27 +90,46 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 class Parser:
-    """The automata of all languages in one table: twice the place of the next state's row, plus one where a new phrase
-    begins."""
+    """The automata of all languages. The place of a state is that of its row in one table of the frequent letters' edges;
+    edges of other letters lie under the key of place and letter. An edge is twice the place it leads to, plus one where
+    a new phrase begins."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
         joined = {k: _letters(_codepoints("\n".join(samples[k]))) for k in self.languages}
         values, counts = np.unique(np.concatenate([np.zeros(0, np.uint32), *joined.values()]), return_counts=True)
         often = values[np.lexsort((values, -counts))]
-        self.alphabet = np.sort(often[often > 0][:ALPHABET])
-        self.width = len(self.alphabet) + 2  # with space and rare letters
-        tables, self.starts, self.scale, offset = [], [], [], 0
+        often = often[often > 0]
+        # code 0 is a space, 1 a letter of no sample, then letters by frequency
+        self.letters = np.sort(often)
+        self.code_of = np.empty(len(often), np.int64)
+        self.code_of[np.searchsorted(self.letters, often)] = np.arange(len(often)) + 2
+        self.n_codes = len(often) + 2
+        found = []
         for k in self.languages:
             codes = self._codes(joined[k])
             codes = codes[_squeezed(codes)]
-            edges = suffix_automaton(codes.tolist())
+            found.append((codes, suffix_automaton(codes.tolist())))
+        states = sum(len(edges) for _, edges in found)
+        self.width = 2 + max(0, min(ALPHABET, len(often), DENSE_CELLS // max(1, states) - 2))
+        tables, keys, goals, self.starts, self.scale, offset = [], [], [], [], [], 0
+        for codes, edges in found:
             table = np.full((len(edges), self.width), 2 * offset + 1, np.int64)
             for c, target in edges[0].items():
-                table[:, c] = 2 * (target * self.width + offset) + 1
+                goal = 2 * (target * self.width + offset) + 1
+                if c < self.width:
+                    table[:, c] = goal
+                else:
+                    keys.append(offset * self.n_codes + c)
+                    goals.append(goal)
             for state, out in enumerate(edges[1:], 1):  # whatever leaves the start begins a phrase
                 for c, target in out.items():
-                    table[state, c] = 2 * (target * self.width + offset)
+                    goal = 2 * (target * self.width + offset)
+                    if c < self.width:
+                        table[state, c] = goal
+                    else:
+                        keys.append((state * self.width + offset) * self.n_codes + c)
+                        goals.append(goal)
             tables.append(table.ravel())
             self.starts.append(offset)
             self.scale.append(math.log2(max(2, len(codes))))
@@ -115,12 +137,24 @@ class Parser:
         self.table = np.concatenate([np.zeros(0, np.int64), *tables])
         if offset < 2**30:
             self.table = self.table.astype(np.int32)
+        by_key = np.argsort(np.array(keys, np.int64))
+        self.keys, self.goals = np.array(keys, np.int64)[by_key], np.array(goals, np.int64)[by_key]
 
     def _codes(self, letters: np.ndarray) -> np.ndarray:
-        if not len(self.alphabet):
-            return np.where(letters > 0, RARE, SPACE)
-        at = np.minimum(np.searchsorted(self.alphabet, letters), len(self.alphabet) - 1)
-        return np.where(self.alphabet[at] == letters, at + 2, np.where(letters > 0, RARE, SPACE))
+        if not len(self.letters):
+            return np.where(letters > 0, FOREIGN, SPACE)
+        at = np.minimum(np.searchsorted(self.letters, letters), len(self.letters) - 1)
+        return np.where(self.letters[at] == letters, self.code_of[at], np.where(letters > 0, FOREIGN, SPACE))
+
+    def _edges(self, places: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Edges of letters without a dense column: the state's own, else the start's, else back to the start."""
+        starts = np.array(self.starts, np.int64)[:, None]
+        edge = np.broadcast_to(2 * starts + 1, places.shape).copy()
+        for sources in (starts, places.astype(np.int64)):  # the state's own edge comes last and counts
+            keys = sources * self.n_codes + codes
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            edge = np.where(self.keys[at] == keys, self.goals[at], edge)
+        return edge
 
     def parse(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Letters and characters of every text, and phrases of every text in each language."""
@@ -141,7 +175,9 @@ class Parser:
         phrases = np.zeros((len(self.languages), len(texts)))
         order = np.argsort(-left, kind="stable")  # so that those still under way come first
         owner, begin, left = owner[order], begin[order], left[order]
-        codes = codes.astype(self.table.dtype)
+        rare = codes >= self.width
+        some = rare.any()
+        dense = np.where(rare, FOREIGN, codes).astype(self.table.dtype)
         for low in range(0, len(owner), 2048):
             part = slice(low, low + 2048)
             at, size = begin[part], left[part]
@@ -149,7 +185,11 @@ class Parser:
             found = np.zeros(states.shape, self.table.dtype)
             active = np.searchsorted(-size, -np.arange(size[0]), "left")
             for step, k in enumerate(active):
-                move = self.table.take(states[:, :k] + codes[at[:k] + step])
+                here = at[:k] + step
+                move = self.table.take(states[:, :k] + dense[here])
+                if some:
+                    apart = np.flatnonzero(rare[here])
+                    move[:, apart] = self._edges(states[:, apart], codes[here[apart]])
                 found[:, :k] += move & 1
                 states[:, :k] = move >> 1
             for i in range(len(self.languages)):

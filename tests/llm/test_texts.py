@@ -78,6 +78,33 @@ def test_phrases_equal_brute_force():
     assert letters.tolist() == [sum(c.isalpha() for c in t or "") for t in texts]
 
 
+def test_dense_columns_do_not_change_phrases(monkeypatch):
+    samples = {k: [_speech(k, 1), "Straße ünd \u4e2d\u6587"] for k in VOCAB}
+    texts = [_speech("aa", 2), "zzz \u6587\u4e2d und der \u4e00", "", None, "ünß! 123 the", _speech("bb", 3, 200)]
+    want = language_id.Parser(samples).parse(texts)
+    for limit, value in (("ALPHABET", 3), ("ALPHABET", 0), ("DENSE_CELLS", 1)):
+        with monkeypatch.context() as patch:
+            patch.setattr(language_id, limit, value)
+            parser = language_id.Parser(samples)
+            assert parser.width < 8 and all((a == b).all() for a, b in zip(parser.parse(texts), want))
+
+
+def test_languages_of_many_letters(spark):
+    letters = [chr(0x4E00 + i) for i in range(3000)]
+
+    def written(lang, seed, n):
+        """Words of two or three of 3 000 letters, the same letters for both languages."""
+        words = random.Random(lang)
+        vocabulary = ["".join(words.sample(letters, words.randrange(2, 4))) for _ in range(900)]
+        rng = random.Random(f"{lang}{seed}")
+        return " ".join(rng.choice(vocabulary) for _ in range(n))
+    rows = [(i, written("pq"[i % 2], i, 60), "pq"[i % 2], "s", 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert len(set("".join(r[1] for r in rows))) > 2000
+    right = {r["doc_id"]: r["lang_pred"] == "pq"[r["doc_id"] % 2] for r in language_id.digest(docs).collect() if r["held_out"]}
+    assert len(right) > 100 and sum(right.values()) >= 0.95 * len(right)
+
+
 def test_identify(spark):
     rows = [(i, _speech(k, i), k, "s", 1) for i, k in enumerate(["aa", "bb", "cc"] * 20)]
     rows += [(100, None, "aa", None, None), (101, "", None, "s", 0), (102, "123 !!", "aa", "s", 1), (None, _speech("bb", 9), None, "s", 1),
