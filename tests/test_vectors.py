@@ -90,3 +90,48 @@ def test_matrix_is_symmetric_with_zero_diagonal(spark):
                                "model_name string, ord int, signature array<double>")
     got = {(r.i, r.j): r.distance for r in distances.distance_matrix(df).collect()}
     assert got[(0, 0)] == got[(1, 1)] == 0.0 and got[(0, 1)] == got[(1, 0)] == pytest.approx(2 ** 0.5)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "manhattan", "hamming"])
+def test_pairs_of_blocks_meet_without_copies(spark, metric):
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(f"m{i}", i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 4)))],
+                               "model_name string, ord int, signature array<double>")
+    small = distances.all_pairs(df, metric, block_rows=8)
+    assert small.count() == 300 * 299 // 2
+    for pairs in (small, distances.pairs_within(df, 0.5, metric, block_rows=8), distances.distance_matrix(df, metric)):
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        # signatures are dealt out below the product only, and never once per pair of blocks
+        assert "CartesianProduct" in plan and "Exchange" not in plan.split("CartesianProduct")[0]
+        assert "Generate explode(sequence" not in plan
+
+
+@pytest.mark.parametrize("metric", ["cosine", "hamming"])
+def test_nearest_of_metrics_without_bounds(spark, metric):
+    x = np.random.default_rng(8).normal(size=(60, 5))
+    df = spark.createDataFrame([(f"m{i}", 7 * i, v.tolist()) for i, v in enumerate(x)],
+                               "model_name string, ord int, signature array<double>")
+    every = {(r.i, r.j): r.distance for r in distances.distance_matrix(df, metric, block_rows=9).collect()}
+    got = {(r.i, r["rank"]): (r.j, r.name_j) for r in distances.nearest_models(df, 4, metric, block_rows=9).collect()}
+    assert len(got) == 240
+    for i in range(0, 420, 7):
+        near = sorted((d, j) for (a, j), d in every.items() if a == i and j != i)[:4]
+        assert [got[i, k + 1] for k in range(4)] == [(j, f"m{j // 7}") for _, j in near]
+
+
+def test_row_statistics_are_those_of_the_matrix(spark):
+    x = np.random.default_rng(9).normal(size=(50, 5))
+    df = spark.createDataFrame([(f"m{i}", 3 * i, v.tolist()) for i, v in enumerate(x)],
+                               "model_name string, ord int, signature array<double>")
+    d = np.linalg.norm(x[:, None, :] - x[None, :, :], axis=2)
+    got = distances.row_statistics(df, block_rows=8).collect()
+    assert len(got) == 50
+    for r in got:
+        assert (r.entries, r.row_sum, r.farthest) == (50, pytest.approx(d[r.i // 3].sum()), pytest.approx(d[r.i // 3].max()))
+
+
+def test_signatures_of_other_widths_fail(spark):
+    df = spark.createDataFrame([("a", 0, [1.0]), ("b", 1, [0.0, 1.0])], "model_name string, ord int, signature array<double>")
+    for rows in (1, 2):
+        with pytest.raises(Exception, match="same dimension"):
+            distances.all_pairs(df, block_rows=rows).collect()
