@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quillprint.sources import catalogs, datasets, results, signature_files as io
+from quillprint.sources import batch_files, catalogs, datasets, results, signature_files as io
 from quillprint.session import scratch_path
 from quillprint.streaming import texts as st
 
@@ -160,3 +160,13 @@ def test_signatures_by_kind_of_path(spark, tmp_path):
         assert sorted((r.model_name, r.signature) for r in found) == rows
     with pytest.raises(Exception, match="longer than 1"):
         io.write_wide_csv(frame, f"{tmp_path}/cut.csv", 1)
+
+
+def test_many_files_are_read_once(spark, tmp_path):
+    frame = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0])], "model_name string, signature array<double>")
+    io.write_value_csv(frame, f"{tmp_path}/values")
+    plan = io.read_value_csv(spark, f"{tmp_path}/values")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1 and "Window" not in plan
+    frame.select("model_name", F.lit("x").alias("value")).write.partitionBy("model_name").text(f"{tmp_path}/output")
+    plan = batch_files.read_output(spark, f"{tmp_path}/output")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1 and "Exchange" not in plan
