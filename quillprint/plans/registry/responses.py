@@ -129,12 +129,14 @@ def _chat_output(spark, sf):
              .when(shape == 2, F.array(parts)).when(shape == 3, F.array(empty))
              .when(shape == 4, F.array(older, plain))
              .otherwise(F.array(F.lit("not-json-line"), F.regexp_replace(plain, "prompt_", "other_"))))
-    return t.select("model_name", F.explode(lines).alias("value"))
+    return t.select("model_name", "probe_idx", F.posexplode(lines).alias("place", "value"))
 
 
 def _chat_round_trip(spark, sf):
     path = scratch_path(spark, "batch-output")
-    _chat_output(spark, sf).write.partitionBy("model_name").text(path)
+    # one file a model, not one for every task that has a line of it
+    lines = _chat_output(spark, sf).repartition("model_name").sortWithinPartitions("model_name", "probe_idx", "place")
+    lines.select("model_name", "value").write.partitionBy("model_name").text(path)
     parsed = batch_files.parse_chat_output(batch_files.read_output(spark, path), ["model_name"])
     return parsed.select("model_name", "probe_idx", F.md5(F.col("response").cast("binary")).alias("response"))
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from quillprint.functions import batch_json as bj
 from quillprint.functions.text import has_text
 from quillprint.operators.responses import chat_request, content_request, latest_by_position
-from quillprint.sources.lines import read_lines
 
 LAYOUTS = ("chat", "contents")
 
@@ -30,7 +29,8 @@ def with_request_bytes(lines: DataFrame) -> DataFrame:
 
 
 def parse_chat_output(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Responses of chat-layout output lines (``keys, line_no, value``): ``keys, probe_idx, response``.
+    """Responses of chat-layout output lines (``keys, line_no, value``): ``keys, probe_idx, response``; ``line_no`` is
+    anything that orders the lines.
 
     Blank and unreadable lines and lines without a prompt id are skipped. The body may itself be JSON text. No choice
     is an empty response. Of several lines for one prompt the last counts.
@@ -94,7 +94,11 @@ def parse_job_output(jobs: DataFrame, file_lines: DataFrame, keys: list[str]) ->
 
 
 def read_output(spark: SparkSession, path: str) -> DataFrame:
-    """Output lines with the model from the folder: ``model_name, line_no, value``."""
-    lines = read_lines(spark, path)
-    model = F.url_decode(F.regexp_extract("file", r"model_name=([^/]+)", 1))
-    return lines.select(model.alias("model_name"), "line_no", "value")
+    """Output lines with the model from the folder: ``model_name, line_no, value``. ``line_no`` is a place to order lines by
+    (file, split, line of the split), not a count: only the order of lines matters here, and a count would be a second
+    pass over all files."""
+    file = F.col("_metadata.file_path")
+    place = F.struct(file.alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                     F.monotonically_increasing_id().alias("row"))
+    model = F.url_decode(F.regexp_extract(file, r"model_name=([^/]+)", 1))
+    return spark.read.text(path).select(model.alias("model_name"), place.alias("line_no"), "value")
