@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillprint.functions import batch_json as bj
 from quillprint.operators import responses as ops
 from quillprint.plans.registry.inputs import TURNS_SQL, models, strip_sql, table, turns, MODELS_SQL
-from quillprint.session import scratch_path
+from quillprint.session import scratch_path, spread
 from quillprint.sources import batch_files, response_cache
 
 QUERIES = {}
@@ -306,7 +306,7 @@ _SHAPES = """CASE ord % 6
 
 
 def _cache_shapes(spark, sf):
-    documents = models(spark, sf).select(F.expr(_SHAPES).alias("document"), F.concat(
+    documents = spread(models(spark, sf)).select(F.expr(_SHAPES).alias("document"), F.concat(
         F.lit("file-"), F.col("ord").cast("string")).alias("file"))
     return response_cache.usable_items(response_cache.cached_items(documents)).select(
         "model_name", "dataset", "probe_idx", "response")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillprint.functions import batch_json
 from quillprint.operators.responses import accepted_caches
+from quillprint.session import settle
 
 DOCUMENT_ITEMS = 50_000
 
@@ -82,5 +83,7 @@ def cached_items(documents: DataFrame) -> DataFrame:
 
 
 def usable_items(items: DataFrame) -> DataFrame:
-    """Items of caches that may be used."""
+    """Items of caches that may be used. Items are written out first: which caches count is known after all of them are
+    parsed, and parsing is most of the work."""
+    items = settle(items, "cached-items")
     return items.join(accepted_caches(items), ["model_name", "dataset"], "left_semi")

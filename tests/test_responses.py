@@ -145,3 +145,11 @@ def test_documents_say_whether_they_are_complete(spark):
     assert whole["complete"] is True and whole["count"] == 3
     assert whole["items"] == [{"prompt": "p", "response": f"r{i}"} for i in range(3)]
     assert json.loads(response_cache.response_documents(rows, expected=4).first().document)["complete"] is False
+
+
+def test_caches_are_parsed_once(spark):
+    document = '{"model": "m", "dataset": "d", "items": [{"response": "x"}]}'
+    documents = spark.createDataFrame([(document, "f")], "document string, file string")
+    items = response_cache.usable_items(response_cache.cached_items(documents))
+    assert [(r.model_name, r.dataset, r.response) for r in items.collect()] == [("m", "d", "x")]
+    assert "parse_json" not in items._jdf.queryExecution().executedPlan().toString().lower()
