@@ -16,7 +16,7 @@ from quillprint.functions import fixed_values as fixed
 from quillprint.functions import text as fn
 from quillprint.functions.binding import let
 from quillprint.operators.ordering import number_blocks
-from quillprint.session import settle
+from quillprint.session import settle, spread
 
 SLOT = r"\{([A-Z_0-9]+)\}"
 
@@ -78,8 +78,9 @@ def grammar_samples(samples: DataFrame, vocabulary: DataFrame, grammar: dict[str
             (so_far["units"] + measure(F.regexp_replace(form, SLOT, "x"))).alias("units")))
         return F.when(so_far["units"] < target, longer).otherwise(so_far)
 
-    written = samples.select("sample_id", F.aggregate(numbers, empty, extend, lambda done: done["forms"])
-                             .alias("forms"))
+    # sample ids are few bytes and often one row group; their texts are the work
+    written = spread(samples.select("sample_id")).select(
+        "sample_id", F.aggregate(numbers, empty, extend, lambda done: done["forms"]).alias("forms"))
     kept = (written.select("sample_id", F.posexplode("forms").alias("sentence", "form"))
             .select("sample_id", "sentence", F.posexplode(_pieces(F.col("form"))).alias("place", "piece")))
 
@@ -98,9 +99,9 @@ def grammar_samples(samples: DataFrame, vocabulary: DataFrame, grammar: dict[str
     piece = F.when(F.col("word_class").isNull(), F.col("piece")).otherwise(word)
 
     # partitioned by sample once; both aggregates below use that
-    spread = drawn.select("sample_id", "sentence", "place", piece.alias("piece")).repartition("sample_id")
+    dealt = drawn.select("sample_id", "sentence", "place", piece.alias("piece")).repartition("sample_id")
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("place", "piece"))), lambda p: p["piece"])
-    sentences = spread.groupBy("sample_id", "sentence").agg(F.array_join(in_order, "").alias("text"))
+    sentences = dealt.groupBy("sample_id", "sentence").agg(F.array_join(in_order, "").alias("text"))
     if capitalize:
         sentences = sentences.withColumn("text", F.concat(
             F.upper(F.substring("text", 1, 1)), F.expr("substring(text, 2)")))

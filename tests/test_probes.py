@@ -178,3 +178,10 @@ def test_first_per_group_beyond_the_group_limit(spark):
     assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
     want = {g: sorted(((-r.h, r.id) for r in df.where(f"g = {g}").collect()))[:2000] for g in (0, 1)}
     assert {g: sorted((-r.h, r.id) for r in got.where(f"g = {g}").collect()) for g in (0, 1)} == want
+
+
+def test_samples_are_written_by_many_tasks(spark):
+    words = spark.createDataFrame([(c, c) for c in sorted(set(fixed.CHINESE_WORD_CLASSES.values()))], "word_class string, word string")
+    made = grammar.chinese_samples(spark.range(3).coalesce(1).withColumnRenamed("id", "sample_id"), words)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning(8), REPARTITION_BY_NUM" in plan and made.count() == 3
