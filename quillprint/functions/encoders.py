@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,15 +55,16 @@ def encoder_udf(name: str, width: int):
     """The encoder as an Arrow function from text to ``array<float>``, built once per worker."""
     factory = _factory(name)
 
-    @F.pandas_udf("array<float>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         run = factory(width)
         for texts in batches:
-            values = texts.fillna("").tolist()
-            rows: list[np.ndarray] = []
-            for start in range(0, len(values), ENCODER_BATCH):
-                rows.extend(np.asarray(run(values[start:start + ENCODER_BATCH]), dtype=np.float32))
-            yield pd.Series(rows)
+            # only the texts of one call are Python strings at a time
+            rows = [np.asarray(run([t or "" for t in texts.slice(start, ENCODER_BATCH).to_pylist()]), dtype=np.float32)
+                    for start in range(0, len(texts), ENCODER_BATCH)]
+            ends = np.cumsum([0] + [part.shape[1] for part in rows for _ in range(len(part))], dtype=np.int32)
+            flat = np.concatenate([part.ravel() for part in rows]) if rows else np.zeros(0, np.float32)
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
     return encode
 

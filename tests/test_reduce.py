@@ -216,3 +216,15 @@ def test_jobs_do_not_grow_with_settings(spark):
         counts.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"settings-{n}")))
     spark.sparkContext._jsc.clearJobGroup()
     assert counts[0] == counts[1] > 0
+
+
+def test_encoders_take_texts_a_few_at_a_time(spark):
+    from pyspark.util import PythonEvalType
+
+    from quillprint.functions import encoders
+    # Arrow arrays are cut and turned into texts slice by slice; a series would hold all texts of a batch
+    assert encoders.encoder_udf("hashed_words", 4).evalType == PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF
+    texts = spark.createDataFrame([(i, None if i % 9 == 0 else f"w{i} " * (i % 5)) for i in range(100)], "id int, text string")
+    got = {r.id: r.embedding for r in encoders.encode_texts(texts.coalesce(1), "text", width=4).collect()}
+    plain = encoders.hashed_words(4)
+    assert all(got[i] == plain([f"w{i} " * (i % 5) if i % 9 else ""])[0].tolist() for i in range(100))
