@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillprint.functions import vectors
+from quillprint.session import settle
 
 PROBE = ["model_name", "probe_idx"]
 #: An id of one in so many tokens is hot; ids that the sketch of them tracks.
@@ -54,7 +55,9 @@ def token_embeddings(texts: DataFrame, vocabulary: DataFrame, vocabulary_size: i
     decides the way only, not the result.
     """
     valid = vectors.valid_tokens(F.col("token_ids"), vocabulary_size, padding_id)
-    tokens = texts.select(key, F.posexplode(valid).alias("pos", "token_id"))
+    # written once, an array a text: the sketch and both joins read ids, which may be costly to make
+    ids = settle(texts.select(key, valid.alias("ids")), "token-ids")
+    tokens = ids.select(key, F.posexplode("ids").alias("pos", "token_id"))
     hot = _hot_ids(tokens)
     is_hot = F.col("token_id").isin(hot) if hot else F.lit(False)
     met = tokens.where(~is_hot).join(vocabulary.where(~is_hot), "token_id")

@@ -228,3 +228,13 @@ def test_encoders_take_texts_a_few_at_a_time(spark):
     got = {r.id: r.embedding for r in encoders.encode_texts(texts.coalesce(1), "text", width=4).collect()}
     plain = encoders.hashed_words(4)
     assert all(got[i] == plain([f"w{i} " * (i % 5) if i % 9 else ""])[0].tolist() for i in range(100))
+
+
+def test_token_ids_are_made_once(spark):
+    from quillprint.operators import pooling
+    texts = spark.createDataFrame([(1, "a b"), (2, "b")], "text_id int, text string").select("text_id", F.transform(
+        F.split("text", " "), lambda w: F.length(F.md5(w.cast("binary"))).cast("bigint") - 32).alias("token_ids"))
+    words = spark.createDataFrame([(0, [1.0])], "token_id bigint, embedding array<float>")
+    found = pooling.token_embeddings(texts, words, 1)
+    assert "md5" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.text_id, r.pos) for r in found.collect()) == [(1, 0), (1, 1), (2, 0)]
