@@ -292,6 +292,21 @@ def test_stupid_backoff(spark, order):
     assert lm_scoring.score(docs.limit(0)).count() == 0
 
 
+def test_requests_and_texts_are_written_in_few_bytes():
+    rng = np.random.RandomState(1)
+    asked = np.unique(rng.randint(0, 2**63, 200_000).astype(np.uint64) * np.uint64(2))
+    assert (lm_scoring._unpacked_gaps(lm_scoring._packed_gaps(asked)) == asked).all()
+    assert len(lm_scoring._packed_gaps(asked)) < 6.5 * len(asked)
+    edges = np.array([0, 1, 2**32, 2**64 - 1], np.uint64)
+    assert (lm_scoring._unpacked_gaps(lm_scoring._packed_gaps(edges)) == edges).all()
+    assert len(lm_scoring._unpacked(lm_scoring._packed(edges[:0]))) == 0
+    assert len(lm_scoring._packed(np.ones(100_000, np.int64))) < 1000
+    rows = pa.table({"key": pa.array([1, None, 3]), "text": pa.array(["a b " * 1000, None, ""])})
+    block = pa.table({"rows": pa.array([lm_scoring._packed_rows(rows), lm_scoring._packed_rows(rows[:1])])})
+    assert lm_scoring._unpacked_rows(block).to_pylist() == [*rows.to_pylist(), rows.to_pylist()[0]]
+    assert len(lm_scoring._packed_rows(rows)) < 2000
+
+
 def test_registered_order_three_scores(spark, tmp_path):
     texts = [_speech("aa", i % 7, 20 + i) for i in range(30)] + [None, "", "one", "The THE the"]
     spark.createDataFrame([(i, t, None, "s", 1) for i, t in enumerate(texts)], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
