@@ -16,7 +16,7 @@ import hashlib
 import os
 import re
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,8 @@ LONGEST_KEPT = 64
 ENCODED = 4096
 #: Where a text may be cut before it is encoded: a single space between others than white space.
 CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Words that may stand in a row: each place where two meet is such a cut.
+JOINS = re.compile(r" \S(?:.*\S)?", re.DOTALL)
 SPACE = 0x20
 LOW = 0xFFFFFFFF
 _WEIGHTS = np.random.default_rng(11).integers(1, 1 << 63, 4096, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -142,20 +144,37 @@ class Tokenizers:
         codes = list(map(known.__getitem__, again))
         self._add(again, *(map(side.__getitem__, codes) for side in sides), map(fine.__getitem__, codes))
         new = [word for word in missing if word not in known]
-        for i in range(0, len(new), ENCODED):
-            some = new[i:i + ENCODED]
+        joins = [self.apart and JOINS.fullmatch(word) is not None for word in new]
+        for alike, run in ((True, list(compress(new, joins))), (False, [w for w, x in zip(new, joins) if not x])):
+            for i in range(0, len(run), ENCODED):
+                self._encode_words(run[i:i + ENCODED], alike)
+
+    def _encode_words(self, some: list[str], joins: bool) -> None:
+        """Remember new words. ``joins``: A may encode them as one text."""
+        sizes = np.array([len(word.encode()) for word in some])
+        all_a, ends_a = self._joined(some, sizes) if joins else (None, None)
+        if all_a is None:
             a = [x.ids for x in self.a.encode_batch_fast(some, add_special_tokens=False)]
-            b = self.b.encode([word[1:] for word in some], num_threads=1)
-            all_a, all_b = list(chain.from_iterable(a)), list(chain.from_iterable(b))
-            ends_a, ends_b = (np.cumsum([len(x) for x in side]) for side in (a, b))
-            bytes_a, bytes_b = self._bytes(self.a_len, all_a, ends_a), self._bytes(self.b_len, all_b, ends_b)
-            sizes = np.array([len(word.encode()) for word in some])
-            if self.covers(all_a, all_b, "".join(some)):
-                fine = ((bytes_a == sizes) & (bytes_b == sizes)).tolist()
-            else:
-                fine = map(self.covers, a, b, some)
-            self._add(some, self._packed(all_a, ends_a), self._packed(all_b, ends_b), fine)
-            self.long.extend(word for word in some if len(word) > LONGEST_KEPT)
+            all_a, ends_a = list(chain.from_iterable(a)), np.cumsum([len(x) for x in a])
+        b = self.b.encode([word[1:] for word in some], num_threads=1)
+        all_b, ends_b = list(chain.from_iterable(b)), np.cumsum([len(x) for x in b])
+        bytes_a, bytes_b = self._bytes(self.a_len, all_a, ends_a), self._bytes(self.b_len, all_b, ends_b)
+        if self.covers(all_a, all_b, "".join(some)):
+            fine = ((bytes_a == sizes) & (bytes_b == sizes)).tolist()
+        else:
+            ends = ends_a.tolist()
+            fine = map(self.covers, (all_a[s:e] for s, e in zip([0, *ends], ends)), b, some)
+        self._add(some, self._packed(all_a, ends_a), self._packed(all_b, ends_b), fine)
+        self.long.extend(word for word in some if len(word) > LONGEST_KEPT)
+
+    def _joined(self, some: list[str], sizes: np.ndarray) -> tuple[list[int] | None, np.ndarray | None]:
+        """A's ids of the words in a row, and where each word's end; nothing if a token's bytes would reach across."""
+        ids = self.a.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids
+        reach, want = np.cumsum(self.a_len[np.array(ids, np.int64)]), np.cumsum(sizes)
+        at = np.searchsorted(reach, want)
+        if len(reach) == 0 or reach[-1] != want[-1] or (reach[at] != want).any():
+            return None, None
+        return ids, at + 1
 
     def _add(self, words: list[str], a, b, fine) -> None:
         first = len(self.fine)
@@ -204,9 +223,12 @@ class Windows:
         runs between neighbouring ends of either side, and the groups end where both sides do.
         """
         ends_a, ends_b = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
-        cuts = np.union1d(ends_a, ends_b)
+        cuts = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+        cuts = cuts[np.append(cuts[1:] != cuts[:-1], True)]
         links = a[np.searchsorted(ends_a, cuts)] << 32 | b[np.searchsorted(ends_b, cuts)]
-        last_a, last_b = np.isin(ends_a, ends_b, assume_unique=True), np.isin(ends_b, ends_a, assume_unique=True)
+        at = np.searchsorted(ends_b, ends_a)
+        last_a, last_b = ends_b[at] == ends_a, np.zeros(len(ends_b), bool)
+        last_b[at[last_a]] = True
         group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
         # written in the order of groups, A before B; the mark behind an id: "," within, "|" between sides, ";" at the end
         order = np.argsort(np.concatenate([group_a * 2, group_b * 2 + 1]), kind="stable")

@@ -158,6 +158,19 @@ def test_windows_are_forgotten_between_blocks():
         assert (row["n_a"], row["n_b"], row["n_groups"], row["n_links"], row["groups_sha256"]) == (*want[1:5], want[7])
 
 
+def test_words_encoded_in_a_row_are_those_encoded_alone():
+    with open(JSON, "rb") as first, open(PIECES, "rb") as second:
+        tool = token_alignment.Tokenizers(first.read(), second.read())
+    words = [" the", " über", " 日本語", " <|endoftext|>", " it's", " a\n\nb", " under▁line", " 12345", " '", " s"]
+    assert all(token_alignment.JOINS.fullmatch(w) for w in words)
+    assert not any(token_alignment.JOINS.fullmatch(w) for w in ["  two", " end ", " ", " x\n", "bare"])
+    sizes = np.array([len(w.encode()) for w in words])
+    ids, ends = tool._joined(words, sizes)
+    alone = [tool.a.encode(w, add_special_tokens=False).ids for w in words]
+    assert [ids[s:e] for s, e in zip([0, *ends], ends)] == alone
+    assert tool._joined(words, sizes + 1) == (None, None)
+
+
 def test_no_letters_meet_across_a_cut():
     with open(JSON, "rb") as first, open(PIECES, "rb") as second:
         tool = token_alignment.Tokenizers(first.read(), second.read())
