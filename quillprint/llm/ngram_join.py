@@ -2,17 +2,22 @@
 
 Documents with equal n-gram sets are one class. A class's n-grams are put in a global order, rare ones first; two sets
 whose Jaccard similarity reaches the threshold share an n-gram of their prefixes. Classes of equal prefix and size form a
-group, and only groups are brought together by their prefix n-grams. Group pairs are filtered by size, then expanded to
-their members, whose whole sets are compared.
+group, and only groups are brought together by their prefix n-grams. Two groups whose first common n-gram stands so late
+in a set that the rest is too short for the similarity are no pair; that also bounds what a passage of many documents
+can bring together. Group pairs are then expanded to their members, whose whole sets are compared.
 
 Copies by the thousand must not be paired with each other: what is asked for is which documents hang together, so each
-bucket is first compared with one member only (a star, linear in the bucket). A bucket whose members then hang together
-is done. In the others the members of different components are compared, pair by pair, so no link is lost. Pairs are
-first held against signatures, whose distance is never more than that of the sets; whole sets are fetched for the rest.
+bucket is first compared with one member only (a star, linear in the bucket): the one in whose set the common n-gram
+stands first, which has least besides. A bucket whose members then hang together is done. In the others the members of
+different components are compared, pair by pair, so no link is lost. Pairs are first held against signatures, whose
+distance is never more than that of the sets. For the rest whole texts are fetched, compressed, each to the few places
+where its pairs are compared.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,8 +35,13 @@ PERCENT = 75
 HOT = 4
 HOT_KEPT = 1 << 20
 #: Prefix n-grams of one bucket block.
-BLOCK = 1 << 20
+BLOCK = 1 << 21
+#: Where in its set an n-gram stands is known in such parts of the set, rounded down; LATEST stands for all from there on.
+PARTS = 512
+LATEST = 127
 BROADCAST_IDS = 1 << 20
+#: N-grams of the sets that one task holds at once to compare pairs.
+PLACE = 1 << 19
 #: Bits of a class's signature: the parity of how many of its n-grams fall on each.
 SIGNATURE = 2048
 #: The groups of a bucket of at most so many are paired at once; larger buckets get stars first.
@@ -132,18 +142,13 @@ def _alike(sig_a: str, sig_b: str, size_a: str, size_b: str, percent: int):
     return bits.cast("bigint") * (100 + percent) <= (F.col(size_a) + F.col(size_b)) * (100 - percent)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` of classes whose sets are similar enough."""
-    left = sets.select(F.col("class").alias("a"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("class").alias("b"), F.col("grams").alias("gb"))
-    both = F.size(F.array_intersect("ga", "gb")).cast("bigint")
-    union = F.size("ga") + F.size("gb") - both
-    return pairs.join(left, "a").join(right, "b").where(both * 100 >= union * percent).select("a", "b")
+def _reach(size: str, late: str, other: str, percent: int):
+    """Whether what a set has from its first common n-gram on is enough for the similarity with one of size ``other``."""
+    return F.col(size) * (PARTS - F.col(late)) * (100 + percent) >= (F.col(size) + F.col(other)) * (PARTS * percent)
 
 
-def _close(a: str, b: str, percent: int):
-    """Sizes that allow the similarity."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _both_reach(a: str, late_a: str, b: str, late_b: str, percent: int):
+    return _reach(a, late_a, b, percent) & _reach(b, late_b, a, percent)
 
 
 def join_documents(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, key: str = "doc_id",
@@ -201,52 +206,77 @@ def join_documents(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, ke
         yield from dealt(held)
 
     def dealt(held):
+        """A row per block: half of each n-gram's hash (an equal half is one more pair to look at), how late it stands,
+        as a negative number where another group begins, and the groups in this order."""
         if not held:
             return
         tokens, groups, sizes = (np.concatenate(x) for x in zip(*held))
+        starts = np.cumsum([0] + [len(x[0]) for x in held[:-1]])
+        place = np.arange(len(tokens)) - np.repeat(starts, [len(x[0]) for x in held])
+        late = np.minimum(place * PARTS // sizes, LATEST).astype(np.int8)
         block = (tokens >> np.uint64(32)) % np.uint64(blocks)
         order = np.argsort(block, kind="stable")
         ends = np.searchsorted(block[order], np.arange(blocks + 1))
         for i in np.flatnonzero(np.diff(ends)):
             own = order[ends[i]:ends[i + 1]]
-            one = [0, len(own)]
+            new = np.ones(len(own), bool)
+            new[1:] = groups[own[1:]] != groups[own[:-1]]
+            every, few = [0, len(own)], [0, int(new.sum())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([i], pa.int64()), pa.ListArray.from_arrays(one, tokens[own].view(np.int64)),
-                 pa.ListArray.from_arrays(one, groups[own]), pa.ListArray.from_arrays(one, sizes[own])],
-                ["block", "tokens", "groups", "sizes"])
+                [pa.array([i], pa.int64()), pa.ListArray.from_arrays(every, tokens[own].astype(np.uint32).view(np.int32)),
+                 pa.ListArray.from_arrays(every, np.where(new, ~late[own], late[own])),
+                 pa.ListArray.from_arrays(few, groups[own[new]]), pa.ListArray.from_arrays(few, sizes[own[new]])],
+                ["block", "tokens", "late", "groups", "sizes"])
 
     def shared(found: pa.Table) -> pa.Table:
-        """Pairs ``grp, other`` of small buckets, rows ``token, grp`` of larger ones. A larger bucket is named by its
+        """Pairs ``grp, other`` of small buckets, rows ``token, grp, late`` of larger ones. A larger bucket is named by its
         groups, so that n-grams with the same groups (the words of one passage) are one bucket."""
-        tokens, groups, sizes = (found.column(c).combine_chunks().flatten().to_numpy() for c in ("tokens", "groups", "sizes"))
-        order = np.lexsort((groups, tokens))
-        tokens, groups, sizes = tokens[order], groups[order], sizes[order].astype(np.int64)
+        tokens, late, groups, sizes = (found.column(c).combine_chunks().flatten().to_numpy()
+                                       for c in ("tokens", "late", "groups", "sizes"))
+        own = np.cumsum(late < 0, dtype=np.int32) - 1
+        late = np.where(late < 0, ~late, late)
+        groups, of = np.unique(groups, return_inverse=True)
+        size = np.zeros(len(groups), np.int64)
+        size[of] = sizes
+        own = of[own].astype(np.int32)
+        order = np.lexsort((late, own, tokens))
+        tokens, late, own = tokens[order], late[order], own[order]
         new = np.ones(len(tokens), bool)
-        new[1:] = (tokens[1:] != tokens[:-1]) | (groups[1:] != groups[:-1])
-        tokens, groups, sizes = tokens[new], groups[new], sizes[new]
-        _, run, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-        many = counts[run]
+        new[1:] = (tokens[1:] != tokens[:-1]) | (own[1:] != own[:-1])
+        tokens, late, own = tokens[new], late[new], own[new]
+        first = np.ones(len(tokens), bool)
+        first[1:] = tokens[1:] != tokens[:-1]
+        run = np.cumsum(first, dtype=np.int32) - 1
+        many = np.bincount(run)
+        among = (many[run] > 1) & (many[run] <= SMALL)
+        tokens_in, late_in, own_in = tokens[among], late[among].astype(np.int64), own[among]
         pairs = [np.empty((0, 2), np.int64)]
         for ahead in range(1, SMALL):
             a, b = slice(None, -ahead), slice(ahead, None)
-            small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
-            met = (tokens[a] == tokens[b]) & (many[a] <= SMALL) & (small * 100 >= large * percent)
-            pairs.append(np.column_stack([groups[a][met], groups[b][met]]))
+            small, large = size[own_in[a]], size[own_in[b]]
+            enough = (small + large) * (PARTS * percent)
+            met = ((tokens_in[a] == tokens_in[b]) & (small * (PARTS - late_in[a]) * (100 + percent) >= enough)
+                   & (large * (PARTS - late_in[b]) * (100 + percent) >= enough))
+            pairs.append(np.column_stack([groups[own_in[a][met]], groups[own_in[b][met]]]))
         paired = np.unique(np.concatenate(pairs), axis=0)
-        rest = many > SMALL
-        names = np.zeros(len(counts), np.uint64)
-        np.add.at(names, run, grams.mix(groups.view(np.uint64)))
-        tokens = grams.mix(names)[run].view(np.int64)
-        none = [pa.nulls(len(paired), pa.int64()), pa.nulls(int(rest.sum()), pa.int64())]
-        return pa.table({"token": pa.chunked_array([none[0], pa.array(tokens[rest])]),
-                         "grp": pa.chunked_array([pa.array(paired[:, 0]), pa.array(groups[rest])]),
-                         "other": pa.chunked_array([pa.array(paired[:, 1]), none[1]])})
+        rest = many[run] > SMALL
+        run, late, own = run[rest], late[rest], groups[own[rest]]
+        names = np.zeros(len(many), np.uint64)
+        np.add.at(names, run, grams.mix(own.view(np.uint64)))
+        none = [pa.nulls(len(paired), pa.int64()), pa.nulls(len(run), pa.int64())]
+        return pa.table({"token": pa.chunked_array([none[0], pa.array(grams.mix(names)[run].view(np.int64))]),
+                         "grp": pa.chunked_array([pa.array(paired[:, 0]), pa.array(own)]),
+                         "other": pa.chunked_array([pa.array(paired[:, 1]), none[1]]),
+                         "late": pa.chunked_array([none[0].cast(pa.int8()), pa.array(late)])})
 
     posted = docs.select("text").mapInArrow(
-        post, "block bigint, tokens array<bigint>, groups array<bigint>, sizes array<int>")
-    met = settle(posted.groupBy("block").applyInArrow(shared, "token bigint, grp bigint, other bigint"), "join-met")
+        post, "block bigint, tokens array<int>, late array<tinyint>, groups array<bigint>, sizes array<int>")
+    met = settle(posted.groupBy("block").applyInArrow(shared, "token bigint, grp bigint, other bigint, late tinyint"),
+                 "join-met")
+    hot.destroy()
     pairs = settle(met.where("token IS NULL").select("grp", "other").distinct(), "join-group-pairs")
-    buckets = settle(met.where("token IS NOT NULL").select("token", "grp").distinct(), "join-buckets")
+    buckets = settle(met.where("token IS NOT NULL").groupBy("token", "grp").agg(F.min("late").cast("bigint").alias("late")),
+                     "join-buckets")
 
     # Groups: their first class stands for them.
     groups = settle(classes.groupBy("grp").agg(F.min("class").alias("rep"), F.first("size").alias("size"),
@@ -259,10 +289,10 @@ def join_documents(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, ke
 
     def linked(pairs: DataFrame) -> DataFrame:
         possible = settle(_possible(pairs.distinct(), signatures, percent), "join-pairs")
-        named = possible.select(F.col("a").alias("class")).union(possible.select("b")).distinct()
-        sets = settle(_needed_sets(docs, needed.join(named, "class", "left_semi"), n), "join-sets")
-        found = settle(_verified(possible, sets, percent), "join-links")
-        discard(possible, sets)
+        placed = settle(_placed(possible, needed), "join-places")
+        texts = _needed_texts(docs, needed, placed, n)
+        found = settle(_verified(placed, texts, n, percent), "join-links")
+        discard(possible, placed)
         return found
 
     # Pairs of groups by their first classes; members with their group's first class; groups of a larger bucket with its
@@ -274,9 +304,11 @@ def join_documents(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, ke
     inner = needed.join(groups.select("grp", "rep"), "grp").where("class <> rep").select(
         F.col("rep").alias("a"), F.col("class").alias("b"))
     large = buckets.join(reps, "grp")
-    first = large.groupBy("token").agg(F.min(F.struct("rep", "size")).alias("first"))
-    outer = large.join(first, "token").where((F.col("rep") > F.col("first.rep")) & _close("size", "first.size", percent))
-    links = linked(direct.union(inner).union(outer.select(F.col("first.rep").alias("a"), F.col("rep").alias("b"))))
+    first = large.groupBy("token").agg(F.min(F.struct("late", "rep", "size")).alias("first"))
+    outer = large.join(first, "token").where((F.col("rep") != F.col("first.rep")) & _both_reach(
+        "size", "late", "first.size", "first.late", percent))
+    links = linked(direct.union(inner).union(outer.select(
+        F.least("rep", "first.rep").alias("a"), F.greatest("rep", "first.rep").alias("b"))))
     labels = components(links)
 
     # What is open: larger buckets, groups of several members, and pairs with such a group, as far as their members do not
@@ -285,34 +317,39 @@ def join_documents(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, ke
     wide = pairs.join(several, "grp", "left_semi").union(
         pairs.join(several.withColumnRenamed("grp", "other"), "other", "left_semi").select("grp", "other")).distinct()
     wide = wide.select(F.xxhash64("grp", "other").alias("token"), F.explode(F.array("grp", "other")).alias("grp"))
-    bags = buckets.union(wide).union(several.select(F.col("grp").alias("token"), "grp"))
-    rows = bags.join(members, "grp").select("token", "class", "size")
+    unknown = wide.union(several.select(F.col("grp").alias("token"), "grp")).withColumn("late", F.lit(0).cast("bigint"))
+    rows = buckets.union(unknown).join(members, "grp").select("token", "class", "size", "late")
+    # a row that does not reach the smallest set of its bucket has no partner there
+    least = rows.groupBy("token").agg(F.min("size").alias("least"))
+    rows = rows.join(least, "token").where(_reach("size", "late", "least", percent)).drop("least")
     for turn in range(STARS + 1):
         labelled = rows.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn(
             "component", F.coalesce("component", "class"))
-        split = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                              F.count(F.lit(1)).alias("n")).where("low <> high")
-        rows = settle(labelled.join(split.select("token"), "token", "left_semi"), "join-open")
-        work = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).agg(
-            F.sum("n"), F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2)).first()
+        split = labelled.groupBy("token", "component").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("token").agg(
+            F.count(F.lit(1)).alias("components"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).where(
+            "components > 1")
+        split = settle(split, "join-split")
+        work = split.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
         if not work[0]:
             break
+        rows = settle(labelled.join(split.select("token"), "token", "left_semi"), "join-open")
         star = turn < STARS and work[1] > PAIRS_PER_ROW * work[0]
         if star:  # the member that a hash of this turn puts first, against the other components
-            ranked = F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), "class", "size", "component")
+            ranked = F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), "class", "size", "late", "component")
             first = rows.groupBy("token").agg(F.min(ranked).alias("first"))
-            pairs = rows.join(first, "token").where((F.col("component") != F.col("first.component"))
-                                                    & _close("size", "first.size", percent))
+            pairs = rows.join(first, "token").where((F.col("component") != F.col("first.component")) & _both_reach(
+                "size", "late", "first.size", "first.late", percent))
             pairs = pairs.select(F.least("class", "first.class").alias("a"), F.greatest("class", "first.class").alias("b"))
         else:
             # signatures go along, so that only pairs that they do not rule out leave the join
             signed = rows.join(signatures.select("class", "sig"), "class")
             other = signed.select("token", F.col("class").alias("b"), F.col("size").alias("size_b"),
-                                  F.col("component").alias("component_b"), F.col("sig").alias("sig_b"))
+                                  F.col("late").alias("late_b"), F.col("component").alias("component_b"),
+                                  F.col("sig").alias("sig_b"))
             pairs = signed.join(other, "token").where(
                 (F.col("class") < F.col("b")) & (F.col("component") != F.col("component_b"))
-                & _close("size", "size_b", percent) & _alike("sig", "sig_b", "size", "size_b", percent)).select(
-                F.col("class").alias("a"), "b")
+                & _both_reach("size", "late", "size_b", "late_b", percent)
+                & _alike("sig", "sig_b", "size", "size_b", percent)).select(F.col("class").alias("a"), "b")
         more = linked(pairs)
         found = not more.isEmpty()
         if found:
@@ -320,7 +357,7 @@ def join_documents(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, ke
             labels = components(links)
         if not star:
             break
-        rows = rows.select("token", "class", "size")
+        rows = rows.select("token", "class", "size", "late")
 
     named = classes.select("class", F.col("key").alias("own")).join(
         labels.withColumnRenamed("node", "class"), "class", "left").withColumn(
@@ -332,8 +369,28 @@ def join_documents(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, ke
     return linked.union(alone).select(F.col("key").alias(key), F.col("size").alias("n_shingles"), "component_id")
 
 
-def _needed_sets(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
-    """``class, grams`` of the classes that have a partner to be compared with."""
+def _placed(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``place, a, b``: where each pair is compared. Pairs that hang together have one place as long as their sets are
+    at most PLACE n-grams; otherwise several, by their class of fewer pairs, so that only a star's centre is at many."""
+    cluster = components(pairs).withColumnRenamed("node", "class")
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("degree"))
+    ends = settle(degree.join(cluster, "class").join(sizes.select("class", "size"), "class"), "join-ends")
+    weight = ends.groupBy("component").agg(F.ceil(F.sum("size") / PLACE).alias("parts"))
+    bins = -(-(ends.agg(F.sum("size")).first()[0] or 1) // PLACE)
+    ends = ends.join(weight, "component")
+    left = ends.select(F.col("class").alias("a"), F.col("degree").alias("degree_a"), "component", "parts")
+    right = ends.select(F.col("class").alias("b"), F.col("degree").alias("degree_b"))
+    fewer = F.when(F.col("degree_a") <= F.col("degree_b"), F.col("a")).otherwise(F.col("b"))
+    part = F.pmod(F.xxhash64(fewer), F.col("parts"))
+    return pairs.join(left, "a").join(right, "b").select(
+        F.pmod(F.xxhash64("component", part), F.lit(bins)).alias("place"), "a", "b")
+
+
+def _needed_texts(docs: DataFrame, needed: DataFrame, placed: DataFrame, n: int) -> DataFrame:
+    """``at, class, packed``: the compressed text of a document of each class, wherever it is compared. A class may
+    come more than once, from each task that holds a document with one of the keys."""
+    places = placed.select(F.col("place").alias("at"), F.explode(F.array("a", "b")).alias("class")).distinct()
+    needed = needed.join(places.select("class"), "class", "left_semi")
     ids = needed.select("key").where("key IS NOT NULL").distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
@@ -341,23 +398,38 @@ def _needed_sets(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
     if needed.where("key IS NULL").limit(1).count():
         wanted = wanted.union(docs.where("key IS NULL"))
 
-    def whole_sets(batches):
+    def pack(batches):
         seen = set()
         for batch in batches:
             names, found = [], []
-            for _, values in _sets(batch.column(0), n):
+            for row, values in _sets(batch.column(0), n):
                 mark = _fingerprint(values)
-                if mark not in seen:
+                if len(values) and mark not in seen:
                     seen.add(mark)
                     names.append(mark)
-                    found.append(values.view(np.int64))
-            if found:
-                ends = np.cumsum([0] + [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.ListArray.from_arrays(
-                    pa.array(ends, pa.int32()), np.concatenate(found))], ["class", "grams"])
-
-    made = wanted.select("text").mapInArrow(whole_sets, "class binary, grams array<bigint>")
-    return made.join(needed.select("class"), "class", "left_semi").dropDuplicates(["class"])
+                    found.append(zlib.compress(batch.column(0)[row].as_py().encode(), 1))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(found, pa.binary())],
+                                             ["class", "packed"])
+
+    return wanted.select("text").mapInArrow(pack, "class binary, packed binary").join(places, "class").select(
+        "at", "class", "packed")
+
+
+def _verified(placed: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs ``a, b`` of classes whose sets are similar enough."""
+    def compare(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        packed = dict(zip(texts.column("class").to_pylist(), texts.column("packed").to_pylist()))
+        sets = {}
+        for name in packed:
+            text = pa.array([zlib.decompress(packed[name]).decode()], pa.large_string())
+            sets[name] = next(_sets(text, n))[1]
+        a, b, alike = pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), []
+        for x, y in zip(a, b):
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            alike.append(both * 100 >= (len(sets[x]) + len(sets[y]) - both) * percent)
+        return pairs.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    return placed.groupBy("place").cogroup(texts.groupBy("at")).applyInArrow(compare, "a binary, b binary")
 
 
 def keep_one(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, key: str = "doc_id") -> DataFrame:

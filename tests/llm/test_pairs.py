@@ -76,6 +76,53 @@ def test_join_equals_brute_force(spark, monkeypatch, small, per_row):
     assert got == _components(rows)
 
 
+@pytest.mark.parametrize("stars", [0, 2])
+def test_join_at_many_places_equals_brute_force(spark, monkeypatch, stars):
+    for name, value in {"SMALL": 3, "PAIRS_PER_ROW": 0, "STARS": stars, "BLOCK": 1000, "PLACE": 300}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(stars)
+    fresh = lambda n: [f"v{rng.randrange(10**5)}" for _ in range(n)]
+    passage, base = fresh(70), fresh(200)
+    texts = [" ".join(fresh(own) + passage) for own in range(1, 30)]  # both sides of the bound, a seventh of the set
+    texts += [" ".join(base[:i] + fresh(1 + i % 9) + base[i:]) for i in range(0, 200, 5)] + _family(rng, base, 30, 5)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], DOCS)
+    assert sorted((tuple(r) for r in ngram_join.join_documents(docs).collect()), key=str) == _components(rows)
+
+
+def test_a_common_passage_late_in_sets_opens_no_bucket(spark, monkeypatch):
+    """Own n-grams are a quarter of each set and come first, so the passage's cannot be the first of a link."""
+    made = {}
+
+    def settle(df, label):
+        table = _settle(df, label)
+        made[label] = made.get(label, 0) + table.count()
+        return table
+    _settle = ngram_join.settle
+    monkeypatch.setattr(ngram_join, "settle", settle)
+    passage = [f"p{i}" for i in range(80)]
+    texts = [" ".join([f"own{d}x{i}" for i in range(24)] + passage) for d in range(60)]
+    rows = list(enumerate(texts + [texts[0] + " more"]))
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], DOCS)
+    got = sorted((tuple(r) for r in ngram_join.join_documents(docs).collect()), key=str)
+    assert got == _components(rows)
+    assert made.get("join-open", 0) == 0 and made["join-pairs"] <= 2
+
+
+def test_places_hold_every_pair_once_and_members_of_a_star_once(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PLACE", 1000)
+    name = lambda i: i.to_bytes(16, "big")
+    pairs = [(name(0), name(i)) for i in range(1, 200)] + [(name(1000 + i), name(1001 + i)) for i in range(0, 40, 2)]
+    sizes = spark.createDataFrame([(x, 50) for x in {x for p in pairs for x in p}], "class binary, size bigint")
+    placed = ngram_join._placed(spark.createDataFrame(pairs, "a binary, b binary"), sizes).collect()
+    assert sorted((bytes(r["a"]), bytes(r["b"])) for r in placed) == sorted(pairs)
+    at = {}
+    for r in placed:
+        for x in (bytes(r["a"]), bytes(r["b"])):
+            at.setdefault(x, set()).add(r["place"])
+    assert len(at.pop(name(0))) > 3 and all(len(p) == 1 for p in at.values())
+
+
 def test_keep_one_and_empty(spark):
     rows = [(3, "a b c d e f g"), (1, "A b c d e f g"), (2, None), (4, ""), (5, "x y"), (5, "x y"), (6, None)]
     docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], DOCS)
