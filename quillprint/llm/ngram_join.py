@@ -30,10 +30,15 @@ from quillprint.session import discard, settle, ship_package
 SHINGLE = 5
 #: Similarity of 75 percent, in whole numbers.
 PERCENT = 75
-#: The order of n-grams only steers the work, not the result: n-grams known to be in HOT documents come last. At most
+#: The order of n-grams only steers the work, not the result: n-grams that are in HOT documents come last. At most
 #: HOT_KEPT of them, the most frequent, are sent to the tasks (12 bytes each).
 HOT = 4
 HOT_KEPT = 1 << 20
+#: N-grams that are counted at once, about: a word and what separates it from the next are taken as WORD bytes. Counted
+#: are the first bits of their hashes, so many more than number the n-grams; what agrees in these counts as one.
+COUNTED = 1 << 20
+WORD = 6
+MORE_BITS = 7
 #: Prefix n-grams of one bucket block.
 BLOCK = 1 << 21
 #: Where in its set an n-gram stands is known in such parts of the set, rounded down; LATEST stands for all from there on.
@@ -82,43 +87,79 @@ def prefix_length(size: int, percent: int = PERCENT) -> int:
     return size - (percent * size + 99) // 100 + 1
 
 
-def _repeated(docs: DataFrame, n: int) -> np.ndarray:
-    """Sorted hashes of the n-grams that are known to be in many documents, and the number of documents known.
+def _repeated(docs: DataFrame, n: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """The n-grams of HOT documents or more, however these are dealt out: bits cut off from their hashes, the sorted
+    rest, and the number of documents. Copies count once in what a task holds of them at once.
 
-    Every task reports what it has met in two documents or more; the reports are added up.
+    Every task reports each n-gram that it has met, those of a range of hashes in a row; ranges add up the reports.
     """
+    number = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // WORD
+    bits = min(max(32, number.bit_length() + MORE_BITS), 44)
+    cut, ranges = 64 - bits, min(-(-number // COUNTED) or 1, 1 << 20)
+
     def report(batches):
-        seen, found = set(), []
+        seen, found, size = set(), [], 0
         for batch in batches:
             for _, values in _sets(batch.column(0), n):
                 mark = _fingerprint(values)
                 if mark not in seen:
                     seen.add(mark)
-                    found.append(values)
-            if sum(map(len, found)) > 1 << 23:
+                    found.append(values >> np.uint64(cut))
+                    size += len(values)
+            if size > 1 << 23:
                 yield from counted(found)
-                seen, found = set(), []
+                seen, found, size = set(), [], 0
         yield from counted(found)
 
     def counted(found):
-        if found:
-            values, counts = np.unique(np.concatenate(found), return_counts=True)
-            often = counts > 1
-            yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often])],
-                                             ["gram", "n"])
-
-    rows = docs.select("text").mapInArrow(report, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    top = rows.where(F.col("n") >= HOT).orderBy(F.desc("n"), "gram").limit(HOT_KEPT).toArrow()
+        """A row per range: gaps between n-grams, first the lowest bytes of all, then the next, as most are small; which
+        of them were met more than once, and how often."""
+        if not found:
+            return
+        values, counts = np.unique(np.concatenate(found), return_counts=True)
+        ends = np.searchsorted(values * np.uint64(ranges) >> np.uint64(bits), np.arange(ranges + 1, dtype=np.uint64))
+        for i in np.flatnonzero(np.diff(ends)):
+            own, times = values[ends[i]:ends[i + 1]], counts[ends[i]:ends[i + 1]]
+            gaps = np.diff(own, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :6]
+            often = np.flatnonzero(times > 1)
+            every = [0, len(often)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i], pa.int64()), pa.array([gaps.T.tobytes()], pa.binary()),
+                 pa.ListArray.from_arrays(every, often.astype(np.int32)),
+                 pa.ListArray.from_arrays(every, times[often].astype(np.int32))], ["part", "gaps", "often", "times"])
+
+    def added(reports: pa.Table) -> pa.Table:
+        values, counts = [], []
+        for row in range(reports.num_rows):
+            gaps = np.frombuffer(reports.column("gaps")[row].as_py(), np.uint8).reshape(6, -1)
+            wide = np.zeros((gaps.shape[1], 8), np.uint8)
+            wide[:, :6] = gaps.T
+            values.append(np.cumsum(wide.view(np.uint64).ravel(), dtype=np.uint64))
+            counts.append(np.ones(len(wide), np.int32))
+            counts[-1][reports.column("often")[row].values.to_numpy()] = reports.column("times")[row].values.to_numpy()
+        values, counts = np.concatenate(values), np.concatenate(counts)
+        order = np.argsort(values)
+        values, counts = values[order], counts[order]
+        starts = np.flatnonzero(np.diff(values, prepend=values[0] + np.uint64(1)))
+        sums = np.add.reduceat(counts.astype(np.int64), starts)
+        often = sums >= HOT
+        return pa.table({"gram": values[starts][often].view(np.int64), "n": sums[often]})
+
+    rows = docs.select("text").mapInArrow(
+        report, "part bigint, gaps binary, often array<int>, times array<int>").groupBy("part").applyInArrow(
+        added, "gram bigint, n bigint")
+    top = rows.orderBy(F.desc("n"), "gram").limit(HOT_KEPT).toArrow()
     values = top.column(0).to_numpy().view(np.uint64)
     order = np.argsort(values)
-    return values[order], top.column(1).to_numpy()[order].astype(np.int32)
+    return cut, values[order], top.column(1).to_numpy()[order].astype(np.int32)
 
 
-def _ordered_prefix(values: np.ndarray, hot: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+def _ordered_prefix(values: np.ndarray, cut: int, hot: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
     length = prefix_length(len(values), percent)
     if len(hot):
-        at = np.minimum(np.searchsorted(hot, values), len(hot) - 1)
-        often = np.where(hot[at] == values, counts[at], 0)
+        known = values >> np.uint64(cut)
+        at = np.minimum(np.searchsorted(hot, known), len(hot) - 1)
+        often = np.where(hot[at] == known, counts[at], 0)
         if often.any():
             values = values[np.lexsort((values, often))]
     return values[:length]
@@ -303,7 +344,7 @@ def join_documents(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, ke
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     inner = needed.join(groups.select("grp", "rep"), "grp").where("class <> rep").select(
         F.col("rep").alias("a"), F.col("class").alias("b"))
-    large = buckets.join(reps, "grp")
+    large = settle(buckets.join(reps, "grp"), "join-large")
     first = large.groupBy("token").agg(F.min(F.struct("late", "rep", "size")).alias("first"))
     outer = large.join(first, "token").where((F.col("rep") != F.col("first.rep")) & _both_reach(
         "size", "late", "first.size", "first.late", percent))
@@ -318,7 +359,7 @@ def join_documents(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, ke
         pairs.join(several.withColumnRenamed("grp", "other"), "other", "left_semi").select("grp", "other")).distinct()
     wide = wide.select(F.xxhash64("grp", "other").alias("token"), F.explode(F.array("grp", "other")).alias("grp"))
     unknown = wide.union(several.select(F.col("grp").alias("token"), "grp")).withColumn("late", F.lit(0).cast("bigint"))
-    rows = buckets.union(unknown).join(members, "grp").select("token", "class", "size", "late")
+    rows = settle(buckets.union(unknown).join(members, "grp").select("token", "class", "size", "late"), "join-rows")
     # a row that does not reach the smallest set of its bucket has no partner there
     least = rows.groupBy("token").agg(F.min("size").alias("least"))
     rows = rows.join(least, "token").where(_reach("size", "late", "least", percent)).drop("least")

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +110,42 @@ def test_a_common_passage_late_in_sets_opens_no_bucket(spark, monkeypatch):
     assert made.get("join-open", 0) == 0 and made["join-pairs"] <= 2
 
 
+def test_a_passage_opens_no_bucket_however_documents_are_dealt_out(spark, monkeypatch):
+    """A task for each document: none meets the passage twice."""
+    made = {}
+
+    def settle(df, label):
+        table = _settle(df, label)
+        made[label] = made.get(label, 0) + table.count()
+        return table
+    _settle = ngram_join.settle
+    monkeypatch.setattr(ngram_join, "settle", settle)
+    passage = [f"p{i}" for i in range(60)]
+    rows = list(enumerate(" ".join([f"own{d}x{i}" for i in range(60)] + passage) for d in range(40)))
+    rows.append((40, rows[0][1] + " more"))
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], DOCS).repartition(41)
+    got = sorted((tuple(r) for r in ngram_join.join_documents(docs).collect()), key=str)
+    assert got == _components(rows)
+    assert made["join-buckets"] == 0
+
+
+@pytest.mark.parametrize("counted", [1 << 20, 50])
+def test_repeated_ngrams_are_counted_over_all_tasks(spark, monkeypatch, counted):
+    monkeypatch.setattr(ngram_join, "COUNTED", counted)
+    texts = {t for _, t in _corpus(3) if t}
+    docs = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string").repartition(13)
+    cut, values, counts = ngram_join._repeated(docs, 5)
+    sets = [v for _, v in ngram_join._sets(pa.array(sorted(texts)), 5)]
+    every, times = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in {v.tobytes() for v in sets}]) >> np.uint64(cut),
+                             return_counts=True)
+    known, found = dict(zip(every.tolist(), times.tolist())), dict(zip(values.tolist(), counts.tolist()))
+    assert {g for g, t in known.items() if t >= ngram_join.HOT} <= set(found)
+    # a copy that another task holds (a text in capitals, other white space) counts again
+    again, times = np.unique(np.concatenate(sets) >> np.uint64(cut), return_counts=True)
+    most = dict(zip(again.tolist(), times.tolist()))
+    assert all(known[g] <= t <= most[g] for g, t in found.items())
+
+
 def test_places_hold_every_pair_once_and_members_of_a_star_once(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "PLACE", 1000)
     name = lambda i: i.to_bytes(16, "big")
