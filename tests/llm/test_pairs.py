@@ -123,7 +123,7 @@ def test_a_passage_opens_no_bucket_however_documents_are_dealt_out(spark, monkey
     passage = [f"p{i}" for i in range(60)]
     rows = list(enumerate(" ".join([f"own{d}x{i}" for i in range(60)] + passage) for d in range(40)))
     rows.append((40, rows[0][1] + " more"))
-    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], DOCS).repartition(41)
+    docs = spark.createDataFrame(spark.sparkContext.parallelize([(i, t, None, "s", 1) for i, t in rows], 41), DOCS)
     got = sorted((tuple(r) for r in ngram_join.join_documents(docs).collect()), key=str)
     assert got == _components(rows)
     assert made["join-buckets"] == 0
