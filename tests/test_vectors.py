@@ -1,9 +1,11 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillprint.functions import vectors as fn
-from quillprint.operators import distances, filters
+from quillprint.operators import blocks, distances, filters
+from quillprint.plans.registry.inputs import r6, r6_far_from_ties
 
 
 def _one(spark, values, column):
@@ -130,6 +132,34 @@ def test_row_statistics_are_those_of_the_matrix(spark):
         assert (r.entries, r.row_sum, r.farthest) == (50, pytest.approx(d[r.i // 3].sum()), pytest.approx(d[r.i // 3].max()))
 
 
+def test_distances_leave_the_worker_by_pairs_of_blocks():
+    """A batch of pairs is not turned into all its distances at once."""
+    rows = np.random.default_rng(10).normal(size=(6, 4, 3))
+    side = lambda part: (pa.array([m.ravel().tolist() for m in part]), pa.array([3] * len(part), pa.int32()))
+    asked = []
+
+    def measure(x, y):
+        asked.append(len(x))
+        return blocks.MEASURES["euclidean"](x, y)
+
+    found = blocks.measured(iter([(*side(rows[:3]), *side(rows[3:]))]), measure)
+    first = next(found)
+    assert len(asked) == len(first) == 1 and len(first[0]) == 16
+    assert [len(x) for x in found] == [1, 1]
+    assert first[0].as_py() == pytest.approx(
+        np.linalg.norm(rows[0][:, None] - rows[3][None], axis=2).ravel().tolist(), abs=1e-12)
+
+
+def test_rounding_without_decimals_is_rounding(spark):
+    x = [0.0, -0.0, 1e-9, -1e-9, 0.5e-6, -0.5e-6, 1.5e-6, 0.1234565, 0.12345649999999, 2.0000005, -1.0000015, 999.9999995,
+         1000.0000005, 123456.7890125, 1e300, float("nan"), float("inf"), None]
+    x += np.random.default_rng(11).normal(size=300).tolist()
+    frame = spark.createDataFrame([(v,) for v in x], "x double").select(
+        r6("x").alias("want"), r6_far_from_ties("x").alias("got"))
+    for r in frame.collect():
+        assert repr(r.got) == repr(r.want)
+
+
 def test_signatures_of_other_widths_fail(spark):
     df = spark.createDataFrame([("a", 0, [1.0]), ("b", 1, [0.0, 1.0])], "model_name string, ord int, signature array<double>")
     for rows in (1, 2):
