@@ -1,3 +1,5 @@
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -160,6 +162,31 @@ def test_rounding_without_decimals_is_rounding(spark):
         assert repr(r.got) == repr(r.want)
 
 
+@pytest.mark.parametrize("width", [1, 6, 255, 256, 600])
+def test_hamming_of_blocks_is_that_of_rows(width):
+    rng = np.random.default_rng(width)
+    a, b = rng.normal(size=(9, width)), rng.normal(size=(7, width))
+    a[2], b[3], a[4, 0], b[5, 0], b[6, -1] = b[2], 0.0, np.nan, np.inf, -np.inf
+    with np.errstate(invalid="ignore"):
+        got = blocks.MEASURES["hamming"](a, b)
+        for i, v in enumerate(a):
+            for j, w in enumerate(b):
+                threshold = (v.mean() + w.mean()) / 2
+                assert got[i, j] == ((v > threshold) != (w > threshold)).mean()
+
+
+def test_hamming_has_no_pass_per_signature():
+    def calls(rows):
+        seen, x = [], np.random.default_rng(12).normal(size=(rows, 8))
+        sys.setprofile(lambda frame, event, arg: seen.append(event))
+        blocks.MEASURES["hamming"](x, x)
+        sys.setprofile(None)
+        return len(seen)
+
+    calls(4)
+    assert calls(200) <= calls(20) + 10
+
+
 def test_signatures_of_other_widths_fail(spark):
     df = spark.createDataFrame([("a", 0, [1.0]), ("b", 1, [0.0, 1.0])], "model_name string, ord int, signature array<double>")
     for rows in (1, 2):
