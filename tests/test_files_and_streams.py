@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,6 +163,59 @@ def test_signatures_by_kind_of_path(spark, tmp_path):
         io.write_wide_csv(frame, f"{tmp_path}/cut.csv", 1)
 
 
+def _folders(path):
+    return {name: sorted((path / name / f).read_text(encoding="utf-8") for f in os.listdir(path / name) if f.endswith(".csv"))
+            for name in os.listdir(path) if name.startswith("file=")}
+
+
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_value_files_are_those_of_the_partitioned_writer(spark, tmp_path, kind):
+    """Without Hadoop's checksum files, whose making starts a process for each model."""
+    names = [f"a{chr(c)}b" for c in (1, 9, 31, *range(32, 128))] + ["a%2Fb", "", None, "x" * 60]
+    rows = [(n, [float(i), -0.0, 1e-7 * i, 1e22, float("nan"), float("-inf"), None]) for i, n in enumerate(names)]
+    rows += [("empty", []), ("none", None), ("only null", [None])]
+    frame = spark.createDataFrame(rows, f"model_name string, signature array<{kind}>")
+    io.write_value_csv(frame, f"{tmp_path}/own")
+    (frame.select(F.concat("model_name", F.lit("_dna.csv")).alias("file"),
+                  F.posexplode("signature").alias("pos", "dna_value")).repartition("file")
+     .sortWithinPartitions("file", "pos").drop("pos").write.option("header", True).partitionBy("file").csv(
+        f"{tmp_path}/spark"))
+    own, given = _folders(tmp_path / "own"), _folders(tmp_path / "spark")
+    assert own == given and len(own) == len(names) + 1
+    assert not [f for _, _, files in os.walk(tmp_path / "own") for f in files if f.endswith(".crc") and "part" in f]
+
+
+def test_value_files_of_one_name_and_of_other_letters(spark, tmp_path):
+    rows = [("é/ü", [1.0, 2.0]), ("twice", [3.0, 4.0, 5.0]), ("twice", [3.0, 4.0, 5.0])]
+    frame = spark.createDataFrame(rows, "model_name string, signature array<double>")
+    for _ in range(2):  # the second takes the place of the first
+        io.write_value_csv(frame, f"{tmp_path}/folder")
+    found = sorted((r.model_name, r.signature) for r in io.read_value_csv(spark, f"{tmp_path}/folder").collect())
+    assert found == [("twice", [3.0, 3.0, 4.0, 4.0, 5.0, 5.0]), ("é/ü", [1.0, 2.0])]
+    bad = frame.withColumn("signature", F.transform("signature", lambda x: F.when(x < 5, x).otherwise(
+        F.raise_error(F.lit("no value")).cast("double"))))
+    with pytest.raises(Exception, match="no value"):
+        io.write_value_csv(bad, f"{tmp_path}/folder")
+    assert io.read_value_csv(spark, f"{tmp_path}/folder").count() == 2 and os.listdir(tmp_path) == ["folder"]
+
+
+def test_folders_are_listed_by_few_tasks(spark, tmp_path):
+    cores, key = spark.sparkContext.defaultParallelism, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    frame = spark.range(12 * cores).select(F.concat(F.lit("m"), "id").alias("model_name"),
+                                           F.array(F.col("id").cast("double")).alias("signature"))
+    io.write_value_csv(frame, f"{tmp_path}/folder")
+    before = spark.conf.get(key, None)
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        read = io.read_value_csv(spark, f"{tmp_path}/folder")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert max(tracker.getStageInfo(s).numTasks for s in stages) <= 4 * cores
+    assert spark.conf.get(key, None) == before and read.count() == 12 * cores
+
+
 def test_many_files_are_read_once(spark, tmp_path):
     frame = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0])], "model_name string, signature array<double>")
     io.write_value_csv(frame, f"{tmp_path}/values")
